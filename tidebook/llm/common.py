@@ -71,6 +71,27 @@ def md5_int(digits: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
+def sampled(df: DataFrame, size: int, *key: Column) -> DataFrame:
+    """About ``size`` rows, the same ones on every run: those whose key's digest is below the share wanted; all if there are no more."""
+    n = df.count()
+    return df if n <= size else df.where(md5_int(12, *key) < int(size / n * 16**12))
+
+
+def most_frequent(counts: DataFrame, limit: int) -> list[tuple[str, int]]:
+    """The most frequent of stored counts (w, n), at most ``limit``, most frequent first.
+
+    A histogram over an eighth of an octave gives the count from which on at most ``limit`` remain; only those rows
+    travel to the driver, however many partitions there are.
+    """
+    step = F.floor(8 * F.log2(F.col("n").cast("double")))
+    left, cut = limit, None
+    for r in sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.b):  # a few hundred rows at most
+        if r.k > left:
+            break
+        left, cut = left - r.k, r.b
+    return [] if cut is None else sorted(((r.w, r.n) for r in counts.where(step >= cut).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]]) -> DataFrame:
     """mapInArrow with a function made once per task: each batch in gives one batch of columns out."""
     arrow = _arrow(df.sparkSession, schema)

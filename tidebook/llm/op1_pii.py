@@ -1,8 +1,8 @@
 """Operator 1, personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The base spans come from four patterns, each matched in linear time. The field labels words with B-/I- tags of the four
-kinds. It is trained on a small table of windows around base spans (at most ``TRAIN_DOCS`` documents, in order of their
-id's digest) and decoded by Viterbi in numpy batches. Only words with a digit, ``@`` or ``+`` may be part of an
+kinds. It is trained on a small table of windows around base spans (about ``TRAIN_DOCS`` documents, by their id's
+digest) and decoded by Viterbi in numpy batches. Only words with a digit, ``@`` or ``+`` may be part of an
 entity; all others are O, so that the chain falls into independent stretches at them and whole texts are decoded
 exactly. What it finds beside the base spans is added; base spans stay as they are.
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import map_rows, md5_int
+from tidebook.llm.common import map_rows, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
@@ -267,7 +267,7 @@ def entities(run: list[re.Match], tags: np.ndarray) -> list[Span]:
 
 def trained(docs: DataFrame) -> Field:
     """A field trained on windows around the base spans of a bounded sample of documents."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("text", md5_int(12, F.col("doc_id")).alias("k")).orderBy("k", F.md5("text")).limit(TRAIN_DOCS)
+    some = sampled(docs.where(F.col("text").rlike("[0-9@]")), TRAIN_DOCS, F.col("doc_id"))
 
     def windows(batches):
         for batch in batches:

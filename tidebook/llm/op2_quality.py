@@ -2,7 +2,7 @@
 
 A text's figures (shares of character kinds, of repeated and distinct words, word and line lengths) are made in one map
 pass and stored. Trusted positives are documents labelled 1, the unlabelled are any documents, both from the learning
-part only (crc32 of the id modulo 3 not 1) and at most ``SAMPLE`` of each, in order of the id's digest. The class prior
+part only (crc32 of the id modulo 3 not 1) and about ``SAMPLE`` of each, by the id's digest. The class prior
 is estimated from the two by best bins: the least ratio, over thresholds of a first model, of the unlabelled to the
 positive share above it. A small network then minimises prior * R+(1) + max(0, R_u(-1) - prior * R+(-1)).
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import in_fold, map_rows, md5_int, stored, words
+from tidebook.llm.common import in_fold, map_rows, sampled, stored, words
 
 SAMPLE, HIDDEN, STEPS, RATE, BATCH = 20_000, 16, 1500, 0.01, 2048
 #: Kinds of characters of which the shares are taken.
@@ -162,9 +162,9 @@ def learn(pos: np.ndarray, unl: np.ndarray, seed: int = 2) -> tuple[Network | No
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     x = stored(measured(docs), "op2")
-    part = x.where(~F.col("held_out")).withColumn("k", md5_int(12, F.col("doc_id")))
+    part = x.where(~F.col("held_out"))
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    take = lambda d, tag: np.array([r.x for r in d.withColumn("k", md5_int(12, F.lit(tag), F.col("doc_id"))).orderBy("k", "doc_id").limit(SAMPLE).select("x").collect()])
+    take = lambda d, tag: np.array([list(r.x) for r in sampled(d, SAMPLE, F.lit(tag), F.col("doc_id")).select("x").collect()])
     net, prior = learn(take(part.join(good, "doc_id", "left_semi"), "p"), take(part, "u"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
