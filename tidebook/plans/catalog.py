@@ -1,4 +1,6 @@
-"""Registered queries and their SQL, by name."""
+"""All registered queries and their SQL, by name."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tidebook.plans import books  # noqa: F401
+from tidebook.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
