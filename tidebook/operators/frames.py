@@ -70,8 +70,8 @@ def ranked(df: DataFrame, by: list[str], order: list[str], bucket: Column, name:
 def ewma_scan(df: DataFrame, by: list[str], idx: str, values: list[str], half_life: float, block: int = 256) -> DataFrame:
     """Exponentially weighted means of values along idx (0, 1, ... by key): m_0 = x_0, m_t = m_(t-1) + alpha (x_t - m_(t-1)).
 
-    Blocked: inside a block a weighted running sum; block ends, one row each, are carried on by a window over blocks
-    in two levels; no task holds more than a block or a key's block ends.
+    Blocked: inside a block a weighted running sum; block ends, one row each, are carried on by a short window over
+    blocks; no task holds more than a block's rows or a key's block ends.
     """
     alpha = 1 - 2 ** (-1 / half_life)
     beta = 1 - alpha
@@ -82,11 +82,12 @@ def ewma_scan(df: DataFrame, by: list[str], idx: str, values: list[str], half_li
     for v in values:
         x = x.withColumn(f"_l_{v}", F.sum(gain * F.col(v) * F.pow(F.lit(beta), -F.col("_j"))).over(w) * F.pow(F.lit(beta), F.col("_j")))
     ends = x.groupBy(*by, "_blk").agg(F.count("*").alias("_n"), *[F.max_by(f"_l_{v}", idx).alias(f"_e_{v}") for v in values])
-    # carry into a block: earlier ends, each shrunk by the rows since; weights below the least double vanish as they would step by step
-    until = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_before", F.collect_list(F.struct(*[f"_e_{v}" for v in values])).over(until.rowsBetween(-_reach(beta, block), -1)))
-    for i, v in enumerate(values):
-        ends = ends.withColumn(f"_c_{v}", F.aggregate("_before", F.lit(0.0), lambda a, s, v=v: a * (beta**block) + s[f"_e_{v}"]))
+    # carry into a block: earlier ends, each shrunk by the rows since, as far back as their weight can be seen
+    until = Window.partitionBy(*by).orderBy("_blk").rowsBetween(-_reach(beta, block), -1)
+    ends = ends.withColumn("_before", F.collect_list(F.struct(*[f"_e_{v}" for v in values])).over(until))
+    carried = lambda v: F.aggregate("_before", F.lit(0.0), lambda a, s: a * (beta**block) + s[f"_e_{v}"])
+    for v in values:
+        ends = ends.withColumn(f"_c_{v}", carried(v))
     y = x.join(ends.select(*by, "_blk", *[f"_c_{v}" for v in values]), [*by, "_blk"])
     return y.select(*df.columns, *[(F.col(f"_l_{v}") + F.pow(F.lit(beta), F.col("_j") + 1) * F.col(f"_c_{v}")).alias(f"ewma_{v}") for v in values])
 

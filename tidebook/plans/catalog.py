@@ -1,6 +1,6 @@
 """All registered queries and their SQL, by name."""
 
-from tidebook.plans import books, splitting  # noqa: F401
+from tidebook.plans import books, selection, splitting  # noqa: F401
 from tidebook.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
