@@ -2,7 +2,7 @@
 
 The base spans come from four patterns, each matched in linear time. The field labels words with B-/I- tags of the four
 kinds. It is trained on a small table of windows around base spans (about ``TRAIN_DOCS`` documents, by their id's
-digest) and decoded by Viterbi in numpy batches. Only words with a digit, ``@`` or ``+`` may be part of an
+digest), and the same windows without an entity's first word and decoded by Viterbi in numpy batches. Only words with a digit, ``@`` or ``+`` may be part of an
 entity; all others are O, so that the chain falls into independent stretches at them and whole texts are decoded
 exactly. What it finds beside the base spans is added; base spans stay as they are.
 
@@ -156,10 +156,22 @@ def rows_of(run: list[re.Match], text: str) -> list[list[int]]:
     """Features of a run's words; its neighbours in the text count as context."""
     before = text[max(0, run[0].start() - 40) : run[0].start()].split()
     after = text[run[-1].end() : run[-1].end() + 40].split()
-    line = [before[-1] if before else "", *(m[0] for m in run), after[0] if after else ""]
+    return rows_of_words([m[0] for m in run], before[-1] if before else "", after[0] if after else "")
+
+
+def rows_of_words(own: list[str], before: str, after: str) -> list[list[int]]:
+    line = [before, *own, after]
     return [features(line[i], line[i - 1], line[i + 1]) for i in range(1, len(line) - 1)]
 
 
+def shortened(own: list[str], tags: list[int]) -> tuple[list[str], list[int]] | None:
+    """A training window again without the first word of its first longer entity: numbers are also written without their country code."""
+    for i in range(len(tags) - 1):
+        if LABELS[tags[i]][0] == "B" and LABELS[tags[i + 1]][0] == "I":
+            return own[:i] + own[i + 1 :], [*tags[:i], tags[i], *tags[i + 2 :]]
+    return None
+
+
 def tagged(run: list[re.Match], spans: list[Span]) -> list[int]:
     tags = []
     for m in run:
@@ -277,8 +289,11 @@ def trained(docs: DataFrame) -> Field:
                 spans = base_spans(text)
                 for run in stretches(text, CONTEXT)[:50]:
                     run = run[:40]
-                    x.append([v for row in rows_of(run, text) for v in row])
-                    y.append(tagged(run, spans))
+                    tags = tagged(run, spans)
+                    shorter = shortened([m[0] for m in run], tags)
+                    for rows, own in [(rows_of(run, text), tags), *([(rows_of_words(shorter[0], "", ""), shorter[1])] if shorter else [])]:
+                        x.append([v for row in rows for v in row])
+                        y.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())), pa.array(y, pa.list_(pa.int64()))], names=["x", "y"])
 
     field = Field()
