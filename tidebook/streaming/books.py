@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 L2 = "symbol string, seq long, us long, action string, id long, price double, size double, side string"
 
 
-def book_asof(updates: DataFrame, grid: DataFrame) -> DataFrame:
+def book_asof(updates: DataFrame, grid: DataFrame, bucket_us: int = 3_600_000_000) -> DataFrame:
     """State of each level id at each grid time: symbol, grid_us, id, price, size, side.
 
     A partial starts an epoch with an empty book; an insert sets a level; an update changes its size only while the
     level exists; a delete removes it. Levels' lives run from an insert to the next insert or delete of the id in the
-    epoch; a grid time takes the life and the last update that it falls into. updates: symbol, seq, us, action, ...
+    epoch; a grid time takes the life and the last update that it falls into. Lives and grid times meet by buckets of
+    time, so that no symbol's rows are paired with all of its grid. updates: symbol, seq, us, action, ...
     """
     w = Window.partitionBy("symbol").orderBy("us", "seq")
     x = updates.withColumn("epoch", F.sum((F.col("action") == "partial").cast("int")).over(w)).where("epoch > 0")
@@ -32,8 +33,11 @@ def book_asof(updates: DataFrame, grid: DataFrame) -> DataFrame:
     epochs = events.where("epoch > 0").groupBy("symbol", "epoch").agg(F.min("us").alias("_start")).withColumn("epoch_end", F.lead("_start").over(part)).drop("_start")
     x = x.join(nxt, ["symbol", "id", "us", "seq"]).join(epochs, ["symbol", "epoch"])
     x = x.withColumn("until", F.least("until", "epoch_end"))
-    g = grid.select(F.col("symbol").alias("_s"), "grid_us")
-    return x.join(g, (F.col("symbol") == F.col("_s")) & (F.col("grid_us") >= F.col("us")) & (F.col("until").isNull() | (F.col("grid_us") < F.col("until")))).select("symbol", "grid_us", "id", "price", "size", "side")
+    last = grid.groupBy("symbol").agg((F.max("grid_us") + 1).alias("_last"))
+    x = x.join(last, "symbol").withColumn("until", F.coalesce("until", "_last")).where("until > us")
+    x = x.withColumn("_b", F.explode(F.sequence(F.floor(F.col("us") / bucket_us), F.floor((F.col("until") - 1) / bucket_us))))
+    g = grid.select("symbol", "grid_us", F.floor(F.col("grid_us") / bucket_us).alias("_b"))
+    return x.join(g, ["symbol", "_b"]).where("grid_us >= us AND grid_us < until").select("symbol", "grid_us", "id", "price", "size", "side")
 
 
 def apply_updates(book: dict[int, tuple[float, float, str]], rows: list[tuple]) -> None:
