@@ -114,6 +114,11 @@ def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def clean_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that a caller's extra columns can't clash with an operator's own."""
-    return df.select(*names)
+def numbered(df: DataFrame) -> list[Column]:
+    """A caller's columns as _own_0, _own_1, ..., so that their names can't clash with an operator's own."""
+    return [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(df.columns)]
+
+
+def renamed(df: DataFrame, like: DataFrame) -> DataFrame:
+    """Only the numbered columns, under their names again."""
+    return df.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(like.columns)])

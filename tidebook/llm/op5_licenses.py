@@ -75,12 +75,12 @@ class Scanner:
     def __init__(self) -> None:
         plain = zstandard.ZstdCompressionParameters.from_level(19, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = zstandard.ZstdCompressor(compression_params=plain)
-        self.given = [zstandard.ZstdCompressor(compression_params=plain, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in TEMPLATES]
+        self.given = [zstandard.ZstdCompressor(compression_params=plain, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in TEMPLATES]
         self.words = [_WORD.findall(t.lower()) for _, t in TEMPLATES]
 
     def savings(self, block: str) -> list[tuple[float, int]]:
-        """(relative saving, template), best first."""
-        data = " ".join(block.split()).encode("utf-8", "surrogatepass")
+        """(relative saving, template), best first; case and blanks don't count."""
+        data = " ".join(block.lower().split()).encode("utf-8", "surrogatepass")
         size = len(self.alone.compress(data))
         return sorted(((1 - len(z.compress(data)) / size, k) for k, z in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 

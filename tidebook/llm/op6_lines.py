@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import row_key, stored
+from tidebook.llm.common import numbered, row_key, stored
 
 RATIO, MIN_PAGES = 0.05, 10
 BLANK_LINE = r"^[\x20\x09-\x0D]*$"
@@ -33,16 +33,16 @@ def drop_boilerplate(pages: DataFrame, key: list[str], host: str = "source", tex
     Lines meet the dropped ones by md5; what goes from a page is gathered by the page's key, so that a page's text is
     shuffled once and a frequent line only as its digest.
     """
-    own = pages.columns
     bad = stored(boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias("_host"), F.md5("line").alias("_line")), "op6")
-    keyed = pages.withColumn("_key", row_key(*key, host, text))
-    lines = keyed.select("_key", F.col(host).alias("_of"), F.explode(F.transform(F.array_distinct(F.split(text, "\n")), F.md5)).alias("_md5"))
+    keyed = pages.select(*numbered(pages), F.col(text).alias("_text"), F.col(host).alias("_of"), row_key(*key, host, text).alias("_key"))
+    lines = keyed.select("_key", "_of", F.explode(F.transform(F.array_distinct(F.split("_text", "\n")), F.md5)).alias("_md5"))
     hits = lines.join(bad, F.col("_of").eqNullSafe(F.col("_host")) & (F.col("_md5") == F.col("_line"))).groupBy(F.col("_key").alias("_page")).agg(F.collect_set("_md5").alias("_bad"))
     x = keyed.join(hits, F.col("_key") == F.col("_page"), "left")
-    kept = F.filter(F.split(text, "\n"), lambda v: ~F.coalesce(F.array_contains("_bad", F.md5(v)), F.lit(False)))
-    new = F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    dropped = F.when(F.col("_bad").isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n")) - F.size(kept)).cast("long")
-    return x.select(*[new.alias(c) if c == text else F.col(c) for c in own], dropped.alias("n_dropped"))
+    kept = F.filter(F.split("_text", "\n"), lambda v: ~F.coalesce(F.array_contains("_bad", F.md5(v)), F.lit(False)))
+    new = F.when(F.col("_bad").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(F.col("_bad").isNull(), F.lit(0)).otherwise(F.size(F.split("_text", "\n")) - F.size(kept)).cast("long")
+    out = [(new if c == text else F.col(f"_own_{i}")).alias(c) for i, c in enumerate(pages.columns)]
+    return x.select(*out, dropped.alias("n_dropped"))
 
 
 def score(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

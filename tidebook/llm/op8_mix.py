@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import md5_int, n_words, stored
+from tidebook.llm.common import md5_int, n_words, numbered, renamed, stored
 
 #: The weights repeat along the sources; all targets together are this share of all sizes; no target exceeds its source this many times.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -39,8 +39,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: str = SEED, bins: int = BINS) -> DataFrame:
-    """The documents with size, source_size, target and copies (0, 1 or 2)."""
-    own = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
+    """The documents' columns as _own_0, _own_1, ..., with size, source_size, target and copies (0, 1 or 2)."""
+    own = numbered(docs)
     x = docs.select(*own, F.col("source").alias("_source"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"), n_words("text").alias("_size"), md5_int(8, F.lit(seed), F.col("doc_id"), F.md5("text")).alias("_tie"))
     # like sizes together: a bin per 9 % of size, split by digest
     x = x.withColumn("_class", F.floor(8 * F.log2(1.0 + F.col("_size"))).cast("int")).withColumn("_bin", F.pmod(F.col("_tie"), F.lit(bins)).cast("int"))
@@ -56,19 +56,18 @@ def mixed(docs: DataFrame, seed: str = SEED, bins: int = BINS) -> DataFrame:
     offset = md5_int(8, F.lit(seed), F.col("_source")) / F.lit(float(LIMIT))
     upto = F.col("b_start") + F.col("_rank")
     copies = F.floor(offset + upto * each) - F.floor(offset + (upto - 1) * each)
-    return x.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("_size").alias("size"), "source_size", "target", copies.cast("int").alias("copies"))
+    return x.select(*[f"_own_{i}" for i in range(len(own))], F.col("_size").alias("size"), "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) of every document."""
     x = mixed(docs.select("doc_id", "text", "source"))
-    return x.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return x.select(F.col("_own_0").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    own = docs.columns
-    return mixed(docs).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*own)
+    return renamed(mixed(docs).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
 
 
 def _digest(*parts: str) -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import BLANKS, map_rows, stored, words
+from tidebook.llm.common import BLANKS, map_rows, numbered, renamed, stored, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
@@ -180,5 +180,5 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def keep_good(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    own = docs.columns
-    return judged(stored(measure(docs, own, vocabulary), "op9")).where("kept").select(*own)
+    x = docs.select(*numbered(docs), "text", "lang")
+    return renamed(judged(stored(measure(x, [*x.columns[: len(docs.columns)], "lang"], vocabulary), "op9")).where("kept"), docs)
