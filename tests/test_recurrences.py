@@ -129,9 +129,9 @@ def test_thresholds_of_the_normality_score(spark):
 
 def test_distances_of_a_sample_to_itself_are_zero(spark):
     rows = [(k, float(v)) for v in range(100) for k in (0, 1)]
-    df = spark.createDataFrame(rows, "sample int, value double").withColumn("g", F.lit(1))
-    assert quality.ks_two_sample(df, ["g"]).first().d == 0
-    assert quality.wasserstein(df, ["g"]).first().w1 == 0
+    df = spark.createDataFrame(rows, "sample int, value double").withColumn("key", F.lit(1))
+    assert quality.ks_two_sample(df, ["key"]).first().d == 0
+    assert quality.wasserstein(df, ["key"]).first().w1 == 0
 
 
 def test_episode_account_is_the_loop(spark):

@@ -21,15 +21,14 @@ def pearson_p_df(df: DataFrame, by: list[str], value: str = "value") -> DataFram
     """
     x = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     stats = x.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    stats = stats.withColumn("k", F.when(F.col("n") < 100, 5).when(F.col("n") < 500, 10).otherwise(20))
+    stats = stats.withColumn("_bins", F.when(F.col("n") < 100, 5).when(F.col("n") < 500, 10).otherwise(20))
     bad = (F.col("n") < 20) | ~(F.col("_s") > 0) | F.isnan("_s") | (F.col("_s") == float("inf"))
     z = F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))
-    edges = F.when(F.col("k") == 5, _lit(5)).when(F.col("k") == 10, _lit(10)).otherwise(_lit(20))
-    y = x.join(stats, by)
-    counts = y.where(~bad).groupBy(*by, F.size(F.filter(edges, lambda e: e <= z)).alias("_b")).agg(F.count("*").alias("_o"), F.first("n").alias("_n"), F.first("k").alias("_k"))
+    edges = F.when(F.col("_bins") == 5, _lit(5)).when(F.col("_bins") == 10, _lit(10)).otherwise(_lit(20))
+    counts = x.join(stats, by).where(~bad).groupBy(*by, F.size(F.filter(edges, lambda e: e <= z)).alias("_b")).agg(F.count("*").alias("_o"), F.first("n").alias("_n"), F.first("_bins").alias("_k"))
     chi = counts.groupBy(*by).agg((F.sum(F.col("_o") * F.col("_o")) * F.first("_k") / F.first("_n") - F.first("_n")).alias("_chi"))
     out = stats.join(chi, by, "left")
-    return out.select(*by, "n", F.when(bad | F.col("_chi").isNull(), WORST).otherwise(F.col("_chi") / (F.col("k") - 3)).alias("score"))
+    return out.select(*by, "n", F.when(bad | F.col("_chi").isNull(), WORST).otherwise(F.col("_chi") / (F.col("_bins") - 3)).alias("score"))
 
 
 def _lit(k: int) -> Column:
