@@ -122,5 +122,6 @@ def representative_windows(fold_table: DataFrame, splits: DataFrame, length: int
     x = splits.select("split_id").crossJoin(fold_table.where("fold_type = 'train'").select("fold_id", "start_us", "end_us", "n_samples")).join(val, ["split_id", "fold_id"], "left_anti")
     x = x.where(F.col("n_samples") >= 2 * margin + length)
     room = F.col("n_samples") - 2 * margin - length + 1
-    start = margin + F.pmod(F.xxhash64(F.lit(seed), "split_id", "fold_id"), room)
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("split_id").cast("string"), F.col("fold_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    start = margin + digest % room
     return x.select("split_id", "fold_id", start.alias("start_idx"), (start + length).alias("end_idx"))

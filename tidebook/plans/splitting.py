@@ -208,15 +208,16 @@ def listwise_null_drop(spark, sf):
     return x.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(~F.exists("features", F.isnull)).alias("kept"), null(1).alias("null_1"), null(2).alias("null_5"))
 
 
-@query("sample_train_rate")
+@query("sample_train_rate", f"{SL} SELECT split_id, event_id, feature, round(value, 9) AS value FROM split_long WHERE role = 'train' AND ('0x' || substr(md5(split_id || '|' || us), 1, 8))::BIGINT % 10 = 0")
 def sample_train_rate(spark, sf):
     """A tenth of the training rows, the same on every run and for any partitioning."""
-    return fx.split_long(spark, sf).where(F.col("role") == "train").where(F.pmod(F.xxhash64("split_id", "us"), F.lit(1_000_000)) < 100_000).select("split_id", "event_id", "feature", "value")
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("split_id").cast("string"), F.col("us").cast("string"))), 1, 8), 16, 10).cast("long")
+    return fx.split_long(spark, sf).where(F.col("role") == "train").where(digest % 10 == 0).select("split_id", "event_id", "feature", F.round("value", 9).alias("value"))
 
 
 # timeline, folds, splits
 
-N_FOLDS, SPAN = 8, 259_200_000 * 20
+N_FOLDS, SPAN, WINDOW = 8, 259_200_000 * 20, 40
 LINE = f"""{E}, u AS (SELECT DISTINCT us FROM ev), i AS (SELECT us, row_number() OVER (ORDER BY us) - 1 AS idx, count(*) OVER () AS n FROM u),
 g AS (SELECT *, floor(n * (1 - 0.2::DOUBLE))::BIGINT AS s FROM i),
 line AS (SELECT us, idx, n, CASE WHEN idx >= s THEN CASE WHEN n - s > 20 AND idx >= n - 20 THEN 'test_horizon' ELSE 'test' END WHEN idx >= s - 20 THEN 'embargo' WHEN s - 20 > 20 AND idx < 20 THEN 'train_warmup' ELSE 'train' END AS part FROM g)"""
@@ -299,10 +300,14 @@ def filter_test_any(spark, sf):
     return splits.test_rows(stamped(spark, sf)).select("event_id", "role")
 
 
-@query("representative_windows")
+@query(
+    "representative_windows",
+    f"""{RANGES} SELECT s.split_id, f.fold_id, 20 + ('0x' || substr(md5('7|' || s.split_id || '|' || f.fold_id), 1, 8))::BIGINT % (n_samples - 40 - {WINDOW} + 1) AS start_idx, 20 + ('0x' || substr(md5('7|' || s.split_id || '|' || f.fold_id), 1, 8))::BIGINT % (n_samples - 40 - {WINDOW} + 1) + {WINDOW} AS end_idx
+FROM splits s, folds f WHERE f.fold_type = 'train' AND f.n_samples >= 40 + {WINDOW} AND NOT EXISTS (SELECT 1 FROM vf WHERE vf.split_id = s.split_id AND vf.fold_id = f.fold_id)""",
+)
 def representative_windows(spark, sf):
     f, s = fold_tables(spark, sf)
-    return splits.representative_windows(f, s, 200, 20, 7)
+    return splits.representative_windows(f, s, WINDOW, 20, 7)
 
 
 @query("window_extract", f"{FOLDS} SELECT f.fold_id, count(*) AS n, sum(value) AS total FROM (SELECT fold_id, start_us + 3600000000 AS a, end_us - 3600000000 AS b FROM folds WHERE fold_type = 'train') f JOIN ev ON ev.us >= f.a AND ev.us < f.b GROUP BY f.fold_id".replace("sum(value)", "round(sum(value), 4)"))

@@ -73,16 +73,21 @@ def stream_dedup(spark, sf):
     return _run(spark, s.once_per_time(x.union(x))).select("symbol", "us")
 
 
-@query("stream_window_counts")
+@query("stream_window_counts", f"{fx.ctes('ev')} SELECT hour * 3600000000 AS hour_us, symbol, count(*) AS n FROM ev WHERE (hour + 1) * 3600000000 <= (SELECT max(us) FROM ev) - 600000000 GROUP BY ALL")
 def stream_window_counts(spark, sf):
     """Hourly counts that the watermark has closed."""
     x = _run(spark, s.hourly_counts(stream(spark, sf, ["symbol", "ts"])))
     return x.select(F.unix_micros("window.start").alias("hour_us"), "symbol", "n")
 
 
-@query("stream_ewma")
+@query(
+    "stream_ewma",
+    f"""WITH RECURSIVE {fx.ctes("ev").removeprefix("WITH ")}, u AS MATERIALIZED (SELECT symbol, event_id, value AS x, row_number() OVER (PARTITION BY symbol ORDER BY us, event_id) AS k FROM ev),
+r AS (SELECT symbol, k, event_id, x, x AS m, 0.0::DOUBLE AS v FROM u WHERE k = 1 UNION ALL SELECT u.symbol, u.k, u.event_id, u.x, r.m + {fx.ALPHA20!r}::DOUBLE * (u.x - r.m), (1 - {fx.ALPHA20!r}::DOUBLE) * (r.v + {fx.ALPHA20!r}::DOUBLE * (u.x - r.m) * (u.x - r.m)) FROM r JOIN u ON u.symbol = r.symbol AND u.k = r.k + 1)
+SELECT symbol, event_id, round(CASE WHEN k = 1 THEN 0.0 ELSE greatest(least((x - m) / sqrt(v + 1e-12), 3.0), -3.0) END, 6) AS z FROM r""",
+)
 def stream_ewma(spark, sf):
-    return _run(spark, s.online_scaler(stream(spark, sf, ["event_id", "symbol", "us", "value"])))
+    return _run(spark, s.online_scaler(stream(spark, sf, ["event_id", "symbol", "us", "value"]))).withColumn("z", F.round("z", 6))
 
 
 @query("book_state")
