@@ -411,6 +411,23 @@ def test_edited_copies_are_found_and_clean_texts_left(spark, odd, none):
     assert op10_decontaminate.report(none, bench).count() == 0 and op10_decontaminate.clean(odd, bench.where("false")).count() == len(ODD)
 
 
+def test_copies_in_many_documents_are_found(spark):
+    rng = random.Random(12)
+    item, other = ([f"{k}{i}" for i in range(40)] for k in "ab")
+    edited = [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(item)]  # 8 of 37 grams are left
+    filler = lambda: [f"f{rng.randrange(500)}" for _ in range(60)]
+    copies = {0: edited, 1: other[:21]}
+    assert all(2 * sum(tuple(c[i : i + 4]) in {tuple(t[j : j + 4]) for j in range(37)} for i in range(len(c) - 3)) < 37 for c, t in zip(copies.values(), (item, other), strict=True))
+    docs = [(100 * k + n, " ".join([*filler(), *copies[k], *filler()])) for k in copies for n in range(25)]
+    docs += [(1000, " ".join([*filler(), *item[:8], *filler()]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(other))], "item_id long, text string")
+    want = {(i, i // 100): plain_align(t, d.split()) / 80 for i, d in docs[:-1] for t in [(item, other)[i // 100]]}
+    assert min(want.values()) >= 0.5
+    assert {(r.doc_id, r.item_id): r.score for r in op10_decontaminate.report(df, bench).collect()} == want
+    assert [r.doc_id for r in op10_decontaminate.clean(df, bench).collect()] == [1000]
+
+
 def plain_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):

@@ -1,9 +1,9 @@
-"""Operator 10, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Operator 10, benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the test items' word 4-grams (lower case, letters and digits only). Their document frequencies are counted
-over all training documents; a gram seeds its item unless it is more than ``COMMON`` times as frequent as the item's
-median gram, so an item that is itself frequent keeps its seeds. Wherever a seed occurs, the item is aligned to the
+Seeds are the test items' word 4-grams (lower case, letters and digits only), every one of them however frequent: a
+copy that stands in many documents makes its own grams frequent. Wherever a seed occurs, the item is aligned to the
 document around it (match 2, mismatch -1, gap -1 a word); the score over twice the item's words is the share found.
+Places that hold too few of the item's words to reach the threshold whatever their order are passed over, without loss.
 Test items are taken in blocks of a fixed size, each against all documents; only a block's index is broadcast.
 
 Defined results: null or empty texts match nothing; items of fewer than four words seed nothing; repeated rows are
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.common import map_rows
 
-GRAM, COMMON, THRESHOLD = 4, 20, 0.5
+GRAM, THRESHOLD = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_ITEMS = 10_000
 _WORD = re.compile(r"\w+")
@@ -78,16 +78,14 @@ class Index:
         hit = self.keys[k] == key
         return k[hit], at[hit]
 
-    def choose(self, df: np.ndarray) -> None:
-        """Keep as seeds the grams that are rare for their item, by document frequency."""
-        of_row = np.repeat(df, np.diff(self.first))
-        keep = np.zeros(len(self.item), bool)
-        for rows in np.split(np.argsort(self.item, kind="stable"), np.flatnonzero(np.diff(np.sort(self.item))) + 1) if len(self.item) else []:
-            keep[rows] = of_row[rows] <= COMMON * (1 + np.median(of_row[rows]))
-        counts = np.add.reduceat(keep.astype(np.int64), self.first[:-1]) if len(self.keys) else np.zeros(0, np.int64)
-        self.item, self.place = self.item[keep], self.place[keep]
-        self.keys, counts = self.keys[counts > 0], counts[counts > 0]
-        self.first = np.concatenate([[0], np.cumsum(counts)])
+    def possible(self, ids: np.ndarray, items: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether so many of each item's words occur among the ids that its score can reach the threshold."""
+        there = np.zeros(len(self.vocab) + 1, bool)
+        there[ids] = True
+        there[0] = False
+        size = np.array([len(self.items[k]) for k in items])
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        return np.add.reduceat(there[np.concatenate([self.items[k] for k in items])].astype(np.int64), first) / size >= threshold
 
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, float]]:
         """(item_id, share of the item found) of the items that a text holds, best alignment each."""
@@ -100,6 +98,9 @@ class Index:
         item, start = self.item[rows], np.repeat(at, n) - self.place[rows]
         order = np.lexsort((start, item))
         item, start = item[order], start[order]
+        own, of = np.unique(item, return_inverse=True)
+        keep = self.possible(ids, own, threshold)[of]
+        item, start = item[keep], start[keep]
         best: dict[int, float] = {}
         lo = 0
         for i in range(1, len(item) + 1):
@@ -109,9 +110,11 @@ class Index:
                 continue
             slack = len(own) // 2
             part = ids[max(0, start[lo] - slack) : start[i - 1] + len(own) + slack]
-            score = align(own, part) / (MATCH * len(own))
-            if score >= threshold:
-                best[item[lo]] = max(score, best.get(item[lo], 0.0))
+            # a word of either side matches once at most
+            if min(np.isin(own, part).sum(), np.isin(part, own).sum()) / len(own) >= threshold:
+                score = align(own, part) / (MATCH * len(own))
+                if score >= threshold:
+                    best[item[lo]] = max(score, best.get(item[lo], 0.0))
             lo = i
         return [(self.item_ids[k], v) for k, v in best.items()]
 
@@ -130,28 +133,12 @@ def align(item: np.ndarray, part: np.ndarray) -> int:
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
-    """A broadcast index for each block of test items, its seeds chosen by their frequency in docs."""
+    """A broadcast index for each block of test items."""
     spark = docs.sparkSession
     blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
     for b in range(blocks):
         own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text")
-        index = Index([(r.item_id, r.text) for r in own.collect()])
-        shared = spark.sparkContext.broadcast(index)
-
-        def count(batches, shared=shared):
-            index = shared.value
-            df = np.zeros(len(index.keys), np.int64)
-            for batch in batches:
-                for t in batch.column(0):
-                    df[np.unique(index.hits(index.read(t.as_py()))[0])] += 1
-            k = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(df[k])], names=["k", "n"])
-
-        df = np.zeros(len(index.keys), np.int64)
-        for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # one row per gram of the block at most
-            df[r.k] = r.n
-        index.choose(df)
-        yield spark.sparkContext.broadcast(index)
+        yield spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own.collect()]))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
