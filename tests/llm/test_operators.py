@@ -312,6 +312,32 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert sorted(r.doc_id for r in one.collect()) == sorted(set(want.values())) and "label" in one.columns
 
 
+def test_near_duplicates_among_pages_of_one_template(spark):
+    rng = random.Random(18)
+    vocab = [f"w{i}" for i in range(3000)]
+    template = [rng.choice(vocab) for _ in range(125)]
+    docs = []
+    for g in range(600):
+        page = [*template, *(rng.choice(vocab) for _ in range(25))]
+        docs.append((2 * g, " ".join(page)))
+        if g % 4 == 0:  # a copy with three words edited in the template
+            for k in (10, 50, 90):
+                page[k + rng.randrange(20)] = rng.choice(vocab)
+            docs.append((2 * g + 1, " ".join(page)))
+    rng.shuffle(docs)
+    want = brute_classes(docs)
+    assert len(docs) == 750 and len(set(want.values())) == 600
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in op7_near.score(df).collect()} == want
+
+
+def test_bands_and_agreement_hold_for_the_lowest_weighted_similarity():
+    low = op7_near.SIMILARITY / (2 - op7_near.SIMILARITY)  # shared shingles weigh 1 each, the others 2
+    n = op7_near.BANDS * op7_near.ROWS
+    assert (1 - low**op7_near.ROWS) ** op7_near.BANDS < 3e-4
+    assert op7_near.AGREE < low - 5 * (low * (1 - low) / n) ** 0.5
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     assert op7_near.score(none).count() == 0 and op7_near.one_of_each(none).count() == 0
     got = op7_near.score(odd).collect()

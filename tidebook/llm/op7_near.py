@@ -2,12 +2,14 @@
 
 A shingle is five words running (all of them where a text has fewer); its weight is its count in the text times
 1 + the mean of its words' inverse document frequencies, scaled to 0..1. Improved consistent weighted samples (one
-per hash: the shingle and its quantised weight) fill 16 bands of 4. Texts that share a band key meet its pivot, the
-smallest, never each other, so a bucket of n texts makes n - 1 pairs. Turns follow over the buckets that still hold
-several classes: a member of each, drawn anew, meets two of the largest class and one of any, until a turn links
-nothing new. Pairs of which enough samples agree are compared on their texts: a pair links when its weighted Jaccard
-similarity is at least 0.8; the unweighted one is taken too, as the size of a group of copies lowers the weights of
-what its members share. Equal texts are one node from the start. Classes are the connected components.
+per hash: the shingle and its quantised weight) fill 24 bands of 3. Texts that share a band key meet its pivot, the
+smallest, so a bucket of n texts makes n - 1 pairs, which join most of what belongs together. Texts of buckets that
+still hold several classes then go through an exact join: two of different classes meet when the beginnings of their
+shingles, rarest first, have one in common; no similar pair is without one (prefix filter). Pairs of which enough
+samples agree are compared on their texts: a pair links when its weighted Jaccard similarity is at least 0.8; the
+unweighted one is taken too, as the size of a group of copies lowers the weights of what its members share. Bands and
+agreement are set for the lowest weighted similarity of such a pair. Equal texts are one node from the start. Classes
+are the connected components.
 
 Defined results: null texts and texts without words are classes of their own; texts of fewer than five words are one
 shingle; rows without doc_id go by a digest of their text; rows that share a doc_id are one document; the class is
@@ -24,12 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import map_rows, most_frequent, numbered, renamed, stored, words
+from tidebook.llm.common import map_rows, most_frequent, numbered, renamed, sampled, stored, words
 
 SIZE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 4
-#: Share of samples that must agree before texts are compared: five standard errors under a similarity of 0.8.
-AGREE = 0.55
+#: At the lowest weighted similarity of an unweighted 0.8, 0.8 / (2 - 0.8) as weights lie in 1 to 2, all bands miss a pair about twice in ten thousand.
+BANDS, ROWS = 24, 3
+#: Share of samples that must agree before texts are compared: five standard errors under that lowest similarity.
+AGREE = 0.38
+#: Texts whose shingles set the order of the exact join, and shingles that are ranked in it; they change its speed only.
+ORDER_TEXTS, ORDER_SHINGLES = 50_000, 200_000
 #: Words of which the document frequency is broadcast; rarer ones count as found once.
 IDF_WORDS = 50_000
 CACHE_WORDS, COUNT_WORDS, CHUNK = 300_000, 200_000, 16_384
@@ -213,6 +218,81 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
     return map_rows(x.select("a", "b", "la", "lb", "text_a", "text_b"), "a long, b long, la long, lb long", start)
 
 
+def frequent_shingles(texts: DataFrame, idf) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of the shingles found more than once in a sample of texts, and how often."""
+
+    def start():
+        shingles = Shingles(*idf.value)
+
+        def step(batch: pa.RecordBatch) -> dict:
+            h, n = np.unique(np.concatenate([shingles.of(t.as_py())[0] for t in batch.column(0)]), return_counts=True)
+            return {"w": pa.array(h.view(np.int64)), "n": pa.array(n)}
+
+        return step
+
+    some = map_rows(sampled(texts, ORDER_TEXTS, F.col("id")).select("text"), "w long, n long", start)
+    most = most_frequent(stored(some.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1"), "op7-order"), ORDER_SHINGLES)
+    h, n = np.array([w for w, _ in most], np.int64).view(np.uint64), np.array([n for _, n in most], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def beginnings(texts: DataFrame, idf, ranks, similarity: float) -> DataFrame:
+    """node, token, small: the shingles at the beginning of each text, rarest first.
+
+    The overlap of a similar pair is at least ``similarity`` of the larger text's weight and 2 s / (1 + s) of the smaller
+    one's. What follows a beginning weighs less than that, so the beginnings have a shingle in common; those of a text
+    as the smaller one (``small``) are shorter.
+    """
+
+    def start():
+        shingles, (known, often) = Shingles(*idf.value), ranks.value
+
+        def step(batch: pa.RecordBatch) -> dict:
+            nodes, tokens, small = [], [], []
+            for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                key, *weights = shingles.of(t.as_py())
+                rank = np.zeros(len(key), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    rank = np.where(known[at] == key, often[at], 0)
+                order, n = np.lexsort((key, rank)), [0, 0]
+                for w in weights:
+                    left = np.cumsum(w[order][::-1])[::-1]
+                    for j, share in enumerate((2 * similarity / (1 + similarity), similarity)):
+                        n[j] = max(n[j], int((left >= share * left[0] - 1e-6).sum()))
+                nodes.append(np.full(n[1], i.as_py()))
+                tokens.append(key[order[: n[1]]].view(np.int64))
+                small.append(np.arange(n[1]) < n[0])
+            return {"node": pa.array(np.concatenate(nodes)), "token": pa.array(np.concatenate(tokens)), "small": pa.array(np.concatenate(small))}
+
+        return step
+
+    return map_rows(texts.select("id", "text"), "node long, token long, small boolean", start)
+
+
+def size_alike(a: str, b: str, similarity: float):
+    """No similarity exceeds the ratio of the two sums."""
+    near = [F.least(f"{a}.{c}", f"{b}.{c}") >= (similarity - 1e-9) * F.greatest(f"{a}.{c}", f"{b}.{c}") for c in ("weight", "plain")]
+    return near[0] | near[1]
+
+
+def meetings(left: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """a, b, la, lb: pairs of different classes that have a token in common; left holds v (node and sums) and label."""
+    x = tokens.join(left, F.col("node") == F.col("v.node")).select("token", "small", "v", "label")
+    own = stored(x, "op7-tokens")
+    open_ = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("small").alias("any")).where("lo < hi and any")
+    own = stored(own.join(open_, "token", "left_semi"), "op7-shared")
+    # classes meet before their members do: members of one class make no pairs
+    by = own.groupBy("token", "label").agg(F.max("small").alias("small"))
+    met = by.where("small").select("token", F.col("label").alias("la")).join(by.select("token", F.col("label").alias("lb")), "token").where("la != lb")
+    met = met.join(own.where("small").select("token", F.col("label").alias("la"), F.col("v").alias("a")), ["token", "la"])
+    met = met.join(own.select("token", F.col("label").alias("lb"), F.col("v").alias("b")), ["token", "lb"]).where(size_alike("a", "b", similarity))
+    one, other = (F.struct(F.col(f"{k}.node").alias("node"), F.col(f"l{k}").alias("label")) for k in "ab")
+    met = met.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct()
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node of its connected component, for every node of links (a, b).
 
@@ -242,28 +322,22 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels = members.select("node", F.col("node").alias("label")).distinct()
     texts = stored(docs.select(row_id().alias("id"), "text").join(labels.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "op7-texts")
     sketches = stored(nodes.select("node", "samples").join(labels.select("node"), "node", "left_semi"), "op7-sketches")
-    turn = 0
-    while True:
-        y = members.join(labels, "node")
-        both = F.struct("v", "label")
-        if not turn:  # every text is its own class: all meet the bucket's smallest
-            pivots = y.groupBy("band", "key").agg(F.array(F.min_by(both, "node")).alias("ps"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        else:  # one drawn member of each class meets two of the bucket's largest class and one of any
-            draw = lambda k: F.xxhash64(F.lit(2 * turn + k), "band", "node")
-            y = y.groupBy("band", "key", "label").agg(F.min_by("v", draw(0)).alias("v"), F.min_by("v", draw(1)).alias("other"), F.count("*").alias("size"))
-            large, any_one = F.struct("size", "label"), F.xxhash64(F.lit(-turn), "band", "label")
-            ps = F.array(F.max_by(both, large), F.max_by(F.struct(F.col("other").alias("v"), "label"), large), F.min_by(both, any_one))
-            pivots = y.groupBy("band", "key").agg(ps.alias("ps"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        pairs = y.join(pivots.where("lo < hi").select("band", "key", "ps"), ["band", "key"]).select("v", "label", F.explode(F.array_distinct("ps")).alias("p")).where("label != p.label")
-        # no similarity exceeds the ratio of the two sums
-        near = [F.least(f"p.v.{c}", f"v.{c}") >= (similarity - 1e-9) * F.greatest(f"p.v.{c}", f"v.{c}") for c in ("weight", "plain")]
-        pairs = pairs.where(near[0] | near[1]).select(F.col("p.v.node").alias("a"), F.col("v.node").alias("b"), F.col("p.label").alias("la"), F.col("label").alias("lb")).distinct()
+
+    def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         new = stored(verified(likely(pairs, sketches), texts, idf, similarity), "op7-links")
-        if new.isEmpty():
-            break
         merged = components(new.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnsRenamed({"node": "old", "label": "to"})
-        labels = stored(labels.join(merged, F.col("label") == F.col("old"), "left").select("node", F.coalesce("to", "label").alias("label")), "op7-classes")
-        turn += 1
+        return stored(labels.join(merged, F.col("label") == F.col("old"), "left").select("node", F.coalesce("to", "label").alias("label")), "op7-classes")
+
+    # every text is its own class: all meet the bucket's smallest
+    pivots = members.groupBy("band", "key").agg(F.min_by("v", "node").alias("p"))
+    pairs = members.join(pivots, ["band", "key"]).where("v.node != p.node").where(size_alike("p", "v", similarity))
+    labels = linked(pairs.select(F.col("p.node").alias("a"), F.col("v.node").alias("b"), F.col("p.node").alias("la"), F.col("v.node").alias("lb")).distinct(), labels)
+    y = members.join(labels, "node")
+    several = y.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    left = stored(y.join(several, ["band", "key"], "left_semi").select("v", "label").distinct(), "op7-left")
+    own = stored(texts.join(left.select(F.col("v.node").alias("id")), "id", "left_semi"), "op7-left-texts")
+    ranks = spark.sparkContext.broadcast(frequent_shingles(own, idf))
+    labels = linked(meetings(left, beginnings(own, idf, ranks, similarity), similarity), labels)
     return rows.join(nodes.select("md5", "node"), "md5").join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("class_id"))
 
 
