@@ -269,11 +269,15 @@ def test_native_operators_run_no_python(odd):
 
 
 def brute_classes(docs):
+    """Components of all pairs whose weighted Jaccard similarity, with the operator's weights worked out anew, is 0.8 or more."""
+    df = Counter(w for _, t in docs for w in set(words(t)))
+    idf = {w: min(1.0, np.log(len(docs) / n) / -np.log(op7_near.RARE)) for w, n in df.items()}
     sh = {}
     for i, t in docs:
         w = words(t)
         k = min(5, len(w))
-        sh[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else {("alone", i)}
+        count = Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
+        sh[i] = {s: n * (1 + sum(idf[x] for x in s) / k) for s, n in count.items()} if w else {("alone", i): 1.0}
     up = {i: i for i in sh}
 
     def find(a):
@@ -281,11 +285,11 @@ def brute_classes(docs):
             a = up[a]
         return a
 
-    ids = sorted(sh)
+    ids, total = sorted(sh), {i: sum(x.values()) for i, x in sh.items()}
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
-            n = len(sh[a] & sh[b])
-            if n >= 0.8 * (len(sh[a]) + len(sh[b]) - n):
+            n = sum(min(sh[a][s], sh[b][s]) for s in sh[a].keys() & sh[b].keys())
+            if n >= 0.8 * (total[a] + total[b] - n):
                 lo, hi = sorted((find(a), find(b)))
                 up[hi] = lo
     return {i: find(i) for i in ids}
@@ -331,20 +335,63 @@ def test_near_duplicates_among_pages_of_one_template(spark):
     assert {r.doc_id: r.class_id for r in op7_near.score(df).collect()} == want
 
 
-def test_bands_and_agreement_hold_for_the_lowest_weighted_similarity():
-    low = op7_near.SIMILARITY / (2 - op7_near.SIMILARITY)  # shared shingles weigh 1 each, the others 2
-    n = op7_near.BANDS * op7_near.ROWS
-    assert (1 - low**op7_near.ROWS) ** op7_near.BANDS < 3e-4
+def test_bands_and_agreement_hold_for_the_least_similarity():
+    low, n = op7_near.SIMILARITY, op7_near.BANDS * op7_near.ROWS
+    assert (1 - low**op7_near.ROWS) ** op7_near.BANDS < 1e-4
     assert op7_near.AGREE < low - 5 * (low * (1 - low) / n) ** 0.5
 
 
+@pytest.mark.parametrize("edits", [1, 3, 5, 6, 7, 8])
+def test_recall_by_similarity(spark, edits):
+    """Pairs of one text and its edited copy, from far over the limit to around it: nearly all that brute force links are linked, and no other."""
+    rng = random.Random(20 + edits)
+    vocab = [f"w{i}" for i in range(4000)]
+    docs = []
+    for g in range(120):
+        base = [rng.choice(vocab) for _ in range(300)]
+        docs.append((2 * g, " ".join(base)))
+        for k in rng.sample(range(30), edits):
+            base[10 * k] = rng.choice(vocab)
+        docs.append((2 * g + 1, " ".join(base)))
+    pairs = lambda by: {i // 2 for i, c in by.items() if c != i}
+    want = pairs(brute_classes(docs))
+    got = pairs({r.doc_id: r.class_id for r in op7_near.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()})
+    assert got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_rows_that_share_an_id_keep_every_text(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a), (4, c), (4, c)], "doc_id long, text string")
+    kept = [r.text for r in op7_near.one_of_each(docs).collect()]
+    assert sorted(kept) == [a, b, c]
+    got = Counter((r.doc_id, r.class_id) for r in op7_near.score(docs).collect())
+    assert sum(got.values()) == 6 and len({c for _, c in got}) == 3 and got[(4, 4)] == 2
+
+
+def test_large_groups_of_copies_are_one_class(spark):
+    """A third of all rows exact copies of one text, and a third near copies of another."""
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(3000)]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    same, base = draw(120), draw(120)
+    near = []
+    for _ in range(300):
+        t = list(base)
+        t[rng.randrange(120)] = rng.choice(vocab)
+        near.append(t)
+    docs = [(i, " ".join(t)) for i, t in enumerate([same] * 300 + near + [draw(120) for _ in range(300)])]
+    rng.shuffle(docs)
+    got = {r.doc_id: r.class_id for r in op7_near.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(16)).collect()}
+    assert got == {i: 0 if i < 300 else 300 if i < 600 else i for i in range(900)}
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     assert op7_near.score(none).count() == 0 and op7_near.one_of_each(none).count() == 0
     got = op7_near.score(odd).collect()
     assert len(got) == len(ODD)
     by = {r.doc_id: r.class_id for r in got}
     assert by[4] == by[5] == 4 and by[1] == 1 and by[2] == 2 and by[3] == 3
-    assert Counter(r.doc_id for r in op7_near.one_of_each(odd).collect()) == Counter([1, 2, 3, 4, None, 6, 7])
+    assert Counter(r.doc_id for r in op7_near.one_of_each(wide(odd)).collect()) == Counter([1, 2, 3, 4, None, 6, 7])
 
 
 def test_samples_collide_as_often_as_weights_agree():

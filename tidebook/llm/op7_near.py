@@ -1,19 +1,25 @@
 """Operator 7, near duplicates: consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard.
 
-A shingle is five words running (all of them where a text has fewer); its weight is its count in the text times
-1 + the mean of its words' inverse document frequencies, scaled to 0..1. Improved consistent weighted samples (one
-per hash: the shingle and its quantised weight) fill 24 bands of 3. Texts that share a band key meet its pivot, the
-smallest, so a bucket of n texts makes n - 1 pairs, which join most of what belongs together. Texts of buckets that
-still hold several classes then go through an exact join: two of different classes meet when the beginnings of their
-shingles, rarest first, have one in common; no similar pair is without one (prefix filter). Pairs of which enough
-samples agree are compared on their texts: a pair links when its weighted Jaccard similarity is at least 0.8; the
-unweighted one is taken too, as the size of a group of copies lowers the weights of what its members share. Bands and
-agreement are set for the lowest weighted similarity of such a pair. Equal texts are one node from the start. Classes
-are the connected components.
-
-Defined results: null texts and texts without words are classes of their own; texts of fewer than five words are one
-shingle; rows without doc_id go by a digest of their text; rows that share a doc_id are one document; the class is
-named by its smallest id.
+A shingle is five words running (all of them where a text has fewer). Its weight is its count in the text times
+1 + the mean inverse document frequency of its words, ln(documents / frequency) over ln(1 / ``RARE``), 1 at most. That
+depends on a word's share of the documents only, so weights don't change with the corpus's size; words under the share
+``RARE`` all weigh the same, and the others are so few (a text's mean number of different words / ``RARE`` at most)
+that they travel with the samplers. The frequency of a whole shingle would not do: it is 1 for nearly all, and for the
+others mostly the size of the group of copies that shares them, which would weigh down just what copies have in common.
+
+Improved consistent weighted samples (one per hash: the shingle and its quantised weight) fill bands. Equal texts are
+one node from the start. Nodes that share a band key meet in three rounds, and classes found so far are one before the
+next: each node and the smallest node of all its buckets; each node and the smallest of every bucket that still holds
+several classes; and, for buckets that hold several classes even then, an exact join, in which two nodes of different
+classes meet when the beginnings of their shingles, rarest first, have one in common (prefix filter: no similar pair is
+without one). A pair of which enough samples agree is compared on its texts and links at a weighted Jaccard similarity
+of 0.8 or more. Classes are the connected components.
+
+Defined results: null texts and texts without words are classes of their own, named by their doc_id; texts of fewer
+than five words are one shingle; very long texts are sampled whole; rows without doc_id go by a digest of their text; a
+class is named by its smallest id (a second class of that id, where rows share a doc_id and not their text, by its
+text's digest); repeated rows are in one class; an empty table gives no rows; other columns pass through
+``one_of_each`` whatever their names, and of rows alike in id and text it keeps one, the same on every run.
 """
 
 from __future__ import annotations
@@ -23,27 +29,27 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import map_rows, most_frequent, numbered, renamed, sampled, stored, words
+from tidebook.llm.common import WORD_RE, map_rows, most_frequent, numbered, renamed, sampled, stored, words
 
 SIZE, SIMILARITY = 5, 0.8
-#: At the lowest weighted similarity of an unweighted 0.8, 0.8 / (2 - 0.8) as weights lie in 1 to 2, all bands miss a pair about twice in ten thousand.
-BANDS, ROWS = 24, 3
-#: Share of samples that must agree before texts are compared: five standard errors under that lowest similarity.
-AGREE = 0.38
+#: All bands miss a pair at the least similarity about four times in a hundred thousand.
+BANDS, ROWS = 14, 3
+#: Share of samples that must agree before texts are compared: five standard errors under the least similarity.
+AGREE = 0.48
 #: Texts whose shingles set the order of the exact join, and shingles that are ranked in it; they change its speed only.
 ORDER_TEXTS, ORDER_SHINGLES = 50_000, 200_000
-#: Words of which the document frequency is broadcast; rarer ones count as found once.
-IDF_WORDS = 50_000
-CACHE_WORDS, COUNT_WORDS, CHUNK = 300_000, 200_000, 16_384
+#: Share of documents under which words are all equally rare.
+RARE = 1e-4
+CACHE_WORDS, COUNT_WORDS, CHUNK, SEEN_TEXTS = 300_000, 200_000, 16_384, 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FMIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def word_frequencies(docs: DataFrame, top: int = IDF_WORDS) -> tuple[dict[str, float], float]:
-    """Scaled inverse document frequency of the most frequent words, counted over all documents, and that of the rest."""
+def word_frequencies(docs: DataFrame) -> dict[str, float]:
+    """Scaled inverse document frequency, below 1, of the words in at least the share ``RARE`` of the documents; all documents count."""
 
     def count(batches):
         seen: Counter = Counter()
@@ -57,24 +63,22 @@ def word_frequencies(docs: DataFrame, top: int = IDF_WORDS) -> tuple[dict[str, f
         yield flush()
 
     n = docs.count()
-    counts = stored(docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "op7-words")
-    most = most_frequent(counts, top)
-    idf = lambda k: float(np.log((1 + n) / (1 + k)) / np.log(1 + n)) if n else 0.0
-    return {w: idf(k) for w, k in most}, idf(1)
+    counts = docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return {r.w: float(np.log(n / r.n) / -np.log(RARE)) for r in counts.where(F.col("n") > F.lit(RARE * n)).collect()}
 
 
 class Shingles:
     """Shingle hashes and weights of texts; words' hashes are kept between texts, up to a fixed number."""
 
-    def __init__(self, idf: dict[str, float], rest: float) -> None:
-        self.idf, self.rest, self.ids = idf, rest, {}
+    def __init__(self, idf: dict[str, float]) -> None:
+        self.idf, self.ids = idf, {}
         self.hash, self.weight = np.zeros(0, np.uint64), np.zeros(0)
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct shingles in order, their weights, and weights of one each."""
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles in order, and their weights."""
         w = words(text)
         if not w:
-            return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+            return np.zeros(0, np.uint64), np.zeros(0)
         if len(self.ids) > CACHE_WORDS:
             self.ids = {}
         fresh = [x for x in set(w) if x not in self.ids]
@@ -84,7 +88,7 @@ class Shingles:
             if n + len(fresh) > len(self.hash):
                 self.hash, self.weight = np.resize(self.hash, 2 * (n + len(fresh))), np.resize(self.weight, 2 * (n + len(fresh)))
             self.hash[n : n + len(fresh)] = [xxhash.xxh64_intdigest(x) for x in fresh]
-            self.weight[n : n + len(fresh)] = [self.idf.get(x, self.rest) for x in fresh]
+            self.weight[n : n + len(fresh)] = [self.idf.get(x, 1.0) for x in fresh]
         get = self.ids
         ids = np.array([get[x] for x in w])
         k = min(SIZE, len(w))
@@ -96,7 +100,7 @@ class Shingles:
             key ^= key >> np.uint64(31)
             idf += v[j : n + j]
         key, at, count = np.unique(key, return_index=True, return_counts=True)
-        return key, count * (1 + idf[at] / k), count.astype(float)
+        return key, count * (1 + idf[at] / k)
 
 
 class Sampler:
@@ -128,9 +132,15 @@ class Sampler:
             out[:, j] = np.minimum.reduceat((order << 32) | name, first)
         return (out & 0xFFFFFFFF).view(np.uint64)
 
+    def of(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The samples of texts' shingles and weights, a row a text."""
+        first = np.cumsum([0, *(len(k) for k, _ in parts[:-1])])
+        return self.signatures(np.concatenate([k for k, _ in parts]), np.concatenate([w for _, w in parts]), first)
+
 
 def bands_of(samples: np.ndarray) -> np.ndarray:
-    key = np.zeros((len(samples), BANDS), np.uint64)
+    """Keys of the bands; a band's number is part of its keys."""
+    key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(samples), 1))
     for i in range(ROWS):
         key = (key + samples[:, i::ROWS]) * _FMIX
         key ^= key >> np.uint64(33)
@@ -138,45 +148,56 @@ def bands_of(samples: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, idf) -> DataFrame:
-    """id, md5, sums of weights, band keys and samples of every document with words; one map pass."""
+    """id, md5, and once a task and text its sum of weights, band keys and samples; rows without words are left out."""
 
     def start():
-        shingles, sampler = Shingles(*idf.value), Sampler()
+        shingles, sampler, seen = Shingles(idf.value), Sampler(), set()
 
         def step(batch: pa.RecordBatch) -> dict:
-            ids, digests, sums, bands, samples, parts, have = [], [], [], [], [], [], 0
-
-            def flush() -> None:
-                first = np.cumsum([0, *(len(k) for k, _ in parts[:-1])])
-                own = sampler.signatures(np.concatenate([k for k, _ in parts]), np.concatenate([w for _, w in parts]), first)
-                bands.extend(bands_of(own))
-                samples.extend(own.astype(np.uint32).view(np.int32))
-
-            for i, d, t in zip(*(batch.column(c) for c in range(3)), strict=True):
-                key, weight, plain = shingles.of(t.as_py())
+            own, parts, have = [], [], 0
+            places, sums, samples = np.full(batch.num_rows, -1), [], []
+            for n, (d, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                if d in seen:
+                    own.append(n)
+                    continue
+                key, weight = shingles.of(t.as_py())
                 if not len(key):
                     continue
-                ids.append(i.as_py())
-                sums.append((weight.sum(), plain.sum()))
-                digests.append(d.as_py())
+                if len(seen) >= SEEN_TEXTS:
+                    seen.clear()
+                seen.add(d)
+                own.append(n)
+                places[n] = len(sums)
+                sums.append(weight.sum())
                 parts.append((key, weight))
                 have += len(key)
                 if have >= CHUNK:
-                    flush()
+                    samples.append(sampler.of(parts))
                     parts, have = [], 0
             if parts:
-                flush()
-            lists = lambda rows, k, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * k, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, kind)))
-            sums_of = lambda j: pa.array([x[j] for x in sums], pa.float64())
-            return {"id": ids, "md5": digests, "weight": sums_of(0), "plain": sums_of(1), "bands": lists(bands, BANDS, np.int64), "samples": lists(samples, BANDS * ROWS, np.int32)}
+                samples.append(sampler.of(parts))
+            at = pa.array(places[own], pa.int64(), mask=places[own] < 0)
+            drawn = np.concatenate(samples) if samples else np.zeros((0, BANDS * ROWS), np.uint64)
+            lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).take(at)
+            return {
+                "id": batch.column(0).take(pa.array(own, pa.int64())),
+                "md5": batch.column(1).take(pa.array(own, pa.int64())),
+                "weight": pa.array(sums, pa.float64()).take(at),
+                "bands": lists(bands_of(drawn)).cast(pa.list_(pa.int64())),
+                "samples": lists(drawn.astype(np.uint32).view(np.int32)).cast(pa.list_(pa.int32())),
+            }
 
         return step
 
-    return map_rows(docs.select(row_id().alias("id"), F.md5("text").alias("md5"), "text"), "id long, md5 string, weight double, plain double, bands array<long>, samples array<int>", start)
+    return map_rows(docs.select(row_id().alias("id"), F.md5("text").alias("md5"), "text"), "id long, md5 string, weight double, bands array<long>, samples array<int>", start)
+
+
+def digest_id(md5: Column) -> Column:
+    return -1 - F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
 
 
-def row_id():
-    return F.coalesce(F.col("doc_id").cast("long"), -1 - F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 15), 16, 10).cast("long"))
+def row_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), digest_id(F.md5(F.coalesce("text", F.lit("")))))
 
 
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -188,29 +209,26 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """Of rows a, b, la, lb (two texts and their labels so far), those whose texts are similar enough."""
-    x = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    x = x.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    x = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    x = x.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def start():
-        shingles, kept = Shingles(*idf.value), {}
+        shingles, kept = Shingles(idf.value), {}
 
-        def known(i: int, text: str):
+        def known(i: int, text: pa.StringScalar):
             if i not in kept:
                 if len(kept) >= 64:
                     kept.clear()
-                kept[i] = shingles.of(text)
+                kept[i] = shingles.of(text.as_py())
             return kept[i]
 
         def step(batch: pa.RecordBatch) -> dict:
             keep = np.zeros(batch.num_rows, bool)
             for n, (i, s, t) in enumerate(zip(*(batch.column(c) for c in ("a", "text_a", "text_b")), strict=True)):
-                (ka, *wa), (kb, *wb) = known(i.as_py(), s.as_py()), shingles.of(t.as_py())
+                (ka, wa), (kb, wb) = known(i.as_py(), s), shingles.of(t.as_py())
                 _, pa_, pb = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-                for u, v in zip(wa, wb, strict=True):
-                    both = np.minimum(u[pa_], v[pb]).sum()
-                    if both >= similarity * (u.sum() + v.sum() - both) - 1e-9:
-                        keep[n] = True
-                        break
+                both = np.minimum(wa[pa_], wb[pb]).sum()
+                keep[n] = both >= similarity * (wa.sum() + wb.sum() - both) - 1e-9
             return {c: batch.filter(pa.array(keep)).column(c) for c in ("a", "b", "la", "lb")}
 
         return step
@@ -222,7 +240,7 @@ def frequent_shingles(texts: DataFrame, idf) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, in order, of the shingles found more than once in a sample of texts, and how often."""
 
     def start():
-        shingles = Shingles(*idf.value)
+        shingles = Shingles(idf.value)
 
         def step(batch: pa.RecordBatch) -> dict:
             h, n = np.unique(np.concatenate([shingles.of(t.as_py())[0] for t in batch.column(0)]), return_counts=True)
@@ -230,7 +248,7 @@ def frequent_shingles(texts: DataFrame, idf) -> tuple[np.ndarray, np.ndarray]:
 
         return step
 
-    some = map_rows(sampled(texts, ORDER_TEXTS, F.col("id")).select("text"), "w long, n long", start)
+    some = map_rows(sampled(texts, ORDER_TEXTS, F.col("node")).select("text"), "w long, n long", start)
     most = most_frequent(stored(some.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1"), "op7-order"), ORDER_SHINGLES)
     h, n = np.array([w for w, _ in most], np.int64).view(np.uint64), np.array([n for _, n in most], np.int64)
     order = np.argsort(h)
@@ -246,21 +264,19 @@ def beginnings(texts: DataFrame, idf, ranks, similarity: float) -> DataFrame:
     """
 
     def start():
-        shingles, (known, often) = Shingles(*idf.value), ranks.value
+        shingles, (known, often) = Shingles(idf.value), ranks.value
 
         def step(batch: pa.RecordBatch) -> dict:
             nodes, tokens, small = [], [], []
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                key, *weights = shingles.of(t.as_py())
+                key, weight = shingles.of(t.as_py())
                 rank = np.zeros(len(key), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                     rank = np.where(known[at] == key, often[at], 0)
-                order, n = np.lexsort((key, rank)), [0, 0]
-                for w in weights:
-                    left = np.cumsum(w[order][::-1])[::-1]
-                    for j, share in enumerate((2 * similarity / (1 + similarity), similarity)):
-                        n[j] = max(n[j], int((left >= share * left[0] - 1e-6).sum()))
+                order = np.lexsort((key, rank))
+                left = np.cumsum(weight[order][::-1])[::-1]
+                n = [int((left >= share * left[0] - 1e-6).sum()) for share in (2 * similarity / (1 + similarity), similarity)]
                 nodes.append(np.full(n[1], i.as_py()))
                 tokens.append(key[order[: n[1]]].view(np.int64))
                 small.append(np.arange(n[1]) < n[0])
@@ -268,13 +284,12 @@ def beginnings(texts: DataFrame, idf, ranks, similarity: float) -> DataFrame:
 
         return step
 
-    return map_rows(texts.select("id", "text"), "node long, token long, small boolean", start)
+    return map_rows(texts.select("node", "text"), "node long, token long, small boolean", start)
 
 
-def size_alike(a: str, b: str, similarity: float):
-    """No similarity exceeds the ratio of the two sums."""
-    near = [F.least(f"{a}.{c}", f"{b}.{c}") >= (similarity - 1e-9) * F.greatest(f"{a}.{c}", f"{b}.{c}") for c in ("weight", "plain")]
-    return near[0] | near[1]
+def size_alike(a: str, b: str, similarity: float) -> Column:
+    """No similarity exceeds the ratio of the two sums of weights."""
+    return F.least(f"{a}.weight", f"{b}.weight") >= (similarity - 1e-9) * F.greatest(f"{a}.weight", f"{b}.weight")
 
 
 def meetings(left: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
@@ -311,47 +326,69 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """id and class_id of every document with words; ids are row_id()."""
+    """md5, label, id, of every different text with words: its class, and the smallest id of the text's own rows."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(word_frequencies(docs))
-    rows = stored(signed(docs, idf), "op7-signed")
-    nodes = stored(rows.groupBy("md5").agg(F.min("id").alias("node"), F.first(F.struct("weight", "plain", "bands", "samples")).alias("r")).select("md5", "node", "r.*"), "op7-nodes")
-    x = nodes.select(F.struct("node", "weight", "plain").alias("v"), F.posexplode("bands").alias("band", "key"))
-    crowded = x.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stored(x.join(crowded, ["band", "key"], "left_semi").select("band", "key", "v", F.col("v.node").alias("node")), "op7-members")
-    labels = members.select("node", F.col("node").alias("label")).distinct()
-    texts = stored(docs.select(row_id().alias("id"), "text").join(labels.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "op7-texts")
-    sketches = stored(nodes.select("node", "samples").join(labels.select("node"), "node", "left_semi"), "op7-sketches")
+    found = signed(docs, idf).groupBy("md5").agg(F.min("id").alias("id"), F.first(F.when(F.col("bands").isNotNull(), F.struct("weight", "bands", "samples")), True).alias("r"))
+    nodes = stored(found.select(F.monotonically_increasing_id().alias("node"), "md5", "id", "r.*"), "op7-nodes")
+    x = nodes.select(F.struct("node", "weight").alias("v"), F.explode("bands").alias("key"))
+    crowded = x.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    members = stored(x.join(crowded, "key", "left_semi"), "op7-members")
+    own = stored(members.select(F.col("v.node").alias("node")).distinct(), "op7-own")
+    sketches = stored(nodes.select("node", "md5", "id", "samples").join(own, "node", "left_semi"), "op7-sketches")
+    texts = docs.select(F.md5("text").alias("md5"), row_id().alias("id"), "text").join(sketches.select("md5", "id", "node"), ["md5", "id"])
+    # grouped as it was joined, so no second shuffle
+    texts = stored(texts.groupBy("md5", "id", "node").agg(F.first("text").alias("text")).select("node", "text"), "op7-texts")
 
     def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         new = stored(verified(likely(pairs, sketches), texts, idf, similarity), "op7-links")
         merged = components(new.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnsRenamed({"node": "old", "label": "to"})
         return stored(labels.join(merged, F.col("label") == F.col("old"), "left").select("node", F.coalesce("to", "label").alias("label")), "op7-classes")
 
-    # every text is its own class: all meet the bucket's smallest
-    pivots = members.groupBy("band", "key").agg(F.min_by("v", "node").alias("p"))
-    pairs = members.join(pivots, ["band", "key"]).where("v.node != p.node").where(size_alike("p", "v", similarity))
-    labels = linked(pairs.select(F.col("p.node").alias("a"), F.col("v.node").alias("b"), F.col("p.node").alias("la"), F.col("v.node").alias("lb")).distinct(), labels)
-    y = members.join(labels, "node")
-    several = y.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    left = stored(y.join(several, ["band", "key"], "left_semi").select("v", "label").distinct(), "op7-left")
-    own = stored(texts.join(left.select(F.col("v.node").alias("id")), "id", "left_semi"), "op7-left-texts")
+    def several(labels: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several classes, with their labels."""
+        y = members.join(labels, F.col("v.node") == F.col("node")).drop("node")
+        mixed = y.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        return stored(y.join(mixed, "key", "left_semi"), "op7-several")
+
+    # every text is its own class: each meets the smallest of all its buckets
+    labels = own.select("node", F.col("node").alias("label"))
+    pivots = members.groupBy("key").agg(F.min_by("v", "v.node").alias("p"))
+    first = members.join(pivots, "key").groupBy("v").agg(F.min_by("p", "p.node").alias("p")).where("p.node != v.node").where(size_alike("p", "v", similarity))
+    labels = linked(first.select(F.col("p.node").alias("a"), F.col("v.node").alias("b"), F.col("p.node").alias("la"), F.col("v.node").alias("lb")), labels)
+    # where classes are left apart, all meet the smallest of each bucket
+    left = several(labels)
+    pivots = left.groupBy("key").agg(F.min_by(F.struct("v", "label"), "v.node").alias("p"))
+    pairs = left.join(pivots, "key").where("label != p.label").where(size_alike("p.v", "v", similarity))
+    labels = linked(pairs.select(F.col("p.v.node").alias("a"), F.col("v.node").alias("b"), F.col("p.label").alias("la"), F.col("label").alias("lb")).distinct(), labels)
+    # and where they still are, all whose beginnings meet
+    left = stored(several(labels).select("v", "label").distinct(), "op7-left")
+    own = stored(texts.join(left.select(F.col("v.node").alias("node")), "node", "left_semi"), "op7-left-texts")
     ranks = spark.sparkContext.broadcast(frequent_shingles(own, idf))
     labels = linked(meetings(left, beginnings(own, idf, ranks, similarity), similarity), labels)
-    return rows.join(nodes.select("md5", "node"), "md5").join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("class_id"))
+    return nodes.select("node", "md5", "id").join(labels, "node", "left").select("md5", F.coalesce("label", "node").alias("label"), "id")
 
 
 def score(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id of every document; the documents of one class are copies or near copies of each other."""
     docs = docs.select("doc_id", "text")
-    found = classes(docs, similarity)
-    own = docs.select("doc_id", row_id().alias("_id"))
-    return own.join(found.distinct(), F.col("_id") == F.col("id"), "left").select("doc_id", F.coalesce("class_id", "_id").alias("class_id"))
+    found = stored(classes(docs, similarity), "op7-found")
+    reps = found.groupBy("label").agg(F.min(F.struct("id", "md5")).alias("r"))
+    names = reps.groupBy(F.col("r.id").alias("_id")).agg(F.min("r.md5").alias("_first"))
+    named = reps.join(names, F.col("r.id") == F.col("_id")).select("label", F.when(F.col("r.md5") == F.col("_first"), F.col("_id")).otherwise(digest_id(F.col("r.md5"))).alias("class_id"))
+    of = found.join(named, "label").select(F.col("md5").alias("_of"), "class_id")
+    own = docs.select("doc_id", row_id().alias("_id"), F.md5("text").alias("_md5"))
+    return own.join(of, F.col("_md5") == F.col("_of"), "left").select("doc_id", F.coalesce("class_id", "_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The first document of each class, with its own columns."""
     found = classes(docs.select("doc_id", "text"), similarity)
-    gone = found.where("id != class_id").select(F.col("id").alias("_id")).distinct()
-    x = docs.select(*numbered(docs), row_id().alias("_id"))
-    return renamed(x.join(gone, "_id", "left_anti").dropDuplicates(["_id"]), docs)
+    reps = found.groupBy("label").agg(F.min(F.struct("id", "md5")).alias("r")).select(F.col("r.id").alias("_id"), F.col("r.md5").alias("_md5"))
+    blank = ~F.coalesce(F.col("text").rlike(WORD_RE), F.lit(False))
+    own = numbered(docs)
+    x = docs.where(~blank).select(*own, row_id().alias("_id"), F.md5("text").alias("_md5")).join(reps, ["_id", "_md5"], "left_semi")
+    names = [f"_own_{i}" for i in range(len(own))]
+    # grouped as it was joined, so no second shuffle; rows alike in id and text go by a digest of all their columns
+    x = x.groupBy("_id", "_md5").agg(F.min_by(F.struct(*names), F.xxhash64(*[F.col(c).cast("string") for c in names])).alias("r")).select("r.*")
+    return renamed(x.unionByName(docs.where(blank).select(*own)), docs)
