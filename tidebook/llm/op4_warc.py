@@ -9,7 +9,8 @@ Equal payloads of at least 100 bytes: the record with the smallest page_id is th
 without a payload of their own. Defined results: a null html is an empty payload; smaller payloads are all responses;
 rows that share the smallest page_id of a payload are each a response; a null page_id never is the first of equal
 payloads unless all are null (then all are responses); null urls are written empty, control characters in urls are
-percent-encoded.
+percent-encoded; very long payloads are one record; an empty table has an empty index; columns other than page_id,
+url and html are ignored, whatever their names.
 
 Files are reached through ``pyarrow.fs``, so the shared folder may be in any store that it knows.
 """
@@ -36,13 +37,19 @@ ROW = "page_id long, url string, payload_bytes long, payload_digest string, reco
 
 
 def with_types(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, payload_digest, payload_bytes, record_type, refers_to; shuffles digests, not payloads' texts twice."""
+    """page_id, url, html, payload_digest, payload_bytes, record_type, refers_to.
+
+    Equal payloads meet as digests; whole pages are shuffled once, by page and digest, so that no payload is a hot key.
+    """
     html = F.coalesce("html", F.lit(""))
     x = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.sha2(html, 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    groups = x.where(F.col("payload_bytes") >= LEAST).groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    y = x.join(groups, F.col("payload_digest") == F.col("_digest"), "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return y.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
+    some = x.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest", "page_id").agg(F.count("*").alias("_n"))
+    groups = some.groupBy(F.col("payload_digest").alias("_digest")).agg(F.min("page_id").alias("_first"), F.sum("_n").alias("_n")).where("_n > 1").drop("_n")
+    again = some.join(groups, F.col("payload_digest") == F.col("_digest")).where(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")))
+    again = again.select(F.coalesce("page_id", F.lit(0)).alias("_page"), F.col("page_id").isNull().alias("_null"), "_digest", "_first")
+    on = (F.coalesce("page_id", F.lit(0)) == F.col("_page")) & (F.col("page_id").isNull() == F.col("_null")) & (F.col("payload_digest") == F.col("_digest"))
+    y = x.join(again, on, "left")
+    return y.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(F.col("_first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("_first").alias("refers_to"))
 
 
 def clean_url(url: str | None) -> str:
@@ -116,10 +123,14 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def read(index: DataFrame, select: Column | None = None) -> DataFrame:
-    """The records that an index names, or the selected ones: sorted byte ranges, neighbours read at once."""
+    """The records that an index names, or the selected ones: sorted byte ranges, neighbours read at once.
+
+    The index is dealt by what its ranges hold, one task a stretch of bytes, not by its own size.
+    """
     chosen = index if select is None else index.where(select)
     stretch = F.floor(F.col("offset") / STRETCH)
-    dealt = chosen.select("file", "offset", "length", stretch.alias("_s")).repartition("file", "_s").sortWithinPartitions("file", "offset")
+    tasks = chosen.select("file", stretch.alias("_s")).distinct().count()
+    dealt = chosen.select("file", "offset", "length", stretch.alias("_s")).repartition(max(1, tasks), "file", "_s").sortWithinPartitions("file", "offset")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle, opened = None, ""
