@@ -1,19 +1,25 @@
 """Operator 1, personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The base spans come from four patterns, each matched in linear time. The field labels words with B-/I- tags of the four
-kinds. It is trained on a small table of windows around base spans (about ``TRAIN_DOCS`` documents, by their id's
-digest), and the same windows without an entity's first word and decoded by Viterbi in numpy batches. Only words with a digit, ``@`` or ``+`` may be part of an
-entity; all others are O, so that the chain falls into independent stretches at them and whole texts are decoded
-exactly. What it finds beside the base spans is added; base spans stay as they are.
-
-Defined results: null and empty texts have no spans; starts and ends count code points; repeated rows are each
-searched; with no training windows nothing is added.
+kinds, of secrets (tokens, keys, passwords) and of street addresses. It is trained on a small labelled table (``words``
+and ``tags``, a row a sentence): the caller's, or else one written by rule from the forms below, with plain numbers
+(years, versions, prices) as counter-examples; about ``LABELLED`` rows of it at most. Words with a digit, ``@`` or ``+``
+and ``CONTEXT`` words on either side of them are labelled; the rest of a text is O, so that it falls into independent
+stretches, which are decoded whole by Viterbi in numpy batches. What the field finds beside the base spans is added;
+base spans stay as they are. Personal names have no such word and are not searched for.
+
+Defined results: null and empty texts have no spans; very long texts, words and runs of numbers are searched whole;
+starts and ends count code points; of equally good labellings the one with the earlier labels counts; repeated rows are
+each searched; an empty table gives no rows; with an empty labelled table nothing is added; columns other than doc_id
+and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from zlib import crc32
 
 import numpy as np
@@ -23,10 +29,13 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.common import map_rows, sampled
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret", "address")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
-TRAIN_DOCS, CONTEXT, FEATURES = 1500, 2, 4096
-EPOCHS, RATE, L2 = 120, 0.1, 1e-4
+LABELLED, SENTENCES, CONTEXT, FEATURES = 5000, 480, 3, 8192
+EPOCHS, RATE, L2 = 90, 0.1, 1e-4
+#: Words that are decoded at once: their scores bound the memory.
+CELLS = 32_768
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -67,7 +76,7 @@ def ips(text: str) -> list[Span]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             end = start + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(v := p.lstrip("0")) <= 3 and int(v or "0") <= 255 for p in four):
                 out.append(("ip", start, end))
             start = end + 1
     return out
@@ -96,6 +105,85 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+# the labelled table
+
+#: What stands before an entity, words of streets, and numbers that are no personal data.
+CUES = {
+    "email": ("write to", "mail", "contact:", "e-mail", ""),
+    "ip": ("from host", "address", "server", "ip", ""),
+    "card": ("card", "paid with", "card number:", "visa", ""),
+    "phone": ("call", "phone:", "tel.", "fax", ""),
+    "secret": ("token =", "token:", "api key", "password =", "secret:", "key =", "token ="),
+    "address": ("lives at", "office:", "at", "visit us at", ""),
+}
+STREETS = ("Street", "Road", "Avenue", "Lane", "Square", "Drive", "St.", "Ave.")
+PLAIN = (
+    "version 2.0", "Version 3.", "BY 4.0.", "License 2.1", "in 2021", "since 1998,", "12 items", "3.5 percent", "at 10:30", "$19.99", "1,200 people",
+    "page 42", "No. 7", "chapter 12.", "2021-05-14", "order 4711", "release v1.2.3", "10 000", "ISO 9001", "the 1990s", "5kg", "A4 paper", "H2O", "item 123456",
+    "about 30", "3-4 days", "100%", "section 2.3.1", "7th", "room 12b", "1/2", "(1)", "[23]", "x2", "commit 9fceb02",
+)
+
+
+def labelled_table(n: int = SENTENCES, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+    """Sentences as (words, tags), made by rule: invented words around an entity or two and plain numbers."""
+    draw = random.Random(seed)
+    digits = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
+    pick = lambda chars, k: "".join(draw.choice(chars) for _ in range(k))
+    hexa, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: pick("etaoinshrdluäéñ", draw.randint(1, 9))
+    some = lambda *makers: draw.choice(makers)()
+    mixed = letters + letters.upper() + "0123456789"
+    make = {
+        "email": lambda: f"{word()}{draw.choice(['', '.', '_'])}{draw.choice(['', digits(2), word()])}@{pick(letters, 5)}{draw.choice(['', digits(1)])}.{draw.choice(['example.com', 'net', 'co.uk', 'org'])}",
+        "ip": lambda: ".".join(str(draw.randint(0, 255)) for _ in range(4)),
+        "card": lambda: some(lambda: digits(16), lambda: digits(16), lambda: " ".join(digits(4) for _ in range(4)), lambda: "-".join(digits(4) for _ in range(4)), lambda: f"3{digits(3)} {digits(6)} {digits(5)}"),
+        "phone": lambda: some(
+            lambda: f"+{draw.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}",
+            lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+            lambda: f"+{draw.randint(1, 99)} {digits(2)} {digits(4)} {digits(4)}",
+            lambda: f"+{draw.randint(1, 99)}-{digits(3)}-{digits(3)}-{digits(4)}",
+        ),
+        "secret": lambda: some(
+            lambda: f'"{pick(hexa, 40)}"',
+            lambda: f'"{pick(hexa, draw.choice([32, 40, 64])).upper()}"',
+            lambda: pick(hexa, draw.choice([32, 40, 64])),
+            lambda: f"AKIA{pick(letters.upper() + '0123456789', 16)}",
+            lambda: f"{draw.choice(['sk-', 'ghp_', 'pat-'])}{pick(mixed, 36)}",
+            lambda: f'"{pick(mixed, draw.randint(18, 30))}{digits(2)}"',
+        ),
+        "address": lambda: some(
+            lambda: f"{draw.randint(1, 250)} {word().capitalize()} {draw.choice(STREETS)}",
+            lambda: f"{word().capitalize()}straße {draw.randint(1, 99)}",
+            lambda: f"{draw.randint(1, 99)} rue {draw.choice(['de', 'du'])} {word().capitalize()}",
+            lambda: f"Calle {word().capitalize()} {draw.randint(1, 99)}",
+        ),
+    }
+    tails = ("", "", "", "", ",", ".", "!!", "###", "%%%", "***")
+    out = []
+    for i in range(n):
+        own, tags = [], []
+
+        def plain(text: str, own=own, tags=tags) -> None:
+            for w in text.split():
+                own.append(w + draw.choice(tails) if draw.random() < 0.2 else w)
+                tags.append("O")
+
+        for kind in draw.sample((*KINDS, None, None, None), 1 + i % 3):
+            plain(" ".join(word() for _ in range(draw.randint(1, 4))))
+            if kind is None:
+                plain(draw.choice(PLAIN))
+                continue
+            plain(draw.choice(CUES[kind]))
+            parts = make[kind]().split()
+            parts[-1] += draw.choice(tails)
+            own += parts
+            tags += [f"{'I' if k else 'B'}-{kind}" for k in range(len(parts))]
+        plain(" ".join(word() for _ in range(draw.randint(0, 3))))
+        upper = draw.random() < 0.1
+        out.append(([w.upper() for w in own] if upper else own, tags))
+    return out
+
+
 # the field
 
 
@@ -104,9 +192,9 @@ def kind_of_char(c: str) -> str:
 
 
 def shape(word: str) -> str:
-    """Letters as X or x, runs as one; digits as d with the length of their run; other characters as they are."""
+    """Letters as X or x, runs as one; digits as d with the length of their run; other characters as they are. Many changes: their number only."""
     out, n = [], 0
-    for c in [*map(kind_of_char, word), ""]:
+    for c in [*map(kind_of_char, word[:200]), ""]:
         if c == "d":
             n += 1
             continue
@@ -115,7 +203,7 @@ def shape(word: str) -> str:
             n = 0
         if c and (not out or out[-1] != c):
             out.append(c)
-    return "".join(out)
+    return "".join(out) if len(out) <= 9 else f"mixed{len(out) // 4}"
 
 
 def coarse(word: str) -> str:
@@ -123,63 +211,44 @@ def coarse(word: str) -> str:
         return "edge"
     if "@" in word:
         return "at"
-    return ("plus" if "+" in word else "") + ("digits" if _TELLING.search(word) else "word")
+    return ("plus" if "+" in word else "") + ("digits" if _TELLING.search(word) else "Word" if word[0].isupper() else "word")
 
 
 def features(word: str, before: str, after: str) -> list[int]:
-    core = word.strip(".,;:!?\"'")
-    s, digits = shape(core), sum(c.isdigit() for c in core)
-    names = (f"s={s}", f"n={min(digits, 20)}", f"f={kind_of_char(word[0])}", f"dots={core.count('.')},{'@' in core},{'+' in core}", f"b={coarse(before)},{s[:2]}", f"a={coarse(after)},{s[:2]}", f"bs={shape(before)[:12]}", "1")
-    return [crc32(x.encode()) % FEATURES for x in names]
-
-
-def stretches(text: str, context: int = 0) -> list[list[re.Match]]:
-    """Runs of words that may be part of an entity, with that many plain words on either side."""
+    """Hashed names of a word's features; always as many."""
+    core = word.strip(".,;:!?\"'#%*$&")
+    s, digits, low = shape(core), sum(c.isdigit() for c in core[:200]), core.lower()
+    size = min(len(core), 60) // 6
+    hexa = bool(core) and not low[:80].strip("0123456789abcdef")
+    cue = before.strip("\"'").lower()[:12]
+    names = (
+        f"s={s}", f"n={min(digits, 20)}", f"f={kind_of_char(word[0])}", f"dots={min(core.count('.'), 5)},{'@' in core},{'+' in core}",
+        f"b={coarse(before)},{s[:2]}", f"a={coarse(after)},{s[:2]}", f"bs={shape(before)[:12]}", f"size={size},{hexa},{digits > 2}", f"cue={cue},{digits > 0}", f"end={low[-5:]}", "1",
+    )
+    return [crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in names]
+
+
+def stretches(text: str) -> list[list[re.Match]]:
+    """Runs of words that may be part of an entity, with ``CONTEXT`` plain words on either side."""
     all_words = list(_WORD.finditer(text))
-    out, last = [], -1
+    out, end = [], 0
     for i, m in enumerate(all_words):
         if not _TELLING.search(m[0]):
             continue
-        if out and i <= last + 1 + 2 * context:
-            out[-1].extend(all_words[last + 1 : i + 1])
+        upto = min(i + CONTEXT + 1, len(all_words))
+        if out and i - CONTEXT <= end:
+            out[-1].extend(all_words[end:upto])
         else:
-            if out:
-                out[-1].extend(all_words[last + 1 : last + 1 + context])
-            out.append(all_words[max(0, i - context) : i + 1])
-        last = i
-    if out:
-        out[-1].extend(all_words[last + 1 : last + 1 + context])
+            out.append(all_words[max(0, i - CONTEXT) : upto])
+        end = upto
     return out
 
 
-def rows_of(run: list[re.Match], text: str) -> list[list[int]]:
-    """Features of a run's words; its neighbours in the text count as context."""
-    before = text[max(0, run[0].start() - 40) : run[0].start()].split()
-    after = text[run[-1].end() : run[-1].end() + 40].split()
-    return rows_of_words([m[0] for m in run], before[-1] if before else "", after[0] if after else "")
-
-
-def rows_of_words(own: list[str], before: str, after: str) -> list[list[int]]:
-    line = [before, *own, after]
+def rows_of_words(own: list[str]) -> list[list[int]]:
+    line = ["", *own, ""]
     return [features(line[i], line[i - 1], line[i + 1]) for i in range(1, len(line) - 1)]
 
 
-def shortened(own: list[str], tags: list[int]) -> tuple[list[str], list[int]] | None:
-    """A training window again without the first word of its first longer entity: numbers are also written without their country code."""
-    for i in range(len(tags) - 1):
-        if LABELS[tags[i]][0] == "B" and LABELS[tags[i + 1]][0] == "I":
-            return own[:i] + own[i + 1 :], [*tags[:i], tags[i], *tags[i + 2 :]]
-    return None
-
-
-def tagged(run: list[re.Match], spans: list[Span]) -> list[int]:
-    tags = []
-    for m in run:
-        hit = next((s for s in spans if s[1] < m.end() and s[2] > m.start()), None)
-        tags.append(0 if hit is None else LABELS.index(("B-" if hit[1] >= m.start() else "I-") + hit[0]))
-    return tags
-
-
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis)
     return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis))
@@ -234,17 +303,24 @@ class Field:
             self.step += RATE * grad_s / np.sqrt(square_s)
         self.trained = True
 
+    def scores(self, rows: list[list[int]]) -> np.ndarray:
+        """A run's words' scores by label."""
+        return np.concatenate([self.w[np.array(rows[i : i + 4096])].sum(1) for i in range(0, len(rows), 4096)])
+
     def decode(self, runs: list[list[list[int]]]) -> list[np.ndarray]:
-        """Best labels of each run of feature rows; runs of like length go through the steps together."""
+        """Best labels of each run of feature rows (Viterbi); runs of like length, ``CELLS`` words at most or one run, go through the steps together."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(runs)
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
-        step = np.where(self.allowed, self.step, -1e9)
-        for lo in range(0, len(order), 512):
-            own = order[lo : lo + 512]
-            t = max(len(runs[i]) for i in own)
+        step, lo = np.where(self.allowed, self.step, -1e9), 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * len(runs[order[hi]]) <= CELLS:
+                hi += 1
+            own = order[lo:hi]
+            lo, t = hi, len(runs[own[-1]])
             e = np.zeros((len(own), t, len(LABELS)))
             for a, i in enumerate(own):
-                e[a, : len(runs[i])] = self.w[np.array(runs[i])].sum(1)
+                e[a, : len(runs[i])] = self.scores(runs[i])
             size = np.array([len(runs[i]) for i in own])
             score, back = e[:, 0] + np.where(self.first, 0, -1e9), np.zeros((len(own), t, len(LABELS)), np.int8)
             for j in range(1, t):
@@ -262,48 +338,52 @@ class Field:
 
 
 def entities(run: list[re.Match], tags: np.ndarray) -> list[Span]:
-    """Spans of the tags, without punctuation at their ends."""
-    out, open_at = [], None
-    for m, tag in [*zip(run, tags, strict=True), (None, 0)]:
-        if open_at and (m is None or not LABELS[tag].startswith("I")):
-            kind, a, b = open_at
+    """Spans of the tags, without punctuation at their ends; those without a digit, ``@`` or ``+`` are none."""
+    out, spans = [], []
+    for m, tag in zip(run, tags, strict=True):
+        if not tag:
+            continue
+        lead = len(m[0]) - len(m[0].lstrip("\"'.,;:!?<[{|*#$%&"))
+        tail = len(m[0].rstrip("\"'.,;:!?>]}|*#$%&"))
+        if LABELS[tag][0] == "B":
+            spans.append([LABELS[tag][2:], m.start() + lead, m.start() + tail, False])
+        spans[-1][2] = m.start() + tail
+        spans[-1][3] |= bool(_TELLING.search(m[0]))
+    for kind, a, b, telling in spans:
+        if telling and a < b:
             out.append((kind, a, b))
-            open_at = None
-        if m is not None and tag:
-            lead = len(m[0]) - len(m[0].lstrip("\"'.,;:!?<[{|*#$%&"))
-            tail = len(m[0].rstrip("\"'.,;:!?>]}|*#$%&"))
-            if lead < tail:
-                open_at = (open_at[0], open_at[1], m.start() + tail) if open_at else (LABELS[tag][2:], m.start() + lead, m.start() + tail)
     return out
 
 
-def trained(docs: DataFrame) -> Field:
-    """A field trained on windows around the base spans of a bounded sample of documents."""
-    some = sampled(docs.where(F.col("text").rlike("[0-9@]")), TRAIN_DOCS, F.col("doc_id"))
-
-    def windows(batches):
-        for batch in batches:
-            x, y = [], []
-            for t in batch.column(0):
-                text = t.as_py()
-                spans = base_spans(text)
-                for run in stretches(text, CONTEXT)[:50]:
-                    run = run[:40]
-                    tags = tagged(run, spans)
-                    shorter = shortened([m[0] for m in run], tags)
-                    for rows, own in [(rows_of(run, text), tags), *([(rows_of_words(shorter[0], "", ""), shorter[1])] if shorter else [])]:
-                        x.append([v for row in rows for v in row])
-                        y.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())), pa.array(y, pa.list_(pa.int64()))], names=["x", "y"])
+def beside(found: list[Span], base: list[Span]) -> list[Span]:
+    """The found spans that overlap no base span."""
+    covered: list[list[int]] = []  # the base spans' union, apart and in order
+    for _, a, b in base:
+        if covered and a < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    starts = [a for a, _ in covered]
+    out = []
+    for s in found:
+        k = bisect_left(starts, s[2]) - 1  # the last that starts before the span's end
+        if k < 0 or covered[k][1] <= s[1]:
+            out.append(s)
+    return out
+
 
+def trained(labelled: DataFrame | None = None) -> Field:
+    """A field trained on the labelled table (words array<string>, tags array<string>)."""
     field = Field()
-    got = some.select("text").mapInArrow(windows, "x array<long>, y array<long>").collect()
-    field.train(sorted((np.array(r.x).reshape(len(r.y), -1).tolist(), list(r.y)) for r in got))
+    rows = labelled_table()
+    if labelled is not None:
+        rows = [(list(r.words), list(r.tags)) for r in sampled(labelled, LABELLED, F.array_join("words", " ")).collect()]
+    field.train(sorted((rows_of_words(w), [LABELS.index(t) for t in tags]) for w, tags in rows))
     return field
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, counts of base spans by kind, their digest, all spans, and how many the field added."""
+    """doc_id, counts of base spans by kind, their digest, all spans, and how many there are, the field added, and are secrets or addresses."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def start():
@@ -313,23 +393,29 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             texts = [t.as_py() or "" for t in batch.column(1)]
             base = [base_spans(t) for t in texts]
             runs = [(i, r) for i, t in enumerate(texts) if field.trained and _TELLING.search(t) for r in stretches(t)]
-            more: dict[int, list[Span]] = {}
-            for (i, run), tags in zip(runs, field.decode([rows_of(r, texts[i]) for i, r in runs]), strict=True):
+            more: list[list[Span]] = [[] for _ in texts]
+            for (i, run), tags in zip(runs, field.decode([rows_of_words([m[0] for m in r]) for _, r in runs]), strict=True):
                 if tags.any():
-                    more.setdefault(i, []).extend(s for s in entities(run, tags) if not any(s[1] < b and s[2] > a for _, a, b in base[i]))
-            n = [[sum(s[0] == k for s in b) for b in base] for k in KINDS]
+                    more[i] += entities(run, tags)
+            more = [beside(m, b) for m, b in zip(more, base, strict=True)]
+            every = [b + m for b, m in zip(base, more, strict=True)]
+            n = lambda kind, spans: [sum(s[0] == kind for s in x) for x in spans]
             return {
                 "doc_id": batch.column(0),
-                **{f"n_{k}": n[j] for j, k in enumerate(KINDS)},
+                **{f"n_{k}": n(k, base) for k in BASE},
                 "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b in base],
-                "spans": [joined(in_order(b + more.get(i, []))) for i, b in enumerate(base)],
-                "n_added": [len(more.get(i, [])) for i in range(len(base))],
+                "spans": [joined(in_order(x)) for x in every],
+                "n_spans": [len(x) for x in every],
+                "n_added": [len(x) for x in more],
+                "n_secret": n("secret", more),
+                "n_address": n("address", more),
             }
 
         return step
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", start)
+    counts = ", ".join(f"n_{k} long" for k in BASE)
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), f"doc_id long, {counts}, base_sha256 string, spans string, n_spans long, n_added long, n_secret long, n_address long", start)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    return find(docs, trained(docs.select("doc_id", "text")))
+def score(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    return find(docs, trained(labelled))
