@@ -1,12 +1,16 @@
 """Operator 5, licence scans by conditional compression.
 
-Lines with a word of licensing, with the lines between them, make a text's candidate blocks. A block is compressed
-alone and with each template as raw zstandard dictionary; the relative saving ranks the templates. The best few are
-confirmed by the exact wording: words of block and template are aligned, a block must have most of the template (or a
-notice line must be most of the block), and no word that tells licences apart (names, versions) may differ.
-
-Defined results: null and empty texts have no findings; a document has one row per licence found in it, at its first
-block; repeated rows are each reported.
+All of a text is compressed in lines, long ones in short overlapping windows, with all templates together as raw zstandard
+dictionary: what becomes much smaller is a candidate, and those near each other make a block. A block is compressed alone and with
+each template as dictionary; the relative saving ranks the templates. All that save enough are confirmed in that order by
+the exact wording: words of block and template are aligned, the block must have most of the template, and no word that
+tells licences apart (names, versions) may differ; numbers of lists don't count. What stands before and after a find is
+searched again, so a block may hold several licences. Long blocks are searched in overlapping stretches of the
+template's length, so that the work grows with the text only.
+
+Defined results: null and empty texts have no findings; very long texts are searched whole; a document has one row per
+licence found in it, at its first place; of equal savings the template first in the list counts; repeated rows are each
+reported; an empty table gives no rows; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,37 +50,69 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
-#: What a candidate line has (lower case), and words that tell licences apart.
-SIGNS = ("licens", "licenc", "copyright", "copyleft", "redistribut", "warrant", "public domain", "permission is hereby", "permission to use")
+#: Words that tell licences apart.
 TELLING = frozenset("apache bsd mit isc gnu gpl lgpl agpl lesser affero mozilla mpl cc by nc sa nd cc0 zero noncommercial sharealike noderivatives unlicense 1 2 3 4 0".split())
-NEAR_LINES, BEST, LEAST_SAVING, LEAST_COVER = 3, 3, 0.3, 0.8
+#: Windows and their step in bytes, the share that the joint dictionary must save of one, and the bytes over which candidates are joined.
+WINDOW, STEP, GATE, JOIN = 48, 16, 0.25, 160
+LEAST_SAVING, LEAST_COVER = 0.08, 0.8
 _WORD = re.compile(r"[a-z]+|[0-9]+")
+_LIST = re.compile(r"(?:^|\n)[^\S\n]*(?:[*#/;-]+[^\S\n]*)*\(?([0-9]+)[.)](?=\s)")
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(start, text) of the candidate blocks: each sign-bearing line, and lines near each other together."""
-    low = text.lower()
-    if not any(s in low for s in SIGNS):
-        return []
-    out, at, near = [], 0, []
-    for i, line in enumerate(text.split("\n")):
-        low = line.lower()
-        if any(s in low for s in SIGNS):
-            out.append((at, line))
-            if near and i - near[-1][0] <= NEAR_LINES:
-                near[-1] = (i, near[-1][1], at + len(line))
-            else:
-                near.append((i, at, at + len(line)))
-        at += len(line) + 1
-    return out + [(a, text[a:b]) for _, a, b in near if "\n" in text[a:b]]
+def compressor(dictionary: str | None, level: int) -> zstandard.ZstdCompressor:
+    params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
+    if dictionary is None:
+        return zstandard.ZstdCompressor(compression_params=params)
+    data = zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(compression_params=params, dict_data=data)
 
 
 class Scanner:
     def __init__(self) -> None:
-        plain = zstandard.ZstdCompressionParameters.from_level(19, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.alone = zstandard.ZstdCompressor(compression_params=plain)
-        self.given = [zstandard.ZstdCompressor(compression_params=plain, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in TEMPLATES]
-        self.words = [_WORD.findall(t.lower()) for _, t in TEMPLATES]
+        plain = [" ".join(t.lower().split()) for _, t in TEMPLATES]
+        self.joint = compressor("\n".join(plain), 3)
+        self.alone, self.given = compressor(None, 3), [compressor(t, 3) for t in plain]
+        self.words = [_WORD.findall(t) for t in plain]
+        self.empty = len(self.joint.compress(b""))
+
+    def blocks(self, text: str) -> list[tuple[int, int]]:
+        """Candidate blocks as places in the text: windows that the joint dictionary makes much smaller, near ones together."""
+        # case doesn't count; places must stay, so letters whose lower case is longer are left as they are
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+        data, width = (low.encode(), 1) if low.isascii() else (low.encode("utf-8", "replace"), 0)
+        out, first = [], 0
+        for line in data.split(b"\n"):
+            for lo in range(0, max(1, len(line) - WINDOW + STEP), STEP) if len(line) > WINDOW + STEP else (0,):
+                part = line[lo : lo + WINDOW] if len(line) > WINDOW + STEP else line
+                if self.known(part):
+                    if out and first + lo <= out[-1][1] + JOIN:
+                        out[-1][1] = first + lo + len(part)
+                    else:
+                        out.append([first + lo, first + lo + len(part)])
+            first += len(line) + 1
+        if not width and out:  # bytes to code points
+            starts = [i for i, c in enumerate(data) if c & 0xC0 != 0x80]
+            at = lambda k: _place(starts, k)
+            out = [[at(a), at(b)] for a, b in out]
+        return [(a, b) for a, b in out]
+
+    def known(self, part: bytes) -> bool:
+        """Whether the templates save enough of a window, and more than its own repeats do."""
+        size = len(self.joint.compress(part)) - self.empty if len(part) >= 16 else len(part)
+        return size <= (1 - GATE) * len(part) and bool(part.strip()) and size <= (1 - GATE) * (len(self.alone.compress(part)) - self.empty)
+
+    @staticmethod
+    def whole(text: str, a: int, b: int) -> tuple[int, int]:
+        """The place, widened by a window and to whole words."""
+        a, b = max(0, a - WINDOW), min(len(text), b + WINDOW)
+        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        while b < len(text) and text[b - 1].isalnum() and text[b].isalnum():
+            b += 1
+        return a, b
 
     def savings(self, block: str) -> list[tuple[float, int]]:
         """(relative saving, template), best first; case and blanks don't count."""
@@ -84,34 +120,75 @@ class Scanner:
         size = len(self.alone.compress(data))
         return sorted(((1 - len(z.compress(data)) / size, k) for k, z in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, block: str, k: int) -> tuple[float, int, list[str]]:
-        """Share of the template that the block has, words that differ from the first to the last common one, and those of them that tell licences apart."""
-        own, goal = _WORD.findall(block.lower()), self.words[k]
+    def differences(self, own: list[str], lists: set[int], k: int) -> tuple[float, int, list[str], int, int]:
+        """Share of the template that the words have, how many differ from the first to the last common one, those of them that tell licences apart, and the common part.
+
+        lists: places of words that number a list.
+        """
+        goal = self.words[k]
         match = [m for m in SequenceMatcher(None, own, goal, autojunk=False).get_matching_blocks() if m.size]
+        # single words far from the rest aren't part of it
+        while len(match) > 1 and match[1].a - match[0].a - match[0].size > 4 * match[0].size:
+            del match[0]
+        while len(match) > 1 and match[-1].a - match[-2].a - match[-2].size > 4 * match[-1].size:
+            del match[-1]
         if not match:
-            return 0.0, len(goal), []
-        inside = own[match[0].a : match[-1].a + match[-1].size]
+            return 0.0, len(goal), [], 0, 0
+        first, last = match[0].a, match[-1].a + match[-1].size
         common = sum(m.size for m in match)
-        lost, extra, i, j = [], [], match[0].a, 0
+        lost, extra, i, j = [], [], first, 0
         for m in match:
             lost += goal[j : m.b]
-            extra += own[i : m.a]
+            extra += [w for n, w in enumerate(own[i : m.a], i) if n not in lists]
             i, j = m.a + m.size, m.b + m.size
         lost += goal[j:]
         # a telling word right beside the common part counts too: "version 2" for "version 3"
-        edge = [w for w in own[max(0, match[0].a - 1) : match[0].a] + own[i : i + 1]]
-        return common / max(len(goal), len(inside)), len(lost) + len(extra), [w for w in lost + extra + edge if w in TELLING]
-
-    def best(self, block: str) -> tuple[str, float, float, int] | None:
-        for saving, k in self.savings(block)[:BEST]:
-            if saving < LEAST_SAVING:
-                return None
-            cover, differ, telling = self.differences(block, k)
+        edge = [own[n] for n in (first - 1, last) if 0 <= n < len(own) and n not in lists]
+        inside = last - first - sum(first <= n < last for n in lists)
+        return common / max(len(goal), inside), len(lost) + len(extra), [w for w in lost + extra + edge if w in TELLING], first, last
+
+    def find(self, text: str, a: int, b: int) -> list[tuple[int, str, float, float, int]]:
+        """(start, licence, saving, cover, differences) of what a block holds, in order; templates are ranked on the block, wording is read beyond its ends."""
+        found, low, high, todo = [], a, b, [self.whole(text, a, b)]
+        while todo:
+            a, b = todo.pop()
+            part, core = text[a:b], text[max(a, low) : min(b, high)]
+            places = [m.span() for m in _WORD.finditer(part.lower())] if len(part.lower()) == len(part) else [m.span() for m in re.finditer(r"[A-Za-z]+|[0-9]+", part)]
+            if not places or not core:
+                continue
+            own = [part[x:y].lower() for x, y in places]
+            numbers = {m.start(1) for m in _LIST.finditer(part)}
+            lists = {n for n, (x, _) in enumerate(places) if x in numbers}
+            hit = None
+            for saving, k in self.savings(core):
+                if saving < LEAST_SAVING:
+                    break
+                hit = self.confirmed(own, lists, k)
+                if hit:
+                    cover, differ, first, last = hit
+                    found.append((a + places[first][0], TEMPLATES[k][0], saving, cover, differ))
+                    todo += [(a, a + places[first][0]), (a + places[last - 1][1], b)]
+                    break
+        return sorted(found)
+
+    def confirmed(self, own: list[str], lists: set[int], k: int) -> tuple[float, int, int, int] | None:
+        """Cover, differences and place of the template in the words; looked for in stretches of three times its length."""
+        n = len(self.words[k])
+        for lo in range(0, max(1, len(own) - n), 2 * n):
+            part = own[lo : lo + 3 * n + 2]
+            cover, differ, telling, first, last = self.differences(part, {x - lo for x in lists if lo <= x < lo + len(part)}, k)
             if cover >= LEAST_COVER and not telling:
-                return TEMPLATES[k][0], saving, cover, differ
+                return cover, differ, lo + first, lo + last
         return None
 
 
+def _place(starts: list[int], k: int) -> int:
+    """The code point at or before a byte's place."""
+    from bisect import bisect_right
+
+    return max(0, bisect_right(starts, k) - 1) if k < (starts[-1] if starts else 0) else len(starts)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, license, start (code points), saving, cover and n_differences of each licence found in each document."""
 
@@ -121,12 +198,12 @@ def scan(docs: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch) -> dict:
             rows = []
             for d, t in zip(batch.column(0), batch.column(1), strict=True):
-                seen = set()
-                for at, block in blocks(t.as_py() or ""):
-                    hit = scanner.best(block)
-                    if hit and hit[0] not in seen:
-                        seen.add(hit[0])
-                        rows.append((d.as_py(), hit[0], at, *hit[1:]))
+                text, seen = t.as_py() or "", set()
+                for a, b in scanner.blocks(text) if text else ():
+                    for hit in scanner.find(text, a, b):
+                        if hit[1] not in seen:
+                            seen.add(hit[1])
+                            rows.append((d.as_py(), hit[1], hit[0], *hit[2:]))
             return {n: [r[i] for r in rows] for i, n in enumerate(("doc_id", "license", "start", "saving", "cover", "n_differences"))}
 
         return step
