@@ -59,7 +59,7 @@ def test_roles_cover_each_row_once_and_ranges_leave_validation_alone(spark, sf):
     r = splits.ranges(f, s, 10**9, 10**9)
     bad = r.join(splits.validation_folds(s), ["split_id", "fold_id"]).count()
     assert bad == 0
-    rows = splits.role_rows(splits.with_roles(splits.assign_folds(fx.events(spark, sf), f), splits.plan_of(s, r)))
+    rows = splits.role_rows(splits.with_roles(fx.events(spark, sf), splits.pieces(f, s, r), s))
     per = rows.groupBy("event_id").agg(F.count("*").alias("n"), F.count_distinct("split_id").alias("d"))
     assert per.where("n != 28 OR d != 28").count() == 0
 

@@ -5,9 +5,9 @@ Sides are sorted once (bids downwards, asks upwards) by ``sorted_book``; the dep
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,17 +110,32 @@ def log_bin_edges(bins: int = 1000, eps: float = 0.5, delta: float = 1000.0) ->
     return [float("-inf"), *(-x for x in reversed(up)), 0.0, *up, float("inf")]
 
 
-def log_bins(df: DataFrame, pairs: str, keys: list[str], edges: list[float]) -> DataFrame:
-    """keys, bin, volume: total volume of a row's levels per bin. The last interval counts with the one before it.
+def bin_of(z: Column, bins: int, eps: float, delta: float) -> Column:
+    """The bin of a finite price among log_bin_edges, in closed form, set right by the edges beside it; the last interval counts with the one before."""
+    edges = log_bin_edges(bins, eps, delta)
+    n, step = bins // 2, math.log(delta / eps) / (bins // 2 - 1)
+    k = F.floor(F.ln(F.greatest(F.abs(z), F.lit(1e-300)) / eps) / step)
+    k = F.greatest(F.least(k, F.lit(n - 1)), F.lit(-1)).cast("int")  # -1: below eps
+    guess = F.when(z >= 0, n + 1 + k).otherwise(n - 1 - k)
+    lit = F.array(*map(F.lit, edges))
+    at = lambda i: F.element_at(lit, F.greatest(F.least(i, F.lit(len(edges) - 1)), F.lit(0)) + 1)
+    right = F.when(z < at(guess), guess - 1).when(z >= at(guess + 1), guess + 1).otherwise(guess)
+    return F.least(right, F.lit(len(edges) - 3)).cast("int")
 
-    A distributed binary search (Bucketizer) per level and one aggregation; levels without a finite price or a
-    positive volume are left out.
+
+def log_bins(df: DataFrame, pairs: str, keys: list[str], bins: int = 1000, eps: float = 0.5, delta: float = 1000.0) -> DataFrame:
+    """keys, bin, volume: total volume of a row's levels per bin, without a shuffle: a row's levels are all there.
+
+    Levels in order of price have their bins in order, so a bin's levels are a run of them. Levels without a finite
+    price or a positive volume are left out.
     """
-    x = df.select(*keys, F.explode(pairs).alias("_l")).select(*keys, F.col("_l")[0].alias("_z"), F.col("_l")[1].alias("_v"))
-    x = x.where(F.col("_z").isNotNull() & ~F.isnan("_z") & (F.abs("_z") < float("inf")) & (F.col("_v") > 0))
-    x = Bucketizer(splits=edges, inputCol="_z", outputCol="_i", handleInvalid="skip").transform(x)
-    last = len(edges) - 3
-    return x.groupBy(*keys, F.least(F.col("_i").cast("int"), F.lit(last)).alias("bin")).agg(F.sum("_v").alias("volume"))
+    good = F.filter(pairs, lambda x: x[0].isNotNull() & ~F.isnan(x[0]) & (F.abs(x[0]) < float("inf")) & (x[1] > 0))
+    x = df.select(*keys, F.array_sort(good).alias("_p")).withColumn("_b", F.transform("_p", lambda p: bin_of(p[0], bins, eps, delta)))
+    n = F.size("_b")
+    first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get("_b", i - 1) != F.get("_b", i - 2))))
+    x = x.withColumn("_f", first).withColumn("_e", F.concat(F.slice("_f", F.lit(2), F.size("_f")), F.array(n + 1)))
+    run = F.transform(F.arrays_zip("_f", "_e"), lambda r: F.struct(F.get("_b", r["_f"] - 1).alias("bin"), volume(F.slice("_p", r["_f"], r["_e"] - r["_f"])).alias("volume")))
+    return x.select(*keys, F.inline(F.when(F.size("_f") > 0, run)))
 
 
 def dense_bins(sparse: DataFrame, rows: DataFrame, keys: list[str], n_bins: int) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalar
+from tidebook.operators import frames
 
 TRANSFORMS = ("identity", "log", "sqrt", "arcsinh", "box_cox", "yeo_johnson")
 HALF_LIVES = (5, 10, 20, 40, 80)
@@ -24,22 +25,20 @@ def pearson_p_df(df: DataFrame, by: list[str], value: str = "value") -> DataFram
     stats = stats.withColumn("_bins", F.when(F.col("n") < 100, 5).when(F.col("n") < 500, 10).otherwise(20))
     bad = (F.col("n") < 20) | ~(F.col("_s") > 0) | F.isnan("_s") | (F.col("_s") == float("inf"))
     z = F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))
-    edges = F.when(F.col("_bins") == 5, _lit(5)).when(F.col("_bins") == 10, _lit(10)).otherwise(_lit(20))
-    counts = x.join(stats, by).where(~bad).groupBy(*by, F.size(F.filter(edges, lambda e: e <= z)).alias("_b")).agg(F.count("*").alias("_o"), F.first("n").alias("_n"), F.first("_bins").alias("_k"))
+    # a bin's number as a sum of comparisons: compiled, unlike a function over an array
+    over = lambda k: reduce(lambda u, v: u + v, [(z >= e).cast("int") for e in scalar.normal_edges(k)])
+    at = F.when(F.col("_bins") == 5, over(5)).when(F.col("_bins") == 10, over(10)).otherwise(over(20))
+    counts = x.join(stats, by).where(~bad).groupBy(*by, at.alias("_b")).agg(F.count("*").alias("_o"), F.first("n").alias("_n"), F.first("_bins").alias("_k"))
     chi = counts.groupBy(*by).agg((F.sum(F.col("_o") * F.col("_o")) * F.first("_k") / F.first("_n") - F.first("_n")).alias("_chi"))
     out = stats.join(chi, by, "left")
     return out.select(*by, "n", F.when(bad | F.col("_chi").isNull(), WORST).otherwise(F.col("_chi") / (F.col("_bins") - 3)).alias("score"))
 
 
-def _lit(k: int) -> Column:
-    return F.array(*map(F.lit, scalar.normal_edges(k)))
-
-
 def fit_transforms(df: DataFrame, by: list[str], value: str = "value", grid: int = 17, rounds: int = 2) -> DataFrame:
     """by, n, log_offset, sqrt_offset, box_cox (null unless all are positive), yeo_johnson: fitted per key; fewer than 20 values: none.
 
-    Lambdas maximise the likelihood over a grid of -2..2, then over finer grids around the best: each a single
-    aggregation with one column per grid point, no value leaves its task.
+    Lambdas maximise the likelihood over a grid of -2..2, then over finer grids around the best: each one aggregation by
+    key and grid point, summed before the shuffle. Reads df several times: pass a stored table.
     """
     x = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     base = x.groupBy(*by).agg(
@@ -55,17 +54,17 @@ def fit_transforms(df: DataFrame, by: list[str], value: str = "value", grid: int
     for _ in range(rounds):
         steps = [width * (2 * i / (grid - 1) - 1) for i in range(grid)]
         y = x.join(base.select(*by, F.col("box_cox").alias("_b"), F.col("yeo_johnson").alias("_y")), by)
-        aggs = []
-        for i, s in enumerate(steps):
-            for name, center in (("box_cox", "_b"), ("yeo_johnson", "_y")):
-                t = scalar.transform(name, f"(CASE WHEN {value} > 0 THEN {value} END)" if name == "box_cox" else value, "0.0", f"({center} + {scalar.num(s)})", "null")
-                aggs.append(F.var_pop(F.expr(t)).alias(f"_{name}_{i}"))
-        var = y.groupBy(*by).agg(*aggs)
-        z = base.join(var, by)
-        for name, logs in (("box_cox", "_ln"), ("yeo_johnson", "_yj")):
-            cells = [F.struct(((F.col(name) + s - 1) * F.col(logs) - F.col("n") / 2 * F.ln(F.when(F.col(f"_{name}_{i}") > 0, F.col(f"_{name}_{i}")))).alias("l"), F.lit(-i).alias("i"), (F.col(name) + s).alias("lam")) for i, s in enumerate(steps)]
-            z = z.withColumn(f"_best_{name}", F.greatest(*[F.when(c["l"].isNotNull(), c) for c in cells])["lam"])
-        base = z.select(*base.columns[:-2], F.coalesce("_best_box_cox", "box_cox").alias("box_cox"), F.coalesce("_best_yeo_johnson", "yeo_johnson").alias("yeo_johnson"))
+        # a row a grid point, summed where it is made: 34 powers in one projection would be too long a method to be compiled
+        y = y.withColumn("_g", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(steps)])))
+        text = lambda name, center: scalar.transform(name, f"(CASE WHEN {value} > 0 THEN {value} END)" if name == "box_cox" else value, "0.0", f"({center} + _g.s)", "null")
+        var = y.groupBy(*by, F.col("_g.i").alias("_i"), F.col("_g.s").alias("_s")).agg(F.var_pop(F.expr(text("box_cox", "_b"))).alias("_vb"), F.var_pop(F.expr(text("yeo_johnson", "_y"))).alias("_vy"))
+        z = var.join(base, by)
+        best = {}
+        for name, v, logs in (("box_cox", "_vb", "_ln"), ("yeo_johnson", "_vy", "_yj")):
+            like = (F.col(name) + F.col("_s") - 1) * F.col(logs) - F.col("n") / 2 * F.ln(F.when(F.col(v) > 0, F.col(v)))
+            best[name] = F.max_by(F.col(name) + F.col("_s"), F.when(like.isNotNull(), F.struct(like, -F.col("_i")))).alias(f"_best_{name}")
+        found = z.groupBy(*by).agg(*best.values())
+        base = base.join(found, by, "left").select(*base.columns[:-2], *[F.coalesce(f"_best_{c}", c).alias(c) for c in best])
         width = 2 * width / (grid - 1)
     return base.select(*by, "n", "log_offset", "sqrt_offset", F.when(F.col("_min") > 0, F.col("box_cox")).alias("box_cox"), "yeo_johnson")
 
@@ -94,13 +93,13 @@ def vote(winners: DataFrame, by: list[str], choice: str, order: tuple) -> DataFr
 
 def ewma_state(df: DataFrame, by: list[str], half_lives: tuple[int, ...] = HALF_LIVES, value: str = "value", order: tuple[str, ...] = ("us", "event_id")) -> DataFrame:
     """by, half_life, mean, var, n: the state after all values in order, as weighted sums: value i of n weighs alpha (1-alpha)^(n-i), the first (1-alpha)^(n-1)."""
-    w = Window.partitionBy(*by)
     x = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    x = x.withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
+    x = frames.ranked(x, by, list(order), F.floor(F.col(order[0]) / frames.HOUR_US), "_rank").withColumn("_rank", F.col("_rank") + 1)
+    x = x.join(x.groupBy(*by).agg(F.count("*").alias("_n")), by)
     aggs = []
     for h in half_lives:
         a = 1 - 2 ** (-1 / h)
-        weight = F.when(F.col("_i") == 1, 1.0).otherwise(a) * F.pow(F.lit(1 - a), F.col("_n") - F.col("_i"))
+        weight = F.when(F.col("_rank") == 1, 1.0).otherwise(a) * F.pow(F.lit(1 - a), F.col("_n") - F.col("_rank"))
         aggs += [F.sum(weight * F.col(value)).alias(f"_m{h}"), F.sum(weight * F.col(value) * F.col(value)).alias(f"_q{h}")]
     y = x.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
     cells = [F.struct(F.lit(h).alias("half_life"), F.col(f"_m{h}").alias("mean"), F.greatest(F.col(f"_q{h}") - F.col(f"_m{h}") * F.col(f"_m{h}"), F.lit(0.0)).alias("var")) for h in half_lives]

@@ -67,6 +67,26 @@ def ranked(df: DataFrame, by: list[str], order: list[str], bucket: Column, name:
     return x.withColumn("_i", inside).join(starts, [*by, "_b"]).withColumn(name, F.col("_s") + F.col("_i")).drop("_b", "_s", "_i")
 
 
+def running(df: DataFrame, by: list[str], order: list[str], bucket: Column, value: Column, name: str = "upto") -> DataFrame:
+    """Running sum of a value in the whole order, the row's own included, without a task that sorts it all: sums per bucket, then inside."""
+    x = df.withColumn("_b", bucket).withColumn("_v", value)
+    sums = x.groupBy(*by, "_b").agg(F.sum("_v").alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*by, "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_s"))
+    inside = F.sum("_v").over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return x.withColumn("_i", inside).join(starts, [*by, "_b"]).withColumn(name, F.col("_s") + F.col("_i")).drop("_b", "_v", "_s", "_i")
+
+
+def lagged(df: DataFrame, by: list[str], idx: str, columns: dict[str, tuple[str, int]], block: int = 4096) -> DataFrame:
+    """name -> (column, lag) over a rank 0, 1, ... by key: blocks of ranks are windows of their own, and a block's last rows go with the next one too."""
+    reach = max(n for _, n in columns.values())
+    blk = F.floor(F.col(idx) / block)
+    x = df.withColumn("_blk", F.explode(F.when(F.col(idx) % block >= block - reach, F.array(blk, blk + 1)).otherwise(F.array(blk))))
+    w = Window.partitionBy(*by, "_blk").orderBy(idx)
+    x = x.withColumns({name: F.lag(c, n).over(w) for name, (c, n) in columns.items()})
+    return x.where(F.col("_blk") == blk).drop("_blk")
+
+
 def ewma_scan(df: DataFrame, by: list[str], idx: str, values: list[str], half_life: float, block: int = 256) -> DataFrame:
     """Exponentially weighted means of values along idx (0, 1, ... by key): m_0 = x_0, m_t = m_(t-1) + alpha (x_t - m_(t-1)).
 

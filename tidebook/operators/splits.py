@@ -91,11 +91,31 @@ def role(split, us: str = "us") -> Column:
     return F.when(F.col("fold_type") == "train", inside).otherwise(F.col("fold_type"))
 
 
-def with_roles(df: DataFrame, plan: DataFrame, us: str = "us") -> DataFrame:
-    """split_roles map<split_id, role> per row; long() explodes it."""
-    x = df.crossJoin(F.broadcast(plan))
-    roles = F.map_from_arrays(F.transform("plan", lambda s: s["split_id"].cast("string")), F.transform("plan", lambda s: role(s, us)))
-    return x.withColumn("split_roles", roles).drop("plan")
+def pieces(fold_table: DataFrame, splits: DataFrame, range_table: DataFrame) -> DataFrame:
+    """The time axis cut at all bounds of folds and ranges: lo, hi, fold_id, fold_type, split_roles. Some hundred rows, whatever the data."""
+    bounds = lambda t: t.select(F.explode(F.array("start_us", "end_us")).alias("lo"))
+    cuts = bounds(fold_table).union(bounds(range_table)).distinct().withColumn("hi", F.lead("lo").over(Window.orderBy("lo"))).where("hi IS NOT NULL")
+    x = assign_folds(cuts, fold_table, "lo").crossJoin(F.broadcast(plan_of(splits, range_table)))
+    return x.withColumn("split_roles", _roles("lo")).drop("plan")
+
+
+def _roles(us: str) -> Column:
+    return F.map_from_arrays(F.transform("plan", lambda s: s["split_id"].cast("string")), F.transform("plan", lambda s: role(s, us)))
+
+
+def with_roles(df: DataFrame, cut: DataFrame, splits: DataFrame, us: str = "us", bucket_us: int = 3_600_000_000) -> DataFrame:
+    """fold_id, fold_type and split_roles map<split_id, role> of each row: one lookup in the pieces, which are dealt by hours.
+
+    Rows meet the pieces of their hour by a hash join; there are as many as hours and cuts, and they are broadcast where
+    Spark finds them small. Rows in no piece are excluded in every split.
+    """
+    bucket = lambda c: F.floor(F.col(c) / bucket_us)
+    own = cut.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "fold_id", "fold_type", "split_roles", F.explode(F.sequence(bucket("lo"), F.floor((F.col("hi") - 1) / bucket_us))).alias("_h"))
+    x = df.join(own, (bucket(us) == F.col("_h")) & (F.col(us) >= F.col("_lo")) & (F.col(us) < F.col("_hi")), "left")
+    ids = splits.agg(F.array_sort(F.collect_list("split_id")).alias("_ids"))
+    none = F.map_from_arrays(F.transform("_ids", lambda s: s.cast("string")), F.transform("_ids", lambda s: F.lit("excluded")))
+    x = x.crossJoin(F.broadcast(ids)).withColumn("split_roles", F.coalesce("split_roles", none))
+    return x.withColumns({"fold_id": F.coalesce("fold_id", F.lit(-1)), "fold_type": F.coalesce("fold_type", F.lit("excluded"))}).drop("_lo", "_hi", "_h", "_ids")
 
 
 def role_rows(df: DataFrame) -> DataFrame:

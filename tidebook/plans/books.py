@@ -95,8 +95,15 @@ STD = f"""{fx.ctes("book")}, m AS (SELECT *, (bids[1][1] + asks[1][1]) / 2 AS mi
 p AS (SELECT *, list_concat(list_reverse(bids), asks) AS pairs, coalesce(greatest(volatility * mid_price, 1e-6), 1e-6) + 1e-8 AS scale FROM m),
 z AS (SELECT event_id, pairs, list_transform(pairs, lambda x: [(x[1] - mid_price) / scale, x[2]]) AS std FROM p),
 c AS (SELECT *, list_filter(std, lambda x: x[1] >= -4 AND x[1] <= 4) AS kept FROM z)"""
-DELTA, EDGES = 4.0, b.log_bin_edges(20, 0.5, 4.0)
-_EDGES = "[" + ", ".join(f"'{'-' if e < 0 else ''}infinity'::DOUBLE" if abs(e) == float("inf") else f"{e!r}::DOUBLE" for e in EDGES) + "]"
+FEW, MANY = (20, 0.5, 4.0), (1000, 0.5, 1000.0)  # bins, least and largest price; the second are the shipped ones
+DELTA, EDGES, ALL_EDGES = 4.0, b.log_bin_edges(*FEW), b.log_bin_edges(*MANY)
+
+
+def _list(edges):
+    return "[" + ", ".join(f"'{'-' if e < 0 else ''}infinity'::DOUBLE" if abs(e) == float("inf") else f"{e!r}::DOUBLE" for e in edges) + "]"
+
+
+_EDGES = _list(EDGES)
 
 
 def standardized(spark, sf):
@@ -152,21 +159,26 @@ def log_bin_edges(spark, sf):
     return edges.join(counts, "i", "left").select((F.col("i") - 1).alias("i"), F.round("edge", 9).alias("edge"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-BINNED = f"""{STD}, l AS (SELECT event_id, unnest(kept) AS x FROM c),
-i AS (SELECT event_id, least(len(list_filter({_EDGES}, lambda e: e <= x[1])) - 1, {len(EDGES) - 3}) AS bin, x[2] AS v FROM l WHERE x[2] > 0),
+def _binned(edges, levels="kept"):
+    """Levels by counting the edges at or below each."""
+    return f"""{STD}, l AS (SELECT event_id, unnest({levels}) AS x FROM c), ed AS (SELECT unnest({_list(edges)}) AS e),
+i AS (SELECT event_id, least(n - 2, {len(edges) - 3})::INT AS bin, x[2] AS v FROM l ASOF JOIN (SELECT e, row_number() OVER (ORDER BY e) + 1 AS n FROM ed) k ON x[1] >= e WHERE x[2] > 0),
 s AS (SELECT event_id, bin::INT AS bin, sum(v) AS volume FROM i GROUP BY ALL)"""
 
 
-@query("log_bin_assign", f"{BINNED} SELECT bin, count(*) AS n, sum(volume) AS volume FROM s GROUP BY bin")
+BINNED, ALL_BINNED = _binned(EDGES), _binned(ALL_EDGES, "std")
+
+
+@query("log_bin_assign", f"{ALL_BINNED} SELECT bin, count(*) AS n, sum(volume) AS volume FROM s GROUP BY bin")
 def log_bin_assign(spark, sf):
     return _sparse(spark, sf).groupBy("bin").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
 
 
-def _sparse(spark, sf):
-    return b.log_bins(standardized(spark, sf), "kept", ["event_id"], EDGES)
+def _sparse(spark, sf, bins=MANY, levels="std"):
+    return b.log_bins(standardized(spark, sf), levels, ["event_id"], *bins)
 
 
-@query("bin_aggregate", f"{BINNED} SELECT * FROM s")
+@query("bin_aggregate", f"{ALL_BINNED} SELECT * FROM s")
 def bin_aggregate(spark, sf):
     return _sparse(spark, sf)
 
@@ -178,7 +190,7 @@ SELECT c.event_id, k::INT AS bin, round(coalesce(s.volume / t.total, 0), 9) AS s
 )
 def bin_normalize(spark, sf):
     rows = standardized(spark, sf)
-    x = b.dense_bins(_sparse(spark, sf), rows, ["event_id"], len(EDGES) - 2)
+    x = b.dense_bins(_sparse(spark, sf, FEW, "kept"), rows, ["event_id"], len(EDGES) - 2)
     return x.select("event_id", F.posexplode("bins").alias("bin", "share")).withColumn("share", F.round("share", 9))
 
 

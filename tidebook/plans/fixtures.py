@@ -5,9 +5,11 @@ Times are whole microseconds since 1970 (``us``), hours whole hours, so that res
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.operators import frames
+
 LEVELS = 10
 ALPHA20 = 1 - 2 ** (-1 / 20)
 
@@ -40,10 +42,10 @@ FEATURES = ("level", "past_logret_1", "past_logret_5", "signed")
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event: the four features as columns, and its rank in its symbol."""
-    w = Window.partitionBy("symbol").orderBy("us", "event_id")
-    x = series(spark, sf_dir).withColumn("rn", F.row_number().over(w))
-    ret = lambda n: F.ln("mid") - F.ln(F.lag("mid", n).over(w))
-    return x.select("event_id", "symbol", "us", "hour", "rn", F.col("value").alias("level"), ret(1).alias("past_logret_1"), ret(5).alias("past_logret_5"), (F.col("value") - 50).alias("signed"))
+    x = frames.ranked(series(spark, sf_dir), ["symbol"], ["us", "event_id"], F.col("hour"), "idx")
+    x = frames.lagged(x, ["symbol"], "idx", {"mid_1": ("mid", 1), "mid_5": ("mid", 5)})
+    ret = lambda n: (F.ln("mid") - F.ln(f"mid_{n}")).alias(f"past_logret_{n}")
+    return x.select("event_id", "symbol", "us", "hour", (F.col("idx") + 1).alias("rn"), F.col("value").alias("level"), ret(1), ret(5), (F.col("value") - 50).alias("signed"))
 
 
 def long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,7 @@ CHUNK = 400
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of CHUNK samples of each (symbol, feature): symbol, feature, win, i (1..), value; nulls and short tails left out."""
     x = long(spark, sf_dir).where("value IS NOT NULL")
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("symbol", "feature").orderBy("us", "event_id")) - 1)
+    x = frames.ranked(x, ["symbol", "feature"], ["us", "event_id"], F.col("hour"), "k")
     return x.select("symbol", "feature", F.expr(f"cast(k div {CHUNK} as int)").alias("win"), F.expr(f"cast(k % {CHUNK} as int) + 1").alias("i"), "value")
 
 

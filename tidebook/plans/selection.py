@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalar
 from tidebook.operators import fit, frames
 from tidebook.plans import fixtures as fx
 from tidebook.plans.registry import query
+from tidebook.sources import tables
 
 L, SL = fx.ctes("long"), fx.ctes("split_long")
 
@@ -17,9 +17,9 @@ def _tf(kind: str, offset: str = "0.0", lam: str = "1.0"):
     text = scalar.transform(kind, "x", offset, lam)
 
     def run(spark, sf):
-        return fx.long(spark, sf).where("feature IN ('level', 'signed')").select("event_id", "feature", F.col("value").alias("x")).select("event_id", "feature", F.round(F.expr(text), 7).alias("y"))
+        return fx.long(spark, sf).select("event_id", "feature", F.col("value").alias("x")).select("event_id", "feature", F.round(F.expr(text), 7).alias("y"))
 
-    sql = f"{L}, v AS (SELECT event_id, feature, value AS x FROM long WHERE feature IN ('level', 'signed')) SELECT event_id, feature, round({text}, 7) AS y FROM v"
+    sql = f"{L}, v AS (SELECT event_id, feature, value AS x FROM long) SELECT event_id, feature, round({text}, 7) AS y FROM v"
     query(f"tf_{kind}", sql)(run)
 
 
@@ -27,9 +27,11 @@ for _args in (("identity",), ("log", "10.5"), ("log1p", "10.5"), ("sqrt", "10.5"
     _tf(*_args)
 
 
-@query("zscore_clip", f"{L} SELECT event_id, round({scalar.zscore_clip('value', '50.0', '400.0')}, 9) AS z FROM long WHERE feature = 'level'")
+@query("zscore_clip", f"{L}, m AS (SELECT feature, avg(value) AS m, var_pop(value) AS v FROM long GROUP BY feature) SELECT event_id, feature, round({scalar.zscore_clip('value', 'm', 'v')}, 6) AS z FROM long JOIN m USING (feature)")
 def zscore_clip(spark, sf):
-    return fx.long(spark, sf).where("feature = 'level'").select("event_id", F.round(F.expr(scalar.zscore_clip("value", "50.0", "400.0")), 9).alias("z"))
+    x = fx.long(spark, sf)
+    of = x.groupBy("feature").agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    return x.join(F.broadcast(of), "feature").select("event_id", "feature", F.round(F.expr(scalar.zscore_clip("value", "m", "v")), 6).alias("z"))
 
 
 @query("position_from_policy", f"{fx.ctes('ev')} SELECT event_id, round({scalar.position_from_policy('sin(event_id)', '(0.05 + event_id % 10 / 10.0)', 0.5)}, 9) AS position FROM ev")
@@ -100,14 +102,23 @@ rk AS (SELECT *, list_position(['{"', '".join(fit.TRANSFORMS)}'], transform) AS
 win AS (SELECT split_id, feature, arg_min(transform, (round(score, 9), p)) AS transform, min(score) AS score FROM rk GROUP BY ALL)"""
 
 
+def _stored(spark, sf):
+    """The long table once per split with roles, written once: fits and scores read it several times."""
+    return tables.stored(fx.split_long(spark, sf), "split-long")
+
+
+def _of(x, *roles):
+    return x.where(F.col("role").isin(*roles))
+
+
 def _train(spark, sf, roles=("train",)):
-    return fx.split_long(spark, sf).where(F.col("role").isin(*roles))
+    return _of(_stored(spark, sf), *roles)
 
 
-def _scores(spark, sf):
+def _scores(rows):
     by = ["split_id", "feature"]
-    params = fit.fit_transforms(_train(spark, sf), by)
-    x = fit.transformed(_train(spark, sf, ("validation",)).where("value IS NOT NULL"), params, by)
+    params = tables.stored(fit.fit_transforms(_of(rows, "train"), by), "fits")
+    x = fit.transformed(_of(rows, "validation").where("value IS NOT NULL"), params, by)
     return fit.pearson_p_df(x.drop("value").withColumnRenamed("transformed", "value"), [*by, "transform"]).where("n >= 20")
 
 
@@ -117,24 +128,43 @@ def transform_fit(spark, sf):
     return x.select("split_id", "feature", "n", F.round("log_offset", 9).alias("log_offset"), F.round("sqrt_offset", 9).alias("sqrt_offset"), F.round("box_cox", 6).alias("box_cox"), F.round("yeo_johnson", 6).alias("yeo_johnson"))
 
 
-@query("transform_refit_full", f"{FITTED.replace(chr(39) + 'train' + chr(39) + ' AND', chr(39) + 'train' + chr(39) + ' AND feature = ' + chr(39) + 'level' + chr(39) + ' AND')} SELECT split_id, feature, n, round(box_cox, 6) AS box_cox FROM params")
-def transform_refit_full(spark, sf):
-    """The chosen transform of one feature, refitted on all its train rows."""
-    return fit.fit_transforms(_train(spark, sf).where("feature = 'level'"), ["split_id", "feature"]).select("split_id", "feature", "n", F.round("box_cox", 6).alias("box_cox"))
-
-
 @query("transform_score", f"{SCORED} SELECT split_id, feature, transform, n, round(score, 4) AS score FROM ok")
 def transform_score(spark, sf):
-    return _scores(spark, sf).withColumn("score", F.round("score", 4))
+    return _scores(_stored(spark, sf)).withColumn("score", F.round("score", 4))
 
 
 @query("vote_transforms", f"""{SCORED}, vc AS (SELECT feature, transform, count(*) AS c FROM win GROUP BY ALL)
 SELECT feature, arg_max(transform, (c, -list_position(['{"', '".join(fit.TRANSFORMS)}'], transform))) AS final, round(max(c)::DOUBLE / sum(c), 9) AS stability, sum(c)::BIGINT AS n FROM vc GROUP BY feature""")
 def vote_transforms(spark, sf):
-    x = _scores(spark, sf).withColumn("score", F.round("score", 9))
+    x = _scores(_stored(spark, sf)).withColumn("score", F.round("score", 9))
     return fit.vote(fit.winner(x, ["split_id", "feature"], "transform", fit.TRANSFORMS), ["feature"], "transform", fit.TRANSFORMS).withColumn("stability", F.round("stability", 9))
 
 
+REFIT = f"""{SCORED}, vc AS (SELECT feature, transform, count(*) AS c FROM win GROUP BY ALL), chosen AS (SELECT feature, arg_max(transform, (c, -list_position(['{"', '".join(fit.TRANSFORMS)}'], transform))) AS final FROM vc GROUP BY feature)
+SELECT split_id, feature, final, n, round(CASE final WHEN 'box_cox' THEN box_cox WHEN 'yeo_johnson' THEN yeo_johnson END, 6) AS lambda, round(CASE final WHEN 'log' THEN log_offset WHEN 'sqrt' THEN sqrt_offset END, 9) AS offset_ FROM params JOIN chosen USING (feature)"""
+
+
+def _refit(spark, sf, roles):
+    rows = _stored(spark, sf)
+    chosen = fit.vote(fit.winner(_scores(rows).withColumn("score", F.round("score", 9)), ["split_id", "feature"], "transform", fit.TRANSFORMS), ["feature"], "transform", fit.TRANSFORMS).select("feature", "final")
+    params = fit.fit_transforms(_of(rows, *roles), ["split_id", "feature"])
+    lam = F.when(F.col("final") == "box_cox", F.col("box_cox")).when(F.col("final") == "yeo_johnson", F.col("yeo_johnson"))
+    offset = F.when(F.col("final") == "log", F.col("log_offset")).when(F.col("final") == "sqrt", F.col("sqrt_offset"))
+    return params.join(chosen, "feature").select("split_id", "feature", "final", "n", F.round(lam, 6).alias("lambda"), F.round(offset, 9).alias("offset_"))
+
+
+@query("transform_refit_full", REFIT)
+def transform_refit_full(spark, sf):
+    """Each feature's voted transform, refitted on all train rows of each split."""
+    return _refit(spark, sf, ("train",))
+
+
+@query("transform_refit_all_roles")
+def transform_refit_all_roles(spark, sf):
+    """The same on the rows of all roles."""
+    return _refit(spark, sf, ("train", "train_warmup", "validation", "test"))
+
+
 # exponentially weighted scaling
 
 TR = "role IN ('train', 'train_warmup')"
@@ -146,13 +176,13 @@ state AS (SELECT split_id, feature, symbol, half_life, any_value(n) AS n, sum(w
 KEY = ["split_id", "feature", "symbol"]
 
 
-def _states(spark, sf):
-    return fit.ewma_state(_train(spark, sf, ("train", "train_warmup")), KEY)
+def _states(rows):
+    return fit.ewma_state(_of(rows, "train", "train_warmup"), KEY)
 
 
 @query("scaler_state", f"{STATE} SELECT split_id, feature, symbol, half_life, n, round(mean, 7) AS mean, round(var, 5) AS var FROM state")
 def scaler_state(spark, sf):
-    return _states(spark, sf).select(*KEY, "half_life", "n", F.round("mean", 7).alias("mean"), F.round("var", 5).alias("var"))
+    return _states(_stored(spark, sf)).select(*KEY, "half_life", "n", F.round("mean", 7).alias("mean"), F.round("var", 5).alias("var"))
 
 
 HALF = f"""{STATE}, zz AS (SELECT split_id, feature, symbol, half_life, {scalar.zscore_clip("value", "mean", "var")} AS z FROM split_long JOIN state USING (split_id, feature, symbol) WHERE role = 'validation' AND value IS NOT NULL),
@@ -160,7 +190,8 @@ HALF = f"""{STATE}, zz AS (SELECT split_id, feature, symbol, half_life, {scalar.
 
 
 def _half_scores(spark, sf):
-    x = _train(spark, sf, ("validation",)).where("value IS NOT NULL").join(_states(spark, sf).drop("n"), KEY)
+    rows = _stored(spark, sf)
+    x = _of(rows, "validation").where("value IS NOT NULL").join(_states(rows).drop("n"), KEY)
     x = x.select(*KEY, "half_life", F.expr(scalar.zscore_clip("value", "mean", "var")).alias("value"))
     return fit.pearson_p_df(x, [*KEY, "half_life"])
 
@@ -186,32 +217,34 @@ A = 1 - 2 ** (-1 / HL)
 
 @query(
     "ewma_standardize",
-    f"""WITH RECURSIVE {fx.ctes("split_long").removeprefix("WITH ")}, b AS (SELECT split_id, symbol, us, event_id, value, {TR} AS upd, sum(({TR})::INT) OVER (PARTITION BY split_id, symbol ORDER BY us, event_id) AS k FROM split_long WHERE feature = 'level'),
-u AS MATERIALIZED (SELECT split_id, symbol, k, value AS x FROM b WHERE upd),
-r AS (SELECT split_id, symbol, k, x AS m, 0.0::DOUBLE AS v FROM u WHERE k = 1 UNION ALL SELECT u.split_id, u.symbol, u.k, r.m + {scalar.num(A)} * (u.x - r.m), (1 - {scalar.num(A)}) * (r.v + {scalar.num(A)} * (u.x - r.m) * (u.x - r.m)) FROM r JOIN u ON u.split_id = r.split_id AND u.symbol = r.symbol AND u.k = r.k + 1)
-SELECT b.split_id, b.event_id, round(CASE WHEN b.k = 0 THEN value WHEN b.k = 1 AND upd THEN 0.0 ELSE {scalar.zscore_clip("value", "r.m", "r.v")} END, 5) AS z FROM b LEFT JOIN r ON r.split_id = b.split_id AND r.symbol = b.symbol AND r.k = b.k""",
+    f"""WITH RECURSIVE {fx.ctes("split_long").removeprefix("WITH ")}, b AS (SELECT split_id, feature, symbol, us, event_id, value, {TR} AS upd, sum(({TR})::INT) OVER (PARTITION BY split_id, feature, symbol ORDER BY us, event_id) AS k FROM split_long WHERE value IS NOT NULL),
+u AS MATERIALIZED (SELECT split_id, feature, symbol, k, value AS x FROM b WHERE upd),
+r AS (SELECT split_id, feature, symbol, k, x AS m, 0.0::DOUBLE AS v FROM u WHERE k = 1 UNION ALL
+ SELECT u.split_id, u.feature, u.symbol, u.k, r.m + {scalar.num(A)} * (u.x - r.m), (1 - {scalar.num(A)}) * (r.v + {scalar.num(A)} * (u.x - r.m) * (u.x - r.m)) FROM r JOIN u ON u.split_id = r.split_id AND u.feature = r.feature AND u.symbol = r.symbol AND u.k = r.k + 1)
+SELECT b.split_id, b.feature, b.event_id, round(CASE WHEN b.k = 0 THEN value WHEN b.k = 1 AND upd THEN 0.0 ELSE {scalar.zscore_clip("value", "r.m", "r.v")} END, 5) AS z
+FROM b LEFT JOIN r ON r.split_id = b.split_id AND r.feature = b.feature AND r.symbol = b.symbol AND r.k = b.k""",
 )
 def ewma_standardize(spark, sf):
-    """z-scores in time order; only train and warm-up rows move the state, others take the last one. Blocked scan, no sequential task."""
-    key = ["split_id", "symbol"]
-    w = Window.partitionBy(*key).orderBy("us", "event_id")
-    x = fx.split_long(spark, sf).where("feature = 'level'").withColumn("upd", F.col("role").isin("train", "train_warmup"))
-    x = x.withColumn("k", F.sum(F.col("upd").cast("long")).over(w)).withColumn("c", F.avg("value").over(Window.partitionBy(*key)))
+    """z-scores in time order; only train and warm-up rows move the state, others take the last one. Blocked sums and scans, no task holds a series."""
+    key = KEY
+    x = _stored(spark, sf).where("value IS NOT NULL").withColumn("upd", F.col("role").isin("train", "train_warmup"))
+    x = frames.running(x, key, ["us", "event_id"], F.col("hour"), F.col("upd").cast("long"), "k")
+    x = tables.stored(x.join(x.groupBy(*key).agg(F.avg("value").alias("c")), key), "updates")
     # centred by the series' mean, so that the variance as a difference of means loses nothing
     u = x.where("upd").select(*key, (F.col("k") - 1).alias("idx"), (F.col("value") - F.col("c")).alias("d")).withColumn("q", F.col("d") * F.col("d"))
     s = frames.ewma_scan(u, key, "idx", ["d", "q"], HL).select(*key, (F.col("idx") + 1).alias("k"), F.col("ewma_d").alias("md"), F.greatest(F.col("ewma_q") - F.col("ewma_d") * F.col("ewma_d"), F.lit(0.0)).alias("v"))
     y = x.join(s, [*key, "k"], "left")
     z = F.expr(scalar.zscore_clip("value", "(c + md)", "v"))
     z = F.when(F.col("k") == 0, F.col("value")).when((F.col("k") == 1) & F.col("upd"), 0.0).otherwise(z)
-    return y.select("split_id", "event_id", F.round(z, 5).alias("z"))
+    return y.select("split_id", "feature", "event_id", F.round(z, 5).alias("z"))
 
 
 # summaries
 
 
-@query("metric_summary", f"{L} SELECT feature AS metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, median(value) AS median FROM long WHERE feature IN ('level', 'signed') GROUP BY feature")
+@query("metric_summary", f"{L} SELECT feature AS metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, median(value) AS median FROM long GROUP BY feature")
 def metric_summary(spark, sf):
-    return fx.long(spark, sf).where("feature IN ('level', 'signed')").groupBy(F.col("feature").alias("metric")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.median("value").alias("median"))
+    return fx.long(spark, sf).groupBy(F.col("feature").alias("metric")).agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.median("value").alias("median"))
 
 
 @query("config_select", f"{SL}, m AS (SELECT feature AS config, split_id, var_pop(value) AS loss FROM split_long WHERE role = 'validation' GROUP BY ALL), a AS (SELECT config, round(avg(loss), 6) AS mean_loss, count(*) AS n FROM m GROUP BY config) SELECT *, mean_loss = min(mean_loss) OVER () AS best FROM a")

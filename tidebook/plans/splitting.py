@@ -248,8 +248,8 @@ def fold_tables(spark, sf):
 
 def stamped(spark, sf):
     f, s = fold_tables(spark, sf)
-    x = splits.assign_folds(fx.events(spark, sf), f)
-    return splits.with_roles(x, splits.plan_of(s, splits.ranges(f, s, SPAN, SPAN)))
+    f = tables.stored(f, "folds")
+    return splits.with_roles(fx.events(spark, sf), tables.stored(splits.pieces(f, s, splits.ranges(f, s, SPAN, SPAN)), "pieces"), s)
 
 
 @query("timeline_split", f"{LINE} SELECT us, idx, part FROM line")
@@ -364,10 +364,7 @@ def set_intersect_feats(spark, sf):
 
 
 def _folder(spark) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidebook-")
-    return f"{base.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    return tables.folder(spark, "sink")
 
 
 @query("sink_append_ts", f"{E} SELECT (us // {DAY})::INT AS day, count(*) AS n, min(us) AS first_us FROM ev GROUP BY ALL")

@@ -49,12 +49,22 @@ def book_snapshot(spark, sf):
     return _asof(spark, sf).groupBy("symbol", "grid_us").agg(F.count_if(buy).alias("n_bids"), F.count_if(sell).alias("n_asks"), F.max(F.when(buy, F.col("price"))).alias("best_bid"), F.min(F.when(sell, F.col("price"))).alias("best_ask"))
 
 
+SLICES = 6
+
+
+def in_order(spark, x):
+    """A table as a stream of files in order of time, one file a batch: so a batch, and what a key has in it, is bounded by a file's size."""
+    path = _folder(spark)
+    lo, hi = x.agg(F.min("us"), F.max("us")).first()
+    for k in range(SLICES):
+        a, b = (lo + (hi + 1 - lo) * j // SLICES for j in (k, k + 1))
+        x.where((F.col("us") >= a) & (F.col("us") < b)).coalesce(1).sortWithinPartitions("us").write.mode("append").option("maxRecordsPerFile", 1_000_000).parquet(path)
+    return spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream(spark, sf, columns: list[str]):
     """Events as a stream of files written from the table, with ts as a timestamp."""
-    path = _folder(spark)
-    x = fx.events(spark, sf).withColumn("ts", F.timestamp_micros("us")).select(*columns)
-    x.write.parquet(path)
-    return spark.readStream.schema(x.schema).parquet(path)
+    return in_order(spark, fx.events(spark, sf).withColumn("ts", F.timestamp_micros("us"))).select(*columns)
 
 
 def _run(spark, df):
@@ -90,9 +100,10 @@ def stream_ewma(spark, sf):
     return _run(spark, s.online_scaler(stream(spark, sf, ["event_id", "symbol", "us", "value"]))).withColumn("z", F.round("z", 6))
 
 
-@query("book_state")
+STATES = U.replace(f"SELECT DISTINCT symbol, (us // {GRID} + 1) * {GRID} AS grid_us FROM ev", f"SELECT symbol, unnest(range(min((us + {GRID - 1}) // {GRID}), max((us + {GRID - 1}) // {GRID}))) * {GRID} AS grid_us FROM ev GROUP BY symbol")
+
+
+@query("book_state", f"{STATES} SELECT symbol, grid_us, sum((side = 'Buy')::INT)::INT AS n_bids, sum((side = 'Sell')::INT)::INT AS n_asks, max(CASE WHEN side = 'Buy' THEN price END) AS best_bid, min(CASE WHEN side = 'Sell' THEN price END) AS best_ask FROM bk GROUP BY ALL")
 def book_state(spark, sf):
-    path = _folder(spark)
-    u = updates(spark, sf)
-    u.write.parquet(path)
-    return _run(spark, s.snapshots(spark.readStream.schema(u.schema).parquet(path), GRID))
+    """Every grid time that a symbol's updates have passed, as the as-of form gives it."""
+    return _run(spark, s.snapshots(in_order(spark, updates(spark, sf)), GRID))

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook import schemas
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared storage that spark.checkpoint.dir names. In local mode that may be unset; on a cluster it must not be."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidebook-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Written to the shared folder and read back, so that what follows doesn't work it out again."""
+    path = folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parse_lob(raw: DataFrame) -> DataFrame:
     """Raw book rows (texts) to typed ones; rows with any null, or that don't parse, go."""
     side = lambda c: F.from_json(c, "array<array<double>>")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.operators import frames
+
 L2 = "symbol string, seq long, us long, action string, id long, price double, size double, side string"
 
 
@@ -19,15 +22,16 @@ def book_asof(updates: DataFrame, grid: DataFrame, bucket_us: int = 3_600_000_00
     epoch; a grid time takes the life and the last update that it falls into. Lives and grid times meet by buckets of
     time, so that no symbol's rows are paired with all of its grid. updates: symbol, seq, us, action, ...
     """
-    w = Window.partitionBy("symbol").orderBy("us", "seq")
-    x = updates.withColumn("epoch", F.sum((F.col("action") == "partial").cast("int")).over(w)).where("epoch > 0")
+    # an epoch's number is a running sum over buckets of time, so that no task holds a symbol
+    bucket = F.floor(F.col("us") / bucket_us)
+    events = frames.running(updates, ["symbol"], ["us", "seq"], bucket, (F.col("action") == "partial").cast("int"), "epoch")
+    x = events.where("epoch > 0")
     level = Window.partitionBy("symbol", "epoch", "id").orderBy("us", "seq")
     x = x.withColumn("life", F.sum(F.col("action").isin("partial", "insert", "delete").cast("int")).over(level))
     one = Window.partitionBy("symbol", "epoch", "id", "life").orderBy("us", "seq")
     x = x.withColumn("born", F.first("action").over(one)).where("born IN ('partial', 'insert') AND action <> 'delete'")
     x = x.withColumn("price", F.first("price").over(one)).withColumn("side", F.first("side").over(one))
     # each row holds from its time until the next event of the id or the next epoch's start
-    events = updates.withColumn("epoch", F.sum((F.col("action") == "partial").cast("int")).over(w))
     nxt = events.withColumn("until", F.lead("us").over(level)).select("symbol", "id", "us", "seq", "until")
     part = Window.partitionBy("symbol").orderBy("epoch")
     epochs = events.where("epoch > 0").groupBy("symbol", "epoch").agg(F.min("us").alias("_start")).withColumn("epoch_end", F.lead("_start").over(part)).drop("_start")
@@ -53,54 +57,69 @@ def apply_updates(book: dict[int, tuple[float, float, str]], rows: list[tuple])
             book.pop(i, None)
 
 
-STATE = "ids array<long>, prices array<double>, sizes array<double>, sides array<string>, last_grid long"
+STATE = "ids array<long>, prices array<double>, sizes array<double>, sides array<string>, begun boolean, tick long"
 SNAPSHOT = "symbol string, grid_us long, n_bids int, n_asks int, best_bid double, best_ask double"
 
 
 def snapshots(updates: DataFrame, interval_us: int = 30_000_000) -> DataFrame:
-    """Streaming: a book per symbol kept as state; a snapshot at each grid time that updates have passed, none before the first book."""
+    """Streaming: a book per symbol kept as state; a snapshot at every grid time that updates have passed, none before the first book or of an empty one.
+
+    A snapshot holds the updates up to and at its time. Batches must come in order of time (bound them by files of the
+    source); a batch's rows of a symbol are put in order before they are applied.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        book, last = {}, None
+        book, begun, tick = {}, False, None
         if state.exists:
-            ids, prices, sizes, sides, last = state.get
+            ids, prices, sizes, sides, begun, tick = state.get
             book = dict(zip(ids, zip(prices, sizes, sides, strict=True), strict=True))
         rows = pd.concat(list(frames)).sort_values(["us", "seq"])
         out = []
         for us, action, i, price, size, side in rows[["us", "action", "id", "price", "size", "side"]].itertuples(index=False):
-            cell = us // interval_us
-            if last is not None and cell > last:
+            own = -(-us // interval_us)  # the first grid time that has this update
+            if book and tick is not None and own > tick:
                 bids, asks = ([p for p, _, s in book.values() if s == side_] for side_ in ("Buy", "Sell"))
-                if book:
-                    out.append((key[0], cell * interval_us, len(bids), len(asks), max(bids, default=None), min(asks, default=None)))
-            last = cell
-            apply_updates(book, [(action, int(i), price, size, side)])
-        state.update((list(book), [v[0] for v in book.values()], [v[1] for v in book.values()], [v[2] for v in book.values()], last))
+                figures = len(bids), len(asks), max(bids, default=None), min(asks, default=None)
+                out += [(key[0], t * interval_us, *figures) for t in range(tick, own)]
+            tick = own
+            begun = begun or action == "partial"
+            if begun:
+                apply_updates(book, [(action, int(i), price, size, side)])
+        state.update((list(book), [v[0] for v in book.values()], [v[1] for v in book.values()], [v[2] for v in book.values()], begun, tick))
         yield pd.DataFrame(out, columns=["symbol", "grid_us", "n_bids", "n_asks", "best_bid", "best_ask"])
 
     return updates.groupBy("symbol").applyInPandasWithState(run, SNAPSHOT, STATE, "append", "NoTimeout")
 
 
+def scaled(x: np.ndarray, mean: float, var: float, n: int, alpha: float, block: int = 256) -> tuple[np.ndarray, float, float]:
+    """z-scores of values in order after a state of n values, and the state after them; each block is one vector step."""
+    out, beta = np.zeros(len(x)), 1 - alpha
+    lo = 0
+    if n == 0 and len(x):
+        mean, var, lo = float(x[0]), 0.0, 1
+    up = beta ** np.arange(1, block + 1)
+    for a in range(lo, len(x), block):
+        v = x[a : a + block]
+        k = up[: len(v)]
+        # the mean as a weighted sum from the block's start; the variance is one of the squared steps
+        means = k * (mean + alpha * np.cumsum(v / k))
+        steps = v - np.concatenate([[mean], means[:-1]])
+        vars_ = k * (var + alpha * np.cumsum(beta * steps * steps / k))
+        out[a : a + block] = np.clip((v - means) / np.sqrt(vars_ + 1e-12), -3.0, 3.0)
+        mean, var = float(means[-1]), float(vars_[-1])
+    return out, mean, var
+
+
 def online_scaler(rows: DataFrame, half_life: float = 20) -> DataFrame:
-    """Streaming z-scores per series: state (mean, var, n) goes on across batches as one would update it row by row."""
+    """Streaming z-scores per series: state (mean, var, n) goes on across batches as one would update it row by row. Batches must come in order of time."""
     alpha = 1 - 2 ** (-1 / half_life)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         mean, var, n = state.get if state.exists else (0.0, 0.0, 0)
         x = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        out = []
-        for v in x["value"]:
-            if n == 0:
-                mean, var, z = v, 0.0, 0.0
-            else:
-                d = v - mean
-                mean += alpha * d
-                var = (1 - alpha) * (var + alpha * d * d)
-                z = max(-3.0, min(3.0, (v - mean) / (var + 1e-12) ** 0.5))
-            n += 1
-            out.append(z)
-        state.update((mean, var, n))
-        yield pd.DataFrame({"symbol": key[0], "event_id": x["event_id"].to_numpy(), "z": out})
+        z, mean, var = scaled(x["value"].to_numpy(float), mean, var, n, alpha)
+        state.update((mean, var, n + len(x)))
+        yield pd.DataFrame({"symbol": key[0], "event_id": x["event_id"].to_numpy(), "z": z})
 
     return rows.groupBy("symbol").applyInPandasWithState(run, "symbol string, event_id long, z double", "mean double, var double, n long", "append", "NoTimeout")
 
