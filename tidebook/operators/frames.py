@@ -78,12 +78,12 @@ def running(df: DataFrame, by: list[str], order: list[str], bucket: Column, valu
 
 
 def lagged(df: DataFrame, by: list[str], idx: str, columns: dict[str, tuple[str, int]], block: int = 4096) -> DataFrame:
-    """name -> (column, lag) over a rank 0, 1, ... by key: blocks of ranks are windows of their own, and a block's last rows go with the next one too."""
-    reach = max(n for _, n in columns.values())
-    blk = F.floor(F.col(idx) / block)
-    x = df.withColumn("_blk", F.explode(F.when(F.col(idx) % block >= block - reach, F.array(blk, blk + 1)).otherwise(F.array(blk))))
+    """name -> (column, lag; negative: lead) over a rank 0, 1, ... by key: blocks of ranks are windows of their own, and rows near a block's end go with its neighbour too."""
+    back, ahead = (max([0, *(sign * n for _, n in columns.values())]) for sign in (1, -1))
+    blk, at = F.floor(F.col(idx) / block), F.col(idx) % block
+    x = df.withColumn("_blk", F.explode(F.array_compact(F.array(blk, F.when(at >= block - back, blk + 1), F.when((at < ahead) & (blk > 0), blk - 1)))))
     w = Window.partitionBy(*by, "_blk").orderBy(idx)
-    x = x.withColumns({name: F.lag(c, n).over(w) for name, (c, n) in columns.items()})
+    x = x.withColumns({name: F.lag(c, n).over(w) if n > 0 else F.lead(c, -n).over(w) for name, (c, n) in columns.items()})
     return x.where(F.col("_blk") == blk).drop("_blk")
 
 

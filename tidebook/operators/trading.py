@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.operators import frames
+
 #: Fee regimes of the account: name, fee per unit of position change (negative: a rebate), whether the position is held at one.
 REGIMES = (("buy_and_hold", 0.0, True), ("maker", 0.0, False), ("taker", 0.001, False), ("rebate", -0.00025, False))
 VOL_ROWS, VOL_LEAST, VOL_DEFAULT, VOL_FLOOR = 30, 5, 0.002, 1e-5
@@ -65,14 +67,15 @@ def directional_bonus(size: float = 2e-6) -> Column:
 
 
 def episode_metrics(df: DataFrame, by: list[str] = EPISODE, fee: float = 0.001) -> DataFrame:
-    """One row per episode: realised and net P&L, cost, trades, range of running P&L, drawdown, exposure."""
+    """One row per episode: realised and net P&L, cost, P&L over cost, trades and their share of steps, range of running P&L, drawdown, exposure, uncertainty, and the return of each fee regime."""
     w = step_window(by)
     x = with_pnl(df, fee, by)
     x = x.withColumn("realised", F.coalesce(F.lag("position").over(w) * F.lag("target").over(w), F.lit(0.0)))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("net", F.sum(F.col("realised") - F.col("cost")).over(upto))
     x = x.withColumn("peak", F.max("net").over(upto))
-    return x.groupBy(*by).agg(
+    regimes = {n: F.sum(F.col("target") if hold else F.col("gross") - own * F.col("change")).alias(n) for n, own, hold in REGIMES}
+    out = x.groupBy(*by).agg(
         F.count("*").alias("steps"),
         F.sum("realised").alias("realised_pnl"),
         F.sum("cost").alias("total_cost"),
@@ -83,7 +86,12 @@ def episode_metrics(df: DataFrame, by: list[str] = EPISODE, fee: float = 0.001)
         F.max(F.abs("position")).alias("max_position"),
         F.avg(F.abs("position")).alias("mean_position"),
         F.sum("reward").alias("total_reward"),
+        F.avg("position_std").alias("mean_std"),
+        F.min("position_std").alias("min_std"),
+        F.max("position_std").alias("max_std"),
+        *regimes.values(),
     )
+    return out.withColumns({"pnl_per_cost": F.when(F.col("total_cost") > 1e-12, F.col("net_pnl") / F.col("total_cost")).otherwise(0.0), "trade_frequency": F.col("trades") / F.col("steps")})
 
 
 def sharpe(ret: str, annualise: float | None = None) -> Column:
@@ -93,9 +101,11 @@ def sharpe(ret: str, annualise: float | None = None) -> Column:
     return out * annualise**0.5 if annualise else out
 
 
-def sequences(df: DataFrame, by: list[str], order: list[str], length: int, column: str) -> DataFrame:
-    """Consecutive runs of a fixed length as arrays in order; an incomplete tail is dropped."""
-    k = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    x = df.withColumn("_k", k).withColumn("seq", F.floor(F.col("_k") / length).cast("int"))
+def sequences(df: DataFrame, by: list[str], order: list[str], length: int, column: str, bucket: Column, stride: int | None = None) -> DataFrame:
+    """Runs of a fixed length as arrays in order, one every ``stride`` rows (end to end where it isn't given); incomplete ones are dropped. bucket grows with the order."""
+    stride = stride or length
+    x = frames.ranked(df, by, order, bucket, "_k")
+    first, last = F.greatest(F.ceil((F.col("_k") - length + 1) / stride), F.lit(0)), F.floor(F.col("_k") / stride)
+    x = x.where(first <= last).withColumn("seq", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     x = x.groupBy(*by, "seq").agg(F.array_sort(F.collect_list(F.struct("_k", column))).alias("_s"))
     return x.where(F.size("_s") == length).select(*by, "seq", F.transform("_s", lambda s: s[column]).alias(column))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidebook.operators import frames
 from tidebook.operators import quality as q
 from tidebook.operators import stats
 from tidebook.plans import fixtures as fx
@@ -12,13 +13,13 @@ from tidebook.plans.registry import query
 from tidebook.plans.statistics import acf_ctes
 
 VOCAB, LENGTH = 16, 120
+RBF_ROWS = 5000
 D = 64
 
 
 def codes(spark, sf):
     """event_id, symbol, sample (0 original, 1 other), seq, pos, code: 16 codes from the values, sequences of 120."""
-    w = Window.partitionBy("symbol").orderBy("us", "event_id")
-    x = fx.events(spark, sf).withColumn("k", F.row_number().over(w) - 1).withColumn("code", F.expr(f"cast(pmod(floor(value * 100), {VOCAB}) as int)"))
+    x = frames.ranked(fx.events(spark, sf), ["symbol"], ["us", "event_id"], F.col("hour"), "k").withColumn("code", F.expr(f"cast(pmod(floor(value * 100), {VOCAB}) as int)"))
     return x.select("event_id", "symbol", "us", "value", F.expr(f"cast(k div {LENGTH} as int)").alias("seq"), F.expr(f"cast(k % {LENGTH} as int)").alias("pos"), F.expr(f"cast(k div {LENGTH} % 2 as int)").alias("sample"), "code")
 
 
@@ -198,8 +199,8 @@ _pair = f"""{C}, av AS (SELECT symbol AS symbol, sample AS feature, 0 AS win, ro
 
 def _series(spark, sf, absolute):
     v = F.abs(F.col("value") - 50) if absolute else F.col("value")
-    i = F.row_number().over(Window.partitionBy("symbol", "sample").orderBy("us", "event_id"))
-    return codes(spark, sf).select("symbol", "sample", i.alias("i"), v.alias("value"))
+    x = frames.ranked(codes(spark, sf), ["symbol", "sample"], ["us", "event_id"], F.floor(F.col("us") / frames.HOUR_US), "i")
+    return x.select("symbol", "sample", (F.col("i") + 1).alias("i"), v.alias("value"))
 
 
 def _acf_compare(absolute: bool):
@@ -260,34 +261,32 @@ def cosine_rows(spark, sf):
     "mmd",
     f"""{V}, sm AS (SELECT i, sum(CASE WHEN sample = 0 THEN value END) AS s0, sum(CASE WHEN sample = 1 THEN value END) AS s1, sum(CASE WHEN sample = 0 THEN value * value END) AS q0, sum(CASE WHEN sample = 1 THEN value * value END) AS q1, sum((sample = 0)::INT)::DOUBLE AS n0, sum((sample = 1)::INT)::DOUBLE AS n1 FROM vx GROUP BY i),
 ln AS (SELECT (sum(s0 * s0) - sum(q0)) / (max(n0) * (max(n0) - 1)) + (sum(s1 * s1) - sum(q1)) / (max(n1) * (max(n1) - 1)) - 2 * sum(s0 * s1) / (max(n0) * max(n1)) AS m FROM sm),
-hs AS (SELECT vec_id, sample, v FROM vec WHERE ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT % (SELECT greatest(1, count(*) // 1000) FROM vec) = 0),
+hs AS (SELECT vec_id, sample, v FROM vec WHERE ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT < (SELECT {RBF_ROWS}::DOUBLE / count(*) FROM vec) * 4294967296),
 kk AS (SELECT a.sample AS s, b.sample AS t, exp(-list_sum(list_transform(range(1, {D} + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) / {D}) AS k FROM hs a JOIN hs b ON a.vec_id <> b.vec_id)
 SELECT 'linear' AS kernel, round(m, 7) AS mmd2 FROM ln UNION ALL SELECT 'rbf', round(avg(CASE WHEN s = 0 AND t = 0 THEN k END) + avg(CASE WHEN s = 1 AND t = 1 THEN k END) - 2 * avg(CASE WHEN s <> t THEN k END), 7) FROM kk""",
 )
 def mmd(spark, sf):
-    """Linear over all vectors; Gaussian over a hashed sample of about 1000 (its definition has a bounded sample)."""
+    """Linear over all vectors; Gaussian over about RBF_ROWS of them by digest (its definition has that bound), or all if there are fewer."""
     x = vectors(spark, sf)
-    share = max(1, x.count() // 1000)
-    some = x.where(F.pmod(F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(share)) == 0)
+    some = x.where(F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 8), 16, 10).cast("long") < RBF_ROWS / max(1, x.count()) * 2.0**32)
     both = q.mmd_linear(x).select(F.lit("linear").alias("kernel"), "mmd2").unionByName(q.mmd_rbf(some, "vec_id", 1.0 / D, 8).select(F.lit("rbf").alias("kernel"), "mmd2"))
     return both.withColumn("mmd2", F.round("mmd2", 7))
 
 
 @query(
     "corr_distance",
-    f"""{VN}, lg AS (SELECT vec_id, sample, i, ln(value + 1e-10) AS l FROM vx WHERE i < 12), cl AS (SELECT vec_id, sample, i, l - avg(l) OVER (PARTITION BY vec_id) AS c FROM lg),
+    f"""{VN}, lg AS (SELECT vec_id, sample, i, ln(value + 1e-10) AS l FROM vx), cl AS (SELECT vec_id, sample, i, l - avg(l) OVER (PARTITION BY vec_id) AS c FROM lg),
 cr AS (SELECT a.i, b.i AS j, coalesce(corr(CASE WHEN a.sample = 0 THEN a.c END, CASE WHEN b.sample = 0 THEN b.c END), 0) AS r0, coalesce(corr(CASE WHEN a.sample = 1 THEN a.c END, CASE WHEN b.sample = 1 THEN b.c END), 0) AS r1 FROM cl a JOIN cl b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i)
-SELECT round(sqrt(2 * sum((r0 - r1) * (r0 - r1))), 6) AS frobenius, round(2 * sum(abs(r0 - r1)) / 144, 7) AS mean_abs, round(max(abs(r0 - r1)), 7) AS max_abs FROM cr""",
+SELECT round(sqrt(2 * sum((r0 - r1) * (r0 - r1))), 6) AS frobenius, round(2 * sum(abs(r0 - r1)) / {D * D}, 7) AS mean_abs, round(max(abs(r0 - r1)), 7) AS max_abs FROM cr""",
 )
 def corr_distance(spark, sf):
-    """Correlation matrices of the log-ratio transformed first twelve dimensions, sample against sample."""
+    """Correlation matrices of the log-ratio transformed vectors, sample against sample."""
     from tidebook.operators.book import clr
 
-    x = simplex(spark, sf).withColumn("v", F.slice("v", 1, 12)).withColumn("v", clr("v"))
-    r = q.correlations(x, ["sample"], 12)
+    r = q.correlations(simplex(spark, sf).withColumn("v", clr("v")), ["sample"], D)
     a, b = (r.where(F.col("sample") == s).select("i", "j", F.col("r").alias(n)) for s, n in ((0, "r0"), (1, "r1")))
     d = F.col("r0") - F.col("r1")
-    return a.join(b, ["i", "j"]).agg(F.round(F.sqrt(2 * F.sum(d * d)), 6).alias("frobenius"), F.round(2 * F.sum(F.abs(d)) / 144, 7).alias("mean_abs"), F.round(F.max(F.abs(d)), 7).alias("max_abs"))
+    return a.join(b, ["i", "j"]).agg(F.round(F.sqrt(2 * F.sum(d * d)), 6).alias("frobenius"), F.round(2 * F.sum(F.abs(d)) / (D * D), 7).alias("mean_abs"), F.round(F.max(F.abs(d)), 7).alias("max_abs"))
 
 
 BOOKK = f"{V}, cb AS (SELECT label AS code, list_transform(range(1, {D} + 1), lambda i: avg_v[i]) AS e FROM (SELECT label, [{', '.join(f'avg(embedding[{i}]::DOUBLE)' for i in range(1, D + 1))}] AS avg_v FROM embeddings GROUP BY label)), ds AS (SELECT vec_id, code, round(list_sum(list_transform(range(1, {D} + 1), lambda i: (v[i] - e[i]) * (v[i] - e[i]))), 9) AS d FROM vec, cb), bs AS (SELECT vec_id, arg_min(code, (d, code)) AS code, min(d) AS distance FROM ds GROUP BY vec_id)"

@@ -44,13 +44,18 @@ def json_parse(spark, sf):
 
 @query(
     "src_incremental_files",
-    f"{E}, f AS (SELECT 'day-' || (us // {DAY} - 19723)::VARCHAR || '.parquet' AS filename FROM ev) SELECT filename, 'book' AS type, count(*)::INT AS record_count FROM f WHERE filename NOT IN ('day-0.parquet', 'day-3.parquet') GROUP BY filename",
+    f"""{E}, f AS (SELECT us // {DAY} - 19723 AS d, count(*) AS n FROM ev GROUP BY d), a AS (SELECT d, n FROM f UNION ALL SELECT -1, 0)
+SELECT 'day-' || d || '.parquet' AS filename, 'book' AS type, n::INT AS record_count FROM a WHERE d NOT IN (0, 3)""",
 )
 def src_incremental_files(spark, sf):
-    """Daily files of events, less those in the log; what the run adds to the log."""
-    files = fx.events(spark, sf).select(F.expr(f"concat('day-', us div {DAY} - 19723, '.parquet')").alias("filename"))
+    """A folder with a file a day, an empty one and a damaged one: what a run reads, and adds to the log. Logged files aren't read again, the damaged one is left for the next run."""
+    path = _folder(spark)
+    days = fx.events(spark, sf).withColumn("day", F.expr(f"us div {DAY} - 19723")).select("event_id", "us", "value", "day")
+    tables.write_files(days, path, "day", lambda d: f"day-{d}.parquet")
+    tables.write_files(days.where("false"), path, None, lambda d: "day--1.parquet")
+    tables.write_bytes(spark, f"{path}/day-99.parquet", b"not parquet")
     log = spark.createDataFrame([("day-0.parquet", "book", 1), ("day-3.parquet", "book", 1)], "filename string, type string, record_count int")
-    return tables.log_rows(tables.unlogged(files, log), "book")
+    return tables.ingested(spark, path, log, "book", days.drop("day").schema)[1]
 
 
 @query("src_time_range", f"{E} SELECT event_id, us, value FROM ev WHERE us >= {T0 + 5 * DAY} AND us < {T0 + 9 * DAY}")
@@ -141,8 +146,8 @@ def classify_features(spark, sf):
 @query("stride_sample", f"{L}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, feature ORDER BY us, event_id) - 1 AS k, CASE WHEN feature LIKE '%logret%' THEN coalesce(nullif(regexp_extract(feature, '_(\\d+)', 1), '')::INT, 1) ELSE 1 END AS n FROM long) SELECT event_id, feature, round(value, 9) AS value FROM r WHERE k % n = 0")
 def stride_sample(spark, sf):
     n = F.when(F.col("feature").rlike("logret"), F.coalesce(F.expr("try_cast(nullif(regexp_extract(feature, '_(\\\\d+)', 1), '') as int)"), F.lit(1))).otherwise(1)
-    k = F.row_number().over(Window.partitionBy("symbol", "feature").orderBy("us", "event_id")) - 1
-    return fx.long(spark, sf).withColumn("k", k).where(F.col("k") % n == 0).select("event_id", "feature", F.round("value", 9).alias("value"))
+    x = frames.ranked(fx.long(spark, sf), ["symbol", "feature"], ["us", "event_id"], F.col("hour"), "k")
+    return x.where(F.col("k") % n == 0).select("event_id", "feature", F.round("value", 9).alias("value"))
 
 
 @query("filter_min_samples", f"{fx.ctes('windows')} SELECT symbol, feature, win, count(value) AS n FROM windows GROUP BY ALL HAVING count(value) >= 30")
@@ -374,17 +379,25 @@ def sink_append_ts(spark, sf):
     return spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"), F.min("us").alias("first_us"))
 
 
-@query("sink_append_dedup", f"{E} SELECT symbol, count(*) AS n, sum(event_id) AS ids FROM ev WHERE event_id % 3 <> 0 GROUP BY symbol")
+@query("sink_append_dedup", f"{E} SELECT symbol, count(*) AS n, sum(event_id)::BIGINT AS ids FROM ev GROUP BY symbol")
 def sink_append_dedup(spark, sf):
-    """Twice the same rows onto a table that has every third: each new key is added once."""
+    """Every third row, then twice all rows, appended to one table: each key is in it once."""
+    path = _folder(spark)
     x = fx.events(spark, sf).select("event_id", "symbol", "value")
-    return tables.append_new(x.unionByName(x), x.where("event_id % 3 = 0"), ["event_id"], ["value"]).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    tables.append_new(x.where("event_id % 3 = 0"), path, ["event_id"], ["value"])
+    for _ in range(2):
+        tables.append_new(x.unionByName(x), path, ["event_id"], ["value"])
+    return spark.read.schema(x.schema).parquet(path).groupBy("symbol").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("sink_swap", f"{E} SELECT symbol, count(*) AS n FROM ev GROUP BY symbol")
+@query("sink_swap", f"{E} SELECT symbol, count(*) AS n FROM ev WHERE value > 50 GROUP BY symbol")
 def sink_swap(spark, sf):
-    x = fx.events(spark, sf).select("event_id", "symbol")
-    return spark.read.parquet(tables.swap(x, _folder(spark), "2", x.count())).groupBy("symbol").agg(F.count("*").alias("n"))
+    """A table, then a second version in its place: readers follow the pointer to the second, the first one is gone."""
+    path = _folder(spark)
+    x = fx.events(spark, sf).select("event_id", "symbol", "value")
+    for rows in (x, x.where("value > 50")):
+        tables.swap(rows, path, rows.count())
+    return tables.current(spark, path).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
 @query("sink_results_table", f"{SL} SELECT split_id, feature, count(value) AS n FROM split_long GROUP BY ALL")
@@ -394,8 +407,23 @@ def sink_results_table(spark, sf):
     return spark.read.schema("feature string, n long, split_id int").json(path).select("split_id", "feature", "n")
 
 
-@query("sink_metadata", f"{FOLDS} SELECT fold_id, fold_type, n_samples FROM folds")
+@query(
+    "sink_metadata",
+    f"""{RANGES} SELECT 'fold' AS kind, fold_id AS id, fold_type AS name, n_samples AS n FROM folds UNION ALL SELECT 'split', split_id, v1 || '-' || v2, 2 FROM splits
+UNION ALL SELECT 'range', split_id, kind || '-' || fold_id, end_us - start_us FROM ranges UNION ALL SELECT 'config', 0, 'n_folds', {N_FOLDS} UNION ALL SELECT 'config', 0, 'span_us', {SPAN}""",
+)
 def sink_metadata(spark, sf):
+    """Folds, splits, ranges and configuration as JSON beside each other, read back as one table."""
     path = _folder(spark)
-    fold_tables(spark, sf)[0].write.json(path)
-    return spark.read.schema("fold_id int, fold_type string, n_samples long").json(path)
+    f, s = fold_tables(spark, sf)
+    f = tables.stored(f, "folds")
+    config = spark.createDataFrame([("n_folds", N_FOLDS), ("span_us", SPAN)], "name string, value long")
+    parts = {"folds": f, "splits": s, "ranges": splits.ranges(f, s, SPAN, SPAN), "config": config}
+    for name, table in parts.items():
+        table.write.json(f"{path}/{name}")
+    read = lambda name: spark.read.schema(parts[name].schema).json(f"{path}/{name}")
+    row = lambda kind, id_, name, n: (F.lit(kind).alias("kind"), id_.cast("int").alias("id"), name.alias("name"), n.cast("long").alias("n"))
+    out = read("folds").select(*row("fold", F.col("fold_id"), F.col("fold_type"), F.col("n_samples")))
+    out = out.unionByName(read("splits").select(*row("split", F.col("split_id"), F.concat_ws("-", "v1", "v2"), F.lit(2))))
+    out = out.unionByName(read("ranges").select(*row("range", F.col("split_id"), F.concat_ws("-", "kind", "fold_id"), F.col("end_us") - F.col("start_us"))))
+    return out.unionByName(read("config").select(*row("config", F.lit(0), F.col("name"), F.col("value"))))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidebook.operators import frames
 from tidebook.operators import trading as t
 from tidebook.plans import fixtures as fx
 from tidebook.plans.registry import query
@@ -14,8 +14,8 @@ LEN = 40
 
 def positions(spark, sf):
     """event_id, symbol, day, run, chunk, episode, t, position, position_std, target; folds change every 90 hours."""
-    w = Window.partitionBy("symbol").orderBy("us", "event_id")
-    x = fx.series(spark, sf).withColumn("target", F.coalesce(F.ln(F.lead("mid").over(w)) - F.ln("mid"), F.lit(0.0)))
+    x = frames.lagged(frames.ranked(fx.series(spark, sf), ["symbol"], ["us", "event_id"], F.col("hour"), "idx"), ["symbol"], "idx", {"later": ("mid", -1)})
+    x = x.withColumn("target", F.coalesce(F.ln("later") - F.ln("mid"), F.lit(0.0))).drop("idx", "later")
     x = x.withColumn("position", F.sin("event_id")).withColumn("position_std", 0.1 + (F.col("event_id") % 10) / 10.0)
     x = t.episodes(x, ["symbol"], ["us", "event_id"], F.expr("hour div 24"), F.expr("hour div 90"), LEN)
     return x.withColumn("episode", F.concat_ws("-", "day", "run", "chunk"))
@@ -35,8 +35,7 @@ def episodes(spark, sf):
 
 @query("episodes_synthetic", f"{P}, sq AS (SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY us, event_id) - 1) // 120 AS sequence_id FROM pos) SELECT symbol, sequence_id, count(*) AS n, CASE WHEN sequence_id < 80 THEN 'train' ELSE 'val' END AS phase, count(*) <> 120 AS odd_length FROM sq GROUP BY ALL")
 def episodes_synthetic(spark, sf):
-    k = F.row_number().over(Window.partitionBy("symbol").orderBy("us", "event_id")) - 1
-    x = fx.events(spark, sf).withColumn("k", k).groupBy("symbol", F.expr("cast(k div 120 as bigint)").alias("sequence_id")).agg(F.count("*").alias("n"))
+    x = frames.ranked(fx.events(spark, sf), ["symbol"], ["us", "event_id"], F.col("hour"), "k").groupBy("symbol", F.expr("cast(k div 120 as bigint)").alias("sequence_id")).agg(F.count("*").alias("n"))
     return x.select("symbol", "sequence_id", "n", F.when(F.col("sequence_id") < 80, "train").otherwise("val").alias("phase"), (F.col("n") != 120).alias("odd_length"))
 
 
@@ -59,7 +58,18 @@ def target_hstep(spark, sf):
 
 @query("sequences_fixed", f"{P}, sq AS (SELECT symbol, event_id, row_number() OVER (PARTITION BY symbol ORDER BY us, event_id) - 1 AS k FROM pos) SELECT symbol, (k // 120)::INT AS seq, min(event_id) AS first, max(event_id) AS last, sum(event_id)::BIGINT AS total FROM sq GROUP BY symbol, k // 120 HAVING count(*) = 120")
 def sequences_fixed(spark, sf):
-    x = t.sequences(fx.events(spark, sf), ["symbol"], ["us", "event_id"], 120, "event_id")
+    x = t.sequences(fx.events(spark, sf), ["symbol"], ["us", "event_id"], 120, "event_id", F.col("hour"))
+    return x.select("symbol", "seq", F.array_min("event_id").alias("first"), F.array_max("event_id").alias("last"), F.aggregate("event_id", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@query(
+    "sequences_strided",
+    f"{P}, sq AS (SELECT symbol, event_id, row_number() OVER (PARTITION BY symbol ORDER BY us, event_id) - 1 AS k FROM pos), st AS (SELECT symbol, event_id, unnest(range(greatest(0, (k - 120 + 30) // 30), k // 30 + 1)) AS seq FROM sq WHERE k >= 0) "
+    "SELECT symbol, seq::INT AS seq, min(event_id) AS first, max(event_id) AS last, sum(event_id)::BIGINT AS total FROM st GROUP BY ALL HAVING count(*) = 120",
+)
+def sequences_strided(spark, sf):
+    """Sequences of 120, one every 30 rows."""
+    x = t.sequences(fx.events(spark, sf), ["symbol"], ["us", "event_id"], 120, "event_id", F.col("hour"), 30)
     return x.select("symbol", "seq", F.array_min("event_id").alias("first"), F.array_max("event_id").alias("last"), F.aggregate("event_id", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
@@ -108,13 +118,13 @@ def reward_scaled(spark, sf):
 
 
 EPI = f"""{PNL}, rl AS (SELECT *, coalesce(lag(position) OVER {W} * lag(target) OVER {W}, 0) AS realised FROM pl), nt AS (SELECT *, sum(realised - cost) OVER (PARTITION BY symbol, episode ORDER BY t ROWS UNBOUNDED PRECEDING) AS net FROM rl), pk AS (SELECT *, max(net) OVER (PARTITION BY symbol, episode ORDER BY t ROWS UNBOUNDED PRECEDING) AS peak FROM nt),
-em AS (SELECT symbol, episode, any_value(day) AS day, count(*) AS steps, sum(realised) AS realised_pnl, sum(cost) AS total_cost, sum(realised - cost) AS net_pnl, sum((change > 0.01)::INT)::BIGINT AS trades, max(net) - min(net) AS max_drawdown, max(peak - net) AS true_drawdown, max(abs(position)) AS max_position, avg(abs(position)) AS mean_position, sum(gross - cost) AS total_reward FROM pk GROUP BY symbol, episode)"""
-_M = ("realised_pnl", "total_cost", "net_pnl", "max_drawdown", "true_drawdown", "max_position", "mean_position", "total_reward")
+em AS (SELECT symbol, episode, any_value(day) AS day, count(*) AS steps, sum(realised) AS realised_pnl, sum(cost) AS total_cost, sum(realised - cost) AS net_pnl, sum((change > 0.01)::INT)::BIGINT AS trades, max(net) - min(net) AS max_drawdown, max(peak - net) AS true_drawdown, max(abs(position)) AS max_position, avg(abs(position)) AS mean_position, sum(gross - cost) AS total_reward, avg(position_std) AS mean_std, min(position_std) AS min_std, max(position_std) AS max_std, {', '.join(f"sum({'target' if hold else f'gross - {fee!r}::DOUBLE * change'}) AS {n}" for n, fee, hold in t.REGIMES)}, CASE WHEN sum(cost) > 1e-12 THEN sum(realised - cost) / sum(cost) ELSE 0.0 END AS pnl_per_cost, sum((change > 0.01)::INT) / count(*)::DOUBLE AS trade_frequency FROM pk GROUP BY symbol, episode)"""
+_M = ("realised_pnl", "total_cost", "net_pnl", "max_drawdown", "true_drawdown", "max_position", "mean_position", "total_reward", "mean_std", "min_std", "max_std", "trade_frequency", *(n for n, _, _ in t.REGIMES))
 
 
-@query("episode_metrics", f"{EPI} SELECT symbol, episode, steps, trades, {', '.join(f'round({c}, 8) AS {c}' for c in _M)} FROM em")
+@query("episode_metrics", f"{EPI} SELECT symbol, episode, steps, trades, round(pnl_per_cost, 5) AS pnl_per_cost, {', '.join(f'round({c}, 8) AS {c}' for c in _M)} FROM em")
 def episode_metrics(spark, sf):
-    return t.episode_metrics(positions(spark, sf)).select("symbol", "episode", "steps", "trades", *[F.round(c, 8).alias(c) for c in _M])
+    return t.episode_metrics(positions(spark, sf)).select("symbol", "episode", "steps", "trades", F.round("pnl_per_cost", 5).alias("pnl_per_cost"), *[F.round(c, 8).alias(c) for c in _M])
 
 
 _SH = "CASE WHEN count(total_reward) < 2 OR stddev_pop(total_reward) < 1e-8 THEN 0.0 ELSE avg(total_reward) / stddev_pop(total_reward) END"

@@ -39,14 +39,70 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return parse_lob(spark.read.schema(schemas.RAW_BOOK).parquet(path))
 
 
-def unlogged(files: DataFrame, log: DataFrame) -> DataFrame:
-    """Rows whose file isn't in the ingestion log yet."""
-    return files.join(log.select("filename").distinct(), "filename", "left_anti")
-
-
-def log_rows(files: DataFrame, kind: str) -> DataFrame:
-    """One log row per file with its record count."""
-    return files.groupBy("filename").agg(F.lit(kind).alias("type"), F.count("*").cast("int").alias("record_count"))
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop's classes: any store that Spark writes to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, p = hadoop(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(data))
+    out.close()
+
+
+def write_files(df: DataFrame, path: str, by: str | None, name) -> None:
+    """One Parquet file per value of a column, or one in all, under given names: a folder as another system would fill it."""
+    spark, tmp = df.sparkSession, f"{path}/_parts-{uuid.uuid4().hex}"
+    writer = df.repartition(by).write.partitionBy(by) if by else df.coalesce(1).write
+    writer.parquet(tmp)
+    fs, root = hadoop(spark, tmp)
+    base = lambda p: p.getName()
+    for part in fs.listStatus(root):
+        folder_ = part.getPath()
+        if by and part.isDirectory():
+            file = next(f.getPath() for f in fs.listStatus(folder_) if base(f.getPath()).startswith("part-"))
+            fs.rename(file, hadoop(spark, f"{path}/{name(base(folder_).split('=')[1])}")[1])
+        elif not by and base(folder_).startswith("part-"):
+            fs.rename(folder_, hadoop(spark, f"{path}/{name(None)}")[1])
+    fs.delete(root, True)
+
+
+def files_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of a folder's Parquet files."""
+    fs, p = hadoop(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isFile() and f.getPath().getName().endswith(".parquet"))
+
+
+def ingested(spark: SparkSession, path: str, log: DataFrame, kind: str, schema) -> tuple[DataFrame, DataFrame]:
+    """The rows of a folder's files that the log doesn't have, and their log rows: filename, type, record_count.
+
+    Files are told by ``_metadata.file_name``. An empty one is logged with 0; one that can't be read is skipped, and
+    isn't logged, so that the next run tries it again.
+    """
+    known = {r.filename for r in log.select("filename").distinct().collect()}
+    fresh = [f for f in files_in(spark, path) if f not in known]
+    good = [f for f in fresh if readable(spark, f"{path}/{f}")]
+    if not good:
+        empty = spark.createDataFrame([], schema)
+        return empty, log.where("false").select("filename", "type", "record_count")
+    rows = spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in good]).select("*", F.col("_metadata.file_name").alias("filename"))
+    counts = rows.groupBy("filename").agg(F.count("*").cast("int").alias("n"))
+    names = spark.createDataFrame([(f,) for f in good], "filename string")
+    return rows.drop("filename"), names.join(counts, "filename", "left").select("filename", F.lit(kind).alias("type"), F.coalesce("n", F.lit(0)).alias("record_count"))
+
+
+def readable(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet file's footer can be read."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    try:
+        spark.read.parquet(path)
+    except (PySparkException, Py4JJavaError):
+        return False
+    return True
 
 
 def time_range(df: DataFrame, start: int, end: int, columns: list[str] | None = None, ts: str = "us") -> DataFrame:
@@ -82,17 +138,48 @@ def append_by_day(df: DataFrame, path: str, us: str = "us") -> None:
     x.repartitionByRange("day", us).sortWithinPartitions("day", us).write.mode("append").partitionBy("day").parquet(path)
 
 
-def append_new(df: DataFrame, existing: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """What an append must add so that no key repeats: first row per new key, in the given order."""
+def append_new(df: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
+    """Append the first row per key, in the given order, of keys that the table doesn't have yet: the same append again adds nothing."""
+    spark = df.sparkSession
     first = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*")
-    return first.join(existing.select(*keys).distinct(), keys, "left_anti")
+    fs, p = hadoop(spark, path)
+    if fs.exists(p):
+        first = first.join(spark.read.schema(df.schema).parquet(path).select(*keys), keys, "left_anti").select(*df.columns)
+    first.write.mode("append").parquet(path)
+
+
+POINTER = "current.txt"
+
 
+def swap(df: DataFrame, base: str, expected: int | None = None) -> str:
+    """Put a new version in a table's place: written beside the old one, its rows counted, then the pointer is moved to it and the old one goes.
 
-def swap(df: DataFrame, base: str, version: str, expected: int | None = None) -> str:
-    """Write a new version of a table beside the old ones; its path is returned after the row count has been checked."""
-    path = f"{base}/version={version}"
-    df.write.mode("overwrite").parquet(path)
-    got = df.sparkSession.read.parquet(path).count()
+    Readers that follow the pointer see one version or the other, whole.
+    """
+    spark = df.sparkSession
+    path = f"{base}/version={uuid.uuid4().hex}"
+    df.write.parquet(path)
+    got = spark.read.schema(df.schema).parquet(path).count()
     if expected is not None and got != expected:
         raise ValueError(f"{path} has {got} rows instead of {expected}")
+    old = pointed(spark, base)
+    write_bytes(spark, f"{base}/{POINTER}.new", path.encode())
+    fs, target = hadoop(spark, f"{base}/{POINTER}")
+    if fs.exists(target):
+        fs.delete(target, False)
+    fs.rename(hadoop(spark, f"{base}/{POINTER}.new")[1], target)
+    if old:
+        fs.delete(hadoop(spark, old)[1], True)
     return path
+
+
+def pointed(spark: SparkSession, base: str) -> str | None:
+    fs, p = hadoop(spark, f"{base}/{POINTER}")
+    if not fs.exists(p):
+        return None
+    return spark.read.text(f"{base}/{POINTER}", wholetext=True).first()[0]
+
+
+def current(spark: SparkSession, base: str) -> DataFrame:
+    """The version that the pointer names."""
+    return spark.read.parquet(pointed(spark, base))
