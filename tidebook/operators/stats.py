@@ -5,6 +5,8 @@ Each function returns one row per key with n, statistic and p_value (null where
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +20,11 @@ def window(by: list[str]):
     return Window.partitionBy(*by).orderBy("i")
 
 
+def longest(df: DataFrame, by: list[str]) -> int:
+    """Rows of the longest series: what bounds the lags of a test."""
+    return df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def moments(df: DataFrame, by: list[str]) -> DataFrame:
     """n, mean, sample std, population skewness and excess kurtosis."""
     return df.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"))
@@ -144,25 +151,30 @@ def kpss_p(x: str) -> str:
     return out + f" ELSE {KPSS[-1][1]} END"
 
 
-KPSS_LAGS = 40
-
-
 def kpss(df: DataFrame, by: list[str]) -> DataFrame:
-    """Level stationarity; bandwidth by the data's own autocovariances; n of 20 or more and some spread."""
-    x = df.withColumn("_d", F.col("value") - F.avg("value").over(Window.partitionBy(*by)))
-    w = window(by)
-    x = x.withColumn("_s", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    x = x.select(*by, "_d", "_s", *[F.lead("_d", k).over(w).alias(f"_l{k}") for k in range(1, KPSS_LAGS + 1)])
-    g = x.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("ss"), F.sum(F.col("_d") * F.col("_d")).alias("c0"), F.array(*[F.coalesce(F.sum(F.col("_d") * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, KPSS_LAGS + 1)]).alias("c"))
+    """Level stationarity; bandwidth by the data's own autocovariances; n of 20 or more and some spread.
+
+    Two passes: the first few autocovariances give each series its bandwidth, the largest of them says how far the second looks ahead.
+    """
+    part, w = Window.partitionBy(*by), window(by)
+    few = max(1, math.floor(longest(df, by) ** (2 / 9)))
+    x = df.withColumn("_d", F.col("value") - F.avg("value").over(part))
+    near = x.withColumn("_s", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    near = near.select(*by, "_d", "_s", *[F.lead("_d", k).over(w).alias(f"_l{k}") for k in range(1, few + 1)])
+    g = near.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("ss"), F.sum(F.col("_d") * F.col("_d")).alias("c0"), F.array(*[F.coalesce(F.sum(F.col("_d") * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, few + 1)]).alias("c"))
     g = g.where("n >= 20 AND c0 > 0").withColumn("q", F.floor(F.pow("n", F.lit(2.0 / 9))).cast("int"))
     over = lambda f: F.aggregate(F.sequence(F.lit(1), F.col("q")), F.lit(0.0), f)
     half = F.col("n") / 2
     s0 = F.col("c0") / F.col("n") + over(lambda a, k: a + F.element_at("c", k) / half)
     s1 = over(lambda a, k: a + k * F.element_at("c", k) / half)
-    g = g.withColumn("r", s1 / s0)
-    g = g.withColumn("q", F.least(F.floor(1.1447 * F.cbrt(F.col("r") * F.col("r")) * F.cbrt("n")).cast("int"), F.lit(KPSS_LAGS), F.col("n").cast("int") - 1))
-    long_run = (F.col("c0") + 2 * F.aggregate(F.filter(F.sequence(F.lit(0), F.col("q")), lambda k: k > 0), F.lit(0.0), lambda a, k: a + (1 - k / (F.col("q") + 1.0)) * F.element_at("c", k))) / F.col("n")
-    g = g.select(*by, "n", (F.col("ss") / (F.col("n") * F.col("n")) / long_run).alias("statistic"))
+    r = s1 / s0
+    g = g.withColumn("q", F.least(F.floor(1.1447 * F.cbrt(r * r) * F.cbrt("n")), F.col("n") - 1).cast("int")).select(*by, "n", "ss", "c0", "q")
+    most = g.agg(F.max("q")).first()[0] or 1
+    ahead = F.collect_list("_d").over(w.rowsBetween(1, max(1, most)))
+    y = x.withColumn("_ahead", ahead).join(g.select(*by, "q"), by)
+    weighted = F.aggregate(F.transform(F.slice("_ahead", F.lit(1), F.col("q")), lambda v, k: v * (1 - (k + 1) / (F.col("q") + 1.0))), F.lit(0.0), lambda a, v: a + v)
+    long_run = y.groupBy(*by).agg(F.sum(F.col("_d") * weighted).alias("_long"))
+    g = g.join(long_run, by).select(*by, "n", (F.col("ss") / (F.col("n") * F.col("n")) / ((F.col("c0") + 2 * F.col("_long")) / F.col("n"))).alias("statistic"))
     return g.withColumn("p_value", F.expr(kpss_p("statistic")))
 
 
@@ -183,23 +195,32 @@ SW_NEXT = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0)
 SW_MEAN, SW_LOG_SD = (0.0038915, -0.083751, -0.31082, -1.5861), (0.0030302, -0.082676, -0.4803)
 
 
+#: The same for 4 to 11 values: the bound of -ln(1 - W), mean and log deviation.
+SW_FEW_BOUND, SW_FEW_MEAN, SW_FEW_LOG_SD = (0.459, -2.273), (-0.0006714, 0.025054, -0.39978, 0.5440), (-0.0020322, 0.062767, -0.77857, 1.3822)
+
+
 def shapiro_texts() -> dict[str, str]:
     """The steps as text over n, m, mm (sum of m*m), mn and mk (the two largest m)."""
     u = "(1 / sqrt(CAST(n AS DOUBLE)))"
     an = f"(mn / sqrt(mm) + {scalar.horner(SW_LAST, u)})"
     ak = f"(mk / sqrt(mm) + {scalar.horner(SW_NEXT, u)})"
     phi = f"((mm - 2 * mn * mn - 2 * mk * mk) / (1 - 2 * {an} * {an} - 2 * {ak} * {ak}))"
-    ln_n = "ln(CAST(n AS DOUBLE))"
+    ln_n, few = "ln(CAST(n AS DOUBLE))", "CAST(n AS DOUBLE)"
+    bound = scalar.horner(SW_FEW_BOUND, few)
     return {
         "m": scalar.norm_ppf("((r - 0.375) / (n + 0.25))"),
-        "a": f"(CASE WHEN r = n THEN {an} WHEN r = 1 THEN -{an} WHEN r = n - 1 THEN {ak} WHEN r = 2 THEN -{ak} ELSE m / sqrt({phi}) END)",
-        "p": f"(1 - {scalar.norm_cdf(f'((ln(1 - statistic) - {scalar.horner(SW_MEAN, ln_n)}) / exp({scalar.horner(SW_LOG_SD, ln_n)}))')})",
+        "a": f"(CASE WHEN n = 3 THEN (r - 2) * sqrt(0.5) WHEN r = n THEN {an} WHEN r = 1 THEN -{an} WHEN n <= 5 THEN m / sqrt((mm - 2 * mn * mn) / (1 - 2 * {an} * {an})) "
+        f"WHEN r = n - 1 THEN {ak} WHEN r = 2 THEN -{ak} ELSE m / sqrt({phi}) END)",
+        "p": f"(CASE WHEN statistic >= 1 THEN 1.0 WHEN n = 3 THEN greatest(0.0, {num(6 / math.pi)} * (asin(sqrt(statistic)) - {num(math.asin(math.sqrt(0.75)))})) "
+        f"WHEN n <= 11 THEN CASE WHEN ln(1 - statistic) >= {bound} THEN 0.0 ELSE 1 - {scalar.norm_cdf(f'((-ln({bound} - ln(1 - statistic)) - {scalar.horner(SW_FEW_MEAN, few)}) / exp({scalar.horner(SW_FEW_LOG_SD, few)}))')} END "
+        f"ELSE 1 - {scalar.norm_cdf(f'((ln(1 - statistic) - {scalar.horner(SW_MEAN, ln_n)}) / exp({scalar.horner(SW_LOG_SD, ln_n)}))')} END)",
     }
 
 
 def shapiro(df: DataFrame, by: list[str]) -> DataFrame:
+    """Three values or more."""
     t, part = shapiro_texts(), Window.partitionBy(*by)
-    x = df.withColumn("r", F.row_number().over(part.orderBy("value")).cast("double")).withColumn("n", F.count("*").over(part)).where("n >= 12")
+    x = df.withColumn("r", F.row_number().over(part.orderBy("value")).cast("double")).withColumn("n", F.count("*").over(part)).where("n >= 3")
     x = x.withColumn("m", F.expr(t["m"]))
     x = x.withColumn("mm", F.sum(F.col("m") * F.col("m")).over(part)).withColumn("mn", F.max("m").over(part)).withColumn("mk", F.max(F.when(F.col("r") == F.col("n") - 1, F.col("m"))).over(part))
     g = x.withColumn("a", F.expr(t["a"])).groupBy(*by, "n").agg(F.sum(F.col("a") * F.col("value")).alias("s"), (F.var_pop("value") * F.count("*")).alias("v")).where("v > 0")
@@ -210,11 +231,21 @@ def shapiro(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def gram(df: DataFrame, by: list[str], columns: list[Column], keep: Column) -> DataFrame:
-    """by, n, g: the upper triangle of sums of products of the columns over the rows kept."""
-    names = [f"_g{i}" for i in range(len(columns))]
-    x = df.select(*by, keep.alias("_ok"), *[c.alias(n) for c, n in zip(columns, names, strict=True)]).where("_ok")
-    sums = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
-    return x.groupBy(*by).agg(F.count("*").alias("n"), F.array(*sums).alias("g"))
+    """by, n, g: the upper triangle of sums of products of the columns over the rows kept; made batch by batch, then added up."""
+    k = len(columns)
+    upper = np.triu_indices(k)
+    x = df.select(*by, keep.alias("_ok"), F.array(*[c.cast("double") for c in columns]).alias("_v")).where("_ok").drop("_ok")
+    schema = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in by) + ", n long, g array<double>"
+
+    def partial(batches):
+        for pdf in batches:
+            v = np.stack(pdf["_v"].to_numpy()) if len(pdf) else np.zeros((0, k))
+            rows = [(*(key if isinstance(key, tuple) else (key,)), len(at), (v[at].T @ v[at])[upper].tolist()) for key, at in pdf.groupby(by).indices.items()]
+            yield pd.DataFrame(rows, columns=[*by, "n", "g"])
+
+    add = lambda u, w: F.zip_with(u, w, lambda a, b: a + b)
+    parts = x.mapInPandas(partial, schema).groupBy(*by).agg(F.sum("n").alias("n"), F.collect_list("g").alias("g"))
+    return parts.select(*by, "n", F.aggregate("g", F.array_repeat(F.lit(0.0), len(upper[0])), add).alias("g"))
 
 
 def square(g, k: int) -> np.ndarray:
@@ -223,13 +254,13 @@ def square(g, k: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def solve_per_key(grams: DataFrame, by: list[str], k: int, solve) -> DataFrame:
-    """by, n, statistic, p_value from solve(n, gram matrix) of every key; a few numbers per key."""
+def solve_per_key(grams: DataFrame, by: list[str], k: int | None, solve) -> DataFrame:
+    """by, n, statistic, p_value from solve(n, gram matrix of k columns, or the numbers as they are) of every key; a few numbers per key."""
     schema = ", ".join(f"`{c}` {grams.schema[c].dataType.simpleString()}" for c in by) + ", n long, statistic double, p_value double"
 
     def run(batches):
         for pdf in batches:
-            got = [solve(int(n), square(g, k)) for n, g in zip(pdf["n"], pdf["g"], strict=True)]
+            got = [solve(int(n), square(g, k) if k else np.asarray(g)) for n, g in zip(pdf["n"], pdf["g"], strict=True)]
             yield pd.concat([pdf[[*by, "n"]], pd.DataFrame(got, columns=["statistic", "p_value"], index=pdf.index)], axis=1)
 
     return grams.mapInPandas(run, schema)
@@ -244,21 +275,25 @@ def chi2_tail_value(x: float, df: int) -> float:
     return out + sum((x / 2) ** (j / 2) * exp(-x / 2) / gamma(j / 2 + 1) for j in range(2 - df % 2, df, 2))
 
 
-def arch_lm(df: DataFrame, by: list[str], lags: int = 5) -> DataFrame:
-    """Regression of the squared demeaned values on their own lags; n times R2."""
-    x = df.withColumn("_d", F.col("value") - F.avg("value").over(Window.partitionBy(*by))).withColumn("_s", F.col("_d") * F.col("_d"))
+def arch_lm(df: DataFrame, by: list[str], most: int = 5) -> DataFrame:
+    """Regression of the squared demeaned values on their own lags, 5 or a tenth of the values if that is less; n times R2."""
+    part = Window.partitionBy(*by)
+    x = df.withColumn("_d", F.col("value") - F.avg("value").over(part)).withColumn("_s", F.col("_d") * F.col("_d"))
+    x = x.withColumn("_lags", F.least(F.floor(F.count("*").over(part) / 10), F.lit(most))).where("_lags > 0")
     w = window(by)
-    cols = [F.lit(1.0), *[F.lag("_s", k).over(w) for k in range(1, lags + 1)], F.col("_s")]
-    x = x.select(*by, "i", *[c.alias(f"c{j}") for j, c in enumerate(cols)])
-    g = gram(x, by, [F.col(f"c{j}") for j in range(lags + 2)], F.col(f"c{lags}").isNotNull())
+    lags = [F.when(F.col("_lags") >= k, F.lag("_s", k).over(w)).otherwise(0.0) for k in range(1, most + 1)]
+    x = x.select(*by, "i", "_lags", F.row_number().over(w).alias("_k"), *[c.alias(f"c{j}") for j, c in enumerate([F.lit(1.0), *lags, F.col("_s")])])
+    g = gram(x, by, [F.col(f"c{j}") for j in range(most + 2)], F.col("_k") > F.col("_lags"))
 
     def solve(n: int, m: np.ndarray) -> tuple[float, float]:
-        beta = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+        own = int((np.diag(m)[1:-1] > 0).sum())  # unused lags are zero
+        use = list(range(own + 1))
+        beta = np.linalg.lstsq(m[np.ix_(use, use)], m[use, -1], rcond=None)[0]
         total = m[-1, -1] - m[0, -1] ** 2 / n
-        r2 = 1 - (m[-1, -1] - beta @ m[:-1, -1]) / total if total > 0 else 0.0
-        return n * r2, chi2_tail_value(n * r2, lags)
+        r2 = 1 - (m[-1, -1] - beta @ m[use, -1]) / total if total > 0 else 0.0
+        return n * r2, chi2_tail_value(n * r2, own) if own else float("nan")
 
-    return solve_per_key(g, by, lags + 2, solve)
+    return solve_per_key(g, by, most + 2, solve)
 
 
 #: The published response surface for the constant-only unit-root test (1, 1/n, 1/n^2, 1/n^3 at 1, 5, 10 %).
@@ -288,21 +323,41 @@ def t_of_level(n: int, m: np.ndarray, use: list[int]) -> tuple[float, float]:
     return beta[1] / np.sqrt(rss / max(n - len(use), 1) * inv[1, 1]), rss
 
 
-def adf(df: DataFrame, by: list[str], max_lag: int = 8) -> DataFrame:
-    """Augmented Dickey-Fuller with constant; lags by AIC on the common sample (one Gram matrix holds all candidates)."""
-    w = window(by)
-    x = df.withColumn("_dx", F.col("value") - F.lag("value").over(w)).withColumn("_lx", F.lag("value").over(w))
-    cols = [F.lit(1.0), F.col("_lx"), *[F.lag("_dx", k).over(w) for k in range(1, max_lag + 1)], F.col("_dx")]
-    k = len(cols)
-    x = x.select(*by, "i", *[c.alias(f"c{j}") for j, c in enumerate(cols)])
-    g = gram(x, by, [F.col(f"c{j}") for j in range(k)], F.col(f"c{k - 2}").isNotNull())
+def adf_lags(n: float) -> int:
+    """The usual limit: 12 (n / 100)^(1/4), rounded up, and no more than half the values."""
+    return max(0, min(math.ceil(12 * (n / 100) ** 0.25), int(n) // 2 - 2))
+
+
+def adf(df: DataFrame, by: list[str]) -> DataFrame:
+    """Augmented Dickey-Fuller with constant: lags by AIC on the common sample of all candidates (one Gram matrix holds them), then on all rows that the chosen lags leave."""
+    w, most = window(by), adf_lags(longest(df, by))
+    n = F.count("*").over(Window.partitionBy(*by))
+    limit = F.greatest(F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2), F.lit(0)).cast("int")
+    x = df.withColumn("_dx", F.col("value") - F.lag("value").over(w)).withColumn("_lx", F.lag("value").over(w)).withColumn("_lags", limit).withColumn("_k", F.row_number().over(w))
+    lags = [F.when(F.col("_lags") >= j, F.coalesce(F.lag("_dx", j).over(w), F.lit(0.0))).otherwise(0.0) for j in range(1, most + 1)]
+    k = most + 3
+    cols = [F.col(f"c{j}") for j in range(k)]
+    x = x.select(*by, "_lags", "_k", *[c.alias(f"c{j}") for j, c in enumerate([F.lit(1.0), F.col("_lx"), *lags, F.col("_dx")])])
+    common = gram(x, by, cols, F.col("_k") >= F.col("_lags") + 2)
+
+    def choose(n: int, m: np.ndarray) -> tuple[float, float]:
+        limit = int((np.diag(m)[2:-1] > 0).sum())
+        return min(range(limit + 1), key=lambda p: n * np.log(t_of_level(n, m, list(range(2 + p)))[1] / n) + 2 * (2 + p)), float("nan")
+
+    best = solve_per_key(common, by, k, choose).select(*by, F.col("statistic").cast("int").alias("_best"))
+    # the rows between: those that the chosen lags leave and the common sample lacks
+    more = gram(x.join(best, by), by, cols, (F.col("_k") >= F.col("_best") + 2) & (F.col("_k") < F.col("_lags") + 2))
+    both = common.unionByName(more).groupBy(*by).agg(F.sum("n").alias("n"), F.collect_list("g").alias("g"))
+    add = lambda u, v: F.zip_with(u, v, lambda a, b: a + b)
+    total = F.aggregate("g", F.array_repeat(F.lit(0.0), k * (k + 1) // 2), add)
+    # the choice rides along as a last number
+    both = both.join(best, by).select(*by, "n", F.concat(total, F.array(F.col("_best").cast("double"))).alias("g"))
 
     def solve(n: int, m: np.ndarray) -> tuple[float, float]:
-        best = min(range(max_lag + 1), key=lambda p: n * np.log(t_of_level(n, m, list(range(2 + p)))[1] / n) + 2 * (2 + p))
-        t = t_of_level(n, m, list(range(2 + best)))[0]
+        t = t_of_level(n, square(m[:-1], k), list(range(2 + int(m[-1]))))[0]
         return t, unit_root_p(t)
 
-    return solve_per_key(g, by, k, solve)
+    return solve_per_key(both, by, None, solve)
 
 
 def phillips_perron(df: DataFrame, by: list[str]) -> DataFrame:
@@ -311,7 +366,7 @@ def phillips_perron(df: DataFrame, by: list[str]) -> DataFrame:
     x = df.withColumn("_lx", F.lag("value").over(w)).where("_lx IS NOT NULL")
     fit = x.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope("value", "_lx").alias("rho"), F.regr_intercept("value", "_lx").alias("a"), F.regr_sxx("value", "_lx").alias("sxx"))
     e = x.join(fit, by).withColumn("e", F.col("value") - F.col("a") - F.col("rho") * F.col("_lx"))
-    lags = 24
+    lags = max(1, math.ceil(12 * (longest(df, by) / 100) ** 0.25))
     e = e.select(*by, "n", "rho", "sxx", "e", *[F.lead("e", k).over(w).alias(f"l{k}") for k in range(1, lags + 1)])
     g = e.groupBy(*by, "n", "rho", "sxx").agg(F.sum(F.col("e") * F.col("e")).alias("c0"), F.array(*[F.coalesce(F.sum(F.col("e") * F.col(f"l{k}")), F.lit(0.0)) for k in range(1, lags + 1)]).alias("c"))
     g = g.withColumn("q", F.least(F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25))).cast("int"), F.lit(lags)))
@@ -330,8 +385,13 @@ def phillips_perron(df: DataFrame, by: list[str]) -> DataFrame:
     return out.mapInPandas(p_values, schema)
 
 
+BDS_MOST = 5000
+
+
 def bds(df: DataFrame, by: list[str], eps: float = 0.5) -> DataFrame:
-    """BDS of dimension 2 with absolute distance; for windows of bounded length (its pairs are made inside a window's group)."""
+    """BDS of dimension 2 with absolute distance; its pairs are made inside a window's group, so a window has ``BDS_MOST`` values at most."""
+    if longest(df, by) > BDS_MOST:
+        raise ValueError(f"a window has at most {BDS_MOST} values")
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", n long, statistic double, p_value double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -70,10 +70,10 @@ CHUNK = 400
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of CHUNK samples of each (symbol, feature): symbol, feature, win, i (1..), value; nulls and short tails left out."""
+    """Windows of CHUNK samples of each (symbol, feature): symbol, feature, win, i (1..), value, us; nulls left out."""
     x = long(spark, sf_dir).where("value IS NOT NULL")
     x = frames.ranked(x, ["symbol", "feature"], ["us", "event_id"], F.col("hour"), "k")
-    return x.select("symbol", "feature", F.expr(f"cast(k div {CHUNK} as int)").alias("win"), F.expr(f"cast(k % {CHUNK} as int) + 1").alias("i"), "value")
+    return x.select("symbol", "feature", F.expr(f"cast(k div {CHUNK} as int)").alias("win"), F.expr(f"cast(k % {CHUNK} as int) + 1").alias("i"), "value", "us")
 
 
 # the same as SQL
@@ -103,6 +103,6 @@ TEXT = {
     "features": f"SELECT event_id, symbol, us, hour, row_number() OVER (PARTITION BY symbol ORDER BY us, event_id) AS rn, value AS level, {_R.format(n=1)} AS past_logret_1, {_R.format(n=5)} AS past_logret_5, value - 50 AS signed FROM series",
     "long": " UNION ALL ".join(f"SELECT event_id, symbol, us, hour, rn, '{f}' AS feature, {f} AS value FROM features" for f in FEATURES),
     "split_long": f"SELECT long.*, split_id::INT AS split_id, CASE WHEN hour // 24 % 5 = split_id THEN 'validation' WHEN hour // 24 % 5 = (split_id + 1) % 5 THEN 'test' WHEN hour // 24 % 7 = 0 THEN 'train_warmup' ELSE 'train' END AS role FROM long, range({SPLITS}) t(split_id)",
-    "windows": f"SELECT symbol, feature, (k // {CHUNK})::INT AS win, (k % {CHUNK} + 1)::INT AS i, value FROM (SELECT *, row_number() OVER (PARTITION BY symbol, feature ORDER BY us, event_id) - 1 AS k FROM long WHERE value IS NOT NULL)",
+    "windows": f"SELECT symbol, feature, (k // {CHUNK})::INT AS win, (k % {CHUNK} + 1)::INT AS i, value, us FROM (SELECT *, row_number() OVER (PARTITION BY symbol, feature ORDER BY us, event_id) - 1 AS k FROM long WHERE value IS NOT NULL)",
 }
 NEEDS = {"book": ("ev",), "series": ("ev",), "features": ("series",), "long": ("features",), "split_long": ("long",), "windows": ("long",)}

@@ -8,6 +8,7 @@ from tidebook.functions import scalar
 from tidebook.operators import stats
 from tidebook.plans import fixtures as fx
 from tidebook.plans.registry import query
+from tidebook.sources import tables
 
 W = fx.ctes("windows")
 BY = ["symbol", "feature", "win"]
@@ -77,10 +78,12 @@ hu AS (SELECT {K}, n, regr_slope(ln(rs), ln(lag)) AS s FROM rl WHERE rs > 0 GROU
 _q1 = "floor(power(n, 2.0 / 9))::INT"
 _test(
     "kpss",
-    f"""{W}, dm AS (SELECT {K}, i, value - avg(value) OVER ({PART}) AS d FROM windows), cs AS (SELECT *, sum(d) OVER ({PART} ORDER BY i ROWS UNBOUNDED PRECEDING) AS s, {", ".join(f"lead(d, {k}) OVER ({PART} ORDER BY i) AS l{k}" for k in range(1, stats.KPSS_LAGS + 1))} FROM dm),
-kp AS (SELECT {K}, count(*) AS n, sum(s * s) AS ss, sum(d * d) AS c0, [{", ".join(f"coalesce(sum(d * l{k}), 0)" for k in range(1, stats.KPSS_LAGS + 1))}] AS c FROM cs GROUP BY ALL HAVING count(*) >= 20 AND sum(d * d) > 0),
+    f"""{W}, dm AS (SELECT {K}, i, value - avg(value) OVER ({PART}) AS d FROM windows), cs AS (SELECT *, sum(d) OVER ({PART} ORDER BY i ROWS UNBOUNDED PRECEDING) AS s, {", ".join(f"lead(d, {k}) OVER ({PART} ORDER BY i) AS l{k}" for k in range(1, 5))} FROM dm),
+kp AS (SELECT {K}, count(*) AS n, sum(s * s) AS ss, sum(d * d) AS c0, [{", ".join(f"coalesce(sum(d * l{k}), 0)" for k in range(1, 5))}] AS c FROM cs GROUP BY ALL HAVING count(*) >= 20 AND sum(d * d) > 0),
 ks AS (SELECT *, list_sum(list_transform(range(1, {_q1} + 1), lambda k: k * c[k] / (n / 2))) / (c0 / n + list_sum(list_transform(range(1, {_q1} + 1), lambda k: c[k] / (n / 2)))) AS r FROM kp),
-kq AS (SELECT *, least(floor(1.1447 * cbrt(r * r) * cbrt(n))::INT, {stats.KPSS_LAGS}, n - 1) AS q FROM ks) {_sql("kq", "ss / (n * n) / ((c0 + 2 * coalesce(list_sum(list_transform(range(1, q + 1), lambda k: (1 - k / (q + 1.0)) * c[k])), 0)) / n)", stats.kpss_p("statistic"), digits=4)}""",
+kq AS (SELECT {K}, n, ss, c0, least(floor(1.1447 * cbrt(r * r) * cbrt(n))::INT, n - 1) AS q FROM ks),
+kl AS (SELECT a.symbol, a.feature, a.win, sum((1 - (b.i - a.i) / (q + 1.0)) * a.d * b.d) AS long FROM dm a JOIN kq ON a.symbol = kq.symbol AND a.feature = kq.feature AND a.win = kq.win JOIN dm b ON a.symbol = b.symbol AND a.feature = b.feature AND a.win = b.win AND b.i > a.i AND b.i <= a.i + q GROUP BY ALL),
+kz AS (SELECT kq.*, coalesce(long, 0) AS long FROM kq LEFT JOIN kl USING ({K})) {_sql("kz", "ss / (n * n) / ((c0 + 2 * long) / n)", stats.kpss_p("statistic"), digits=4)}""",
     4,
 )
 _test(
@@ -92,7 +95,7 @@ ad AS (SELECT {K}, n, sum((2 * r - 1) * ln(greatest({scalar.norm_cdf("z")}, 1e-3
 _t = stats.shapiro_texts()
 _test(
     "shapiro",
-    f"""{W}, r0 AS (SELECT {K}, value, row_number() OVER ({PART} ORDER BY value)::DOUBLE AS r, count(*) OVER ({PART}) AS n FROM windows), r1 AS (SELECT *, {_t["m"]} AS m FROM r0 WHERE n >= 12),
+    f"""{W}, r0 AS (SELECT {K}, value, row_number() OVER ({PART} ORDER BY value)::DOUBLE AS r, count(*) OVER ({PART}) AS n FROM windows), r1 AS (SELECT *, {_t["m"]} AS m FROM r0 WHERE n >= 3),
 r2 AS (SELECT *, sum(m * m) OVER ({PART}) AS mm, max(m) OVER ({PART}) AS mn, max(CASE WHEN r = n - 1 THEN m END) OVER ({PART}) AS mk FROM r1),
 sw AS (SELECT {K}, n, sum({_t["a"]} * value) AS s, var_pop(value) * count(*) AS v FROM r2 GROUP BY ALL) {_sql("sw", "s * s / v", _t["p"], "WHERE v > 0")}""",
 )
@@ -108,18 +111,77 @@ def acf(spark, sf):
 
 # battery and summaries
 
-NATIVE = ("jarque_bera", "dagostino", "ljung_box", "breusch_pagan", "runs", "kpss")
-
-
 @query("st_battery")
 def st_battery(spark, sf):
     """Every test of every window of every (symbol, feature), one row each."""
-    x = stats.battery(fx.windows(spark, sf), BY)
+    x = stats.battery(tables.stored(fx.windows(spark, sf), "windows"), BY)
     return x.select(*BY, "test", "category", "n", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))
 
 
+_LO, _HI, _SE = scalar.wilson("k", "n")
+CLOSED = ("jarque_bera", "breusch_pagan", "runs")
+
+
 def results(spark, sf):
-    return stats.battery(fx.windows(spark, sf), BY, tests=("jarque_bera", "breusch_pagan", "runs")).withColumn("sig", F.col("p_value") < 0.05)
+    """The tests that SQL can express too."""
+    return stats.battery(fx.windows(spark, sf), BY, tests=CLOSED).withColumn("sig", F.col("p_value") < 0.05)
+
+
+def whole(spark, sf):
+    """Every test of every window with its fold type, and the windows' moments; stored, as each is aggregated in several ways."""
+    x = tables.stored(fx.windows(spark, sf), "windows")
+    day = F.expr("min(us) div 86400000000 % 5")
+    fold = x.groupBy(*BY).agg(F.when(day == 0, "validation").when(day == 1, "test").otherwise("train").alias("fold_type"))
+    res = stats.battery(x, BY).join(fold, BY).withColumn("sig", F.col("p_value") < 0.05)
+    return tables.stored(res, "battery"), tables.stored(stats.moments(x, BY).where("n >= 30").join(fold, BY), "moments")
+
+
+def shares():
+    """Percent of windows that a test calls stationary or autocorrelated; null where it wasn't made."""
+    pct = lambda test: F.try_divide(100.0 * F.count_if((F.col("test") == test) & F.col("sig")), F.count_if((F.col("test") == test) & F.col("p_value").isNotNull()))
+    return F.round(pct("adf"), 4).alias("pct_stationary"), F.round(pct("ljung_box"), 4).alias("pct_autocorrelated")
+
+
+@query("sf_summary")
+def sf_summary(spark, sf):
+    """The whole battery by category, feature, both, fold type, and fold type and category; with stationarity, autocorrelation and mean kurtosis."""
+    res, mo = whole(spark, sf)
+    sets = lambda df, keys: [df.groupBy(*k) for k in keys]
+    keys = (["category"], ["feature"], ["category", "feature"], ["fold_type"], ["fold_type", "category"])
+    figures = [F.count("p_value").alias("n"), F.round(F.avg("p_value"), 5).alias("mean_p"), F.round(F.median("p_value"), 5).alias("median_p"), F.round(F.try_divide(100.0 * F.count_if("sig"), F.count("p_value")), 4).alias("pct_significant"), *shares()]
+    out = None
+    for k, g in zip(keys, sets(res, keys), strict=True):
+        x = g.agg(*figures)
+        own = [c for c in k if c != "category"]
+        of = mo.groupBy(*own).agg(F.round(F.avg("kurtosis"), 5).alias("mean_kurtosis")) if own else mo.agg(F.round(F.avg("kurtosis"), 5).alias("mean_kurtosis"))
+        x = x.join(F.broadcast(of), own) if own else x.crossJoin(F.broadcast(of))
+        x = x.select(*[(F.col(c) if c in k else F.lit(None).cast("string")).alias(c) for c in ("category", "feature", "fold_type")], *[c for c in x.columns if c not in k])
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("sf_summary_ci")
+def sf_summary_ci(spark, sf):
+    """Per category and feature: the share of significant windows with its Wilson interval, and the mean statistic of each test with its t-interval."""
+    res, mo = whole(spark, sf)
+    x = res.where("p_value IS NOT NULL").groupBy("category", "feature").agg(F.count("*").alias("n"), F.count_if("sig").alias("k"))
+    share = x.select("category", "feature", F.lit("significant").alias("what"), "n", F.round(F.col("k") / F.col("n"), 7).alias("mean"), F.round(F.expr(_LO), 7).alias("low"), F.round(F.expr(_HI), 7).alias("high"))
+    figure = mo.select("feature", F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in ("skewness", "kurtosis")])).alias("e")).select(F.lit("moments").alias("category"), "feature", "e.*")
+    values = res.where("statistic IS NOT NULL").select("category", "feature", F.col("test").alias("what"), F.col("statistic").alias("v")).unionByName(figure)
+    y = values.groupBy("category", "feature", "what").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev("v").alias("s"))
+    t = spark.createDataFrame(list(T_TABLE.items()), "df int, t double")
+    y = y.join(F.broadcast(t), F.col("n") - 1 == F.col("df"), "left").withColumn("h", F.col("s") / F.sqrt("n") * F.coalesce("t", F.lit(1.959964)))
+    return share.unionByName(y.select("category", "feature", "what", "n", F.round("m", 7).alias("mean"), F.round(F.col("m") - F.col("h"), 7).alias("low"), F.round(F.col("m") + F.col("h"), 7).alias("high")))
+
+
+@query("sf_violations")
+def sf_violations(spark, sf):
+    """Features that break a rule: under half the windows stationary, over 30 % autocorrelated, under 30 % normal, or fat tails."""
+    res, mo = whole(spark, sf)
+    normal = F.try_divide(100.0 * F.count_if((F.col("category") == "normality") & ~F.col("sig")), F.count_if((F.col("category") == "normality") & F.col("p_value").isNotNull()))
+    x = res.groupBy("feature").agg(*shares(), F.round(normal, 4).alias("pct_normal")).join(mo.groupBy("feature").agg(F.round(F.avg("kurtosis"), 4).alias("mean_kurtosis")), "feature")
+    flags = {"not_stationary": F.col("pct_stationary") < 50, "autocorrelated": F.col("pct_autocorrelated") > 30, "not_normal": F.col("pct_normal") < 30, "fat_tails": F.col("mean_kurtosis") > 5}
+    return x.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}).where(" OR ".join(flags))
 
 
 RES = f"""{_DET}, {_CENTRED}, mo AS (SELECT {K}, count(value) AS n, {_SKEW} FROM cv GROUP BY ALL HAVING count(value) >= 30),
@@ -130,30 +192,27 @@ res AS (SELECT {K}, 'jarque_bera' AS test, 'normality' AS category, exp(-{stats.
  UNION ALL SELECT {K}, 'runs', 'nonlinearity', {scalar.two_sided("((r - p2 / n - 1) / sqrt(p2 * (p2 - n) / (n * n * (n - 1.0))))")} FROM rr WHERE p2 > 0)"""
 
 
-@query("sf_summary", f"{RES} SELECT category, feature, count(*) AS n, round(avg(p_value), 5) AS mean_p, round(median(p_value), 5) AS median_p, round(100.0 * sum((p_value < 0.05)::INT) / count(*), 4) AS pct_significant FROM res GROUP BY GROUPING SETS ((category), (feature), (category, feature))")
-def sf_summary(spark, sf):
+@query("sf_summary_closed", f"{RES} SELECT category, feature, count(*) AS n, round(avg(p_value), 5) AS mean_p, round(median(p_value), 5) AS median_p, round(100.0 * sum((p_value < 0.05)::INT) / count(*), 4) AS pct_significant FROM res GROUP BY GROUPING SETS ((category), (feature), (category, feature))")
+def sf_summary_closed(spark, sf):
     """By category, by feature and by both, in one pass."""
-    results(spark, sf).createOrReplaceTempView("tidebook_results")
-    return spark.sql(
-        "SELECT category, feature, count(*) AS n, round(avg(p_value), 5) AS mean_p, round(median(p_value), 5) AS median_p, round(100.0D * count_if(sig) / count(*), 4) AS pct_significant FROM tidebook_results GROUP BY GROUPING SETS ((category), (feature), (category, feature))"
-    )
+    sets = results(spark, sf).groupingSets([["category"], ["feature"], ["category", "feature"]], "category", "feature")
+    return sets.agg(F.count("*").alias("n"), F.round(F.avg("p_value"), 5).alias("mean_p"), F.round(F.median("p_value"), 5).alias("median_p"), F.round(100.0 * F.count_if("sig") / F.count("*"), 4).alias("pct_significant"))
 
 
-_LO, _HI, _SE = scalar.wilson("k", "n")
 
 
-@query("sf_summary_ci", f"{RES}, cc AS (SELECT category, feature, count(*) AS n, sum((p_value < 0.05)::INT)::BIGINT AS k FROM res GROUP BY ALL) SELECT category, feature, n, k, round({_LO}, 7) AS low, round({_HI}, 7) AS high FROM cc")
-def sf_summary_ci(spark, sf):
+@query("sf_summary_ci_closed", f"{RES}, cc AS (SELECT category, feature, count(*) AS n, sum((p_value < 0.05)::INT)::BIGINT AS k FROM res GROUP BY ALL) SELECT category, feature, n, k, round({_LO}, 7) AS low, round({_HI}, 7) AS high FROM cc")
+def sf_summary_ci_closed(spark, sf):
     x = results(spark, sf).groupBy("category", "feature").agg(F.count("*").alias("n"), F.count_if("sig").alias("k"))
     return x.select("category", "feature", "n", "k", F.round(F.expr(_LO), 7).alias("low"), F.round(F.expr(_HI), 7).alias("high"))
 
 
 @query(
-    "sf_violations",
+    "sf_violations_closed",
     f"""{RES}, fe AS (SELECT feature, 100.0 * sum((category = 'normality' AND p_value >= 0.05)::INT) / nullif(sum((category = 'normality')::INT), 0) AS normal FROM res GROUP BY feature), ku AS (SELECT feature, avg(kurtosis) AS kurtosis FROM mo GROUP BY feature)
 SELECT feature, round(normal, 4) AS pct_normal, round(kurtosis, 4) AS mean_kurtosis, normal < 30 AS not_normal, kurtosis > 5 AS fat_tails FROM fe JOIN ku USING (feature) WHERE normal < 30 OR kurtosis > 5""",
 )
-def sf_violations(spark, sf):
+def sf_violations_closed(spark, sf):
     r = results(spark, sf).where("category = 'normality'").groupBy("feature").agg((100.0 * F.count_if(~F.col("sig")) / F.count("*")).alias("normal"))
     k = stats.moments(fx.windows(spark, sf), BY).where("n >= 30").groupBy("feature").agg(F.avg("kurtosis").alias("kurtosis"))
     x = r.join(k, "feature").withColumn("not_normal", F.col("normal") < 30).withColumn("fat_tails", F.col("kurtosis") > 5).where("not_normal OR fat_tails")
