@@ -332,10 +332,31 @@ def params_attach(spark, sf):
     return x.where("role = 'validation'").join(p, ["split_id", "feature"]).groupBy("split_id", "feature").agg(F.round(F.sum(F.col("value") - F.col("m")), 3).alias("s"))
 
 
-@query("quality_report", f"{WIDE}, {steps_sql('codes', '')} SELECT 'codes' AS experiment, 'js' AS metric, round(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 8) AS value FROM nm UNION ALL SELECT 'codes', 'freq_corr', round(corr(p, q), 6) FROM nm UNION ALL SELECT 'end_to_end', 'ks', round(max(abs(f - g)), 8) FROM st UNION ALL SELECT 'end_to_end', 'w1', round(sum(abs(f - g) * coalesce(gap, 0)), 7) FROM st")
+REPORT = f"""{C}, sp AS (SELECT *, (us // 86400000000 % {fx.SPLITS})::INT AS split_id FROM codes), cnt AS (SELECT split_id, sample, code, count(*) AS n FROM sp GROUP BY ALL), tot AS (SELECT split_id, sample, sum(n) AS t FROM cnt GROUP BY ALL),
+wd AS (SELECT a.split_id, k, coalesce(x.n / a.t, 0) + 1e-10 AS p, coalesce(y.n / b.t, 0) + 1e-10 AS q FROM tot a JOIN tot b ON a.split_id = b.split_id AND a.sample = 0 AND b.sample = 1 CROSS JOIN range({VOCAB}) r(k)
+ LEFT JOIN cnt x ON x.split_id = a.split_id AND x.sample = 0 AND x.code = k LEFT JOIN cnt y ON y.split_id = a.split_id AND y.sample = 1 AND y.code = k),
+nm AS (SELECT split_id, p / sum(p) OVER (PARTITION BY split_id) AS p, q / sum(q) OVER (PARTITION BY split_id) AS q FROM wd), {steps_sql("sp", "split_id")},
+bk AS (SELECT split_id, code, avg(value) AS e FROM sp WHERE sample = 0 GROUP BY ALL), re AS (SELECT split_id, value - e AS d FROM sp JOIN bk USING (split_id, code) WHERE sample = 1)
+SELECT split_id, 'codes' AS experiment, 'js' AS metric, round(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 7) AS value FROM nm GROUP BY split_id
+UNION ALL SELECT split_id, 'codes', 'freq_corr', round(corr(p, q), 6) FROM nm GROUP BY split_id
+UNION ALL SELECT split_id, 'end_to_end', 'ks', round(max(abs(f - g)), 7) FROM st GROUP BY split_id
+UNION ALL SELECT split_id, 'end_to_end', 'w1', round(sum(abs(f - g) * coalesce(gap, 0)), 6) FROM st GROUP BY split_id
+UNION ALL SELECT split_id, 'reconstruction', 'mse', round(avg(d * d), 6) FROM re GROUP BY split_id
+UNION ALL SELECT split_id, 'reconstruction', 'max_error', round(max(abs(d)), 7) FROM re GROUP BY split_id"""
+
+
+@query("quality_report", REPORT)
 def quality_report(spark, sf):
-    """Chosen metrics of the comparisons above, as a long table."""
-    c = q.smoothed(_wide(spark, sf), [], ["p", "q"]).agg(F.round(q.js_divergence(), 8).alias("js"), F.round(F.corr("p", "q"), 6).alias("freq_corr"))
-    s = q.cdf_steps(codes(spark, sf).select("sample", "value"), []).agg(F.round(F.max(F.abs(F.col("f") - F.col("g"))), 8).alias("ks"), F.round(F.sum(F.abs(F.col("f") - F.col("g")) * F.coalesce("gap", F.lit(0.0))), 7).alias("w1"))
-    one = c.select(F.lit("codes").alias("experiment"), F.expr("stack(2, 'js', js, 'freq_corr', freq_corr) AS (metric, value)"))
-    return one.unionByName(s.select(F.lit("end_to_end").alias("experiment"), F.expr("stack(2, 'ks', ks, 'w1', w1) AS (metric, value)")))
+    """Metrics of the three comparisons per split, as a long table: codes, values end to end, and values rebuilt from the other sample's mean of their code."""
+    x = codes(spark, sf).withColumn("split_id", F.expr(f"cast(us div 86400000000 % {fx.SPLITS} as int)"))
+    by = ["split_id"]
+    f = q.frequencies(x, [*by, "sample"], "code", VOCAB)
+    f = f.groupBy(*by, "code").agg(*[F.max(F.when(F.col("sample") == k, F.col("freq"))).alias(n) for k, n in ((0, "p"), (1, "q"))])
+    c = q.smoothed(f.fillna(0.0, ["p", "q"]), by, ["p", "q"]).groupBy(*by).agg(F.round(q.js_divergence(), 7).alias("js"), F.round(F.corr("p", "q"), 6).alias("freq_corr"))
+    gap = F.abs(F.col("f") - F.col("g"))
+    e = q.cdf_steps(x.select(*by, "sample", "value"), by).groupBy(*by).agg(F.round(F.max(gap), 7).alias("ks"), F.round(F.sum(gap * F.coalesce("gap", F.lit(0.0))), 6).alias("w1"))
+    book = x.where("sample = 0").groupBy(*by, "code").agg(F.avg("value").alias("e"))
+    d = F.col("value") - F.col("e")
+    r = x.where("sample = 1").join(F.broadcast(book), [*by, "code"]).groupBy(*by).agg(F.round(F.avg(d * d), 6).alias("mse"), F.round(F.max(F.abs(d)), 7).alias("max_error"))
+    rows = lambda t, name, a, b: t.select(*by, F.lit(name).alias("experiment"), F.expr(f"stack(2, '{a}', {a}, '{b}', {b}) AS (metric, value)"))
+    return rows(c, "codes", "js", "freq_corr").unionByName(rows(e, "end_to_end", "ks", "w1")).unionByName(rows(r, "reconstruction", "mse", "max_error"))
