@@ -39,9 +39,11 @@ def n_words(col: str | Column) -> Column:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder in the shared storage that spark.checkpoint.dir names; a local one only where that is unset."""
+    """A new folder in the shared storage that spark.checkpoint.dir names. In local mode that may be unset; on a cluster it must not be."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tidebook-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -72,9 +74,15 @@ def md5_int(digits: int, *cols: Column) -> Column:
 
 
 def sampled(df: DataFrame, size: int, *key: Column) -> DataFrame:
-    """About ``size`` rows, the same ones on every run: those whose key's digest is below the share wanted; all if there are no more."""
-    n = df.count()
-    return df if n <= size else df.where(md5_int(12, *key) < int(size / n * 16**12))
+    """About ``size`` rows, the same ones on every run: those whose key's digest is below the share wanted; all if there are no more.
+
+    Rows with equal keys are one row, so that repeated rows can't exceed the bound: give what tells rows apart, texts as
+    their md5. Keys are counted by a mergeable sketch, to about two in a hundred.
+    """
+    x = df.withColumn("_drawn", md5_int(12, *key))
+    n = x.agg(F.approx_count_distinct("_drawn", 0.02)).first()[0]
+    x = x if n <= size else x.where(F.col("_drawn") < int(size / n * 16**12))
+    return x.dropDuplicates(["_drawn"]).drop("_drawn")
 
 
 def most_frequent(counts: DataFrame, limit: int) -> list[tuple[str, int]]:

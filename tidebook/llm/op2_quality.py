@@ -6,8 +6,10 @@ part only (crc32 of the id modulo 3 not 1) and about ``SAMPLE`` of each, by the
 is estimated from the two by best bins: the least ratio, over thresholds of a first model, of the unlabelled to the
 positive share above it. A small network then minimises prior * R+(1) + max(0, R_u(-1) - prior * R+(-1)).
 
-Defined results: null and empty texts have all figures 0 and are scored like others; repeated rows get equal scores;
-a document with several labels counts once, with the largest; without positives or unlabelled every score is 0.5.
+Defined results: null and empty texts have all figures 0 and are scored like others; very long texts are measured whole;
+repeated rows get equal scores and count once in a sample; a document with several labels counts once, with the largest;
+a score of just 0.5 is predicted 1; without positives or unlabelled every score is 0.5; an empty table gives no rows;
+columns other than doc_id and text (and the labels' quality) are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -164,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     x = stored(measured(docs), "op2")
     part = x.where(~F.col("held_out"))
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
-    take = lambda d, tag: np.array([list(r.x) for r in sampled(d, SAMPLE, F.lit(tag), F.col("doc_id")).select("x").collect()])
+    take = lambda d, tag: np.array([list(r.x) for r in sampled(d, SAMPLE, F.lit(tag), F.col("doc_id"), F.xxhash64("x")).select("x").collect()])
     net, prior = learn(take(part.join(good, "doc_id", "left_semi"), "p"), take(part, "u"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
