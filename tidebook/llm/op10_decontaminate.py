@@ -1,30 +1,40 @@
-"""Operator 10, benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are the test items' word 4-grams (lower case, letters and digits only), every one of them however frequent: a
-copy that stands in many documents makes its own grams frequent. Wherever a seed occurs, the item is aligned to the
-document around it (match 2, mismatch -1, gap -1 a word); the score over twice the item's words is the share found.
-Places that hold too few of the item's words to reach the threshold whatever their order are passed over, without loss.
-Test items are taken in blocks of a fixed size, each against all documents; only a block's index is broadcast.
-
-Defined results: null or empty texts match nothing; items of fewer than four words seed nothing; repeated rows are
-each reported; several items may match a document, and an item once a document, at its best place.
+"""Operator 10, benchmark decontamination: n-gram seeds join documents to test items, then Smith-Waterman alignment.
+
+Seeds are the test items' word trigrams (lower case; letters, digits and ``_``), as rows. One pass over the corpus lists
+where its own trigrams pass a fixed-size filter of the seeds, so that all but a few never leave their task; the rest join
+the seeds in Spark, which gives for each document and item the places where they may meet. All seeds count, however
+frequent: a copy that stands in many documents makes its own trigrams frequent. Only documents with such a place are
+read again, once each, and the items are aligned to the words around it (match 2, mismatch -1, gap -1 a word). The score
+over twice the item's words is the share found; ``THRESHOLD`` of it, and four words' worth (or all of a shorter item),
+are reported. Places that hold too few of the item's words to reach that in any order are passed over, without loss.
+
+No table comes to the driver but the filter (at most 16 MB), whatever the number and length of the items.
+
+Defined results: null or empty texts match nothing; items of fewer than three words match nothing, as ordinary prose
+holds them; very long texts are searched whole; repeated rows are each reported; several items may match a document, and
+an item once a document, at its best place; items that share an item_id are each reported; a score of just the threshold
+counts; empty tables give no rows (or leave all documents); other columns pass through ``clean`` whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import map_rows
+from tidebook.llm.common import map_rows, numbered, renamed, row_key, stored
 
-GRAM, THRESHOLD = 4, 0.5
+GRAM, THRESHOLD, LEAST_WORDS = 3, 0.5, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK_ITEMS = 10_000
+#: Bits of the filter by seed, and its largest size (in powers of two); beyond it more trigrams pass, and the join drops them.
+BITS_A_SEED, MOST_BITS = 32, 27
+CACHE_WORDS = 300_000
+#: Up to so many documents to drop are broadcast; more are joined.
+BROADCAST_FOUND = 200_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -33,90 +43,28 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams without unknown words (id 0), and where they start."""
-    if len(ids) < GRAM:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    known = ids > 0
-    full = known[: len(ids) - GRAM + 1].copy()
-    for k in range(1, GRAM):
-        full &= known[k : len(ids) - GRAM + 1 + k]
-    at = np.flatnonzero(full)
-    key = np.zeros(len(at), np.uint64)
-    for k in range(GRAM):
-        key = (key + ids[at + k].astype(np.uint64)) * _MIX
-        key ^= key >> np.uint64(29)
-    return key, at
-
-
-class Index:
-    """One block of test items: words to ids, n-gram keys in order, and for each key the items and places it comes from."""
-
-    def __init__(self, items: list[tuple[int, str | None]]) -> None:
-        self.vocab: dict[str, int] = {}
-        self.item_ids = [i for i, _ in items]
-        self.items = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in tokens(t)], np.int32) for _, t in items]
-        found = [grams(x) for x in self.items]
-        key = np.concatenate([k for k, _ in found] or [np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(items)), [len(k) for k, _ in found])
-        place = np.concatenate([a for _, a in found] or [np.zeros(0, np.int64)])
-        order = np.argsort(key, kind="stable")
-        self.keys, first = np.unique(key[order], return_index=True)
-        self.first = np.append(first, len(key))
-        self.item, self.place = item[order], place[order]
-
-    def read(self, text: str | None) -> np.ndarray:
-        get = self.vocab.get
-        return np.array([get(w, 0) for w in tokens(text)], np.int32)
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the keys occur in a document, and where."""
-        key, at = grams(ids)
-        if not len(key) or not len(self.keys):
-            return np.zeros(0, np.int64), at[:0]
-        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[k] == key
-        return k[hit], at[hit]
-
-    def possible(self, ids: np.ndarray, items: np.ndarray, threshold: float) -> np.ndarray:
-        """Whether so many of each item's words occur among the ids that its score can reach the threshold."""
-        there = np.zeros(len(self.vocab) + 1, bool)
-        there[ids] = True
-        there[0] = False
-        size = np.array([len(self.items[k]) for k in items])
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        return np.add.reduceat(there[np.concatenate([self.items[k] for k in items])].astype(np.int64), first) / size >= threshold
-
-    def matches(self, text: str | None, threshold: float) -> list[tuple[int, float]]:
-        """(item_id, share of the item found) of the items that a text holds, best alignment each."""
-        ids = self.read(text)
-        which, at = self.hits(ids)
-        if not len(which):
-            return []
-        n = self.first[which + 1] - self.first[which]
-        rows = np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, start = self.item[rows], np.repeat(at, n) - self.place[rows]
-        order = np.lexsort((start, item))
-        item, start = item[order], start[order]
-        own, of = np.unique(item, return_inverse=True)
-        keep = self.possible(ids, own, threshold)[of]
-        item, start = item[keep], start[keep]
-        best: dict[int, float] = {}
-        lo = 0
-        for i in range(1, len(item) + 1):
-            own = self.items[item[lo]]
-            # places further apart than half an item are aligned apart
-            if i < len(item) and item[i] == item[lo] and start[i] - start[i - 1] <= len(own) // 2:
-                continue
-            slack = len(own) // 2
-            part = ids[max(0, start[lo] - slack) : start[i - 1] + len(own) + slack]
-            # a word of either side matches once at most
-            if min(np.isin(own, part).sum(), np.isin(part, own).sum()) / len(own) >= threshold:
-                score = align(own, part) / (MATCH * len(own))
-                if score >= threshold:
-                    best[item[lo]] = max(score, best.get(item[lo], 0.0))
-            lo = i
-        return [(self.item_ids[k], v) for k, v in best.items()]
+class Grams:
+    """Keys of a text's trigrams; words' hashes are kept between texts, up to a fixed number."""
+
+    def __init__(self) -> None:
+        self.hash: dict[str, int] = {}
+
+    def of(self, text: str | None) -> np.ndarray:
+        w = tokens(text)
+        if len(w) < GRAM:
+            return np.zeros(0, np.int64)
+        if len(self.hash) > CACHE_WORDS:
+            self.hash.clear()
+        known = self.hash
+        for x in set(w).difference(known):
+            known[x] = xxhash.xxh64_intdigest(x)
+        h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+        n = len(w) - GRAM + 1
+        key = np.zeros(n, np.uint64)
+        for k in range(GRAM):
+            key = (key + h[k : n + k]) * _MIX
+            key ^= key >> np.uint64(29)
+        return key.view(np.int64)
 
 
 def align(item: np.ndarray, part: np.ndarray) -> int:
@@ -132,45 +80,124 @@ def align(item: np.ndarray, part: np.ndarray) -> int:
     return best
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator:
-    """A broadcast index for each block of test items."""
-    spark = docs.sparkSession
-    blocks = max(1, -(-benchmark.count() // BLOCK_ITEMS))
-    for b in range(blocks):
-        own = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text")
-        yield spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own.collect()]))
-
-
-def report(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and test item found in it: doc_id, item_id, score (0 to 1)."""
-    out = None
-    for shared in indexes(docs, benchmark):
+def best_score(item: list[str], words: list[str], there: set[str], starts: list[int], threshold: float) -> float | None:
+    """The best score of an item at its places in a document (where it would start, by seed), if it is enough."""
+    n = len(item)
+    need = max(threshold * MATCH * n, min(LEAST_WORDS, n) * MATCH)
+    if MATCH * sum(w in there for w in item) < need:
+        return None
+    ids: dict[str, int] = {}
+    own = np.array([ids.setdefault(w, len(ids) + 1) for w in item], np.int32)
+    best, lo, starts = 0, 0, sorted(starts)
+    for i in range(1, len(starts) + 1):
+        # places further apart than half an item are aligned apart
+        if i < len(starts) and starts[i] - starts[i - 1] <= n // 2:
+            continue
+        # beyond as many words as the item has, gaps cost more than it can bring
+        part = np.array([ids.get(w, 0) for w in words[max(0, starts[lo] - n) : starts[i - 1] + 2 * n]], np.int32)
+        # a word of either side matches once at most
+        if MATCH * min(np.isin(own, part).sum(), np.isin(part, own).sum()) >= need:
+            best = max(best, align(own, part))
+        lo = i
+    return best / (MATCH * n) if best >= need else None
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item (a number of its own), item_id and item_text of the items, stored."""
+    return stored(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long"), F.col("text").alias("item_text")), "op10-items")
+
+
+def seeds_of(items: DataFrame) -> DataFrame:
+    """gram, item, place of every trigram of every item, stored."""
+
+    def start():
+        grams = Grams()
+
+        def step(batch: pa.RecordBatch) -> dict:
+            keys = [grams.of(t.as_py()) for t in batch.column(1)]
+            size = [len(k) for k in keys]
+            return {"gram": pa.array(np.concatenate(keys)), "item": pa.array(np.repeat(batch.column(0).to_numpy(), size)), "place": pa.array(np.concatenate([np.arange(n) for n in size]), pa.int32())}
+
+        return step
+
+    return stored(map_rows(items.select("item", "item_text"), "gram long, item long, place int", start), "op10-seeds")
+
+
+def filter_of(seeds: DataFrame) -> np.ndarray:
+    """Bits, packed into 64-bit words, by the lowest bits of the seeds' keys: enough bits for ``BITS_A_SEED``, at most 2**``MOST_BITS``."""
+    bits = min(MOST_BITS, max(16, (max(1, seeds.count()) * BITS_A_SEED - 1).bit_length()))
+    at = F.col("gram").bitwiseAND(F.lit((1 << bits) - 1))
+    word = F.shiftright(at, 6).cast("int").alias("w")
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for r in seeds.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(gram & 63 as int))")).alias("m")).toLocalIterator():
+        out[r.w] = np.int64(r.m).astype(np.uint64)
+    return out
 
-        def start(shared=shared):
-            index = shared.value
 
-            def step(batch: pa.RecordBatch) -> dict:
-                found = [(d.as_py(), i, s) for d, t in zip(batch.column(0), batch.column(1), strict=True) for i, s in index.matches(t.as_py(), threshold)]
-                return {"doc_id": [x[0] for x in found], "item_id": [x[1] for x in found], "score": [x[2] for x in found]}
+def hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """_doc, gram, at: where documents' trigrams pass the filter; docs holds _doc and text."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(seeds))
+
+    def start():
+        grams, bits = Grams(), shared.value
+        mask = np.uint64(64 * len(bits) - 1)
+
+        def step(batch: pa.RecordBatch) -> dict:
+            doc, keys, places = [], [], []
+            for n, t in enumerate(batch.column(1)):
+                key = grams.of(t.as_py())
+                low = key.view(np.uint64) & mask
+                at = np.flatnonzero(bits[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1))
+                if len(at):
+                    doc += [n] * len(at)
+                    keys.append(key[at])
+                    places.append(at)
+            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+            return {"_doc": batch.column(0).take(pa.array(doc, pa.int64())), "gram": cat(keys), "at": cat(places)}
+
+        return step
+
+    return map_rows(docs.select("_doc", "text"), "_doc string, gram long, at long", start)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """_doc, item_id, score of each different document and test item found in it; docs holds _doc (equal for equal rows) and text. Stored."""
+    items = items_of(benchmark)
+    seeds = seeds_of(items)
+    met = hits(docs, seeds).join(seeds, "gram").groupBy("_doc", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
+    met = met.join(items, "item").groupBy("_doc").agg(F.collect_list(F.struct("item_id", "item_text", "starts")).alias("met"))
+    met = stored(met, "op10-met")
+    few = F.broadcast(met.select("_doc")) if met.count() <= BROADCAST_FOUND else met.select("_doc")
+    # equal documents are read once
+    read = docs.select("_doc", "text").join(few, "_doc", "left_semi").groupBy("_doc").agg(F.first("text").alias("text")).join(met, "_doc")
+
+    def start():
+        def step(batch: pa.RecordBatch) -> dict:
+            out = []
+            for doc, text, found in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                own = tokens(text)
+                there = set(own)
+                for x in found:
+                    score = best_score(tokens(x["item_text"]), own, there, x["starts"], threshold)
+                    if score is not None:
+                        out.append((doc, x["item_id"], score))
+            return {c: [r[i] for r in out] for i, c in enumerate(("_doc", "item_id", "score"))}
+
+        return step
+
+    return stored(map_rows(read.select("_doc", "text", "met"), "_doc string, item_id long, score double", start), "op10-found")
 
-            return step
 
-        one = map_rows(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, item_id long, score double", start)
-        out = one if out is None else out.unionByName(one)
-    return out
+def report(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document and test item found in it: doc_id, item_id, score (0 to 1)."""
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("_doc"), "text")
+    found = matches(x, benchmark, threshold)
+    return x.select("doc_id", F.col("_doc").alias("_row")).join(found, F.col("_row") == F.col("_doc")).select("doc_id", "item_id", "score")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no test item, with their own columns."""
-    own, out = docs.columns, docs
-    for shared in indexes(docs, benchmark):
-
-        def keep(batches, shared=shared):
-            index = shared.value
-            for batch in batches:
-                text = batch.column(batch.schema.get_field_index("text"))
-                mask = pa.array([not index.matches(t.as_py(), threshold) for t in text], pa.bool_())
-                yield batch.filter(mask)
-
-        out = out.mapInArrow(keep, docs.schema)
-    return out.select(*own)
+    x = docs.select(*numbered(docs), row_key("doc_id", "text").alias("_doc"), "text")
+    found = matches(x.select("_doc", "text"), benchmark, threshold).select("_doc").distinct()
+    few = F.broadcast(found) if found.count() <= BROADCAST_FOUND else found
+    return renamed(x.join(few, "_doc", "left_anti"), docs)
