@@ -8,11 +8,12 @@ that they travel with the samplers. The frequency of a whole shingle would not d
 others mostly the size of the group of copies that shares them, which would weigh down just what copies have in common.
 
 Improved consistent weighted samples (one per hash: the shingle and its quantised weight) fill bands. Equal texts are
-one node from the start. Nodes that share a band key meet in three rounds, and classes found so far are one before the
-next: each node and the smallest node of all its buckets; each node and the smallest of every bucket that still holds
-several classes; and, for buckets that hold several classes even then, an exact join, in which two nodes of different
-classes meet when the beginnings of their shingles, rarest first, have one in common (prefix filter: no similar pair is
-without one). A pair of which enough samples agree is compared on its texts and links at a weighted Jaccard similarity
+one node from the start. Nodes that share a band key meet in rounds, and classes found so far are one before the next:
+each node and the smallest node of all its buckets; then, in buckets that still hold several classes, each node and one
+drawn member, first by band and then by pairs of bands, whose buckets hold what is more alike. So large groups of copies
+become one class by pairs as many as their members. For buckets that hold several classes even then, an exact join
+follows, in which two nodes of different classes meet when the beginnings of their shingles, rarest first, have one in common and enough weight from there on
+(prefix and positional filter: no similar pair is without one). A pair of which enough samples agree is compared on its texts and links at a weighted Jaccard similarity
 of 0.8 or more. Classes are the connected components.
 
 Defined results: null texts and texts without words are classes of their own, named by their doc_id; texts of fewer
@@ -25,6 +26,8 @@ text's digest); repeated rows are in one class; an empty table gives no rows; ot
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +40,18 @@ from tidebook.llm.common import WORD_RE, map_rows, most_frequent, numbered, rena
 SIZE, SIMILARITY = 5, 0.8
 #: All bands miss a pair at the least similarity about four times in a hundred thousand.
 BANDS, ROWS = 14, 3
-#: Share of samples that must agree before texts are compared: five standard errors under the least similarity.
-AGREE = 0.48
+#: Share of samples that must agree before texts are compared in a round; the exact join sees again what this passes over.
+AGREE = 0.65
+#: Steps between the two bands of a pair, a round each.
+PAIRS = (1, 2, 3, 4)
 #: Texts whose shingles set the order of the exact join, and shingles that are ranked in it; they change its speed only.
 ORDER_TEXTS, ORDER_SHINGLES = 50_000, 200_000
+#: A pair that has met at one of so many shingles before doesn't meet again.
+BEFORE = 3
+BEFORES = [f"before_{k}" for k in range(BEFORE)]
 #: Share of documents under which words are all equally rare.
 RARE = 1e-4
-CACHE_WORDS, COUNT_WORDS, CHUNK, SEEN_TEXTS = 300_000, 200_000, 16_384, 200_000
+CACHE_WORDS, COUNT_WORDS, CHUNK_CHARS, SEEN_TEXTS = 300_000, 200_000, 120_000, 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FMIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -75,13 +83,15 @@ class Shingles:
         self.hash, self.weight = np.zeros(0, np.uint64), np.zeros(0)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles in order, and their weights."""
-        w = words(text)
-        if not w:
-            return np.zeros(0, np.uint64), np.zeros(0)
+        """A text's distinct shingles, and their weights."""
+        return self.many([text])[:2]
+
+    def many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles of some texts, a text after the other, their weights, and which text each belongs to."""
+        docs = [words(t) for t in texts]
         if len(self.ids) > CACHE_WORDS:
             self.ids = {}
-        fresh = [x for x in set(w) if x not in self.ids]
+        fresh = list({x for d in docs for x in d if x not in self.ids})
         if fresh:
             n = len(self.ids)
             self.ids.update(zip(fresh, range(n, n + len(fresh)), strict=True))
@@ -89,18 +99,37 @@ class Shingles:
                 self.hash, self.weight = np.resize(self.hash, 2 * (n + len(fresh))), np.resize(self.weight, 2 * (n + len(fresh)))
             self.hash[n : n + len(fresh)] = [xxhash.xxh64_intdigest(x) for x in fresh]
             self.weight[n : n + len(fresh)] = [self.idf.get(x, 1.0) for x in fresh]
-        get = self.ids
-        ids = np.array([get[x] for x in w])
-        k = min(SIZE, len(w))
-        h, v = self.hash[ids], self.weight[ids]
-        n = len(w) - k + 1
+        get, size = self.ids, np.array([len(d) for d in docs], np.int64)
+        ids = np.array([get[x] for d in docs for x in d], np.int64)
+        h, v, doc = self.hash[ids], self.weight[ids], np.repeat(np.arange(len(docs)), size)
+        key, idf = self.joined(h, v, SIZE)
+        inside = np.flatnonzero(doc[: len(key)] == doc[SIZE - 1 :]) if len(key) else np.zeros(0, np.int64)
+        key, idf, doc = key[inside], idf[inside], doc[inside]
+        for d in np.flatnonzero((size > 0) & (size < SIZE)):  # fewer words than a shingle: all of them
+            own = slice(int(size[:d].sum()), int(size[: d + 1].sum()))
+            k, i = self.joined(h[own], v[own], int(size[d]))
+            at = int(np.searchsorted(doc, d))
+            key, idf, doc = np.insert(key, at, k), np.insert(idf, at, i), np.insert(doc, at, d)
+        # equal shingles of one text are one, of their number
+        mixed = (key ^ (doc.astype(np.uint64) * _FMIX)) * _MIX
+        order = mixed.argsort()
+        mixed = mixed[order]
+        first = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]])) if len(mixed) else np.zeros(0, np.int64)
+        at, count = order[first], np.diff(np.append(first, len(mixed)))
+        by = at.argsort()
+        at, count = at[by], count[by]
+        return key[at], count * (1 + idf[at]), doc[at]
+
+    @staticmethod
+    def joined(h: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and mean frequencies of all runs of k words."""
+        n = max(0, len(h) - k + 1)
         key, idf = np.zeros(n, np.uint64), np.zeros(n)
         for j in range(k):
             key = (key + h[j : n + j]) * _MIX
             key ^= key >> np.uint64(31)
             idf += v[j : n + j]
-        key, at, count = np.unique(key, return_index=True, return_counts=True)
-        return key, count * (1 + idf[at] / k)
+        return key, idf / k
 
 
 class Sampler:
@@ -132,11 +161,6 @@ class Sampler:
             out[:, j] = np.minimum.reduceat((order << 32) | name, first)
         return (out & 0xFFFFFFFF).view(np.uint64)
 
-    def of(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The samples of texts' shingles and weights, a row a text."""
-        first = np.cumsum([0, *(len(k) for k, _ in parts[:-1])])
-        return self.signatures(np.concatenate([k for k, _ in parts]), np.concatenate([w for _, w in parts]), first)
-
 
 def bands_of(samples: np.ndarray) -> np.ndarray:
     """Keys of the bands; a band's number is part of its keys."""
@@ -154,41 +178,49 @@ def signed(docs: DataFrame, idf) -> DataFrame:
         shingles, sampler, seen = Shingles(idf.value), Sampler(), set()
 
         def step(batch: pa.RecordBatch) -> dict:
-            own, parts, have = [], [], 0
-            places, sums, samples = np.full(batch.num_rows, -1), [], []
+            own, texts, have = [], [], 0
+            places, repeated, sums, samples = np.full(batch.num_rows, -1), np.zeros(batch.num_rows, bool), [], []
+
+            def flush() -> None:
+                key, weight, doc = shingles.many(texts)
+                some, first = np.unique(doc, return_index=True)
+                have = sum(map(len, sums))
+                places[[own[-len(texts) + i] for i in some]] = np.arange(have, have + len(some))
+                if len(some):
+                    sums.append(np.add.reduceat(weight, first))
+                    samples.append(sampler.signatures(key, weight, first))
+
             for n, (d, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 if d in seen:
-                    own.append(n)
-                    continue
-                key, weight = shingles.of(t.as_py())
-                if not len(key):
+                    repeated[n] = True
                     continue
                 if len(seen) >= SEEN_TEXTS:
                     seen.clear()
                 seen.add(d)
                 own.append(n)
-                places[n] = len(sums)
-                sums.append(weight.sum())
-                parts.append((key, weight))
-                have += len(key)
-                if have >= CHUNK:
-                    samples.append(sampler.of(parts))
-                    parts, have = [], 0
-            if parts:
-                samples.append(sampler.of(parts))
-            at = pa.array(places[own], pa.int64(), mask=places[own] < 0)
+                texts.append(t.as_py())
+                have += len(texts[-1])
+                if have >= CHUNK_CHARS:
+                    flush()
+                    texts, have = [], 0
+            if texts:
+                flush()
+            # rows without words go; of rows whose text this task has signed before, only ids are told
+            rows = np.flatnonzero((places >= 0) | repeated)
+            at, rows = pa.array(places[rows], pa.int64(), mask=places[rows] < 0), pa.array(rows, pa.int64())
             drawn = np.concatenate(samples) if samples else np.zeros((0, BANDS * ROWS), np.uint64)
             lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).take(at)
             return {
-                "id": batch.column(0).take(pa.array(own, pa.int64())),
-                "md5": batch.column(1).take(pa.array(own, pa.int64())),
-                "weight": pa.array(sums, pa.float64()).take(at),
+                "id": batch.column(0).take(rows),
+                "md5": batch.column(1).take(rows),
+                "weight": pa.array(np.concatenate(sums) if sums else np.zeros(0)).take(at),
                 "bands": lists(bands_of(drawn)).cast(pa.list_(pa.int64())),
                 "samples": lists(drawn.astype(np.uint32).view(np.int32)).cast(pa.list_(pa.int32())),
             }
 
         return step
 
+    docs = docs.where(F.col("text").rlike(WORD_RE))
     return map_rows(docs.select(row_id().alias("id"), F.md5("text").alias("md5"), "text"), "id long, md5 string, weight double, bands array<long>, samples array<int>", start)
 
 
@@ -200,11 +232,10 @@ def row_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), digest_id(F.md5(F.coalesce("text", F.lit("")))))
 
 
-def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs of which at least ``AGREE`` of the samples agree, so that only those fetch their texts."""
-    x = pairs.join(sketches.select(F.col("node").alias("a"), F.col("samples").alias("_sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("samples").alias("_sb")), "b")
-    same = F.aggregate(F.zip_with("_sa", "_sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
-    return x.where(same >= int(AGREE * BANDS * ROWS)).select("a", "b", "la", "lb")
+def agree(a: str, b: str) -> Column:
+    """Whether enough samples of two nodes agree for their texts to be fetched."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
+    return same >= int(AGREE * BANDS * ROWS)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
@@ -256,18 +287,17 @@ def frequent_shingles(texts: DataFrame, idf) -> tuple[np.ndarray, np.ndarray]:
 
 
 def beginnings(texts: DataFrame, idf, ranks, similarity: float) -> DataFrame:
-    """node, token, small: the shingles at the beginning of each text, rarest first.
+    """node, token, rest, before: the shingles at the beginning of each text, rarest first, the weight from each to the end, and the ones just before each.
 
-    The overlap of a similar pair is at least ``similarity`` of the larger text's weight and 2 s / (1 + s) of the smaller
-    one's. What follows a beginning weighs less than that, so the beginnings have a shingle in common; those of a text
-    as the smaller one (``small``) are shorter.
+    The overlap of a similar pair is at least ``similarity`` of the larger text's weight, and no more than weighs what
+    follows the first shingle that they have in common: so that one is in the beginning.
     """
 
     def start():
         shingles, (known, often) = Shingles(idf.value), ranks.value
 
         def step(batch: pa.RecordBatch) -> dict:
-            nodes, tokens, small = [], [], []
+            nodes, tokens, rests, before = [], [], [], [[] for _ in range(BEFORE)]
             for i, t in zip(batch.column(0), batch.column(1), strict=True):
                 key, weight = shingles.of(t.as_py())
                 rank = np.zeros(len(key), np.int64)
@@ -275,16 +305,24 @@ def beginnings(texts: DataFrame, idf, ranks, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                     rank = np.where(known[at] == key, often[at], 0)
                 order = np.lexsort((key, rank))
-                left = np.cumsum(weight[order][::-1])[::-1]
-                n = [int((left >= share * left[0] - 1e-6).sum()) for share in (2 * similarity / (1 + similarity), similarity)]
-                nodes.append(np.full(n[1], i.as_py()))
-                tokens.append(key[order[: n[1]]].view(np.int64))
-                small.append(np.arange(n[1]) < n[0])
-            return {"node": pa.array(np.concatenate(nodes)), "token": pa.array(np.concatenate(tokens)), "small": pa.array(np.concatenate(small))}
+                rest = np.cumsum(weight[order][::-1])[::-1]
+                n = int((rest >= similarity * rest[0] - 1e-6).sum())
+                own = key[order[:n]].view(np.int64)
+                nodes.append(np.full(n, i.as_py()))
+                tokens.append(own)
+                rests.append(rest[:n])
+                for k in range(BEFORE):
+                    before[k].append(np.concatenate([np.zeros(min(k + 1, n), np.int64), own[: max(0, n - k - 1)]]))
+            return {
+                "node": pa.array(np.concatenate(nodes)),
+                "token": pa.array(np.concatenate(tokens)),
+                "rest": pa.array(np.concatenate(rests)),
+                **{f"before_{k}": pa.array(x, mask=x == 0) for k, x in enumerate(map(np.concatenate, before))},
+            }
 
         return step
 
-    return map_rows(texts.select("node", "text"), "node long, token long, small boolean", start)
+    return map_rows(texts.select("node", "text"), "node long, token long, rest double, " + ", ".join(f"{c} long" for c in BEFORES), start)
 
 
 def size_alike(a: str, b: str, similarity: float) -> Column:
@@ -293,19 +331,23 @@ def size_alike(a: str, b: str, similarity: float) -> Column:
 
 
 def meetings(left: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
-    """a, b, la, lb: pairs of different classes that have a token in common; left holds v (node and sums) and label."""
-    x = tokens.join(left, F.col("node") == F.col("v.node")).select("token", "small", "v", "label")
+    """a, b, la, lb: pairs of different classes that may be similar, by a token in common; left holds v (node and weight) and label."""
+    x = tokens.join(left, F.col("node") == F.col("v.node")).select("token", "rest", "node", "v.weight", "label", *BEFORES)
     own = stored(x, "op7-tokens")
-    open_ = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("small").alias("any")).where("lo < hi and any")
-    own = stored(own.join(open_, "token", "left_semi"), "op7-shared")
-    # classes meet before their members do: members of one class make no pairs
-    by = own.groupBy("token", "label").agg(F.max("small").alias("small"))
-    met = by.where("small").select("token", F.col("label").alias("la")).join(by.select("token", F.col("label").alias("lb")), "token").where("la != lb")
-    met = met.join(own.where("small").select("token", F.col("label").alias("la"), F.col("v").alias("a")), ["token", "la"])
-    met = met.join(own.select("token", F.col("label").alias("lb"), F.col("v").alias("b")), ["token", "lb"]).where(size_alike("a", "b", similarity))
-    one, other = (F.struct(F.col(f"{k}.node").alias("node"), F.col(f"l{k}").alias("label")) for k in "ab")
-    met = met.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct()
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+    # a pair's smaller text has its first common token among the shingles before the last 2 s / (1 + s) of its weight
+    small = F.col("rest") >= 2 * similarity / (1 + similarity) * F.col("weight") - 1e-6
+    shared = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(small).alias("any")).where("lo < hi and any").select("token")
+    own = stored(own.join(shared, "token", "left_semi"), "op7-shared")
+    names = ("node", "rest", "weight", "label", *BEFORES)
+    a = own.where(small).select("token", *[F.col(c).alias(f"a_{c}") for c in names])
+    b = own.select("token", *[F.col(c).alias(f"b_{c}") for c in names])
+    # where a shingle before is common too, the pair has met there: what must hold here holds there as well
+    again = F.coalesce(reduce(or_, [F.coalesce(F.col(f"a_{x}") == F.col(f"b_{y}"), F.lit(False)) for x in BEFORES for y in BEFORES]), F.lit(False))
+    order = (F.col("a_weight") < F.col("b_weight")) | ((F.col("a_weight") == F.col("b_weight")) & (F.col("a_node") < F.col("b_node")))
+    enough = F.least("a_rest", "b_rest") >= similarity / (1 + similarity) * (F.col("a_weight") + F.col("b_weight")) - 1e-6
+    size = F.col("a_weight") >= (similarity - 1e-9) * F.col("b_weight")
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("a_label") != F.col("b_label")) & order & size & enough & ~again)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_label").alias("la"), F.col("b_label").alias("lb")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -331,38 +373,48 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     idf = spark.sparkContext.broadcast(word_frequencies(docs))
     found = signed(docs, idf).groupBy("md5").agg(F.min("id").alias("id"), F.first(F.when(F.col("bands").isNotNull(), F.struct("weight", "bands", "samples")), True).alias("r"))
     nodes = stored(found.select(F.monotonically_increasing_id().alias("node"), "md5", "id", "r.*"), "op7-nodes")
-    x = nodes.select(F.struct("node", "weight").alias("v"), F.explode("bands").alias("key"))
+    v = F.struct("node", "weight").alias("v")
+    x = nodes.select(v, "samples", F.explode("bands").alias("key"))
     crowded = x.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     members = stored(x.join(crowded, "key", "left_semi"), "op7-members")
     own = stored(members.select(F.col("v.node").alias("node")).distinct(), "op7-own")
-    sketches = stored(nodes.select("node", "md5", "id", "samples").join(own, "node", "left_semi"), "op7-sketches")
-    texts = docs.select(F.md5("text").alias("md5"), row_id().alias("id"), "text").join(sketches.select("md5", "id", "node"), ["md5", "id"])
+    texts = docs.select(F.md5("text").alias("md5"), row_id().alias("id"), "text").join(nodes.join(own, "node", "left_semi").select("md5", "id", "node"), ["md5", "id"])
     # grouped as it was joined, so no second shuffle
     texts = stored(texts.groupBy("md5", "id", "node").agg(F.first("text").alias("text")).select("node", "text"), "op7-texts")
 
     def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        new = stored(verified(likely(pairs, sketches), texts, idf, similarity), "op7-links")
+        new = stored(verified(pairs, texts, idf, similarity), "op7-links")
         merged = components(new.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnsRenamed({"node": "old", "label": "to"})
         return stored(labels.join(merged, F.col("label") == F.col("old"), "left").select("node", F.coalesce("to", "label").alias("label")), "op7-classes")
 
-    def several(labels: DataFrame) -> DataFrame:
+    def several(keyed: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold several classes, with their labels."""
-        y = members.join(labels, F.col("v.node") == F.col("node")).drop("node")
+        y = keyed.join(labels, F.col("v.node") == F.col("node")).drop("node")
         mixed = y.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         return stored(y.join(mixed, "key", "left_semi"), "op7-several")
 
+    def met(left: DataFrame, turn: int) -> DataFrame:
+        """Each member and the one drawn from its bucket, where their classes differ."""
+        drawn = left.groupBy("key").agg(F.min_by(F.struct("v", "label", "samples"), F.xxhash64("v.node", F.lit(turn))).alias("p"))
+        pairs = left.join(drawn, "key").where("label != p.label").where(size_alike("p.v", "v", similarity)).where(agree("p.samples", "samples"))
+        return pairs.select(F.col("p.v.node").alias("a"), F.col("v.node").alias("b"), F.col("p.label").alias("la"), F.col("label").alias("lb")).distinct()
+
     # every text is its own class: each meets the smallest of all its buckets
     labels = own.select("node", F.col("node").alias("label"))
-    pivots = members.groupBy("key").agg(F.min_by("v", "v.node").alias("p"))
-    first = members.join(pivots, "key").groupBy("v").agg(F.min_by("p", "p.node").alias("p")).where("p.node != v.node").where(size_alike("p", "v", similarity))
-    labels = linked(first.select(F.col("p.node").alias("a"), F.col("v.node").alias("b"), F.col("p.node").alias("la"), F.col("v.node").alias("lb")), labels)
-    # where classes are left apart, all meet the smallest of each bucket
-    left = several(labels)
-    pivots = left.groupBy("key").agg(F.min_by(F.struct("v", "label"), "v.node").alias("p"))
-    pairs = left.join(pivots, "key").where("label != p.label").where(size_alike("p.v", "v", similarity))
-    labels = linked(pairs.select(F.col("p.v.node").alias("a"), F.col("v.node").alias("b"), F.col("p.label").alias("la"), F.col("label").alias("lb")).distinct(), labels)
+    pivots = members.groupBy("key").agg(F.min_by(F.struct("v", "samples"), "v.node").alias("p"))
+    first = members.join(pivots, "key").where("p.v.node != v.node").where(size_alike("p.v", "v", similarity)).where(agree("p.samples", "samples"))
+    first = first.groupBy(F.col("v.node").alias("b")).agg(F.min("p.v.node").alias("a"))
+    labels = linked(first.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), labels)
+    # where classes are left apart, all meet one of their bucket, and then of their buckets by pairs of bands
+    left = several(members, labels)
+    labels = linked(met(left, 0), labels)
+    apart = left.select(F.col("v.node").alias("node")).distinct()
+    bands = stored(nodes.join(apart, "node", "left_semi").select(v, "samples", "bands"), "op7-bands")
+    for turn in PAIRS:
+        two = F.array(*[F.xxhash64(F.get("bands", F.lit(i)), F.get("bands", F.lit((i + turn) % BANDS))) for i in range(BANDS)])
+        labels = linked(met(several(bands.select("v", "samples", F.explode(two).alias("key")), labels), turn), labels)
     # and where they still are, all whose beginnings meet
-    left = stored(several(labels).select("v", "label").distinct(), "op7-left")
+    left = stored(several(members, labels).select("v", "label").distinct(), "op7-left")
     own = stored(texts.join(left.select(F.col("v.node").alias("node")), "node", "left_semi"), "op7-left-texts")
     ranks = spark.sparkContext.broadcast(frequent_shingles(own, idf))
     labels = linked(meetings(left, beginnings(own, idf, ranks, similarity), similarity), labels)
