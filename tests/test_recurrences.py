@@ -162,3 +162,67 @@ def test_empty_side_gives_null_or_the_fold_start(spark):
     x = b.depth_bands(b.sorted_book(df), (5, 0)).first()
     assert x.depth_top_5 == 2.0 and x.depth_imbalance_all == 1.0
 
+
+
+def test_ranks_lags_and_running_sums_by_buckets_are_those_of_whole_windows(spark):
+    from pyspark.sql import Window
+
+    from tidebook.operators import frames
+
+    rng = np.random.default_rng(9)
+    rows = [(k, int(t), i, float(v)) for k, n in (("a", 500), ("b", 37), ("c", 1)) for i, (t, v) in enumerate(zip(np.sort(rng.integers(0, 50, n)), rng.normal(size=n), strict=True))]
+    df = spark.createDataFrame(rows, "k string, us long, id long, value double")
+    w = Window.partitionBy("k").orderBy("us", "id")
+    want = df.select("k", "id", (F.row_number().over(w) - 1).alias("idx"), F.lag("value", 1).over(w).alias("p1"), F.lag("value", 5).over(w).alias("p5"), F.lead("value", 2).over(w).alias("n2"), F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 9).alias("s"))
+    x = frames.running(frames.ranked(df, ["k"], ["us", "id"], F.expr("us div 7"), "idx"), ["k"], ["us", "id"], F.expr("us div 7"), F.col("value"), "s")
+    got = frames.lagged(x, ["k"], "idx", {"p1": ("value", 1), "p5": ("value", 5), "n2": ("value", -2)}, block=16)
+    assert sorted(map(str, got.select("k", "id", "idx", "p1", "p5", "n2", F.round("s", 9).alias("s")).collect())) == sorted(map(str, want.collect()))
+
+
+def test_bins_in_closed_form_are_those_of_the_edges(spark):
+    from tidebook.operators import book as b
+
+    for bins, eps, delta in ((20, 0.5, 4.0), (1000, 0.5, 1000.0)):
+        edges = b.log_bin_edges(bins, eps, delta)
+        rng = np.random.default_rng(4)
+        z = [*edges[1:-1], *np.nextafter(edges[1:-1], -np.inf), *np.nextafter(edges[1:-1], np.inf), 0.0, 1e-9, -1e-9, 1e6, -1e6, *(rng.normal(size=300) * 10), *(10 ** rng.uniform(-3, 4, 300))]
+        got = [r.b for r in spark.createDataFrame([(float(v),) for v in z], "z double").select(b.bin_of(F.col("z"), bins, eps, delta).alias("b")).collect()]
+        assert got == [min(sum(e <= v for e in edges) - 1, len(edges) - 3) for v in z]
+
+
+def test_scaled_batches_are_the_recurrence():
+    from tidebook.streaming.books import scaled
+
+    x = np.random.default_rng(2).normal(5, 2, 1500)
+    want = [max(-3.0, min(3.0, (v - m) / math.sqrt(s + 1e-12))) if s else 0.0 for v, (m, s) in zip(x, walk(list(x), 0.05), strict=True)]
+    got, state = [], (0.0, 0.0)
+    for lo in range(0, 1500, 400):
+        z, *state = scaled(x[lo : lo + 400], *state, lo, 0.05)
+        got += list(z)
+    assert np.abs(np.array(got) - want).max() < 1e-9
+
+
+def test_every_grid_time_is_told(spark, tmp_path):
+    from tidebook.streaming import books
+
+    rows = [("s", 1, 10, "partial", 1, 5.0, 1.0, "Buy"), ("s", 2, 400, "insert", 2, 6.0, 1.0, "Sell"), ("s", 3, 400, "delete", 1, 0.0, 0.0, "Buy"), ("s", 4, 750, "update", 2, 0.0, 3.0, "Sell"), ("t", 5, 20, "insert", 1, 5.0, 1.0, "Buy"), ("t", 6, 900, "update", 1, 0.0, 2.0, "Buy")]
+    df = spark.createDataFrame(rows, books.L2)
+    for k, (lo, hi) in enumerate(((0, 100), (100, 500), (500, 1000))):
+        df.where(f"us >= {lo} AND us < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = books.run_once(books.snapshots(stream, 100), str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    # the update at 400 is in the book of 400; nothing begins before a partial
+    assert sorted((r.symbol, r.grid_us, r.n_bids, r.n_asks) for r in got) == [("s", t, 1, 0) for t in (100, 200, 300)] + [("s", t, 0, 1) for t in (400, 500, 600, 700)]
+
+
+def test_files_are_ingested_once(spark, tmp_path):
+    from tidebook.sources import tables
+
+    path, schema = str(tmp_path), "a long"
+    tables.write_files(spark.range(5).withColumnRenamed("id", "a"), path, None, lambda d: "one.parquet")
+    tables.write_bytes(spark, f"{path}/bad.parquet", b"no")
+    log = spark.createDataFrame([], "filename string, type string, record_count int")
+    rows, new = tables.ingested(spark, path, log, "book", schema)
+    assert rows.count() == 5 and [tuple(r) for r in new.collect()] == [("one.parquet", "book", 5)]
+    rows, again = tables.ingested(spark, path, new, "book", schema)
+    assert rows.count() == 0 and again.count() == 0

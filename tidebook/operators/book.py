@@ -116,7 +116,7 @@ def bin_of(z: Column, bins: int, eps: float, delta: float) -> Column:
     n, step = bins // 2, math.log(delta / eps) / (bins // 2 - 1)
     k = F.floor(F.ln(F.greatest(F.abs(z), F.lit(1e-300)) / eps) / step)
     k = F.greatest(F.least(k, F.lit(n - 1)), F.lit(-1)).cast("int")  # -1: below eps
-    guess = F.when(z >= 0, n + 1 + k).otherwise(n - 1 - k)
+    guess = F.when(z >= 0, n + 2 + k).otherwise(n - 1 - k)
     lit = F.array(*map(F.lit, edges))
     at = lambda i: F.element_at(lit, F.greatest(F.least(i, F.lit(len(edges) - 1)), F.lit(0)) + 1)
     right = F.when(z < at(guess), guess - 1).when(z >= at(guess + 1), guess + 1).otherwise(guess)
