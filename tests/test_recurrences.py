@@ -226,3 +226,21 @@ def test_files_are_ingested_once(spark, tmp_path):
     assert rows.count() == 5 and [tuple(r) for r in new.collect()] == [("one.parquet", "book", 5)]
     rows, again = tables.ingested(spark, path, new, "book", schema)
     assert rows.count() == 0 and again.count() == 0
+
+
+def test_codebook_is_its_members_mean_and_beats_a_drawn_one(spark):
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(4, 6)) * 5
+    x = np.concatenate([c + rng.normal(size=(60, 6)) for c in centers])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id int, v array<double>")
+    book = quality.fit_codes(df, 4)
+    e = {r.code: np.array(r.e) for r in book.collect()}
+    got = {r.vec_id: (r.code, r.distance) for r in quality.assign_codes(df, book).collect()}
+    for i, v in enumerate(x):
+        d = {k: ((v - c) ** 2).sum() for k, c in e.items()}
+        assert got[i][0] == min(d, key=lambda k: (d[k], k)) and abs(got[i][1] - min(d.values())) < 1e-9
+    for k, c in e.items():
+        own = [v for i, v in enumerate(x) if got[i][0] == k]
+        assert np.abs(np.mean(own, 0) - c).max() < 1e-3
+    drawn = x[rng.choice(len(x), 4, replace=False)]
+    assert np.mean([d for _, d in got.values()]) <= np.mean([min(((v - c) ** 2).sum() for c in drawn) for v in x])

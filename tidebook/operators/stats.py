@@ -129,8 +129,9 @@ def hill(df: DataFrame, by: list[str]) -> DataFrame:
 def hurst(df: DataFrame, by: list[str], points: int = 20) -> DataFrame:
     """Slope of log mean R/S on log lag, over log-spaced lags of 10 to n/2."""
     x = df.withColumn("n", F.count("*").over(Window.partitionBy(*by))).where("n >= 20")
-    lag = F.floor(F.exp(F.ln(F.lit(10.0)) + F.col("_j") * (F.ln(F.col("n") / 2) - F.ln(F.lit(10.0))) / (points - 1)) + 1e-9)
-    x = x.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("lag", lag).dropDuplicates([*by, "i", "lag"])
+    # each series' different lags; what follows stays where the series is, so there is no further shuffle
+    lag = lambda j: F.floor(F.exp(F.ln(F.lit(10.0)) + j * (F.ln(F.col("n") / 2) - F.ln(F.lit(10.0))) / (points - 1)) + 1e-9)
+    x = x.withColumn("lag", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lag))))
     x = x.withColumn("c", F.floor((F.col("i") - 1) / F.col("lag"))).where((F.col("c") + 1) * F.col("lag") <= F.col("n"))
     part = Window.partitionBy(*by, "lag", "c")
     x = x.withColumn("d", F.col("value") - F.avg("value").over(part))
