@@ -6,7 +6,9 @@ document is emitted once per whole number that its part of the sum crosses. The
 size and digest (a count per bin, then ranks inside a bin), so no source is ordered in one task.
 
 Defined results: a null text has size 0; null is a source of its own, last; a source without words has target 0 and
-nothing taken; repeated rows take neighbouring ranks; reruns agree (digests of the id, no random state).
+nothing taken; very long texts are counted whole; equal sizes go by the digest, and repeated rows take neighbouring
+ranks; reruns agree (digests of the id, no random state); an empty table gives no rows; other columns pass through
+``emit`` whatever their names.
 """
 
 from __future__ import annotations
