@@ -43,7 +43,7 @@ BANDS, ROWS = 14, 3
 #: Share of samples that must agree before texts are compared in a round; the exact join sees again what this passes over.
 AGREE = 0.65
 #: Steps between the two bands of a pair, a round each.
-PAIRS = (1, 2, 3, 4)
+PAIRS = (1, 2)
 #: Texts whose shingles set the order of the exact join, and shingles that are ranked in it; they change its speed only.
 ORDER_TEXTS, ORDER_SHINGLES = 50_000, 200_000
 #: A pair that has met at one of so many shingles before doesn't meet again.
