@@ -12,9 +12,10 @@ one node from the start. Nodes that share a band key meet in rounds, and classes
 each node and the smallest node of all its buckets; then, in buckets that still hold several classes, each node and one
 drawn member, first by band and then by pairs of bands, whose buckets hold what is more alike. So large groups of copies
 become one class by pairs as many as their members. For buckets that hold several classes even then, an exact join
-follows, in which two nodes of different classes meet when the beginnings of their shingles, rarest first, have one in common and enough weight from there on
-(prefix and positional filter: no similar pair is without one). A pair of which enough samples agree is compared on its texts and links at a weighted Jaccard similarity
-of 0.8 or more. Classes are the connected components.
+follows: two nodes of different classes meet when the beginnings of their shingles, rarest first, have one in common and
+enough weight from there on (prefix and positional filter: no similar pair is without one). In the rounds a pair of which
+enough samples agree, and in the join every pair, is compared on its texts and links at a weighted Jaccard similarity of
+0.8 or more. Classes are the connected components.
 
 Defined results: null texts and texts without words are classes of their own, named by their doc_id; texts of fewer
 than five words are one shingle; very long texts are sampled whole; rows without doc_id go by a digest of their text; a
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import WORD_RE, map_rows, most_frequent, numbered, renamed, sampled, stored, words
+from tidebook.llm.common import WORD_RE, discard, map_rows, most_frequent, numbered, renamed, sampled, stored, words
 
 SIZE, SIMILARITY = 5, 0.8
 #: All bands miss a pair at the least similarity about four times in a hundred thousand.
@@ -337,7 +338,8 @@ def meetings(left: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame
     # a pair's smaller text has its first common token among the shingles before the last 2 s / (1 + s) of its weight
     small = F.col("rest") >= 2 * similarity / (1 + similarity) * F.col("weight") - 1e-6
     shared = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(small).alias("any")).where("lo < hi and any").select("token")
-    own = stored(own.join(shared, "token", "left_semi"), "op7-shared")
+    every, own = own, stored(own.join(shared, "token", "left_semi"), "op7-shared")
+    discard(every)
     names = ("node", "rest", "weight", "label", *BEFORES)
     a = own.where(small).select("token", *[F.col(c).alias(f"a_{c}") for c in names])
     b = own.select("token", *[F.col(c).alias(f"b_{c}") for c in names])
@@ -362,8 +364,10 @@ def components(links: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("up"), F.col("label").alias("over"))
         new = labels.join(near, F.col("node") == F.col("near")).join(up, F.col("label") == F.col("up"))
         new = stored(new.select("node", F.least("label", "low", "over").alias("label"), (F.least("low", "over") < F.col("label")).alias("moved")), "op7-labels")
+        discard(labels)
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
+            discard(edges)
             return labels
 
 
@@ -385,7 +389,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     def linked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         new = stored(verified(pairs, texts, idf, similarity), "op7-links")
         merged = components(new.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnsRenamed({"node": "old", "label": "to"})
-        return stored(labels.join(merged, F.col("label") == F.col("old"), "left").select("node", F.coalesce("to", "label").alias("label")), "op7-classes")
+        out = stored(labels.join(merged, F.col("label") == F.col("old"), "left").select("node", F.coalesce("to", "label").alias("label")), "op7-classes")
+        discard(new, merged)
+        return out
 
     def several(keyed: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of the buckets that hold several classes, with their labels."""
@@ -410,11 +416,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels = linked(met(left, 0), labels)
     apart = left.select(F.col("v.node").alias("node")).distinct()
     bands = stored(nodes.join(apart, "node", "left_semi").select(v, "samples", "bands"), "op7-bands")
+    discard(left)
     for turn in PAIRS:
         two = F.array(*[F.xxhash64(F.get("bands", F.lit(i)), F.get("bands", F.lit((i + turn) % BANDS))) for i in range(BANDS)])
-        labels = linked(met(several(bands.select("v", "samples", F.explode(two).alias("key")), labels), turn), labels)
+        left = several(bands.select("v", "samples", F.explode(two).alias("key")), labels)
+        labels = linked(met(left, turn), labels)
+        discard(left)
     # and where they still are, all whose beginnings meet
-    left = stored(several(members, labels).select("v", "label").distinct(), "op7-left")
+    last = several(members, labels)
+    left = stored(last.select("v", "label").distinct(), "op7-left")
+    discard(last, bands, members)
     own = stored(texts.join(left.select(F.col("v.node").alias("node")), "node", "left_semi"), "op7-left-texts")
     ranks = spark.sparkContext.broadcast(frequent_shingles(own, idf))
     labels = linked(meetings(left, beginnings(own, idf, ranks, similarity), similarity), labels)
