@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import op1_pii, op2_quality, op3_lm, op4_warc, op5_licenses, op6_lines, op7_near, op8_mix, op9_quality, op10_decontaminate
+from tidebook.llm import op1_pii, op2_quality, op3_lm, op4_warc, op5_licenses, op6_lines, op7_near, op8_mix, op9_quality, op10_decontaminate, op11_conversations, op12_spelling, op13_topk
 from tidebook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,5 +52,21 @@ def op10_decontaminate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii_spans, op2_quality_classifier, op3_language_model, op4_warc_index, op5_license_scan, op6_line_dedup, op7_near_duplicates, op8_mix_sources, op9_quality_rules, op10_decontaminate_benchmark)}
-SQL: dict[str, str] = {"op4_warc_index": op4_warc.SQL, "op6_line_dedup": op6_lines.SQL, "op8_mix_sources": op8_mix.SQL}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_conversations.score(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_spelling.score(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_topk.score(table(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (
+    op1_pii_spans, op2_quality_classifier, op3_language_model, op4_warc_index, op5_license_scan, op6_line_dedup, op7_near_duplicates, op8_mix_sources,
+    op9_quality_rules, op10_decontaminate_benchmark, op11_conversation_repair, op12_spelling_variants, op13_exact_top_k,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
+SQL: dict[str, str] = {"op4_warc_index": op4_warc.SQL, "op6_line_dedup": op6_lines.SQL, "op8_mix_sources": op8_mix.SQL, "op13_exact_top_k": op13_topk.SQL}
