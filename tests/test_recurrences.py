@@ -1,9 +1,14 @@
 """Operators against their definitions as plain loops, and properties that hold for any data."""
 
 import math
+import os
 import random
+from collections import Counter
+from datetime import timezone
+from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators import fit, frames, quality, splits, stats, trading
@@ -190,29 +195,71 @@ def test_bins_in_closed_form_are_those_of_the_edges(spark):
         assert got == [min(sum(e <= v for e in edges) - 1, len(edges) - 3) for v in z]
 
 
-def test_scaled_batches_are_the_recurrence():
-    from tidebook.streaming.books import scaled
+def test_carried_scaling_is_the_recurrence(spark):
+    """Blocks and batches of any length, values far from their state, one key that begins in the second batch."""
+    from tidebook.streaming.books import ewma_carried
 
-    x = np.random.default_rng(2).normal(5, 2, 1500)
-    want = [max(-3.0, min(3.0, (v - m) / math.sqrt(s + 1e-12))) if s else 0.0 for v, (m, s) in zip(x, walk(list(x), 0.05), strict=True)]
-    got, state = [], (0.0, 0.0)
-    for lo in range(0, 1500, 400):
-        z, *state = scaled(x[lo : lo + 400], *state, lo, 0.05)
-        got += list(z)
-    assert np.abs(np.array(got) - want).max() < 1e-9
+    rng = np.random.default_rng(2)
+    x = {"a": np.concatenate([rng.normal(5, 2, 700), rng.normal(1e4, 1, 800)]), "b": rng.normal(-3, 0.1, 40)}
+    alpha, got = 1 - 2 ** (-1 / 20), {}
+    state = spark.createDataFrame([], "key string, m0 double, v0 double")
+    for keys, lo, hi in ((("a",), 0, 613), (("a", "b"), 613, 1500)):
+        rows = [(k, i, float(v)) for k in keys for i, v in enumerate(x[k][lo if k == "a" else 0 : hi])]
+        out = ewma_carried(spark.createDataFrame(rows, "key string, idx long, value double"), ["key"], "idx", "value", state, 20, block=64).collect()
+        for r in sorted(out, key=lambda r: r.idx):
+            got.setdefault(r.key, []).append((r.m, r.v))
+        state = spark.createDataFrame([(k, *v[-1]) for k, v in got.items()], "key string, m0 double, v0 double")
+    for k, v in x.items():
+        for (m, var), (wm, wv) in zip(got[k], walk(list(v), alpha), strict=True):
+            assert m == pytest.approx(wm, rel=1e-9) and var == pytest.approx(wv, rel=1e-6, abs=1e-9)
 
 
-def test_every_grid_time_is_told(spark, tmp_path):
+def replay(spark, path, rows, schema, build, rows_a_slot, mix_times=False):
+    from tidebook.sources import tables
+    from tidebook.streaming import books
+
+    df = spark.createDataFrame(rows, schema)
+    slots = tables.time_slots(df, f"{path}/in", rows=rows_a_slot)
+    if mix_times:
+        files = [str(f) for f in Path(path).rglob("in/*/*.parquet")]
+        for f, t in zip(files, random.Random(5).sample(range(10**9, 2 * 10**9, 1000), len(files)), strict=True):
+            os.utime(f, (t, t))
+    schemas = []
+
+    def start(stream):
+        out = build(stream)
+        schemas.append(out.schema)
+        return books.written(f"{path}/out", f"{path}/state")(out)
+
+    books.replay(spark, f"{path}/in", slots, df.schema, start)
+    return len(slots), spark.read.schema(schemas[0]).parquet(f"{path}/out").collect()
+
+
+@pytest.mark.parametrize("rows_a_slot", [100, 3])
+def test_every_grid_time_is_told(spark, tmp_path, rows_a_slot):
+    """In one batch or several: grid times between updates, quiet keys, the snapshot after the last update."""
+    from tidebook.streaming import books
+
+    ms = 1000
+    rows = [("s", 1, 10 * ms, "partial", 1, 5.0, 1.0, "Buy"), ("s", 2, 400 * ms, "insert", 2, 6.0, 1.0, "Sell"), ("s", 3, 400 * ms, "delete", 1, 0.0, 0.0, "Buy"), ("s", 4, 750 * ms, "update", 2, 0.0, 3.0, "Sell")]
+    rows += [("t", 5, 20 * ms, "insert", 1, 5.0, 1.0, "Buy"), ("t", 6, 900 * ms, "update", 1, 0.0, 2.0, "Buy"), ("u", 7, 150 * ms, "partial", 9, 2.0, 1.0, "Sell"), (None, 8, 1150 * ms, books.HEARTBEAT, None, None, None, None)]
+    _, got = replay(spark, str(tmp_path), rows, books.L2, lambda x: books.snapshots(x, 100 * ms, "100 milliseconds"), rows_a_slot)
+    # the update at 400 is in the book of 400; nothing begins before a partial; u has no update after its first
+    want = [("s", t, 1, 0) for t in (100, 200, 300)] + [("s", t, 0, 1) for t in range(400, 1001, 100)] + [("u", t, 0, 1) for t in range(200, 1001, 100)]
+    assert sorted((r.symbol, r.grid_us // ms, r.n_bids, r.n_asks) for r in got) == want
+
+
+def test_batches_follow_event_time_whatever_the_file_times(spark, tmp_path):
     from tidebook.streaming import books
 
-    rows = [("s", 1, 10, "partial", 1, 5.0, 1.0, "Buy"), ("s", 2, 400, "insert", 2, 6.0, 1.0, "Sell"), ("s", 3, 400, "delete", 1, 0.0, 0.0, "Buy"), ("s", 4, 750, "update", 2, 0.0, 3.0, "Sell"), ("t", 5, 20, "insert", 1, 5.0, 1.0, "Buy"), ("t", 6, 900, "update", 1, 0.0, 2.0, "Buy")]
-    df = spark.createDataFrame(rows, books.L2)
-    for k, (lo, hi) in enumerate(((0, 100), (100, 500), (500, 1000))):
-        df.where(f"us >= {lo} AND us < {hi}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = books.run_once(books.snapshots(stream, 100), str(tmp_path / "out"), str(tmp_path / "state")).collect()
-    # the update at 400 is in the book of 400; nothing begins before a partial
-    assert sorted((r.symbol, r.grid_us, r.n_bids, r.n_asks) for r in got) == [("s", t, 1, 0) for t in (100, 200, 300)] + [("s", t, 0, 1) for t in (400, 500, 600, 700)]
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), 3_600_000_000 * 1000 + i * 97_000_000) for i in range(400)]
+    rng.shuffle(rows)
+    count = lambda x: books.hourly_counts(x.withColumn("ts", F.timestamp_micros("us")))
+    n, got = replay(spark, str(tmp_path), rows, "symbol string, us long", count, 60, mix_times=True)
+    closed = (max(us for _, us in rows) - 600_000_000) // 3_600_000_000 * 3_600_000_000
+    want = Counter((s, us // 3_600_000_000) for s, us in rows if us < closed)
+    assert n > 5 and {(r.symbol, int(r.window.start.replace(tzinfo=timezone.utc).timestamp()) // 3600): r.n for r in got} == want
 
 
 def test_files_are_ingested_once(spark, tmp_path):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
 from tidebook.plans import fixtures as fx
-from tidebook.plans.registry import query
+from tidebook.plans import selection  # noqa: F401  its SQL is read below
+from tidebook.plans.registry import SQL, query
 from tidebook.plans.splitting import _folder
+from tidebook.sources import tables
 from tidebook.streaming import books as s
 
 GRID = 6 * 3_600_000_000
@@ -49,61 +51,68 @@ def book_snapshot(spark, sf):
     return _asof(spark, sf).groupBy("symbol", "grid_us").agg(F.count_if(buy).alias("n_bids"), F.count_if(sell).alias("n_asks"), F.max(F.when(buy, F.col("price"))).alias("best_bid"), F.min(F.when(sell, F.col("price"))).alias("best_ask"))
 
 
-SLICES = 6
+#: Rows of a batch.
+SLOT_ROWS = 250_000
 
 
-def in_order(spark, x):
-    """A table as a stream of files in order of time, one file a batch: so a batch, and what a key has in it, is bounded by a file's size."""
-    path = _folder(spark)
-    lo, hi = x.agg(F.min("us"), F.max("us")).first()
-    for k in range(SLICES):
-        a, b = (lo + (hi + 1 - lo) * j // SLICES for j in (k, k + 1))
-        x.where((F.col("us") >= a) & (F.col("us") < b)).coalesce(1).sortWithinPartitions("us").write.mode("append").option("maxRecordsPerFile", 1_000_000).parquet(path)
-    return spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def replayed(spark, df, build, shuffle: Callable[[str], None] | None = None):
+    """What ``build`` makes of a table replayed as a stream, batch by batch of event time; all that it has written."""
+    base = _folder(spark)
+    slots = tables.time_slots(df, f"{base}/in", rows=SLOT_ROWS)
+    if shuffle:
+        shuffle(f"{base}/in")
+    schema = []
 
+    def start(stream):
+        out = build(stream)
+        schema.append(out.schema)
+        return s.written(f"{base}/out", f"{base}/state")(out)
 
-def stream(spark, sf, columns: list[str]):
-    """Events as a stream of files written from the table, with ts as a timestamp."""
-    return in_order(spark, fx.events(spark, sf).withColumn("ts", F.timestamp_micros("us"))).select(*columns)
+    s.replay(spark, f"{base}/in", slots, df.schema, start)
+    return spark.read.schema(schema[0]).parquet(f"{base}/out")
 
 
-def _run(spark, df):
-    base = _folder(spark)
-    return s.run_once(df, f"{base}/out-{uuid.uuid4().hex}", f"{base}/state")
+def timed(spark, sf):
+    """Events with ts as a timestamp."""
+    return fx.events(spark, sf).withColumn("ts", F.timestamp_micros("us"))
 
 
 @query("stream_ingest", f"{fx.ctes('ev')} SELECT event_id, symbol, value FROM ev")
 def stream_ingest(spark, sf):
-    return _run(spark, stream(spark, sf, ["event_id", "symbol", "value"]))
+    return replayed(spark, timed(spark, sf), lambda x: x.select("event_id", "symbol", "value"))
 
 
 @query("stream_dedup", f"{fx.ctes('ev')} SELECT DISTINCT symbol, us FROM ev")
 def stream_dedup(spark, sf):
-    x = stream(spark, sf, ["symbol", "ts", "us"])
-    return _run(spark, s.once_per_time(x.union(x))).select("symbol", "us")
+    """Every row comes twice; one a symbol and time stays."""
+    return replayed(spark, timed(spark, sf), lambda x: s.once_per_time(x.union(x))).select("symbol", "us")
 
 
 @query("stream_window_counts", f"{fx.ctes('ev')} SELECT hour * 3600000000 AS hour_us, symbol, count(*) AS n FROM ev WHERE (hour + 1) * 3600000000 <= (SELECT max(us) FROM ev) - 600000000 GROUP BY ALL")
 def stream_window_counts(spark, sf):
     """Hourly counts that the watermark has closed."""
-    x = _run(spark, s.hourly_counts(stream(spark, sf, ["symbol", "ts"])))
+    x = replayed(spark, timed(spark, sf), s.hourly_counts)
     return x.select(F.unix_micros("window.start").alias("hour_us"), "symbol", "n")
 
 
-@query(
-    "stream_ewma",
-    f"""WITH RECURSIVE {fx.ctes("ev").removeprefix("WITH ")}, u AS MATERIALIZED (SELECT symbol, event_id, value AS x, row_number() OVER (PARTITION BY symbol ORDER BY us, event_id) AS k FROM ev),
-r AS (SELECT symbol, k, event_id, x, x AS m, 0.0::DOUBLE AS v FROM u WHERE k = 1 UNION ALL SELECT u.symbol, u.k, u.event_id, u.x, r.m + {fx.ALPHA20!r}::DOUBLE * (u.x - r.m), (1 - {fx.ALPHA20!r}::DOUBLE) * (r.v + {fx.ALPHA20!r}::DOUBLE * (u.x - r.m) * (u.x - r.m)) FROM r JOIN u ON u.symbol = r.symbol AND u.k = r.k + 1)
-SELECT symbol, event_id, round(CASE WHEN k = 1 THEN 0.0 ELSE greatest(least((x - m) / sqrt(v + 1e-12), 3.0), -3.0) END, 6) AS z FROM r""",
-)
+@query("stream_ewma", SQL["ewma_standardize"])
 def stream_ewma(spark, sf):
-    return _run(spark, s.online_scaler(stream(spark, sf, ["event_id", "symbol", "us", "value"]))).withColumn("z", F.round("z", 6))
+    """The scaling of ``ewma_standardize`` online: long rows arrive in time order, take their roles, and only train and warm-up rows move a key's state."""
+    base = _folder(spark)
+    df = fx.long(spark, sf)
+    slots = tables.time_slots(df, f"{base}/in", rows=SLOT_ROWS)
+    step = s.OnlineScaler(base, ["split_id", "feature", "symbol"], "role IN ('train', 'train_warmup')", ["us", "event_id"])
+    s.replay(spark, f"{base}/in", slots, df.schema, lambda x: fx.with_roles(x).writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{base}/out/*").select("split_id", "feature", "event_id", F.round("z", 5).alias("z"))
 
 
-STATES = U.replace(f"SELECT DISTINCT symbol, (us // {GRID} + 1) * {GRID} AS grid_us FROM ev", f"SELECT symbol, unnest(range(min((us + {GRID - 1}) // {GRID}), max((us + {GRID - 1}) // {GRID}))) * {GRID} AS grid_us FROM ev GROUP BY symbol")
+STATES = U.replace(f"SELECT DISTINCT symbol, (us // {GRID} + 1) * {GRID} AS grid_us FROM ev", f"SELECT symbol, unnest(range(min((us + {GRID - 1}) // {GRID}), (SELECT max((us + {GRID - 1}) // {GRID}) + 1 FROM ev))) * {GRID} AS grid_us FROM ev GROUP BY symbol")
 
 
 @query("book_state", f"{STATES} SELECT symbol, grid_us, sum((side = 'Buy')::INT)::INT AS n_bids, sum((side = 'Sell')::INT)::INT AS n_asks, max(CASE WHEN side = 'Buy' THEN price END) AS best_bid, min(CASE WHEN side = 'Sell' THEN price END) AS best_ask FROM bk GROUP BY ALL")
 def book_state(spark, sf):
-    """Every grid time that a symbol's updates have passed, as the as-of form gives it."""
-    return _run(spark, s.snapshots(in_order(spark, updates(spark, sf)), GRID))
+    """Every grid time from a symbol's first book to the first one after the last update of all, as the as-of form gives it."""
+    x = updates(spark, sf)
+    # one row beyond the lateness lets the snapshots after the last updates out
+    end = x.agg((F.expr(f"(max(us) + {GRID - 1}) div {GRID}") * GRID + 120_000_000).alias("us")).select(*[F.col("us") if c == "us" else F.lit(s.HEARTBEAT if c == "action" else None).cast(x.schema[c].dataType).alias(c) for c in x.columns])
+    return replayed(spark, x.unionByName(end), lambda u: s.snapshots(u, GRID))

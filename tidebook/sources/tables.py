@@ -105,6 +105,23 @@ def readable(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def time_slots(df: DataFrame, path: str, us: str = "us", rows: int = 1_000_000) -> list[int]:
+    """Write a table as folders ``slot=k`` of about ``rows`` rows each, cut by event time; the slots, in order.
+
+    The bounds come from quantiles, so slots are alike in size however the times are spread. A slot is written by as
+    many tasks as it needs (ranges of time), and its name alone says where it stands: file times don't matter.
+    """
+    n = df.count()
+    parts = max(1, -(-n // rows))
+    cuts = sorted(set(df.approxQuantile(us, [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    slot = F.lit(0)
+    for c in cuts:
+        slot = slot + (F.col(us) > int(c)).cast("int")
+    df.withColumn("slot", slot).repartitionByRange("slot", us).sortWithinPartitions("slot", us).write.partitionBy("slot").parquet(path)
+    fs, root = hadoop(df.sparkSession, path)
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(root) if f.isDirectory() and "=" in f.getPath().getName())
+
+
 def time_range(df: DataFrame, start: int, end: int, columns: list[str] | None = None, ts: str = "us") -> DataFrame:
     """Half-open [start, end); the filter and the columns reach the scan."""
     x = df.where((F.col(ts) >= start) & (F.col(ts) < end))
