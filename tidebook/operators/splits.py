@@ -145,3 +145,20 @@ def representative_windows(fold_table: DataFrame, splits: DataFrame, length: int
     digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("split_id").cast("string"), F.col("fold_id").cast("string"))), 1, 8), 16, 10).cast("long")
     start = margin + digest % room
     return x.select("split_id", "fold_id", start.alias("start_idx"), (start + length).alias("end_idx"))
+
+
+def window_times(windows: DataFrame, fold_table: DataFrame, line: DataFrame, us: str = "us") -> DataFrame:
+    """Windows of positions in their folds with the times of their first row and of the row after their last: start_us, end_us (half-open)."""
+    at = lambda name, to: line.select(F.col(us).alias(to), F.col("idx").alias(name))
+    first = F.broadcast(fold_table.select("fold_id", "start_us")).join(at("_first", "start_us"), "start_us").select("fold_id", "_first")
+    x = windows.join(first, "fold_id").withColumns({"_from": F.col("_first") + F.col("start_idx"), "_to": F.col("_first") + F.col("end_idx")})
+    x = F.broadcast(x).join(at("_from", "start_us"), "_from")
+    return F.broadcast(x).join(at("_to", "end_us"), "_to").drop("_first", "_from", "_to")
+
+
+def rows_of_windows(df: DataFrame, windows: DataFrame, us: str = "us", bucket_us: int = 3_600_000_000) -> DataFrame:
+    """The rows of each window, which may share rows, with the window's columns: rows meet the windows of their hour by a hash join."""
+    bucket = lambda c: F.floor(F.col(c) / bucket_us)
+    own = windows.withColumn("_h", F.explode(F.sequence(bucket("start_us"), F.floor((F.col("end_us") - 1) / bucket_us))))
+    x = df.join(own, (bucket(us) == F.col("_h")) & (F.col(us) >= F.col("start_us")) & (F.col(us) < F.col("end_us")))
+    return x.drop("_h")

@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,7 +129,9 @@ def hill(df: DataFrame, by: list[str]) -> DataFrame:
 
 def hurst(df: DataFrame, by: list[str], points: int = 20) -> DataFrame:
     """Slope of log mean R/S on log lag, over log-spaced lags of 10 to n/2."""
-    x = df.withColumn("n", F.count("*").over(Window.partitionBy(*by))).where("n >= 20")
+    # as many partitions as the session has, since each row becomes twenty after the last shuffle
+    x = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    x = x.withColumn("n", F.count("*").over(Window.partitionBy(*by))).where("n >= 20")
     # each series' different lags; what follows stays where the series is, so there is no further shuffle
     lag = lambda j: F.floor(F.exp(F.ln(F.lit(10.0)) + j * (F.ln(F.col("n") / 2) - F.ln(F.lit(10.0))) / (points - 1)) + 1e-9)
     x = x.withColumn("lag", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lag))))
@@ -244,9 +247,10 @@ def gram(df: DataFrame, by: list[str], columns: list[Column], keep: Column) -> D
             rows = [(*(key if isinstance(key, tuple) else (key,)), len(at), (v[at].T @ v[at])[upper].tolist()) for key, at in pdf.groupby(by).indices.items()]
             yield pd.DataFrame(rows, columns=[*by, "n", "g"])
 
-    add = lambda u, w: F.zip_with(u, w, lambda a, b: a + b)
-    parts = x.mapInPandas(partial, schema).groupBy(*by).agg(F.sum("n").alias("n"), F.collect_list("g").alias("g"))
-    return parts.select(*by, "n", F.aggregate("g", F.array_repeat(F.lit(0.0), len(upper[0])), add).alias("g"))
+    # added up by position, so that a key's partial sums never meet as a list
+    parts = x.mapInPandas(partial, schema).select(*by, "n", F.posexplode("g").alias("_p", "_g"))
+    sums = parts.groupBy(*by, "_p").agg(F.sum("n").alias("n"), F.sum("_g").alias("_g"))
+    return sums.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_p", "_g"))), lambda e: e["_g"]).alias("g"))
 
 
 def square(g, k: int) -> np.ndarray:
@@ -386,34 +390,51 @@ def phillips_perron(df: DataFrame, by: list[str]) -> DataFrame:
     return out.mapInPandas(p_values, schema)
 
 
-BDS_MOST = 5000
+def bds(df: DataFrame, by: list[str], eps: float = 0.5, block: int = 1024) -> DataFrame:
+    """BDS of dimension 2 with absolute distance, for series of any length.
 
-
-def bds(df: DataFrame, by: list[str], eps: float = 0.5) -> DataFrame:
-    """BDS of dimension 2 with absolute distance; its pairs are made inside a window's group, so a window has ``BDS_MOST`` values at most."""
-    if longest(df, by) > BDS_MOST:
-        raise ValueError(f"a window has at most {BDS_MOST} values")
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", n long, statistic double, p_value double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("i")["value"].to_numpy()
-        n = len(x)
-        near = np.abs(x[:, None] - x[None, :]) < eps
-        both = near[1:, 1:] & near[:-1, :-1]
-        m = n - 1
-        c1 = (near[1:, 1:].sum() - m) / (m * (m - 1))
-        c2 = (both.sum() - m) / (m * (m - 1))
-        c = (near.sum() - n) / (n * (n - 1))
-        deg = near.sum(1) - 1
-        k = float((deg * (deg - 1)).sum()) / (n * (n - 1) * (n - 2))
-        var = 4 * (k - c**2) ** 2  # the dimension-2 case of the general variance
-        z = np.sqrt(m) * (c2 - c1**2) / np.sqrt(var) if var > 0 else np.nan
-        from math import erfc, sqrt
-
-        return pd.DataFrame([[*pdf.iloc[0][by], n, z, erfc(abs(z) / sqrt(2)) if z == z else np.nan]], columns=[*by, "n", "statistic", "p_value"])
-
-    big = df.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).where("_n >= 100").drop("_n")
-    return big.groupBy(*by).applyInPandas(run, schema)
+    A series is put in order of value and cut into blocks; two blocks meet if their values come within ``eps``. Close
+    pairs are counted in each such pair of blocks, in numpy, by row and in all; neither rows nor a matrix of pairs of a
+    whole series are ever made.
+    """
+    part, w = Window.partitionBy(*by), window(by)
+    x = df.select(*by, "i", F.col("value").alias("x")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).withColumn("n", F.count("*").over(part)).where("n >= 100")
+    x = x.withColumns({"_k": F.row_number().over(w), "y": F.lead("x").over(w)})
+    x = x.withColumn("_r", F.row_number().over(part.orderBy("x", "_k")) - 1)
+    x = x.withColumn("b", F.floor(F.col("_r") / block).cast("int")).drop("_r")
+    span = x.groupBy(*by, "b").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    other = span.select(*by, F.col("b").alias("b2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    meet = span.join(other, by).where("b <= b2 AND lo2 - hi < %r" % eps).select(*by, "b", "b2")
+    both = meet.select(*by, F.col("b").alias("one"), F.col("b2").alias("two"), F.explode(F.array_distinct(F.array("b", "b2"))).alias("b"))
+    cells = x.join(both, [*by, "b"]).select(*by, "one", "two", "b", "_k", "n", "x", "y")
+    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def count(table: pa.Table) -> pa.Table:
+        one, two = table["one"][0].as_py(), table["two"][0].as_py()
+        b, k, v, nxt = (table[c].to_numpy() for c in ("b", "_k", "x", "y"))
+        a, c = b == one, b == two
+        near = np.abs(v[a][:, None] - v[c][None, :]) < eps
+        near &= k[a][:, None] != k[c][None, :]
+        follow = near & (np.abs(nxt[a][:, None] - nxt[c][None, :]) < eps)  # the last value has no next: NaN is never near
+        whole = near[k[a] > 1][:, k[c] > 1]  # as many values as there are followers
+        twice = 1 if one == two else 2
+        rows = [(k[a], near.sum(1)), (k[c], near.sum(0))][:twice]
+        ks, deg = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+        pairs = np.zeros((2, len(ks)), np.int64)
+        pairs[:, 0] = twice * int(follow.sum()), twice * int(whole.sum())
+        first = {f: pa.array([table[f][0].as_py()] * len(ks), table.schema.field(f).type) for f in by}
+        return pa.table(first | {"n": pa.array([table["n"][0].as_py()] * len(ks), pa.int64()), "_k": pa.array(ks, pa.int64()), "deg": pa.array(deg, pa.int64()), "c2": pairs[0], "c1": pairs[1]})
+
+    near = cells.withColumn("_k", F.col("_k").cast("long")).groupBy(*by, "one", "two").applyInArrow(count, f"{types}, n long, _k long, deg long, c2 long, c1 long")
+    near = near.groupBy(*by, "n", "_k").agg(*[F.sum(c).alias(c) for c in ("deg", "c2", "c1")])
+    g = near.groupBy(*by, "n").agg(F.sum("c2").alias("c2"), F.sum("c1").alias("c1"), F.sum("deg").alias("c"), F.sum(F.col("deg").cast("double") * (F.col("deg") - 1)).alias("_t"))
+    n = F.col("n").cast("double")
+    m = n - 1
+    share, both_, all_ = F.col("c1") / (m * (m - 1)), F.col("c2") / (m * (m - 1)), F.col("c") / (n * (n - 1))
+    k = F.col("_t") / (n * (n - 1) * (n - 2))
+    sd = 2 * F.abs(k - all_ * all_)  # the dimension-2 case of the general variance
+    z = F.when(sd > 0, F.sqrt(m) * (both_ - share * share) / sd)
+    return g.select(*by, "n", z.alias("statistic")).withColumn("p_value", F.expr(scalar.two_sided("statistic")))
 
 
 TESTS = {

@@ -40,17 +40,18 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ("level", "past_logret_1", "past_logret_5", "signed")
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per event: the four features as columns, and its rank in its symbol."""
-    x = frames.ranked(series(spark, sf_dir), ["symbol"], ["us", "event_id"], F.col("hour"), "idx")
+def features(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Per event: the four features as columns, and its rank in its symbol; with ``whole`` all events are one instrument's."""
+    x = series(spark, sf_dir)
+    x = frames.ranked(x.withColumn("symbol", F.lit("all")) if whole else x, ["symbol"], ["us", "event_id"], F.col("hour"), "idx")
     x = frames.lagged(x, ["symbol"], "idx", {"mid_1": ("mid", 1), "mid_5": ("mid", 5)})
     ret = lambda n: (F.ln("mid") - F.ln(f"mid_{n}")).alias(f"past_logret_{n}")
     return x.select("event_id", "symbol", "us", "hour", (F.col("idx") + 1).alias("rn"), F.col("value").alias("level"), ret(1), ret(5), (F.col("value") - 50).alias("signed"))
 
 
-def long(spark: SparkSession, sf_dir: str) -> DataFrame:
+def long(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """event_id, symbol, us, hour, rn, feature, value."""
-    return features(spark, sf_dir).unpivot(["event_id", "symbol", "us", "hour", "rn"], list(FEATURES), "feature", "value")
+    return features(spark, sf_dir, whole).unpivot(["event_id", "symbol", "us", "hour", "rn"], list(FEATURES), "feature", "value")
 
 
 SPLITS = 4

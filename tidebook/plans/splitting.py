@@ -222,7 +222,7 @@ def sample_train_rate(spark, sf):
 
 # timeline, folds, splits
 
-N_FOLDS, SPAN, WINDOW = 8, 259_200_000 * 20, 40
+N_FOLDS, SPAN, WINDOW = 8, 259_200_000 * 20, 1000
 LINE = f"""{E}, u AS (SELECT DISTINCT us FROM ev), i AS (SELECT us, row_number() OVER (ORDER BY us) - 1 AS idx, count(*) OVER () AS n FROM u),
 g AS (SELECT *, floor(n * (1 - 0.2::DOUBLE))::BIGINT AS s FROM i),
 line AS (SELECT us, idx, n, CASE WHEN idx >= s THEN CASE WHEN n - s > 20 AND idx >= n - 20 THEN 'test_horizon' ELSE 'test' END WHEN idx >= s - 20 THEN 'embargo' WHEN s - 20 > 20 AND idx < 20 THEN 'train_warmup' ELSE 'train' END AS part FROM g)"""
@@ -305,20 +305,34 @@ def filter_test_any(spark, sf):
     return splits.test_rows(stamped(spark, sf)).select("event_id", "role")
 
 
-@query(
-    "representative_windows",
-    f"""{RANGES} SELECT s.split_id, f.fold_id, 20 + ('0x' || substr(md5('7|' || s.split_id || '|' || f.fold_id), 1, 8))::BIGINT % (n_samples - 40 - {WINDOW} + 1) AS start_idx, 20 + ('0x' || substr(md5('7|' || s.split_id || '|' || f.fold_id), 1, 8))::BIGINT % (n_samples - 40 - {WINDOW} + 1) + {WINDOW} AS end_idx
-FROM splits s, folds f WHERE f.fold_type = 'train' AND f.n_samples >= 40 + {WINDOW} AND NOT EXISTS (SELECT 1 FROM vf WHERE vf.split_id = s.split_id AND vf.fold_id = f.fold_id)""",
-)
+#: Representative windows: WINDOW samples, or half of the shortest train fold if that is less, MARGIN away from a fold's ends.
+MARGIN, SEED = 20, 7
+_ROOM = f"(f.n_samples - {2 * MARGIN} - l.len + 1)"
+_START = f"{MARGIN} + ('0x' || substr(md5('{SEED}|' || s.split_id || '|' || f.fold_id), 1, 8))::BIGINT % {_ROOM}"
+WINDOWS = f"""{RANGES}, l AS (SELECT least({WINDOW}, min(n_samples) // 2) AS len FROM folds WHERE fold_type = 'train'),
+rw AS (SELECT s.split_id, f.fold_id, f.start_us AS fold_us, {_START} AS start_idx, {_START} + l.len AS end_idx FROM splits s, folds f, l
+ WHERE f.fold_type = 'train' AND f.n_samples >= {2 * MARGIN} + l.len AND NOT EXISTS (SELECT 1 FROM vf WHERE vf.split_id = s.split_id AND vf.fold_id = f.fold_id)),
+rt AS (SELECT rw.split_id, rw.fold_id, rw.start_idx, rw.end_idx, a.us AS start_us, b.us AS end_us FROM rw JOIN line z ON z.us = rw.fold_us JOIN line a ON a.idx = z.idx + rw.start_idx JOIN line b ON b.idx = z.idx + rw.end_idx)"""
+
+
+def window_table(spark, sf):
+    """split_id, fold_id, start_idx, end_idx, start_us, end_us of one window for each split and train fold of it; some hundred rows, stored."""
+    times = tables.stored(line(spark, sf), "line")
+    f = tables.stored(splits.folds(times, N_FOLDS), "folds")
+    least = f.where("fold_type = 'train'").agg(F.min("n_samples")).first()[0] or 0
+    w = splits.representative_windows(f, splits.cpcv_splits(f, 2), min(WINDOW, least // 2), MARGIN, SEED)
+    return tables.stored(splits.window_times(w, f, times), "windows")
+
+
+@query("representative_windows", f"{WINDOWS} SELECT * FROM rt")
 def representative_windows(spark, sf):
-    f, s = fold_tables(spark, sf)
-    return splits.representative_windows(f, s, WINDOW, 20, 7)
+    return window_table(spark, sf).select("split_id", "fold_id", "start_idx", "end_idx", "start_us", "end_us")
 
 
-@query("window_extract", f"{FOLDS} SELECT f.fold_id, count(*) AS n, sum(value) AS total FROM (SELECT fold_id, start_us + 3600000000 AS a, end_us - 3600000000 AS b FROM folds WHERE fold_type = 'train') f JOIN ev ON ev.us >= f.a AND ev.us < f.b GROUP BY f.fold_id".replace("sum(value)", "round(sum(value), 4)"))
+@query("window_extract", f"{WINDOWS} SELECT split_id, fold_id, count(*) AS n, min(us) AS first_us, max(us) AS last_us, round(sum(value), 4) AS total FROM rt JOIN ev ON ev.us >= start_us AND ev.us < end_us GROUP BY ALL")
 def window_extract(spark, sf):
-    f = fold_tables(spark, sf)[0].where("fold_type = 'train'").select("fold_id", (F.col("start_us") + 3_600_000_000).alias("a"), (F.col("end_us") - 3_600_000_000).alias("b"))
-    return fx.events(spark, sf).join(F.broadcast(f), (F.col("us") >= F.col("a")) & (F.col("us") < F.col("b"))).groupBy("fold_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    x = splits.rows_of_windows(fx.events(spark, sf), window_table(spark, sf))
+    return x.groupBy("split_id", "fold_id").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.round(F.sum("value"), 4).alias("total"))
 
 
 # time

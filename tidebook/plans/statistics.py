@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalar
-from tidebook.operators import stats
+from tidebook.operators import battery, splits, stats
 from tidebook.plans import fixtures as fx
 from tidebook.plans.registry import query
+from tidebook.plans.splitting import window_table
 from tidebook.sources import tables
 
 W = fx.ctes("windows")
@@ -111,11 +113,35 @@ def acf(spark, sf):
 
 # battery and summaries
 
+WINDOW_KEY = ["split_id", "fold_id", "feature"]
+_DONE: dict[tuple[str, str], str] = {}
+
+
+def window_series(spark, sf):
+    """split_id, fold_id, feature, i, value: the features in the representative windows, return features by the stride of their look-back, nulls left out."""
+    x = splits.rows_of_windows(fx.long(spark, sf, whole=True), window_table(spark, sf))
+    w = Window.partitionBy(*WINDOW_KEY).orderBy("us", "event_id")
+    stride = F.when(F.col("feature").rlike("past_logret"), F.regexp_extract("feature", r"_(\d+)$", 1).cast("int")).otherwise(1)
+    x = x.withColumn("k", F.row_number().over(w) - 1).where((F.col("k") % stride == 0) & F.col("value").isNotNull())
+    return x.select(*WINDOW_KEY, F.row_number().over(Window.partitionBy(*WINDOW_KEY).orderBy("k")).alias("i"), "value")
+
+
+def battery_of(spark, sf):
+    """Every test of every series of a representative window, with its fold type. Worked out once in a session for a folder of tables and stored."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _DONE:
+        out = battery.battery(window_series(spark, sf), WINDOW_KEY, tables.stored)
+        path = tables.folder(spark, "battery")
+        out.withColumn("fold_type", F.lit("train")).write.parquet(path)  # windows lie in train folds only
+        _DONE[key] = path
+    return spark.read.parquet(_DONE[key])
+
+
 @query("st_battery")
 def st_battery(spark, sf):
-    """Every test of every window of every (symbol, feature), one row each."""
-    x = stats.battery(tables.stored(fx.windows(spark, sf), "windows"), BY)
-    return x.select(*BY, "test", "category", "n", F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))
+    """One row a test: split, fold, feature, sizes, statistic, p-value, lags used and critical values."""
+    digits = {c: F.round(c, 6) for c in ("statistic", "p_value", "critical_1", "critical_5", "critical_10", "skewness", "kurtosis")}
+    return battery_of(spark, sf).withColumns(digits)
 
 
 _LO, _HI, _SE = scalar.wilson("k", "n")
@@ -127,61 +153,69 @@ def results(spark, sf):
     return stats.battery(fx.windows(spark, sf), BY, tests=CLOSED).withColumn("sig", F.col("p_value") < 0.05)
 
 
-def whole(spark, sf):
-    """Every test of every window with its fold type, and the windows' moments; stored, as each is aggregated in several ways."""
-    x = tables.stored(fx.windows(spark, sf), "windows")
-    day = F.expr("min(us) div 86400000000 % 5")
-    fold = x.groupBy(*BY).agg(F.when(day == 0, "validation").when(day == 1, "test").otherwise("train").alias("fold_type"))
-    res = stats.battery(x, BY).join(fold, BY).withColumn("sig", F.col("p_value") < 0.05)
-    return tables.stored(res, "battery"), tables.stored(stats.moments(x, BY).where("n >= 30").join(fold, BY), "moments")
+#: What a feature's windows are judged by: a test and the condition that counts.
+JUDGED = {"stationary": ("adf", "p_value < 0.05"), "normal": ("jarque_bera", "p_value > 0.05"), "autocorrelated": ("ljung_box", "p_value < 0.05")}
 
 
-def shares():
-    """Percent of windows that a test calls stationary or autocorrelated; null where it wasn't made."""
-    pct = lambda test: F.try_divide(100.0 * F.count_if((F.col("test") == test) & F.col("sig")), F.count_if((F.col("test") == test) & F.col("p_value").isNotNull()))
-    return F.round(pct("adf"), 4).alias("pct_stationary"), F.round(pct("ljung_box"), 4).alias("pct_autocorrelated")
+def _share(what: str):
+    test, holds = JUDGED[what]
+    return F.try_divide(100.0 * F.count_if((F.col("test") == test) & F.expr(holds)), F.count_if(F.col("test") == test))
 
 
 @query("sf_summary")
 def sf_summary(spark, sf):
-    """The whole battery by category, feature, both, fold type, and fold type and category; with stationarity, autocorrelation and mean kurtosis."""
-    res, mo = whole(spark, sf)
-    sets = lambda df, keys: [df.groupBy(*k) for k in keys]
-    keys = (["category"], ["feature"], ["category", "feature"], ["fold_type"], ["fold_type", "category"])
-    figures = [F.count("p_value").alias("n"), F.round(F.avg("p_value"), 5).alias("mean_p"), F.round(F.median("p_value"), 5).alias("median_p"), F.round(F.try_divide(100.0 * F.count_if("sig"), F.count("p_value")), 4).alias("pct_significant"), *shares()]
-    out = None
-    for k, g in zip(keys, sets(res, keys), strict=True):
-        x = g.agg(*figures)
-        own = [c for c in k if c != "category"]
-        of = mo.groupBy(*own).agg(F.round(F.avg("kurtosis"), 5).alias("mean_kurtosis")) if own else mo.agg(F.round(F.avg("kurtosis"), 5).alias("mean_kurtosis"))
-        x = x.join(F.broadcast(of), own) if own else x.crossJoin(F.broadcast(of))
-        x = x.select(*[(F.col(c) if c in k else F.lit(None).cast("string")).alias(c) for c in ("category", "feature", "fold_type")], *[c for c in x.columns if c not in k])
-        out = x if out is None else out.unionByName(x)
-    return out
+    """By test category: p-values and the share that is significant. By feature: shares of windows stationary, normal and autocorrelated, mean kurtosis. By fold type: what was tested."""
+    x = battery_of(spark, sf)
+    every = [F.count("*").alias("n_tests")]
+    p = [F.round(F.avg("p_value"), 5).alias("mean_p"), F.round(F.median("p_value"), 5).alias("median_p"), F.round(F.try_divide(100.0 * F.count_if(F.col("p_value") < 0.05), F.count("p_value")), 4).alias("pct_significant")]
+    own = [F.count_distinct("fold_id").alias("n_windows"), *[F.round(_share(k), 4).alias(f"pct_{k}") for k in JUDGED], F.round(F.avg("kurtosis"), 5).alias("mean_kurtosis")]
+    kinds = [F.count_distinct("feature").alias("n_features"), F.count_distinct("fold_id").alias("n_folds")]
+    parts = [x.groupBy(F.lit(level).alias("level"), F.col(level).alias("name")).agg(*every, *figures) for level, figures in (("category", p), ("feature", own), ("fold_type", kinds))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
+def with_t_interval(x):
+    """Adds se, low and high to n, mean and std: Student's t at 95 %."""
+    t = x.sparkSession.createDataFrame(list(T_TABLE.items()), "_df long, _t double")
+    x = x.join(F.broadcast(t), F.col("n") - 1 == F.col("_df"), "left")
+    x = x.withColumn("se", F.col("std") / F.sqrt("n")).withColumn("_h", F.col("se") * F.coalesce("_t", F.expr(t_beyond("n - 1"))))
+    return x.withColumns({"low": F.col("mean") - F.col("_h"), "high": F.col("mean") + F.col("_h")}).drop("_df", "_t", "_h")
+
+
+FIGURES = ("mean", "std", "se", "low", "high", "median", "min", "max")
 
 
 @query("sf_summary_ci")
 def sf_summary_ci(spark, sf):
-    """Per category and feature: the share of significant windows with its Wilson interval, and the mean statistic of each test with its t-interval."""
-    res, mo = whole(spark, sf)
-    x = res.where("p_value IS NOT NULL").groupBy("category", "feature").agg(F.count("*").alias("n"), F.count_if("sig").alias("k"))
-    share = x.select("category", "feature", F.lit("significant").alias("what"), "n", F.round(F.col("k") / F.col("n"), 7).alias("mean"), F.round(F.expr(_LO), 7).alias("low"), F.round(F.expr(_HI), 7).alias("high"))
-    figure = mo.select("feature", F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in ("skewness", "kurtosis")])).alias("e")).select(F.lit("moments").alias("category"), "feature", "e.*")
-    values = res.where("statistic IS NOT NULL").select("category", "feature", F.col("test").alias("what"), F.col("statistic").alias("v")).unionByName(figure)
-    y = values.groupBy("category", "feature", "what").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev("v").alias("s"))
-    t = spark.createDataFrame(list(T_TABLE.items()), "df int, t double")
-    y = y.join(F.broadcast(t), F.col("n") - 1 == F.col("df"), "left").withColumn("h", F.col("s") / F.sqrt("n") * F.coalesce("t", F.lit(1.959964)))
-    return share.unionByName(y.select("category", "feature", "what", "n", F.round("m", 7).alias("mean"), F.round(F.col("m") - F.col("h"), 7).alias("low"), F.round(F.col("m") + F.col("h"), 7).alias("high")))
+    """Per category and per feature: shares of windows with Wilson intervals; p-values, kurtosis and skewness with t-intervals. One row a figure."""
+    x = battery_of(spark, sf)
+    names = lambda level: [F.lit(level).alias("level"), F.col(level).alias("name")]
+    hits = x.where("p_value IS NOT NULL").select(*names("category"), F.lit("significant").alias("what"), F.expr("p_value < 0.05").alias("hit"))
+    for what, (test, holds) in JUDGED.items():
+        hits = hits.unionByName(x.where(F.col("test") == test).select(*names("feature"), F.lit(what).alias("what"), F.coalesce(F.expr(holds), F.lit(False)).alias("hit")))
+    share = hits.groupBy("level", "name", "what").agg(F.count("*").alias("n"), F.count_if("hit").alias("k"))
+    share = share.select("level", "name", "what", "n", (F.col("k") / F.col("n")).alias("mean"), F.expr(_SE).alias("se"), F.expr(_LO).alias("low"), F.expr(_HI).alias("high"))
+    values = x.select(*names("category"), F.lit("p_value").alias("what"), F.col("p_value").alias("v"))
+    for what, (test, _) in JUDGED.items():
+        values = values.unionByName(x.where(F.col("test") == test).select(*names("feature"), F.lit(f"{what}_p").alias("what"), F.col("p_value").alias("v")))
+    for what in ("kurtosis", "skewness"):
+        values = values.unionByName(x.where("test = 'moments'").select(*names("feature"), F.lit(what).alias("what"), F.col(what).alias("v")))
+    m = values.where("v IS NOT NULL").groupBy("level", "name", "what").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev("v").alias("std"), F.median("v").alias("median"), F.min("v").alias("min"), F.max("v").alias("max"))
+    out = with_t_interval(m).unionByName(share, allowMissingColumns=True)
+    return out.select("level", "name", "what", "n", *[F.round(c, 7).alias(c) for c in FIGURES])
 
 
 @query("sf_violations")
 def sf_violations(spark, sf):
-    """Features that break a rule: under half the windows stationary, over 30 % autocorrelated, under 30 % normal, or fat tails."""
-    res, mo = whole(spark, sf)
-    normal = F.try_divide(100.0 * F.count_if((F.col("category") == "normality") & ~F.col("sig")), F.count_if((F.col("category") == "normality") & F.col("p_value").isNotNull()))
-    x = res.groupBy("feature").agg(*shares(), F.round(normal, 4).alias("pct_normal")).join(mo.groupBy("feature").agg(F.round(F.avg("kurtosis"), 4).alias("mean_kurtosis")), "feature")
-    flags = {"not_stationary": F.col("pct_stationary") < 50, "autocorrelated": F.col("pct_autocorrelated") > 30, "not_normal": F.col("pct_normal") < 30, "fat_tails": F.col("mean_kurtosis") > 5}
-    return x.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}).where(" OR ".join(flags))
+    """Features that break a rule, with the figure and its interval: under half the windows stationary, under 30 % normal, mean kurtosis over 5, over 30 % autocorrelated."""
+    x = sf_summary_ci(spark, sf).where("level = 'feature'")
+    of = lambda what, rule, broken: x.where((F.col("what") == what) & broken).select(F.col("name").alias("feature"), F.lit(rule).alias("violation"), "n", *[F.col(c) * (1 if what == "kurtosis" else 100) for c in ("mean", "low", "high")])
+    m = F.col("mean")
+    parts = [of("stationary", "not_stationary", m < 0.5), of("normal", "not_normal", m < 0.3), of("kurtosis", "fat_tails", m > 5), of("autocorrelated", "autocorrelated", m > 0.3)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.toDF("feature", "violation", "n", "value", "low", "high")
 
 
 RES = f"""{_DET}, {_CENTRED}, mo AS (SELECT {K}, count(value) AS n, {_SKEW} FROM cv GROUP BY ALL HAVING count(value) >= 30),
@@ -249,13 +283,20 @@ def t_quantile(p: float, df: int) -> float:
 
 
 T_TABLE = {df: t_quantile(0.975, df) for df in range(1, 201)}
-_T = "CASE " + " ".join(f"WHEN n - 1 = {df} THEN {t!r}" for df, t in T_TABLE.items()) + " ELSE 1.959964 END"
+Z = 1.959963984540054
+
+
+def t_beyond(df: str) -> str:
+    """Student's t at 97.5 % for many degrees of freedom as text: the normal quantile with its corrections in powers of 1/df (off by less than 1e-9 from 200 on)."""
+    terms = ((Z**3 + Z) / 4, (5 * Z**5 + 16 * Z**3 + 3 * Z) / 96, (3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z) / 384)
+    return f"({scalar.num(Z)} + " + " + ".join(f"{scalar.num(t)} / power(CAST({df} AS DOUBLE), {k})" for k, t in enumerate(terms, 1)) + ")"
+
+
+_T = "CASE " + " ".join(f"WHEN n - 1 = {df} THEN {t!r}" for df, t in T_TABLE.items()) + f" ELSE {t_beyond('(n - 1)')} END"
 
 
 @query("mean_t_ci", f"{MOM}, g AS (SELECT symbol, feature, count(*) AS n, avg(kurtosis) AS mean, stddev_samp(kurtosis) AS std FROM mo GROUP BY ALL) SELECT symbol, feature, n, round(mean, 5) AS mean, round(std / sqrt(n), 5) AS se, round(mean - std / sqrt(n) * {_T}, 4) AS low, round(mean + std / sqrt(n) * {_T}, 4) AS high FROM g")
 def mean_t_ci(spark, sf):
-    """Mean kurtosis of a feature's windows with its t-interval; quantiles by degrees of freedom as a small table."""
+    """Mean kurtosis of a feature's windows with its t-interval; quantiles by degrees of freedom as a small table, by their expansion beyond it."""
     x = stats.moments(fx.windows(spark, sf), BY).groupBy("symbol", "feature").agg(F.count("*").alias("n"), F.avg("kurtosis").alias("mean"), F.stddev("kurtosis").alias("std"))
-    t = spark.createDataFrame(list(T_TABLE.items()), "df int, t double")
-    x = x.join(F.broadcast(t), F.col("n") - 1 == F.col("df"), "left").withColumn("se", F.col("std") / F.sqrt("n")).withColumn("h", F.col("se") * F.coalesce("t", F.lit(1.959964)))
-    return x.select("symbol", "feature", "n", F.round("mean", 5).alias("mean"), F.round("se", 5).alias("se"), F.round(F.col("mean") - F.col("h"), 4).alias("low"), F.round(F.col("mean") + F.col("h"), 4).alias("high"))
+    return with_t_interval(x).select("symbol", "feature", "n", F.round("mean", 5).alias("mean"), F.round("se", 5).alias("se"), F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
