@@ -1,5 +1,6 @@
 """Operators against their definitions as plain loops, and properties that hold for any data."""
 
+import hashlib
 import math
 import os
 import random
@@ -275,19 +276,51 @@ def test_files_are_ingested_once(spark, tmp_path):
     assert rows.count() == 0 and again.count() == 0
 
 
-def test_codebook_is_its_members_mean_and_beats_a_drawn_one(spark):
+def test_codebooks_are_those_of_plain_k_means(spark):
+    """One codebook a key, from the same first codewords; a key of fewer rows than codes; a codeword without rows stays."""
+    from tidebook.sources import tables
+
     rng = np.random.default_rng(12)
-    centers = rng.normal(size=(4, 6)) * 5
-    x = np.concatenate([c + rng.normal(size=(60, 6)) for c in centers])
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id int, v array<double>")
-    book = quality.fit_codes(df, 4)
-    e = {r.code: np.array(r.e) for r in book.collect()}
-    got = {r.vec_id: (r.code, r.distance) for r in quality.assign_codes(df, book).collect()}
-    for i, v in enumerate(x):
-        d = {k: ((v - c) ** 2).sum() for k, c in e.items()}
-        assert got[i][0] == min(d, key=lambda k: (d[k], k)) and abs(got[i][1] - min(d.values())) < 1e-9
-    for k, c in e.items():
-        own = [v for i, v in enumerate(x) if got[i][0] == k]
-        assert np.abs(np.mean(own, 0) - c).max() < 1e-3
-    drawn = x[rng.choice(len(x), 4, replace=False)]
-    assert np.mean([d for _, d in got.values()]) <= np.mean([min(((v - c) ** 2).sum() for c in drawn) for v in x])
+    data = {0: np.concatenate([c + rng.normal(size=(40, 5)) for c in rng.normal(size=(4, 5)) * 5]), 1: rng.normal(size=(90, 5)), 2: rng.normal(size=(3, 5))}
+    rows = [(s, 1000 * s + i, v.tolist()) for s, x in data.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "split_id int, vec_id long, v array<double>").repartition(5)
+    book = quality.fit_codes_by(df, ["split_id"], 4, tables.stored, rounds=6)
+    got = {(r.split_id, r.code): np.array(r.e) for r in book.collect()}
+    for s, x in data.items():
+        ids = sorted(range(len(x)), key=lambda i: hashlib.md5(str(1000 * s + i).encode()).hexdigest())[:4]
+        c = x[ids].copy()
+        for _ in range(6):
+            near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            c = np.array([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(len(c))])
+        assert {k for t, k in got if t == s} == set(range(len(c)))
+        for k in range(len(c)):
+            assert np.abs(got[s, k] - c[k]).max() < 1e-9
+    with pytest.raises(ValueError, match="at most"):
+        quality.nearest(df, book, ["split_id"], most=10).count()
+
+
+@pytest.mark.parametrize(("dims", "block"), [(7, 3), (200, 64), (1001, 128)])
+def test_correlations_by_blocks(spark, dims, block):
+    """Two samples, a dimension that doesn't vary in one of them, dimensions far from zero."""
+    rng = np.random.default_rng(6)
+    data = {s: rng.normal(size=(40, dims)) @ (np.eye(dims) + 0.1 * rng.normal(size=(dims, dims))) + 3 for s in (0, 1)}
+    data[1][:, 2] = 5.0
+    df = spark.createDataFrame([(s, v.tolist()) for s, x in data.items() for v in x], "sample int, v array<double>").repartition(3)
+    r = quality.correlations(df, ["sample"], dims, block=block)
+    with np.errstate(invalid="ignore"):
+        p, q = (np.nan_to_num(np.corrcoef(data[s], rowvar=False)) for s in (0, 1))
+    if dims < 300:
+        got = np.zeros((2, dims, dims))
+        for x in r.collect():
+            got[x["sample"], x.i, x.j] = got[x["sample"], x.j, x.i] = x.r
+        assert np.abs(got - np.stack([p, q])).max() < 1e-9
+    d = quality.correlation_distance(r).first()
+    want = (np.linalg.norm(p - q), (p * q).sum() / np.linalg.norm(p) / np.linalg.norm(q), np.abs(p - q).mean(), np.abs(p - q).max())
+    assert (d.frobenius, d.frobenius_corr, d.mean_abs, d.max_abs) == pytest.approx(want, rel=1e-9)
+
+
+def test_top_grams_are_compared_alone(spark):
+    rows = [(0, "a", 9), (0, "b", 5), (0, "c", 1), (0, "e", 4), (1, "a", 3), (1, "b", 8), (1, "d", 7), (1, "c", 2)]
+    df = spark.createDataFrame(rows, "sample int, gram string, n long")
+    assert tuple(quality.compare_top(df, 3).first()) == (2, 2 / 3, -1.0)
+    assert tuple(quality.compare_top(df, 1).first()) == (0, 0.0, 0.0)

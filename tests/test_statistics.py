@@ -109,13 +109,16 @@ def test_values(rows, name):
     both(rows, f, globals()[f"plain_{name}"], 5)
 
 
-def test_bds_value_and_bound(spark, monkeypatch):
-    x = np.random.default_rng(3).normal(size=110)
-    df = spark.createDataFrame([("a", i + 1, float(v)) for i, v in enumerate(x)], "k string, i int, value double")
-    assert abs(stats.bds(df, ["k"]).first().statistic - plain_bds(x)) < 1e-6
-    monkeypatch.setattr(stats, "BDS_MOST", 100)
-    with pytest.raises(ValueError):
-        stats.bds(df, ["k"])
+@pytest.mark.parametrize("block", [1024, 50])
+def test_bds_by_blocks_of_values(spark, block):
+    """Whole or in blocks; discrete values with distances of just the bound, and ties."""
+    rng = np.random.default_rng(3)
+    series = {"noise": rng.normal(size=230), "walk": rng.normal(size=180).cumsum(), "grid": rng.integers(0, 9, 210) / 4, "near": rng.normal(size=120) * 0.01 + 3, "short": rng.normal(size=99)}
+    df = spark.createDataFrame([(k, i + 1, float(v)) for k, x in series.items() for i, v in enumerate(x)], "sid string, i int, value double")
+    got = {r.sid: r for r in stats.bds(df, ["sid"], block=block).collect()}
+    assert set(got) == set(series) - {"short"} and got["near"].statistic is None
+    for k in ("noise", "walk", "grid"):
+        assert got[k].statistic == pytest.approx(plain_bds(series[k]), rel=1e-9) and got[k].n == len(series[k])
 
 
 #: Published critical values and worked examples: (test, statistic, p within).
@@ -165,25 +168,84 @@ def test_normalising_transforms_by_their_definitions(spark):
     assert abs(one(scalar.position_from_policy("0.8D", "0.6D", 0.5)) - 0.8 * math.exp(-0.25)) < 1e-12
 
 
+def test_battery_is_its_tests(spark, rows):
+    """The fused pass against the single tests, which are held against numpy above; lags, sizes and critical values; bandwidths beyond the lag products."""
+    from tidebook.operators import battery
+    from tidebook.sources import tables
+
+    series = rows.withColumnRenamed("k", "sid")
+    got = {(r.sid, r.test): r for r in battery.battery(series, ["sid"], tables.stored).collect()}
+    assert {t for _, t in got} == set(battery.CATEGORIES)
+    for name, (_, f) in stats.TESTS.items():
+        for r in f(series, ["sid"]).collect():
+            g = got[r.sid, name]
+            assert g.statistic == pytest.approx(r.statistic, rel=1e-7, abs=1e-9), (name, r.sid)
+            assert (g.p_value is None) == (r.p_value is None) and (r.p_value is None or g.p_value == pytest.approx(r.p_value, abs=1e-7)), (name, r.sid)
+    n = len(draws()["noise"])
+    adf, lb, ad, mo = (got["noise", t] for t in ("adf", "ljung_box", "anderson", "moments"))
+    assert adf.n_obs == n - 1 - adf.n_lags and lb.n_lags == 10 and mo.kurtosis is not None and mo.statistic is None
+    assert adf.critical_5 == pytest.approx(-2.86154 - 2.8903 / adf.n_obs - 4.234 / adf.n_obs**2 - 40.040 / adf.n_obs**3, abs=1e-9)
+    assert (ad.critical_1, ad.critical_5, ad.critical_10) == tuple(round(c / (1 + 4 / n - 25 / n**2), 3) for c in (1.092, 0.787, 0.656))
+    slow = spark.createDataFrame([("slow", i + 1, (-1.0) ** i + 0.05 * ((i * 7919) % 101) / 101) for i in range(300)], "sid string, i int, value double")
+    far = {r.test: r for r in battery.battery(slow, ["sid"], tables.stored).collect()}["kpss"]
+    assert far.n_lags > battery.most_lags(300) and far.statistic == pytest.approx(stats.kpss(slow, ["sid"]).first().statistic, rel=1e-9)
+
+
 def test_summaries_are_those_of_the_battery(spark, sf):
-    battery = QUERIES["st_battery"](spark, sf).collect()
-    by = defaultdict(list)
-    for r in battery:
-        for k in ((r.category, None), (None, r.feature), (r.category, r.feature)):
-            by[k].append(r)
-    got = {(r.category, r.feature): r for r in QUERIES["sf_summary"](spark, sf).collect() if r.fold_type is None}
-    pct = lambda rows, test: [100 * np.mean([r.p_value < 0.05 for r in own]) if (own := [r for r in rows if r.test == test and r.p_value is not None]) else None][0]
-    assert set(got) == set(by)
-    for k, rows in by.items():
-        p = [r.p_value for r in rows if r.p_value is not None]
-        assert got[k].n == len(p)
-        if p:
-            assert abs(got[k].mean_p - np.mean(p)) < 1e-4 and abs(got[k].pct_significant - 100 * np.mean(np.array(p) < 0.05)) < 0.5
-        for c, test in (("pct_stationary", "adf"), ("pct_autocorrelated", "ljung_box")):
-            want = pct(rows, test)
-            assert (got[k][c] is None) == (want is None) and (want is None or abs(got[k][c] - want) < 0.5)
-    flags = {r.feature: r for r in QUERIES["sf_violations"](spark, sf).collect()}
-    for f in {r.feature for r in battery}:
-        rows = by[None, f]
-        bad = pct(rows, "adf") < 50 or pct(rows, "ljung_box") > 30
-        assert (not bad) or (f in flags and (flags[f].not_stationary or flags[f].autocorrelated))
+    rows = QUERIES["st_battery"](spark, sf).collect()
+    got = {(r.level, r.name): r for r in QUERIES["sf_summary"](spark, sf).collect()}
+    own = defaultdict(list)
+    for r in rows:
+        for level in ("category", "feature", "fold_type"):
+            own[level, r[level]].append(r)
+    assert set(got) == set(own)
+    judged = {"stationary": ("adf", lambda p: p < 0.05), "normal": ("jarque_bera", lambda p: p > 0.05), "autocorrelated": ("ljung_box", lambda p: p < 0.05)}
+    hit = lambda of, what: [judged[what][1](r.p_value) for r in of if r.test == judged[what][0]]
+    ci = {(r.level, r.name, r.what): r for r in QUERIES["sf_summary_ci"](spark, sf).collect()}
+    broken = set()
+    for (level, name), of in own.items():
+        g, p = got[level, name], [r.p_value for r in of if r.p_value is not None]
+        assert g.n_tests == len(of)
+        if level == "category":
+            assert (g.mean_p is None) == (not p)
+            if p:
+                assert g.mean_p == pytest.approx(np.mean(p), abs=1e-4) and ci[level, name, "significant"].mean == pytest.approx(np.mean(np.array(p) < 0.05), abs=0.01)
+        if level == "fold_type":
+            assert g.n_features == len({r.feature for r in of}) and g.n_folds == len({r.fold_id for r in of})
+        if level == "feature":
+            kurtosis = np.array([r.kurtosis for r in of if r.test == "moments"])
+            assert g.mean_kurtosis == pytest.approx(kurtosis.mean(), abs=1e-4)
+            for what in judged:
+                h = hit(of, what)
+                c = ci[level, name, what]
+                assert g[f"pct_{what}"] == pytest.approx(100 * np.mean(h), abs=0.5) and c.n == len(h)
+                z = 1.959963984540054
+                mid, half = (np.mean(h) + z * z / (2 * len(h))) / (1 + z * z / len(h)), z * math.sqrt(np.mean(h) * (1 - np.mean(h)) / len(h) + z * z / (4 * len(h) ** 2)) / (1 + z * z / len(h))
+                assert (c.low, c.high) == pytest.approx((max(0, mid - half), min(1, mid + half)), abs=1e-3)
+            broken |= {(name, v) for v, bad in (("not_stationary", np.mean(hit(of, "stationary")) < 0.5), ("not_normal", np.mean(hit(of, "normal")) < 0.3), ("fat_tails", kurtosis.mean() > 5), ("autocorrelated", np.mean(hit(of, "autocorrelated")) > 0.3)) if bad}
+    assert {(r.feature, r.violation) for r in QUERIES["sf_violations"](spark, sf).collect()} == broken
+
+
+def test_quantiles_of_t_beyond_the_table(spark):
+    """Published values at 97.5 %, and no step where the table ends."""
+    from tidebook.plans import statistics
+
+    at = lambda df: spark.sql(f"SELECT {statistics.t_beyond(str(df))} AS t").first().t
+    assert at(1000) == pytest.approx(1.962339, abs=1e-6) and at(500) == pytest.approx(1.964720, abs=1e-6) and at(200) == pytest.approx(statistics.T_TABLE[200], abs=1e-8)
+    assert statistics.T_TABLE[10] == pytest.approx(2.228139, abs=1e-6)
+
+
+def test_tail_of_kolmogorov(spark):
+    """The limit distribution's published 5 and 1 % points, with many values on both sides."""
+    from tidebook.operators import quality
+
+    for t, p in ((1.3581, 0.05), (1.6276, 0.01)):
+        n = 2_000_000
+        d = t / math.sqrt(n / 2)
+        assert spark.sql(f"SELECT {quality.kolmogorov_text(f'{d!r}D', str(n), str(n))} AS p").first().p == pytest.approx(p, abs=2e-4)
+
+
+def test_autocorrelations_by_blocks(spark, rows):
+    want = {r.k: r for r in stats.acf(rows, ["k"], 20).collect()}
+    for r in stats.acf_blocked(rows, ["k"], 20, block=32).collect():
+        assert r.n == want[r.k].n and r.acf == pytest.approx(want[r.k].acf, abs=1e-12)

@@ -221,6 +221,7 @@ def tests(rows: DataFrame, more: DataFrame, by: list[str], keep: Callable[[DataF
         "_rz": F.when(F.col("_p2") > 0, (F.col("runs") - F.col("_p2") / n - 1) / F.sqrt(F.col("_p2") * (F.col("_p2") - n) / (n * n * (n - 1.0)))),
         "statistic": F.when((F.col("sv") > 0) & (n >= 3), F.col("sw") * F.col("sw") / F.col("sv")),
     })
+    x = x.withColumn("score", F.expr(stats.shapiro_texts()["score"]))
     # stored, so that the closed forms of the tails are not written out inside those of the statistics
     x = keep(x.drop("d_head", "d_tail", "s_head", "s_tail", "sd_lags", "su_lags", "ss_lags"), "statistics")
     shrink = 1 + 4.0 / n - 25.0 / (n * n)

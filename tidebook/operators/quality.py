@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +87,14 @@ def ngrams(df: DataFrame, by: list[str], seq: list[str], order: str, n: int, cod
     return x.where("_last IS NOT NULL").groupBy(*by, "gram").agg(F.count("*").alias("n"))
 
 
+def compare_top(counts: DataFrame, k: int = 20, sample: str = "sample") -> DataFrame:
+    """common, overlap, corr: the k most frequent grams of samples 0 and 1 (ties by text); correlation of counts over those that both have, 0 where it isn't defined."""
+    top = counts.withColumn("_r", F.row_number().over(Window.partitionBy(sample).orderBy(F.desc("n"), "gram"))).where(F.col("_r") <= k)
+    a, b = (top.where(F.col(sample) == v).select("gram", F.col("n").cast("double").alias(n)) for v, n in ((0, "a"), (1, "b")))
+    corr = F.corr("a", "b")
+    return a.join(b, "gram").agg(F.count("*").alias("common"), (F.count("*") / k).alias("overlap"), F.coalesce(F.when(~F.isnan(corr), corr), F.lit(0.0)).alias("corr"))
+
+
 def mmd_linear(df: DataFrame, vector: str = "v", sample: str = "sample") -> DataFrame:
     """Unbiased squared MMD with the linear kernel, from sums of x and of |x|^2 only."""
     x = df.select(sample, F.posexplode(vector).alias("i", "x"))
@@ -121,41 +130,131 @@ def mmd_rbf(df: DataFrame, key: str, gamma: float, blocks: int, vector: str = "v
     return t.crossJoin(n).select((F.col("k0") / (F.col("n0") * (F.col("n0") - 1)) + F.col("k1") / (F.col("n1") * (F.col("n1") - 1)) - F.col("kx") / (F.col("n0") * F.col("n1"))).alias("mmd2"))
 
 
-def correlations(df: DataFrame, by: list[str], dims: int, vector: str = "v") -> DataFrame:
-    """by, i, j, r (i < j) from one aggregation of sums and products per task; d x d numbers per key."""
-    upper = [(i, j) for i in range(dims) for j in range(i, dims)]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", n long, s array<double>, q array<double>"
+def _run_sums(batches: Iterator[pa.RecordBatch], keys: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Adds up n and g (doubles as bytes) of rows with equal keys, which stand together; one block is held at a time."""
+    held: tuple | None = None
+    for batch in batches:
+        cols = [batch[c].to_pylist() for c in (*keys, "n", "g")]
+        for *key, n, g in zip(*cols, strict=True):
+            if held is None or held[0] != key:
+                if held is not None:
+                    yield _block(held, schema)
+                held = [key, 0, np.zeros(len(g) // 8)]
+            held[1] += n
+            held[2] += np.frombuffer(g)
+    if held is not None:
+        yield _block(held, schema)
+
+
+def _block(held: list, schema: pa.Schema) -> pa.RecordBatch:
+    key, n, g = held
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, n, g.tobytes()), schema, strict=True)], schema=schema)
+
 
-    def partial(batches):
-        held: dict = {}
+def gram_blocks(df: DataFrame, by: list[str], dims: int, vector: str = "v", block: int = 128) -> DataFrame:
+    """by, a, b, n, g: the Gram matrix of (1, vector) in blocks of dimensions (a <= b), g the block's doubles as bytes.
+
+    A task adds the products of its rows block by block; blocks are shuffled by their place and added one after the
+    other. So a task holds one matrix of its rows' sums for each key that it meets in a batch, and then single blocks.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    width, cuts = dims + 1, list(range(0, dims + 1, block))
+    schema = StructType.fromDDL(", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + (", " if by else "") + "a int, b int, n long, g binary")
+    arrow = to_arrow_schema(schema)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, g in pdf.groupby(by) if by else [((), pdf)]:
-                m = np.stack(g[vector].to_numpy())
-                n, s, q = held.get(key, (0, 0.0, 0.0))
-                held[key] = n + len(m), s + m.sum(0), q + m.T @ m
-        rows = [(*k, n, s.tolist(), q[np.triu_indices(dims)].tolist()) for k, (n, s, q) in held.items()]
-        yield pd.DataFrame(rows, columns=[*by, "n", "s", "q"])
-
-    p = df.select(*by, vector).mapInPandas(partial, schema)
-    n = p.groupBy(*by).agg(F.sum("n").alias("n"))
-    s = p.select(*by, F.posexplode("s").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x"))
-    pos = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in upper])
-    q = p.select(*by, F.inline(F.arrays_zip(pos.alias("p"), F.col("q").alias("x")))).groupBy(*by, "p").agg(F.sum("x").alias("x")).select(*by, F.col("p.i").alias("i"), F.col("p.j").alias("j"), "x")
-    var = q.where("i = j").join(s.withColumnRenamed("x", "s"), [*by, "i"]).join(n, by).select(*by, "i", (F.col("x") - F.col("s") * F.col("s") / F.col("n")).alias("v"), "s")
-    a = q.where("i < j").join(var.withColumnsRenamed({"v": "vi", "s": "si"}), [*by, "i"]).join(var.withColumnsRenamed({"i": "j", "v": "vj", "s": "sj"}), [*by, "j"]).join(n, by)
-    return a.select(*by, "i", "j", F.coalesce(F.try_divide(F.col("x") - F.col("si") * F.col("sj") / F.col("n"), F.sqrt(F.col("vi") * F.col("vj"))), F.lit(0.0)).alias("r"))
-
-
-def assign_codes(df: DataFrame, codebook: DataFrame, vector: str = "v", most: int = 65_536) -> DataFrame:
+            for key, own in pdf.groupby(by) if by else [((), pdf)]:
+                m = np.ones((len(own), width))
+                m[:, 1:] = np.stack(own[vector].to_numpy())
+                key = key if isinstance(key, tuple) else (key,)
+                yield pd.DataFrame([(*key, a, b, len(own), (m[:, a : a + block].T @ m[:, b : b + block]).tobytes()) for a in cuts for b in cuts if a <= b], columns=schema.names)
+
+    keys = [*by, "a", "b"]
+    parts = df.select(*by, vector).mapInPandas(partial, schema).repartition(*keys).sortWithinPartitions(*keys)
+    return parts.mapInArrow(lambda batches: _run_sums(batches, keys, arrow), schema)
+
+
+def correlations(df: DataFrame, by: list[str], dims: int, vector: str = "v", block: int = 128) -> DataFrame:
+    """by, i, j, r (i <= j): correlations of all pairs of dimensions, 0 where one doesn't vary; by blocks, so that hundreds of thousands of pairs are no expressions."""
+    g = gram_blocks(df, by, dims, vector, block)
+    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + (", " if by else "")
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                m = np.frombuffer(r.g)
+                rows = min(block, dims + 1 - r.a)
+                i, j = np.divmod(np.arange(len(m)), len(m) // rows)
+                i, j = i + r.a - 1, j + r.b - 1  # -1 is the column of ones
+                ok = i <= j
+                out = pd.DataFrame({"i": i[ok], "j": j[ok], "x": m[ok], "n": r.n})
+                for c in by:
+                    out.insert(0, c, getattr(r, c))
+                yield out[[*by, "i", "j", "x", "n"]]
+
+    x = g.mapInPandas(cells, f"{types}i int, j int, x double, n long")
+    own = x.where("i = -1 AND j >= 0").select(*by, F.col("j").alias("i"), F.col("x").alias("s"))
+    own = own.join(x.where("i = j").select(*by, "i", F.col("x").alias("q"), "n"), [*by, "i"])
+    # below rounding a dimension doesn't vary
+    var = F.col("q") - F.col("s") * F.col("s") / F.col("n")
+    own = own.select(*by, "i", "s", F.when(var > 1e-12 * F.col("q"), var).alias("v"))
+    a = x.where("i >= 0").join(own.withColumnsRenamed({"v": "vi", "s": "si"}), [*by, "i"]).join(own.withColumnsRenamed({"i": "j", "v": "vj", "s": "sj"}), [*by, "j"])
+    r = F.when(F.col("i") == F.col("j"), F.when(F.col("vi").isNotNull(), 1.0)).otherwise((F.col("x") - F.col("si") * F.col("sj") / F.col("n")) / F.sqrt(F.col("vi") * F.col("vj")))
+    return a.select(*by, "i", "j", F.coalesce(r, F.lit(0.0)).alias("r"))
+
+
+def correlation_distance(r: DataFrame, sample: str = "sample") -> DataFrame:
+    """Whole matrices of samples 0 and 1 (i <= j given): Frobenius norm and correlation, mean and largest absolute difference."""
+    x = r.groupBy("i", "j").agg(*[F.max(F.when(F.col(sample) == k, F.col("r"))).alias(n) for k, n in ((0, "p"), (1, "q"))])
+    twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
+    d, total = F.col("p") - F.col("q"), lambda e: F.sum(twice * e)
+    corr = F.try_divide(total(F.col("p") * F.col("q")), F.sqrt(total(F.col("p") * F.col("p"))) * F.sqrt(total(F.col("q") * F.col("q"))))
+    return x.agg(F.sqrt(total(d * d)).alias("frobenius"), F.coalesce(corr, F.lit(0.0)).alias("frobenius_corr"), (total(F.abs(d)) / F.sum(twice)).alias("mean_abs"), F.max(F.abs(d)).alias("max_abs"))
+
+
+def _checked(book: DataFrame, most: int) -> DataFrame:
+    """A codebook that is broadcast: its numbers are counted first."""
+    numbers = book.agg(F.sum(F.size("e"))).first()[0] or 0
+    if numbers > most:
+        raise ValueError(f"codebooks have {numbers} numbers; {most} at most are broadcast")
+    return F.broadcast(book)
+
+
+def fit_codes_by(df: DataFrame, by: list[str], k: int, keep: Callable[[DataFrame, str], DataFrame], rounds: int = 10, key: str = "vec_id", vector: str = "v", most: int = 8_000_000) -> DataFrame:
+    """by, code, e: a k-means codebook for every key, all keys in one pass a round.
+
+    Each key starts from the k rows whose key column has the least digests. In a round a row joins its key's codewords,
+    which are broadcast (``most`` numbers at most, 64 MB), takes the nearest (the lowest on ties), and tasks add up the
+    rows of each codeword; a codeword without rows stays. It ends when no codeword moves, or after ``rounds``.
+    """
+    digest = F.md5(F.col(key).cast("string"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(digest, key))
+    start = df.select(*by, key, vector).withColumn("code", rank - 1).where(F.col("code") < k)
+    book = keep(start.select(*by, "code", F.col(vector).alias("e")), "codes")
+    for _ in range(rounds):
+        x = nearest(df.select(*by, vector), book, by, vector, most).select(*by, "code", F.posexplode(vector).alias("i", "x"))
+        sums = x.groupBy(*by, "code", "i").agg(F.avg("x").alias("m")).groupBy(*by, "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("_new"))
+        moved = keep(book.join(sums, [*by, "code"], "left").select(*by, "code", F.coalesce("_new", "e").alias("e"), F.coalesce(F.col("_new") != F.col("e"), F.lit(False)).alias("_moved")), "codes")
+        book = moved.drop("_moved")
+        if not moved.where("_moved").limit(1).count():
+            break
+    return book
+
+
+def nearest(df: DataFrame, book: DataFrame, by: list[str], vector: str = "v", most: int = 8_000_000) -> DataFrame:
+    """The rows with the code of the nearest codeword of their key, the lowest on ties, and its squared distance."""
+    books = book.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("code", "e"))).alias("_book"))
+    _checked(book, most)
+    far = F.transform("_book", lambda c: F.struct(F.aggregate(F.zip_with(F.col(vector), c["e"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), c["code"].alias("code")))
+    return df.join(F.broadcast(books), by).withColumn("_best", F.array_min(far)).select(*df.columns, F.col("_best.code").alias("code"), F.col("_best.d").alias("distance"))
+
+
+def assign_codes(df: DataFrame, codebook: DataFrame, vector: str = "v", most: int = 8_000_000) -> DataFrame:
     """code of the nearest codeword, the lowest on ties, and its squared distance. The codebook (code, e) is a model of bounded size."""
-    if codebook.count() > most:
-        raise ValueError(f"a codebook has at most {most} codewords")
+    _checked(codebook, most)
     book = codebook.agg(F.array_sort(F.collect_list(F.struct("code", "e"))).alias("_book"))
     far = F.transform("_book", lambda c: F.struct(F.aggregate(F.zip_with(F.col(vector), c["e"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), c["code"].alias("code")))
     return df.crossJoin(F.broadcast(book)).withColumn("_best", F.array_min(far)).select(*df.columns, F.col("_best.code").alias("code"), F.col("_best.d").alias("distance"))
-
-
-def fit_codes(df: DataFrame, k: int, seed: int = 1, vector: str = "v") -> DataFrame:
-    """code, e: k codewords by distributed k-means."""
-    model = KMeans(k=k, seed=seed, featuresCol="_f", maxIter=10).fit(df.select(array_to_vector(vector).alias("_f")))
-    return df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "code int, e array<double>")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import scalar
 from tidebook.functions.scalar import num
+from tidebook.operators import frames
 
 
 def window(by: list[str]):
@@ -68,6 +69,15 @@ def acf(df: DataFrame, by: list[str], lags: int = 20, value: str = "value") -> D
     return sums.select(*by, "n", "c0", F.array(*[F.try_divide(f"_s{k}", "c0") for k in range(1, lags + 1)]).alias("acf"))
 
 
+def acf_blocked(df: DataFrame, by: list[str], lags: int = 20, value: str = "value", block: int = 4096) -> DataFrame:
+    """As ``acf``, for series of any length (i = 1, 2, ...): products of lagged values by blocks of rows, each with the next block's first rows, added up; no task holds a series."""
+    means = df.groupBy(*by).agg(F.avg(value).alias("_m"))
+    x = df.join(means, by).select(*by, (F.col("i") - 1).alias("_i"), (F.col(value) - F.col("_m")).alias("_d"))
+    x = frames.lagged(x, by, "_i", {f"_l{k}": ("_d", -k) for k in range(1, lags + 1)}, block)
+    sums = x.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_d") * F.col("_d")).alias("c0"), *[F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, lags + 1)])
+    return sums.select(*by, "n", "c0", F.array(*[F.try_divide(f"_s{k}", "c0") for k in range(1, lags + 1)]).alias("acf"))
+
+
 def tail_by_df(x: str, df: str, most: int) -> str:
     """Chi-square tail for a column of degrees of freedom 1..most."""
     return f"(CASE {df} " + " ".join(f"WHEN {k} THEN {scalar.chi2_tail(x, k)}" for k in range(1, most + 1)) + " END)"
@@ -215,9 +225,10 @@ def shapiro_texts() -> dict[str, str]:
         "m": scalar.norm_ppf("((r - 0.375) / (n + 0.25))"),
         "a": f"(CASE WHEN n = 3 THEN (r - 2) * sqrt(0.5) WHEN r = n THEN {an} WHEN r = 1 THEN -{an} WHEN n <= 5 THEN m / sqrt((mm - 2 * mn * mn) / (1 - 2 * {an} * {an})) "
         f"WHEN r = n - 1 THEN {ak} WHEN r = 2 THEN -{ak} ELSE m / sqrt({phi}) END)",
-        "p": f"(CASE WHEN statistic >= 1 THEN 1.0 WHEN n = 3 THEN greatest(0.0, {num(6 / math.pi)} * (asin(sqrt(statistic)) - {num(math.asin(math.sqrt(0.75)))})) "
-        f"WHEN n <= 11 THEN CASE WHEN ln(1 - statistic) >= {bound} THEN 0.0 ELSE 1 - {scalar.norm_cdf(f'((-ln({bound} - ln(1 - statistic)) - {scalar.horner(SW_FEW_MEAN, few)}) / exp({scalar.horner(SW_FEW_LOG_SD, few)}))')} END "
-        f"ELSE 1 - {scalar.norm_cdf(f'((ln(1 - statistic) - {scalar.horner(SW_MEAN, ln_n)}) / exp({scalar.horner(SW_LOG_SD, ln_n)}))')} END)",
+        # the normal score of 1 - W; null where the p-value needs none
+        "score": f"(CASE WHEN n = 3 OR statistic >= 1 THEN CAST(NULL AS DOUBLE) WHEN n <= 11 THEN CASE WHEN ln(1 - statistic) < {bound} THEN (-ln({bound} - ln(1 - statistic)) - {scalar.horner(SW_FEW_MEAN, few)}) / exp({scalar.horner(SW_FEW_LOG_SD, few)}) END "
+        f"ELSE (ln(1 - statistic) - {scalar.horner(SW_MEAN, ln_n)}) / exp({scalar.horner(SW_LOG_SD, ln_n)}) END)",
+        "p": f"(CASE WHEN statistic >= 1 THEN 1.0 WHEN n = 3 THEN greatest(0.0, {num(6 / math.pi)} * (asin(sqrt(statistic)) - {num(math.asin(math.sqrt(0.75)))})) WHEN score IS NULL THEN 0.0 ELSE 1 - {scalar.norm_cdf('score')} END)",
     }
 
 
@@ -228,7 +239,8 @@ def shapiro(df: DataFrame, by: list[str]) -> DataFrame:
     x = x.withColumn("m", F.expr(t["m"]))
     x = x.withColumn("mm", F.sum(F.col("m") * F.col("m")).over(part)).withColumn("mn", F.max("m").over(part)).withColumn("mk", F.max(F.when(F.col("r") == F.col("n") - 1, F.col("m"))).over(part))
     g = x.withColumn("a", F.expr(t["a"])).groupBy(*by, "n").agg(F.sum(F.col("a") * F.col("value")).alias("s"), (F.var_pop("value") * F.count("*")).alias("v")).where("v > 0")
-    return g.select(*by, "n", (F.col("s") * F.col("s") / F.col("v")).alias("statistic")).withColumn("p_value", F.expr(t["p"]))
+    g = g.select(*by, "n", (F.col("s") * F.col("s") / F.col("v")).alias("statistic")).withColumn("score", F.expr(t["score"]))
+    return g.withColumn("p_value", F.expr(t["p"])).drop("score")
 
 
 # regressions from Gram matrices: the sums are aggregated in Spark, a small solve per key follows

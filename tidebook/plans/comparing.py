@@ -11,6 +11,7 @@ from tidebook.operators import stats
 from tidebook.plans import fixtures as fx
 from tidebook.plans.registry import query
 from tidebook.plans.statistics import acf_ctes
+from tidebook.sources import tables
 
 VOCAB, LENGTH = 16, 120
 RBF_ROWS = 5000
@@ -58,6 +59,19 @@ def ks_two_sample(spark, sf):
     return q.ks_two_sample(exploded(vectors(spark, sf)), ["i"]).select("i", "na", "nb", F.round("d", 9).alias("d"), F.round("p_value", 6).alias("p_value"))
 
 
+@query(
+    "ks_summary",
+    f"""{V}, {steps_sql('vx', 'i')}, ks AS (SELECT i, max(abs(f - g)) AS d, max(na) AS na, max(nb) AS nb FROM st GROUP BY i), kp AS (SELECT i, d, {q.kolmogorov_text()} AS p FROM ks)
+SELECT round(avg(d), 7) AS mean_d, round(max(d), 7) AS max_d, round(avg(p), 5) AS mean_p, round(min(p), 6) AS min_p, avg((p < 0.05)::INT) AS rejection_rate, coalesce(list_sort(list(i) FILTER (WHERE p < 0.05)), []) AS rejected FROM kp""",
+)
+def ks_summary(spark, sf):
+    """Over all dimensions: mean and largest D, mean and least p, the share and the numbers of the dimensions that differ."""
+    low = F.col("p_value") < 0.05
+    x = q.ks_two_sample(exploded(vectors(spark, sf)), ["i"])
+    r = lambda e, d: F.round(e, d)
+    return x.agg(r(F.avg("d"), 7).alias("mean_d"), r(F.max("d"), 7).alias("max_d"), r(F.avg("p_value"), 5).alias("mean_p"), r(F.min("p_value"), 6).alias("min_p"), F.avg(low.cast("int")).alias("rejection_rate"), F.array_sort(F.collect_list(F.when(low, F.col("i")))).alias("rejected"))
+
+
 @query("wasserstein_1d", f"{C}, {steps_sql('codes', 'symbol')} SELECT symbol, round(sum(abs(f - g) * coalesce(gap, 0)), 7) AS w1 FROM st GROUP BY symbol")
 def wasserstein_1d(spark, sf):
     return q.wasserstein(codes(spark, sf), ["symbol"]).select("symbol", F.round("w1", 7).alias("w1"))
@@ -157,31 +171,40 @@ def set_overlap(spark, sf):
     return t.where("sample = 0").select("gram").intersect(t.where("sample = 1").select("gram")).agg(F.count("*").alias("common"))
 
 
-@query("ngram_compare", f"{NG}, fq AS (SELECT sample, gram, n / sum(n) OVER (PARTITION BY sample) AS f FROM ng) SELECT count(*) AS common, round(corr(a.f, b.f), 6) AS corr FROM (SELECT * FROM fq WHERE sample = 0) a JOIN (SELECT * FROM fq WHERE sample = 1) b USING (gram)")
+@query("ngram_compare", f"{NG} SELECT count(*) AS common, count(*) / 20 AS overlap, coalesce(round(CASE WHEN isfinite(corr(a.n, b.n)) THEN corr(a.n, b.n) END, 6), 0) AS corr FROM (SELECT gram, n::DOUBLE AS n FROM tk WHERE rank <= 20 AND sample = 0) a JOIN (SELECT gram, n::DOUBLE AS n FROM tk WHERE rank <= 20 AND sample = 1) b USING (gram)")
 def ngram_compare(spark, sf):
-    x = _ngrams(spark, sf).withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy("sample")))
-    a, b = (x.where(F.col("sample") == k).select("gram", F.col("f").alias(n)) for k, n in ((0, "fa"), (1, "fb")))
-    return a.join(b, "gram").agg(F.count("*").alias("common"), F.round(F.corr("fa", "fb"), 6).alias("corr"))
+    """The twenty most frequent grams of either sample: how many are common, and how their counts go together."""
+    return q.compare_top(_ngrams(spark, sf), 20).withColumn("corr", F.round("corr", 6))
 
 
 HIST = f"""{C}, bd AS (SELECT min(value) AS lo, max(value) AS hi FROM codes), hb AS (SELECT sample, least(floor((value - lo) / ((hi - lo) / 50)), 49)::INT AS bin, count(*) AS n FROM codes, bd GROUP BY ALL),
 hw AS (SELECT bin, coalesce(sum(CASE WHEN sample = 0 THEN n END), 0) + 1e-10 AS p, coalesce(sum(CASE WHEN sample = 1 THEN n END), 0) + 1e-10 AS q FROM hb GROUP BY bin), hn AS (SELECT bin, p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM hw), {steps_sql("codes", "")}"""
 
 
+_SIDES = [(f, k) for k in (0, 1) for f in ("avg", "stddev_pop", "min", "max")]
+_NAMES = {"avg": "mean", "stddev_pop": "std", "min": "min", "max": "max"}
+
+
 @query(
     "target_compare",
-    f"""{HIST}, mo AS (SELECT avg(CASE WHEN sample = 0 THEN value END) AS m0, avg(CASE WHEN sample = 1 THEN value END) AS m1, stddev_pop(CASE WHEN sample = 0 THEN value END) AS s0, stddev_pop(CASE WHEN sample = 1 THEN value END) AS s1 FROM codes)
-SELECT round(m0 - m1, 7) AS mean_diff, round(s0 / s1, 7) AS std_ratio, (SELECT round(max(abs(f - g)), 9) FROM st) AS ks, (SELECT round(sum(abs(f - g) * coalesce(gap, 0)), 7) FROM st) AS w1, (SELECT round(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 8) FROM hn) AS js FROM mo""",
+    f"""{HIST}, mo AS (SELECT {", ".join(f"{f}(CASE WHEN sample = {k} THEN value END) AS {_NAMES[f]}_{k}" for f, k in _SIDES)} FROM codes),
+kd AS (SELECT max(abs(f - g)) AS d, max(na) AS na, max(nb) AS nb, sum(abs(f - g) * coalesce(gap, 0)) AS w1 FROM st)
+SELECT {", ".join(f"round({_NAMES[f]}_{k}, 7) AS {_NAMES[f]}_{k}" for f, k in _SIDES)}, round(abs(mean_0 - mean_1), 7) AS mean_diff, round(std_1 / (std_0 + 1e-10), 7) AS std_ratio, round(d, 9) AS ks, round({q.kolmogorov_text()}, 6) AS ks_p, round(w1, 7) AS w1,
+ (SELECT round(sum(p * ln(p / ((p + q) / 2)) + q * ln(q / ((p + q) / 2))) / 2, 8) FROM hn) AS js FROM mo, kd""",
 )
 def target_compare(spark, sf):
-    """Moments, KS, Wasserstein and JS over 50 common bins. Steps run per bin of values, joined by running counts."""
+    """Either side's moments and range, KS with its p-value, Wasserstein and JS over 50 common bins."""
     x = codes(spark, sf).select("sample", "value")
-    m = x.agg(*[f(F.when(F.col("sample") == k, F.col("value"))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.min("value").alias("lo"), F.max("value").alias("hi"))
+    side = {"avg": F.avg, "stddev_pop": F.stddev_pop, "min": F.min, "max": F.max}
+    m = x.agg(*[side[f](F.when(F.col("sample") == k, F.col("value"))).alias(f"{_NAMES[f]}_{k}") for f, k in _SIDES], F.min("value").alias("lo"), F.max("value").alias("hi"))
     bins = x.crossJoin(F.broadcast(m.select("lo", "hi"))).withColumn("bin", F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 50)), F.lit(49)).cast("int"))
     h = bins.groupBy("bin").agg(*[F.count_if(F.col("sample") == k).cast("double").alias(n) for k, n in ((0, "p"), (1, "q"))])
     js = q.smoothed(h, [], ["p", "q"]).agg(F.round(q.js_divergence(), 8).alias("js"))
-    steps = q.cdf_steps(x, []).agg(F.round(F.max(F.abs(F.col("f") - F.col("g"))), 9).alias("ks"), F.round(F.sum(F.abs(F.col("f") - F.col("g")) * F.coalesce("gap", F.lit(0.0))), 7).alias("w1"))
-    return m.crossJoin(js).crossJoin(steps).select(F.round(F.col("m0") - F.col("m1"), 7).alias("mean_diff"), F.round(F.col("s0") / F.col("s1"), 7).alias("std_ratio"), "ks", "w1", "js")
+    gap = F.abs(F.col("f") - F.col("g"))
+    steps = q.cdf_steps(x, []).agg(F.max(gap).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum(gap * F.coalesce("gap", F.lit(0.0))).alias("w1"))
+    steps = steps.select(F.round("d", 9).alias("ks"), F.round(F.expr(q.kolmogorov_text()), 6).alias("ks_p"), F.round("w1", 7).alias("w1"))
+    one = m.crossJoin(js).crossJoin(steps)  # one row each
+    return one.select(*[F.round(f"{_NAMES[f]}_{k}", 7).alias(f"{_NAMES[f]}_{k}") for f, k in _SIDES], F.round(F.abs(F.col("mean_0") - F.col("mean_1")), 7).alias("mean_diff"), F.round(F.col("std_1") / (F.col("std_0") + 1e-10), 7).alias("std_ratio"), "ks", "ks_p", "w1", "js")
 
 
 @query("marginal_hist", f"{V}, mb AS (SELECT i, min(value) AS lo, max(value) AS hi FROM vx WHERE i % 8 = 0 GROUP BY i) SELECT i, sample, least(floor((value - lo) / ((hi - lo) / 50)), 49)::INT AS bin, count(*) AS n FROM vx JOIN mb USING (i) GROUP BY ALL")
@@ -205,13 +228,14 @@ def _series(spark, sf, absolute):
 
 def _acf_compare(absolute: bool):
     def run(spark, sf):
-        x = stats.acf(_series(spark, sf, absolute), ["symbol", "sample"], 20).select("symbol", "sample", F.posexplode("acf").alias("k", "r"))
+        # lag 0 is one of the 21 that the error is a mean of; it is the same in both
+        x = stats.acf_blocked(_series(spark, sf, absolute), ["symbol", "sample"], 20).select("symbol", "sample", F.posexplode("acf").alias("k", "r"))
         a, b = (x.where(F.col("sample") == s).select("symbol", "k", F.col("r").alias(n)) for s, n in ((0, "ra"), (1, "rb")))
-        return a.join(b, ["symbol", "k"]).groupBy("symbol").agg(F.round(F.avg(F.abs(F.col("ra") - F.col("rb"))), 7).alias("mae"), F.round(F.corr("ra", "rb"), 5).alias("corr"))
+        return a.join(b, ["symbol", "k"]).groupBy("symbol").agg(F.round(F.sum(F.abs(F.col("ra") - F.col("rb"))) / 21, 7).alias("mae"), F.round(F.corr("ra", "rb"), 5).alias("corr"))
 
     value = "abs(value - 50)" if absolute else "value"
     sql = f"""{_pair.replace("VALUE_EXPR", value)}, {acf_ctes(20, "value", "av")}, ex AS (SELECT symbol, feature, k, r[k] AS r FROM (SELECT symbol, feature, [{", ".join(f"r{k}" for k in range(1, 21))}] AS r FROM ac), range(1, 21) t(k))
-SELECT symbol, round(avg(abs(a.r - b.r)), 7) AS mae, round(corr(a.r, b.r), 5) AS corr FROM (SELECT * FROM ex WHERE feature = 0) a JOIN (SELECT * FROM ex WHERE feature = 1) b USING (symbol, k) GROUP BY symbol"""
+SELECT symbol, round(sum(abs(a.r - b.r)) / 21, 7) AS mae, round(corr(a.r, b.r), 5) AS corr FROM (SELECT * FROM ex WHERE feature = 0) a JOIN (SELECT * FROM ex WHERE feature = 1) b USING (symbol, k) GROUP BY symbol"""
     query("vol_clustering" if absolute else "acf_compare", sql)(run)
 
 
@@ -241,6 +265,18 @@ def recon_error(spark, sf):
     return x.groupBy("i").agg(F.round(F.avg(F.col("d") * F.col("d")), 7).alias("mse"), F.round(F.avg(F.abs("d")), 7).alias("mae"))
 
 
+@query(
+    "recon_summary",
+    f"{PAIRS}, pd AS (SELECT i, avg((v - u) * (v - u)) AS m, avg(abs(v - u)) AS a, count(*) AS n FROM px GROUP BY i) SELECT count(*) AS n_features, max(n) AS n, round(sum(m * n) / sum(n), 7) AS mse, round(sum(a * n) / sum(n), 7) AS mae, round(avg(m), 7) AS mean_feature_mse, round(stddev_pop(m), 7) AS std_feature_mse, round(max(m), 7) AS max_feature_mse FROM pd",
+)
+def recon_summary(spark, sf):
+    """Over all vectors and features: MSE and MAE, and how the features' own MSE spread."""
+    x = paired(spark, sf).select(F.posexplode(F.zip_with("v", "u", lambda a, b: a - b)).alias("i", "d"))
+    x = x.groupBy("i").agg(F.avg(F.col("d") * F.col("d")).alias("m"), F.avg(F.abs("d")).alias("a"), F.count("*").alias("n"))
+    whole = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 7)
+    return x.agg(F.count("*").alias("n_features"), F.max("n").alias("n"), whole("m").alias("mse"), whole("a").alias("mae"), F.round(F.avg("m"), 7).alias("mean_feature_mse"), F.round(F.stddev_pop("m"), 7).alias("std_feature_mse"), F.round(F.max("m"), 7).alias("max_feature_mse"))
+
+
 @query("topk_worst_features", f"{PAIRS} SELECT i, round(avg((v - u) * (v - u)), 7) AS mse FROM px GROUP BY i ORDER BY mse DESC, i LIMIT 10")
 def topk_worst_features(spark, sf):
     return recon_error(spark, sf).select("i", "mse").orderBy(F.desc("mse"), "i").limit(10)
@@ -263,30 +299,28 @@ def cosine_rows(spark, sf):
 ln AS (SELECT (sum(s0 * s0) - sum(q0)) / (max(n0) * (max(n0) - 1)) + (sum(s1 * s1) - sum(q1)) / (max(n1) * (max(n1) - 1)) - 2 * sum(s0 * s1) / (max(n0) * max(n1)) AS m FROM sm),
 hs AS (SELECT vec_id, sample, v FROM vec WHERE ('0x' || substr(md5(vec_id::VARCHAR), 1, 8))::BIGINT < (SELECT {RBF_ROWS}::DOUBLE / count(*) FROM vec) * 4294967296),
 kk AS (SELECT a.sample AS s, b.sample AS t, exp(-list_sum(list_transform(range(1, {D} + 1), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) / {D}) AS k FROM hs a JOIN hs b ON a.vec_id <> b.vec_id)
-SELECT 'linear' AS kernel, round(m, 7) AS mmd2 FROM ln UNION ALL SELECT 'rbf', round(avg(CASE WHEN s = 0 AND t = 0 THEN k END) + avg(CASE WHEN s = 1 AND t = 1 THEN k END) - 2 * avg(CASE WHEN s <> t THEN k END), 7) FROM kk""",
+SELECT kernel, round(m, 7) AS mmd2, round(sqrt(greatest(m, 0)), 5) AS mmd FROM (SELECT 'linear' AS kernel, m FROM ln UNION ALL SELECT 'rbf', avg(CASE WHEN s = 0 AND t = 0 THEN k END) + avg(CASE WHEN s = 1 AND t = 1 THEN k END) - 2 * avg(CASE WHEN s <> t THEN k END) FROM kk)""",
 )
 def mmd(spark, sf):
     """Linear over all vectors; Gaussian over about RBF_ROWS of them by digest (its definition has that bound), or all if there are fewer."""
     x = vectors(spark, sf)
     some = x.where(F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 8), 16, 10).cast("long") < RBF_ROWS / max(1, x.count()) * 2.0**32)
     both = q.mmd_linear(x).select(F.lit("linear").alias("kernel"), "mmd2").unionByName(q.mmd_rbf(some, "vec_id", 1.0 / D, 8).select(F.lit("rbf").alias("kernel"), "mmd2"))
-    return both.withColumn("mmd2", F.round("mmd2", 7))
+    return both.select("kernel", F.round("mmd2", 7).alias("mmd2"), F.round(F.sqrt(F.greatest("mmd2", F.lit(0.0))), 5).alias("mmd"))
 
 
 @query(
     "corr_distance",
     f"""{VN}, lg AS (SELECT vec_id, sample, i, ln(value + 1e-10) AS l FROM vx), cl AS (SELECT vec_id, sample, i, l - avg(l) OVER (PARTITION BY vec_id) AS c FROM lg),
 cr AS (SELECT a.i, b.i AS j, coalesce(corr(CASE WHEN a.sample = 0 THEN a.c END, CASE WHEN b.sample = 0 THEN b.c END), 0) AS r0, coalesce(corr(CASE WHEN a.sample = 1 THEN a.c END, CASE WHEN b.sample = 1 THEN b.c END), 0) AS r1 FROM cl a JOIN cl b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i)
-SELECT round(sqrt(2 * sum((r0 - r1) * (r0 - r1))), 6) AS frobenius, round(2 * sum(abs(r0 - r1)) / {D * D}, 7) AS mean_abs, round(max(abs(r0 - r1)), 7) AS max_abs FROM cr""",
+SELECT round(sqrt(2 * sum((r0 - r1) * (r0 - r1))), 6) AS frobenius, round((2 * sum(r0 * r1) + {D}) / (sqrt(2 * sum(r0 * r0) + {D}) * sqrt(2 * sum(r1 * r1) + {D})), 7) AS frobenius_corr, round(2 * sum(abs(r0 - r1)) / {D * D}, 7) AS mean_abs, round(max(abs(r0 - r1)), 7) AS max_abs FROM cr""",
 )
 def corr_distance(spark, sf):
     """Correlation matrices of the log-ratio transformed vectors, sample against sample."""
     from tidebook.operators.book import clr
 
-    r = q.correlations(simplex(spark, sf).withColumn("v", clr("v")), ["sample"], D)
-    a, b = (r.where(F.col("sample") == s).select("i", "j", F.col("r").alias(n)) for s, n in ((0, "r0"), (1, "r1")))
-    d = F.col("r0") - F.col("r1")
-    return a.join(b, ["i", "j"]).agg(F.round(F.sqrt(2 * F.sum(d * d)), 6).alias("frobenius"), F.round(2 * F.sum(F.abs(d)) / (D * D), 7).alias("mean_abs"), F.round(F.max(F.abs(d)), 7).alias("max_abs"))
+    x = q.correlation_distance(q.correlations(simplex(spark, sf).withColumn("v", clr("v")), ["sample"], D))
+    return x.select(*[F.round(c, 6 if c == "frobenius" else 7).alias(c) for c in x.columns])
 
 
 BOOKK = f"{V}, cb AS (SELECT label AS code, list_transform(range(1, {D} + 1), lambda i: avg_v[i]) AS e FROM (SELECT label, [{', '.join(f'avg(embedding[{i}]::DOUBLE)' for i in range(1, D + 1))}] AS avg_v FROM embeddings GROUP BY label)), ds AS (SELECT vec_id, code, round(list_sum(list_transform(range(1, {D} + 1), lambda i: (v[i] - e[i]) * (v[i] - e[i]))), 9) AS d FROM vec, cb), bs AS (SELECT vec_id, arg_min(code, (d, code)) AS code, min(d) AS distance FROM ds GROUP BY vec_id)"
@@ -312,11 +346,21 @@ def vq_reconstruct(spark, sf):
     return x.groupBy("code").agg(F.count("*").alias("n"), F.round(F.avg(err), 6).alias("mean_error"))
 
 
+N_BOOKS = 4
+
+
+def split_vectors(spark, sf):
+    """Vectors of each split's training rows: all but those whose turn of validation it is."""
+    x = vectors(spark, sf).withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(N_BOOKS - 1))))
+    return x.where(F.col("vec_id") % N_BOOKS != F.col("split_id"))
+
+
 @query("vq_fit")
 def vq_fit(spark, sf):
-    """k-means codebook, with each codeword's use and mean squared error."""
-    x = vectors(spark, sf)
-    return q.assign_codes(x, q.fit_codes(x, 8)).groupBy("code").agg(F.count("*").alias("n"), F.avg("distance").alias("mean_error"))
+    """A k-means codebook for each split, with each codeword's use and mean squared error."""
+    x = split_vectors(spark, sf)
+    book = q.fit_codes_by(x, ["split_id"], 8, tables.stored)
+    return q.nearest(x, book, ["split_id"]).groupBy("split_id", "code").agg(F.count("*").alias("n"), F.avg("distance").alias("mean_error"))
 
 
 @query("latent_attach", f"{C} SELECT event_id, code, value FROM codes")

@@ -99,7 +99,8 @@ _test(
     "shapiro",
     f"""{W}, r0 AS (SELECT {K}, value, row_number() OVER ({PART} ORDER BY value)::DOUBLE AS r, count(*) OVER ({PART}) AS n FROM windows), r1 AS (SELECT *, {_t["m"]} AS m FROM r0 WHERE n >= 3),
 r2 AS (SELECT *, sum(m * m) OVER ({PART}) AS mm, max(m) OVER ({PART}) AS mn, max(CASE WHEN r = n - 1 THEN m END) OVER ({PART}) AS mk FROM r1),
-sw AS (SELECT {K}, n, sum({_t["a"]} * value) AS s, var_pop(value) * count(*) AS v FROM r2 GROUP BY ALL) {_sql("sw", "s * s / v", _t["p"], "WHERE v > 0")}""",
+sw AS (SELECT {K}, n, sum({_t["a"]} * value) AS s, var_pop(value) * count(*) AS v FROM r2 GROUP BY ALL), sx AS (SELECT {K}, n, s * s / v AS statistic FROM sw WHERE v > 0), sy AS (SELECT *, {_t["score"]} AS score FROM sx)
+SELECT {K}, n, round(statistic, 5) AS statistic, round({_t["p"]}, 5) AS p_value FROM sy""",
 )
 for _name in ("adf", "pp", "arch_lm", "bds"):
     _test(_name, None)
