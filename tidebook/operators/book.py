@@ -123,26 +123,34 @@ def bin_of(z: Column, bins: int, eps: float, delta: float) -> Column:
     return F.least(right, F.lit(len(edges) - 3)).cast("int")
 
 
-def log_bins(df: DataFrame, pairs: str, keys: list[str], bins: int = 1000, eps: float = 0.5, delta: float = 1000.0) -> DataFrame:
-    """keys, bin, volume: total volume of a row's levels per bin, without a shuffle: a row's levels are all there.
+def with_bins(df: DataFrame, pairs: str, bins: int = 1000, eps: float = 0.5, delta: float = 1000.0, name: str = "binned") -> DataFrame:
+    """Adds an array of (bin, volume) in order of bins: the total volume of the row's levels in each, inside the row.
 
     Levels in order of price have their bins in order, so a bin's levels are a run of them. Levels without a finite
     price or a positive volume are left out.
     """
     good = F.filter(pairs, lambda x: x[0].isNotNull() & ~F.isnan(x[0]) & (F.abs(x[0]) < float("inf")) & (x[1] > 0))
-    x = df.select(*keys, F.array_sort(good).alias("_p")).withColumn("_b", F.transform("_p", lambda p: bin_of(p[0], bins, eps, delta)))
+    x = df.withColumn("_p", F.array_sort(good)).withColumn("_b", F.transform("_p", lambda p: bin_of(p[0], bins, eps, delta)))
     n = F.size("_b")
     first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get("_b", i - 1) != F.get("_b", i - 2))))
     x = x.withColumn("_f", first).withColumn("_e", F.concat(F.slice("_f", F.lit(2), F.size("_f")), F.array(n + 1)))
     run = F.transform(F.arrays_zip("_f", "_e"), lambda r: F.struct(F.get("_b", r["_f"] - 1).alias("bin"), volume(F.slice("_p", r["_f"], r["_e"] - r["_f"])).alias("volume")))
-    return x.select(*keys, F.inline(F.when(F.size("_f") > 0, run)))
+    return x.withColumn(name, F.when(F.size("_f") > 0, run)).drop("_p", "_b", "_f", "_e")
+
+
+def log_bins(df: DataFrame, pairs: str, keys: list[str], bins: int = 1000, eps: float = 0.5, delta: float = 1000.0) -> DataFrame:
+    """keys, bin, volume: total volume of a row's levels per bin, without a shuffle."""
+    return with_bins(df, pairs, bins, eps, delta, "_binned").select(*keys, F.inline("_binned"))
 
 
-def dense_bins(sparse: DataFrame, rows: DataFrame, keys: list[str], n_bins: int) -> DataFrame:
-    """rows' keys with bins array<double>: shares of the row's volume, zeros where it has none."""
-    maps = sparse.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "volume"))).alias("_m"), F.sum("volume").alias("_t"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at(F.col("_m"), i), F.col("_t")), F.lit(0.0)))
-    return rows.select(*keys).join(maps, keys, "left").select(*keys, full.alias("bins"))
+def dense_bins(binned: str, n_bins: int) -> Column:
+    """Shares of the row's volume in each bin, zeros where it has none, from an array of (bin, volume) in order: nothing leaves its row."""
+    total = F.aggregate(binned, F.lit(0.0), lambda a, r: a + r["volume"])
+    last = lambda i: F.when(i == 0, -1).otherwise(F.get(F.col(binned), i - 1)["bin"])
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    upto = F.transform(binned, lambda r, i: F.concat(zeros(r["bin"] - last(i) - 1), F.array(r["volume"] / total)))
+    after = zeros(F.lit(n_bins - 1) - F.element_at(binned, -1)["bin"])
+    return F.coalesce(F.flatten(F.concat(upto, F.array(after))), zeros(F.lit(n_bins)))
 
 
 def clr(v: str) -> Column:
@@ -155,28 +163,3 @@ def clr(v: str) -> Column:
 def consolidate(names: list[str]) -> tuple[Column, Column]:
     """features[] and feature_names[] from columns, in the given order."""
     return F.array(*names), F.array(*map(F.lit, names))
-
-
-def feature_order(columns: list[str]) -> list[str]:
-    """The fixed order of features: by group of prefix, names in lexical order inside a group."""
-    groups = ("fwd_logret", "past_logret", "volatility", "spread", "microprice", "depth_imbalance", "depth_", "liquidity", "price_impact")
-    left, out = list(columns), []
-    for g in groups:
-        own = sorted(c for c in left if c.startswith(g))
-        out, left = out + own, [c for c in left if c not in own]
-    return out
-
-
-def project_features(features: str, names: str, wanted: list[str]) -> Column:
-    """features[] re-indexed to the wanted names; an absent name is 0.0."""
-    m = F.map_from_arrays(F.col(names), F.col(features))
-    return F.array(*[F.coalesce(F.try_element_at(m, F.lit(w)), F.lit(0.0)) for w in wanted])
-
-
-def all_finite(features: str) -> Column:
-    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return F.col(features).isNotNull() & F.forall(features, ok)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -104,7 +104,3 @@ def ewma_state(df: DataFrame, by: list[str], half_lives: tuple[int, ...] = HALF_
     y = x.groupBy(*by).agg(F.count("*").alias("n"), *aggs)
     cells = [F.struct(F.lit(h).alias("half_life"), F.col(f"_m{h}").alias("mean"), F.greatest(F.col(f"_q{h}") - F.col(f"_m{h}") * F.col(f"_m{h}"), F.lit(0.0)).alias("var")) for h in half_lives]
     return y.select(*by, "n", F.inline(F.array(*cells)))
-
-
-def listed(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

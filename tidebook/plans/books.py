@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -149,14 +150,20 @@ def volume_coverage(spark, sf):
     return standardized(spark, sf).select("event_id", F.round(b.volume_coverage("std", "kept"), 9).alias("coverage"))
 
 
-@query("log_bin_edges", f"SELECT (i - 1)::INT AS i, round({_EDGES}[i], 9) AS edge, (SELECT count(*) FROM events WHERE value / 100 >= {_EDGES}[i] AND value / 100 < {_EDGES}[i + 1]) AS n FROM range(2, {len(EDGES)}) t(i)")
+_ALL = _list(ALL_EDGES)
+
+
+@query(
+    "log_bin_edges",
+    f"""WITH ed AS (SELECT i - 1 AS i, e FROM (SELECT unnest({_ALL}) AS e, unnest(range(1, {len(ALL_EDGES) + 1})) AS i)), v AS (SELECT value / 100 AS z FROM events),
+c AS (SELECT k.i, count(*) AS n FROM v ASOF JOIN ed k ON z >= e GROUP BY ALL) SELECT ed.i::INT AS i, round(e, 9) AS edge, coalesce(n, 0) AS n FROM ed LEFT JOIN c USING (i) WHERE isfinite(e)""",
+)
 def log_bin_edges(spark, sf):
-    """The finite edges, with how many event values (in hundreds) lie between each and the next."""
-    x = fx.events(spark, sf).select(F.array(F.struct("event_id", (F.col("value") / 100).alias("z"))).alias("p"))
-    lit = F.array(*map(F.lit, EDGES))
-    counts = x.select(F.size(F.filter(lit, lambda e: e <= F.col("p")[0]["z"])).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
-    edges = spark.createDataFrame([(i, e) for i, e in enumerate(EDGES, 1) if abs(e) != float("inf")], "i int, edge double")
-    return edges.join(counts, "i", "left").select((F.col("i") - 1).alias("i"), F.round("edge", 9).alias("edge"), F.coalesce("n", F.lit(0)).alias("n"))
+    """The finite edges of the shipped 1003, with how many event values (in hundreds) lie between each and the next."""
+    x = fx.events(spark, sf).select((F.col("value") / 100).alias("z"))
+    counts = Bucketizer(splits=ALL_EDGES, inputCol="z", outputCol="i").transform(x).groupBy(F.col("i").cast("int").alias("i")).agg(F.count("*").alias("n"))
+    edges = spark.createDataFrame([(i, e) for i, e in enumerate(ALL_EDGES) if abs(e) != float("inf")], "i int, edge double")
+    return edges.join(counts, "i", "left").select("i", F.round("edge", 9).alias("edge"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _binned(edges, levels="kept"):
@@ -166,7 +173,7 @@ i AS (SELECT event_id, least(n - 2, {len(edges) - 3})::INT AS bin, x[2] AS v FRO
 s AS (SELECT event_id, bin::INT AS bin, sum(v) AS volume FROM i GROUP BY ALL)"""
 
 
-BINNED, ALL_BINNED = _binned(EDGES), _binned(ALL_EDGES, "std")
+ALL_BINNED = _binned(ALL_EDGES, "std")
 
 
 @query("log_bin_assign", f"{ALL_BINNED} SELECT bin, count(*) AS n, sum(volume) AS volume FROM s GROUP BY bin")
@@ -183,15 +190,12 @@ def bin_aggregate(spark, sf):
     return _sparse(spark, sf)
 
 
-@query(
-    "bin_normalize",
-    f"""{BINNED}, t AS (SELECT event_id, sum(volume) AS total FROM s GROUP BY event_id)
-SELECT c.event_id, k::INT AS bin, round(coalesce(s.volume / t.total, 0), 9) AS share FROM c CROSS JOIN range({len(EDGES) - 2}) r(k) LEFT JOIN s ON s.event_id = c.event_id AND s.bin = k LEFT JOIN t ON t.event_id = c.event_id""",
-)
+@query("bin_normalize", f"{ALL_BINNED}, t AS (SELECT event_id, sum(volume) AS total FROM s GROUP BY event_id) SELECT event_id, bin, round(s.volume / t.total, 9) AS share, {len(ALL_EDGES) - 2}::INT AS n_bins FROM s JOIN t USING (event_id)")
 def bin_normalize(spark, sf):
-    rows = standardized(spark, sf)
-    x = b.dense_bins(_sparse(spark, sf, FEW, "kept"), rows, ["event_id"], len(EDGES) - 2)
-    return x.select("event_id", F.posexplode("bins").alias("bin", "share")).withColumn("share", F.round("share", 9))
+    """Each row's densities over the shipped 1001 bins, of which those above zero are told."""
+    x = b.with_bins(standardized(spark, sf), "std", *MANY).select("event_id", b.dense_bins("binned", len(ALL_EDGES) - 2).alias("bins"))
+    held = F.filter(F.transform("bins", lambda v, i: F.struct(i.alias("bin"), v.alias("share"))), lambda e: e["share"] > 0)
+    return x.select("event_id", F.size("bins").alias("n_bins"), F.inline(held)).withColumn("share", F.round("share", 9))
 
 
 @query(
@@ -207,10 +211,13 @@ def clr_transform(spark, sf):
 
 # returns and volatility in halo frames
 
+#: Rows that past returns look back.
+PAST = (1, 2, 3, 5, 10, 20)
+
 HALO = f"""{fx.ctes("series")}, hh AS (SELECT DISTINCT symbol, hour FROM series),
 rk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY hour) AS rank, count(*) OVER (PARTITION BY symbol) AS n FROM hh),
 f AS (SELECT series.*, unnest([hour - 1, hour, hour + 1]) AS frame FROM series),
-r AS (SELECT *, ln(mid) - ln(lag(mid, 1) OVER w) AS log_return, {", ".join(f"ln(mid) - ln(lag(mid, {n}) OVER w) AS past_{n}" for n in (1, 2, 3, 5))}, ln(lead(mid, 1) OVER w) - ln(mid) AS fwd_1, ln(lead(mid, 3) OVER w) - ln(lead(mid, 1) OVER w) AS fwd_2_late, row_number() OVER w AS k
+r AS (SELECT *, ln(mid) - ln(lag(mid, 1) OVER w) AS log_return, {", ".join(f"ln(mid) - ln(lag(mid, {n}) OVER w) AS past_{n}" for n in PAST)}, ln(lead(mid, 1) OVER w) - ln(mid) AS fwd_1, ln(lead(mid, 3) OVER w) - ln(lead(mid, 1) OVER w) AS fwd_2_late, row_number() OVER w AS k
  FROM f WINDOW w AS (PARTITION BY symbol, frame ORDER BY us, event_id)),
 e AS (SELECT *, sum(log_return * log_return * power({1 - fx.ALPHA20!r}::DOUBLE, -k)) OVER (PARTITION BY symbol, frame ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) * {fx.ALPHA20!r}::DOUBLE * power({1 - fx.ALPHA20!r}::DOUBLE, k) AS variance FROM r),
 o AS (SELECT e.* FROM e JOIN rk ON rk.symbol = e.symbol AND rk.hour = e.frame WHERE rank > 1 AND rank <= n - 1 AND (e.hour = frame OR (rank = 2 AND e.hour < frame)))"""
@@ -222,7 +229,7 @@ def _framed(spark, sf):
         ["symbol"],
         {
             "log_return": lambda w: frames.log_return(w),
-            **{f"past_{n}": (lambda w, n=n: frames.log_return(w, n)) for n in (1, 2, 3, 5)},
+            **{f"past_{n}": (lambda w, n=n: frames.log_return(w, n)) for n in PAST},
             "fwd_1": lambda w: frames.forward_log_return(w, 1),
             "fwd_2_late": lambda w: frames.forward_log_return(w, 2, 1),
             "variance": lambda w: frames.ewma_variance(w, 20),
@@ -234,7 +241,7 @@ def _returns(names):
     return lambda spark, sf: _framed(spark, sf).select("event_id", *[F.round(c, 9).alias(c) for c in names])
 
 
-for _key, _names in (("log_return", ["log_return"]), ("past_logret_n", ["past_1", "past_2", "past_3", "past_5"]), ("fwd_logret_h", ["fwd_1", "fwd_2_late"]), ("ewma_variance", ["variance"])):
+for _key, _names in (("log_return", ["log_return"]), ("past_logret_n", [f"past_{n}" for n in PAST]), ("fwd_logret_h", ["fwd_1", "fwd_2_late"]), ("ewma_variance", ["variance"])):
     query(_key, f"{HALO} SELECT event_id, {', '.join(f'round({c}, 9) AS {c}' for c in _names)} FROM o")(_returns(_names))
 
 

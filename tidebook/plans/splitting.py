@@ -32,7 +32,10 @@ RAW = f"{fx.ctes('book')}, ok AS (SELECT * FROM book WHERE event_id % 101 <> 3)"
 
 @query("src_parquet_book", f"{RAW} SELECT event_id, us // 1000 AS ms, len(bids)::INT AS n_bids, bids[1][1] AS best_bid, asks[1][2] AS best_ask_volume FROM ok")
 def src_parquet_book(spark, sf):
-    x = tables.parse_lob(raw_books(spark, sf).withColumn("timestamp", F.regexp_replace("timestamp", "Z$", "+00:00")))
+    """Raw books as files of texts, read with their schema."""
+    path = _folder(spark)
+    raw_books(spark, sf).withColumn("timestamp", F.regexp_replace("timestamp", "Z$", "+00:00")).write.parquet(path)
+    x = tables.read_books(spark, path, "event_id long")
     return x.select("event_id", F.unix_millis("timestamp").alias("ms"), F.size("bids").alias("n_bids"), F.col("bids")[0][0].alias("best_bid"), F.col("asks")[0][1].alias("best_ask_volume"))
 
 
@@ -406,14 +409,24 @@ def sink_append_dedup(spark, sf):
 
 @query("sink_swap", f"{E} SELECT symbol, count(*) AS n FROM ev WHERE value > 50 GROUP BY symbol")
 def sink_swap(spark, sf):
-    """A table, then a second version in its place: readers follow the pointer to the second, the first one is gone."""
+    """A table, then further versions in its place: readers follow the highest pointer; the first version is gone in the end."""
     path = _folder(spark)
     x = fx.events(spark, sf).select("event_id", "symbol", "value")
-    for rows in (x, x.where("value > 50")):
+    for rows in (x, x.where("value > 10"), x.where("value > 90"), x.where("value > 50")):
         tables.swap(rows, path, rows.count())
     return tables.current(spark, path).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
+@query("sink_swap_partition", f"{E} SELECT user_id % 3 AS part, count(*) AS n FROM ev WHERE user_id % 3 <> 1 OR value > 50 GROUP BY ALL")
+def sink_swap_partition(spark, sf):
+    """One partition of a table replaced, the others left as they are."""
+    path = _folder(spark)
+    x = fx.events(spark, sf).select("event_id", "value", (F.col("user_id") % 3).alias("part"))
+    x.write.partitionBy("part").parquet(path)
+    tables.swap_partition(x.where("part = 1 AND value > 50"), path, "part")
+    return spark.read.schema(x.schema).parquet(path).groupBy("part").agg(F.count("*").alias("n"))
+
+
 @query("sink_results_table", f"{SL} SELECT split_id, feature, count(value) AS n FROM split_long GROUP BY ALL")
 def sink_results_table(spark, sf):
     path = _folder(spark)
@@ -423,21 +436,38 @@ def sink_results_table(spark, sf):
 
 @query(
     "sink_metadata",
-    f"""{RANGES} SELECT 'fold' AS kind, fold_id AS id, fold_type AS name, n_samples AS n FROM folds UNION ALL SELECT 'split', split_id, v1 || '-' || v2, 2 FROM splits
-UNION ALL SELECT 'range', split_id, kind || '-' || fold_id, end_us - start_us FROM ranges UNION ALL SELECT 'config', 0, 'n_folds', {N_FOLDS} UNION ALL SELECT 'config', 0, 'span_us', {SPAN}""",
+    f"""{WINDOWS} SELECT 'fold' AS kind, fold_id AS id, fold_type AS name, n_samples AS n FROM folds UNION ALL SELECT 'split', split_id, v1 || '-' || v2, 2 FROM splits
+UNION ALL SELECT 'range', split_id, kind || '-' || fold_id, end_us - start_us FROM ranges
+UNION ALL SELECT 'window', split_id, fold_id || '-' || start_idx || '-' || end_idx || '-' || start_us, end_us - start_us FROM rt
+UNION ALL SELECT 'part', 0, part, count(*) FROM line GROUP BY part UNION ALL SELECT 'part', 0, 'all', count(*) FROM line
+UNION ALL SELECT 'time', 0, 'start_us', min(us) FROM line UNION ALL SELECT 'time', 0, 'end_us', max(us) FROM line
+UNION ALL SELECT 'config', 0, unnest(['n_folds', 'span_us', 'window_samples', 'edge_margin_samples']), unnest([{N_FOLDS}, {SPAN}, {WINDOW}, {MARGIN}])""",
 )
 def sink_metadata(spark, sf):
-    """Folds, splits, ranges and configuration as JSON beside each other, read back as one table."""
+    """Folds, splits, ranges, representative windows, counts of the timeline's parts, its bounds and the configuration as JSON beside each other, read back as one table."""
     path = _folder(spark)
-    f, s = fold_tables(spark, sf)
-    f = tables.stored(f, "folds")
-    config = spark.createDataFrame([("n_folds", N_FOLDS), ("span_us", SPAN)], "name string, value long")
-    parts = {"folds": f, "splits": s, "ranges": splits.ranges(f, s, SPAN, SPAN), "config": config}
+    times = tables.stored(line(spark, sf), "line")
+    f = tables.stored(splits.folds(times, N_FOLDS), "folds")
+    s = splits.cpcv_splits(f, 2)
+    config = spark.createDataFrame([("n_folds", N_FOLDS), ("span_us", SPAN), ("window_samples", WINDOW), ("edge_margin_samples", MARGIN)], "name string, value long")
+    summary = times.groupBy("part").agg(F.count("*").alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+    parts = {"folds": f, "splits": s, "ranges": splits.ranges(f, s, SPAN, SPAN), "windows": window_table(spark, sf), "summary": summary, "config": config}
     for name, table in parts.items():
         table.write.json(f"{path}/{name}")
     read = lambda name: spark.read.schema(parts[name].schema).json(f"{path}/{name}")
     row = lambda kind, id_, name, n: (F.lit(kind).alias("kind"), id_.cast("int").alias("id"), name.alias("name"), n.cast("long").alias("n"))
-    out = read("folds").select(*row("fold", F.col("fold_id"), F.col("fold_type"), F.col("n_samples")))
-    out = out.unionByName(read("splits").select(*row("split", F.col("split_id"), F.concat_ws("-", "v1", "v2"), F.lit(2))))
-    out = out.unionByName(read("ranges").select(*row("range", F.col("split_id"), F.concat_ws("-", "kind", "fold_id"), F.col("end_us") - F.col("start_us"))))
-    return out.unionByName(read("config").select(*row("config", F.lit(0), F.col("name"), F.col("value"))))
+    none, whole = F.lit(0), read("summary").agg(F.sum("n").alias("n"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    rows = [
+        read("folds").select(*row("fold", F.col("fold_id"), F.col("fold_type"), F.col("n_samples"))),
+        read("splits").select(*row("split", F.col("split_id"), F.concat_ws("-", "v1", "v2"), F.lit(2))),
+        read("ranges").select(*row("range", F.col("split_id"), F.concat_ws("-", "kind", "fold_id"), F.col("end_us") - F.col("start_us"))),
+        read("windows").select(*row("window", F.col("split_id"), F.concat_ws("-", "fold_id", "start_idx", "end_idx", "start_us"), F.col("end_us") - F.col("start_us"))),
+        read("summary").select(*row("part", none, F.col("part"), F.col("n"))),
+        whole.select(*row("part", none, F.lit("all"), F.col("n"))),
+        *[whole.select(*row("time", none, F.lit(c), F.col(c))) for c in ("start_us", "end_us")],
+        read("config").select(*row("config", none, F.col("name"), F.col("value"))),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

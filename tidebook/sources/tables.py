@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +38,9 @@ def parse_lob(raw: DataFrame) -> DataFrame:
     return raw.dropna().select(F.to_timestamp("timestamp").alias("timestamp"), side("bids").alias("bids"), side("asks").alias("asks"), *[c for c in raw.columns if c not in ("timestamp", "bids", "asks")]).dropna(subset=["timestamp", "bids", "asks"])
 
 
-def read_books(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lob(spark.read.schema(schemas.RAW_BOOK).parquet(path))
+def read_books(spark: SparkSession, path: str, more: str = "") -> DataFrame:
+    """Books of a folder of raw files, with further columns (as DDL)."""
+    return parse_lob(spark.read.schema(", ".join(filter(None, (schemas.RAW_BOOK, more)))).parquet(path))
 
 
 def hadoop(spark: SparkSession, path: str):
@@ -69,40 +73,40 @@ def write_files(df: DataFrame, path: str, by: str | None, name) -> None:
     fs.delete(root, True)
 
 
-def files_in(spark: SparkSession, path: str) -> list[str]:
-    """Names of a folder's Parquet files."""
-    fs, p = hadoop(spark, path)
-    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isFile() and f.getPath().getName().endswith(".parquet"))
-
-
 def ingested(spark: SparkSession, path: str, log: DataFrame, kind: str, schema) -> tuple[DataFrame, DataFrame]:
     """The rows of a folder's files that the log doesn't have, and their log rows: filename, type, record_count.
 
-    Files are told by ``_metadata.file_name``. An empty one is logged with 0; one that can't be read is skipped, and
-    isn't logged, so that the next run tries it again.
+    Files are told by ``_metadata.file_name``. Tasks count the rows of each from its footer, no column is read; an anti
+    join with the log picks what is new. Neither the log nor file names come to the driver. An empty file is logged
+    with 0; one that can't be read is skipped, and isn't logged, so that the next run tries it again. A file that is
+    damaged past its footer gives fewer rows than its record_count.
     """
-    known = {r.filename for r in log.select("filename").distinct().collect()}
-    fresh = [f for f in files_in(spark, path) if f not in known]
-    good = [f for f in fresh if readable(spark, f"{path}/{f}")]
-    if not good:
-        empty = spark.createDataFrame([], schema)
-        return empty, log.where("false").select("filename", "type", "record_count")
-    rows = spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in good]).select("*", F.col("_metadata.file_name").alias("filename"))
-    counts = rows.groupBy("filename").agg(F.count("*").cast("int").alias("n"))
-    names = spark.createDataFrame([(f,) for f in good], "filename string")
-    return rows.drop("filename"), names.join(counts, "filename", "left").select("filename", F.lit(kind).alias("type"), F.coalesce("n", F.lit(0)).alias("record_count"))
-
-
-def readable(spark: SparkSession, path: str) -> bool:
-    """Whether a Parquet file's footer can be read."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import PySparkException
-
-    try:
-        spark.read.parquet(path)
-    except (PySparkException, Py4JJavaError):
-        return False
-    return True
+    known = log.select(F.col("filename").alias("_file")).distinct()
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("_file")).join(known, "_file", "left_anti")
+    counts = rows.groupBy(F.col("_file").alias("filename")).agg(F.count("*").alias("n"))
+    # what has no rows is small, if it is sound: its footer tells
+    small = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).where(F.col("length") <= EMPTY_BYTES)
+    small = small.select(F.element_at(F.split("path", "/"), -1).alias("_file"), "content").join(known, "_file", "left_anti").mapInArrow(_without_rows, "filename string, n long")
+    fresh = stored(counts.unionByName(small), "ingest")
+    return rows.drop("_file"), fresh.select("filename", F.lit(kind).alias("type"), F.col("n").cast("int").alias("record_count"))
+
+
+#: No sound file without rows is larger.
+EMPTY_BYTES = 16 << 20
+
+
+def _without_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """filename and 0 of the files whose footer can be read and tells of no rows."""
+    for batch in batches:
+        out = []
+        for name, content in zip(batch["_file"].to_pylist(), batch["content"], strict=True):
+            try:
+                if pq.read_metadata(pa.BufferReader(content.as_buffer())).num_rows == 0:
+                    out.append(name)
+            except (pa.ArrowInvalid, OSError):
+                continue
+        yield pa.record_batch({"filename": pa.array(out, pa.string()), "n": pa.array([0] * len(out), pa.int64())})
 
 
 def time_slots(df: DataFrame, path: str, us: str = "us", rows: int = 1_000_000) -> list[int]:
@@ -144,11 +148,6 @@ def split_info(df: DataFrame) -> DataFrame:
     return df.groupBy("split_id").agg(F.min("us").alias("min_us"), F.max("us").alias("max_us"), F.count("*").alias("n"))
 
 
-def feature_dictionary(df: DataFrame, names: str = "feature_names") -> DataFrame:
-    """index, name of the features; a row more than there are positions means that rows disagree."""
-    return df.select(F.posexplode(names).alias("index", "name")).distinct()
-
-
 def append_by_day(df: DataFrame, path: str, us: str = "us") -> None:
     """Append partitioned by day, in time order inside files, without one global sort."""
     x = df.withColumn("day", F.expr(f"cast({us} div 86400000000 as int)"))
@@ -165,13 +164,15 @@ def append_new(df: DataFrame, path: str, keys: list[str], order: list[str]) -> N
     first.write.mode("append").parquet(path)
 
 
-POINTER = "current.txt"
+POINTERS, GRACE = "pointers", 2
 
 
-def swap(df: DataFrame, base: str, expected: int | None = None) -> str:
-    """Put a new version in a table's place: written beside the old one, its rows counted, then the pointer is moved to it and the old one goes.
+def swap(df: DataFrame, base: str, expected: int | None = None, grace: int = GRACE) -> str:
+    """Put a new version in a table's place: written beside the old one, its rows counted, then named by a pointer of the next number.
 
-    Readers that follow the pointer see one version or the other, whole.
+    The highest number counts. A pointer comes into being whole, by one rename, and none is ever replaced: there is
+    always one, and of two writers that take the same number one fails. The last ``grace`` versions stay for readers
+    that have begun; older ones go, their pointers first.
     """
     spark = df.sparkSession
     path = f"{base}/version={uuid.uuid4().hex}"
@@ -179,24 +180,49 @@ def swap(df: DataFrame, base: str, expected: int | None = None) -> str:
     got = spark.read.schema(df.schema).parquet(path).count()
     if expected is not None and got != expected:
         raise ValueError(f"{path} has {got} rows instead of {expected}")
-    old = pointed(spark, base)
-    write_bytes(spark, f"{base}/{POINTER}.new", path.encode())
-    fs, target = hadoop(spark, f"{base}/{POINTER}")
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(hadoop(spark, f"{base}/{POINTER}.new")[1], target)
-    if old:
-        fs.delete(hadoop(spark, old)[1], True)
+    known = _pointers(spark, base)
+    number = known[-1] + 1 if known else 0
+    tmp, target = f"{base}/new-{uuid.uuid4().hex}", _pointer(base, number)
+    write_bytes(spark, tmp, path.encode())
+    fs, p = hadoop(spark, target)
+    fs.mkdirs(p.getParent())
+    if not fs.rename(hadoop(spark, tmp)[1], p) or _read_text(spark, target) != path:
+        raise RuntimeError(f"another writer has made version {number} of {base}")
+    for old in known[: max(0, len(known) - grace)]:
+        gone = _read_text(spark, _pointer(base, old))
+        fs.delete(hadoop(spark, _pointer(base, old))[1], False)
+        fs.delete(hadoop(spark, gone)[1], True)
     return path
 
 
+def _pointer(base: str, number: int) -> str:
+    return f"{base}/{POINTERS}/{number:012d}"
+
+
+def _pointers(spark: SparkSession, base: str) -> list[int]:
+    fs, p = hadoop(spark, f"{base}/{POINTERS}")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, p = hadoop(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def pointed(spark: SparkSession, base: str) -> str | None:
-    fs, p = hadoop(spark, f"{base}/{POINTER}")
-    if not fs.exists(p):
-        return None
-    return spark.read.text(f"{base}/{POINTER}", wholetext=True).first()[0]
+    known = _pointers(spark, base)
+    return _read_text(spark, _pointer(base, known[-1])) if known else None
 
 
 def current(spark: SparkSession, base: str) -> DataFrame:
-    """The version that the pointer names."""
+    """The version that the highest pointer names."""
     return spark.read.parquet(pointed(spark, base))
+
+
+def swap_partition(df: DataFrame, path: str, by: str) -> None:
+    """Replace the partitions that the rows have, and no others."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
