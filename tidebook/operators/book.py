@@ -123,8 +123,8 @@ def bin_of(z: Column, bins: int, eps: float, delta: float) -> Column:
     return F.least(right, F.lit(len(edges) - 3)).cast("int")
 
 
-def with_bins(df: DataFrame, pairs: str, bins: int = 1000, eps: float = 0.5, delta: float = 1000.0, name: str = "binned") -> DataFrame:
-    """Adds an array of (bin, volume) in order of bins: the total volume of the row's levels in each, inside the row.
+def _bin_runs(df: DataFrame, pairs: str, bins: int, eps: float, delta: float) -> tuple[DataFrame, Column]:
+    """Rows with helper columns, and the array of (bin, volume) made of them.
 
     Levels in order of price have their bins in order, so a bin's levels are a run of them. Levels without a finite
     price or a positive volume are left out.
@@ -135,12 +135,19 @@ def with_bins(df: DataFrame, pairs: str, bins: int = 1000, eps: float = 0.5, del
     first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | (F.get("_b", i - 1) != F.get("_b", i - 2))))
     x = x.withColumn("_f", first).withColumn("_e", F.concat(F.slice("_f", F.lit(2), F.size("_f")), F.array(n + 1)))
     run = F.transform(F.arrays_zip("_f", "_e"), lambda r: F.struct(F.get("_b", r["_f"] - 1).alias("bin"), volume(F.slice("_p", r["_f"], r["_e"] - r["_f"])).alias("volume")))
-    return x.withColumn(name, F.when(F.size("_f") > 0, run)).drop("_p", "_b", "_f", "_e")
+    return x, F.when(F.size("_f") > 0, run)
+
+
+def with_bins(df: DataFrame, pairs: str, bins: int = 1000, eps: float = 0.5, delta: float = 1000.0, name: str = "binned") -> DataFrame:
+    """Adds an array of (bin, volume) in order of bins: the total volume of the row's levels in each, inside the row; null without levels."""
+    x, run = _bin_runs(df, pairs, bins, eps, delta)
+    return x.withColumn(name, run).drop("_p", "_b", "_f", "_e")
 
 
 def log_bins(df: DataFrame, pairs: str, keys: list[str], bins: int = 1000, eps: float = 0.5, delta: float = 1000.0) -> DataFrame:
     """keys, bin, volume: total volume of a row's levels per bin, without a shuffle."""
-    return with_bins(df, pairs, bins, eps, delta, "_binned").select(*keys, F.inline("_binned"))
+    x, run = _bin_runs(df.select(*keys, pairs), pairs, bins, eps, delta)
+    return x.select(*keys, F.inline(run))  # of the expression itself: a filter on a named array would work it out once more for each of its parts
 
 
 def dense_bins(binned: str, n_bins: int) -> Column:
