@@ -4,7 +4,7 @@ import hashlib
 import math
 import os
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 from datetime import timezone
 from pathlib import Path
 
@@ -88,16 +88,25 @@ def test_book_asof_follows_the_updates(spark):
         assert got.get(g, {}) == book
 
 
-def test_stream_scaler_is_the_recurrence(spark, sf):
-    from tidebook.plans.catalog import QUERIES
+def test_stream_scaler_is_the_gated_recurrence(spark, sf, monkeypatch):
+    """In several batches: only train and warm-up rows move a key's state; others take the last one, or their own value before the first."""
+    from tidebook.plans import streams
 
-    z = {r.event_id: r.z for r in QUERIES["stream_ewma"](spark, sf).collect()}
-    rows = fx.events(spark, sf).orderBy("us", "event_id").select("event_id", "symbol", "value").collect()
-    for s in {r.symbol for r in rows}:
-        own = [r for r in rows if r.symbol == s]
-        for r, (m, v) in zip(own, walk([r.value for r in own], 1 - 2 ** (-1 / 20)), strict=True):
-            want = max(-3.0, min(3.0, (r.value - m) / math.sqrt(v + 1e-12))) if v else 0.0
-            assert abs(z[r.event_id] - want) < 2e-6
+    monkeypatch.setattr(streams, "SLOT_ROWS", 1500)
+    z = {(r.split_id, r.feature, r.event_id): r.z for r in streams.stream_ewma(spark, sf).collect()}
+    rows = defaultdict(list)
+    for r in fx.split_long(spark, sf).where("value IS NOT NULL").orderBy("us", "event_id").collect():
+        rows[r.split_id, r.feature, r.symbol].append(r)
+    assert len(z) == sum(map(len, rows.values()))
+    alpha = 1 - 2 ** (-1 / 20)
+    for (split, feature, _), own in rows.items():
+        m = v = None
+        for r in own:
+            if r.role in ("train", "train_warmup"):
+                d = 0.0 if m is None else r.value - m
+                m, v = (r.value, 0.0) if m is None else (m + alpha * d, (1 - alpha) * (v + alpha * d * d))
+            want = r.value if m is None else max(-3.0, min(3.0, (r.value - m) / math.sqrt(v + 1e-12)))
+            assert abs(z[split, feature, r.event_id] - want) < 2e-5
 
 
 def series(spark, x):
@@ -324,3 +333,48 @@ def test_top_grams_are_compared_alone(spark):
     df = spark.createDataFrame(rows, "sample int, gram string, n long")
     assert tuple(quality.compare_top(df, 3).first()) == (2, 2 / 3, -1.0)
     assert tuple(quality.compare_top(df, 1).first()) == (0, 0.0, 0.0)
+
+
+def test_readers_see_whole_versions_while_writers_swap(spark, tmp_path):
+    """A reader that follows the pointer all the time finds each version whole; old ones go, the last stay."""
+    import threading
+
+    from tidebook.sources import tables
+
+    base, seen, wrong, done = str(tmp_path / "t"), [], [], threading.Event()
+    tables.swap(spark.range(100).withColumn("v", F.lit(0)), base, 100)
+
+    def read():
+        while not done.is_set():
+            try:
+                rows = tables.current(spark, base).groupBy("v").count().collect()
+                (seen if len(rows) == 1 and rows[0]["count"] == 100 + rows[0].v else wrong).append([tuple(r) for r in rows])
+            except Exception as e:  # a version that is gone while it is read
+                wrong.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for v in range(1, 6):
+        tables.swap(spark.range(100 + v).withColumn("v", F.lit(v)), base, 100 + v)
+    done.set()
+    reader.join()
+    assert seen and not wrong and tables.current(spark, base).count() == 105
+    assert len([p for p in Path(base).iterdir() if p.name.startswith("version=")]) == tables.GRACE + 1
+    with pytest.raises(ValueError, match="rows instead"):
+        tables.swap(spark.range(3), base, 4)
+    assert tables.current(spark, base).count() == 105
+
+
+def test_dense_bins_stay_in_their_row(spark):
+    from tidebook.operators import book
+
+    edges = book.log_bin_edges(20, 0.5, 4.0)
+    rows = [(1, [[-9.0, 2.0], [0.1, 1.0], [0.2, 3.0], [3.9, 4.0]]), (2, []), (3, None), (4, [[9.0, 5.0], [float("nan"), 1.0], [0.3, -1.0]])]
+    df = spark.createDataFrame(rows, "id int, p array<array<double>>")
+    got = {r.id: r.bins for r in book.with_bins(df, "p", 20, 0.5, 4.0).select("id", book.dense_bins("binned", 21).alias("bins")).collect()}
+    for i, p in rows:
+        want = np.zeros(21)
+        for z, v in p or []:
+            if z == z and v > 0:
+                want[min(sum(e <= z for e in edges) - 1, 20)] += v
+        assert np.allclose(got[i], want / want.sum() if want.sum() else want) and len(got[i]) == 21
