@@ -186,6 +186,9 @@ def test_battery_is_its_tests(spark, rows):
     assert adf.n_obs == n - 1 - adf.n_lags and lb.n_lags == 10 and mo.kurtosis is not None and mo.statistic is None
     assert adf.critical_5 == pytest.approx(-2.86154 - 2.8903 / adf.n_obs - 4.234 / adf.n_obs**2 - 40.040 / adf.n_obs**3, abs=1e-9)
     assert (ad.critical_1, ad.critical_5, ad.critical_10) == tuple(round(c / (1 + 4 / n - 25 / n**2), 3) for c in (1.092, 0.787, 0.656))
+    lags = battery.most_lags(400)
+    for r in battery.solved(battery.lag_sums(series, ["sid"], lags), ["sid"], lags).collect():
+        assert (r.adf, r.adf_lags, r.pp, r.arch) == pytest.approx((got[r.sid, "adf"].statistic, got[r.sid, "adf"].n_lags, got[r.sid, "pp"].statistic, got[r.sid, "arch_lm"].statistic), rel=1e-9)
     slow = spark.createDataFrame([("slow", i + 1, (-1.0) ** i + 0.05 * ((i * 7919) % 101) / 101) for i in range(300)], "sid string, i int, value double")
     far = {r.test: r for r in battery.battery(slow, ["sid"], tables.stored).collect()}["kpss"]
     assert far.n_lags > battery.most_lags(300) and far.statistic == pytest.approx(stats.kpss(slow, ["sid"]).first().statistic, rel=1e-9)

@@ -82,6 +82,35 @@ def summaries(series: DataFrame, by: list[str], lags: int) -> DataFrame:
     )
 
 
+def lag_sums(series: DataFrame, by: list[str], lags: int) -> DataFrame:
+    """Of summaries only what the solves need: lag products and ends of the centred values and of their squares."""
+    part = Window.partitionBy(*by)
+    w = part.orderBy("i")
+    x = series.select(*by, "i", "value").repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    x = x.withColumns({"n": F.count("*").over(part), "d": F.col("value") - F.avg("value").over(part), "_k": F.row_number().over(w)}).drop("value", "i")
+    x = x.withColumns({"s": F.col("d") * F.col("d") - F.avg(F.col("d") * F.col("d")).over(part), "_cum": F.sum("d").over(part.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    at = part.orderBy("_k")
+    x = x.withColumns({f"_{c}{k}": F.lag(c, k).over(at) for c, most in (("d", lags), ("s", ARCH_LAGS)) for k in range(1, most + 1)})
+    products = lambda c, most: F.array(*[F.coalesce(F.sum(F.col(c) * (F.col(f"_{c}{k}") if k else F.col(c))), F.lit(0.0)) for k in range(most + 1)])
+    end = lambda c, cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("_k", c)))), lambda e: e[c])
+    first, last = (lambda most: F.col("_k") <= most), (lambda most: F.col("_k") > F.col("n") - most)
+    return x.groupBy(*by).agg(
+        F.max("n").alias("n"), F.sum(F.col("_cum") * F.col("_cum")).alias("cum2"), products("d", lags).alias("sd_lags"), products("s", ARCH_LAGS).alias("ss_lags"),
+        end("d", first(lags + 1)).alias("d_head"), end("d", last(lags + 1)).alias("d_tail"), end("s", first(ARCH_LAGS)).alias("s_head"), end("s", last(ARCH_LAGS)).alias("s_tail"),
+    )
+
+
+def adf_critical() -> list[Column]:
+    """Critical values at 1, 5 and 10 % for adf_n rows."""
+    n = F.col("adf_n").cast("double")
+    return [reduce(lambda a, c: a + F.lit(c[1]) / F.pow(n, F.lit(float(c[0]))), list(enumerate(row))[1:], F.lit(row[0])) for row in stats.ADF_CRITICAL]
+
+
+def anderson_critical() -> list[Column]:
+    n = F.col("n").cast("double")
+    return [F.round(F.lit(c) / (1 + 4.0 / n - 25.0 / (n * n)), 3) for c in ANDERSON_CRITICAL]
+
+
 class Lagged:
     """Sums over rows t0..n of products of values some lags apart, from the sums over all rows and the values at both ends."""
 
@@ -177,7 +206,7 @@ def solved(rows: DataFrame, by: list[str], lags: int) -> DataFrame:
     def one(n: int, d: Lagged, s: Lagged, cum2: float) -> tuple:
         if not d.products[0] > 0:
             return (None,) * 12
-        a, p, used = adf(d) if n > 6 else (None, None, None)
+        a, p, used = adf(d) if n > 4 else (None, None, None)
         z, q = phillips_perron(d) if n > 4 else (None, None)
         lm, own = arch(s) if n >= 10 else (None, None)
         bw = kpss_lags(n, d.products) if n >= 20 else None
@@ -224,16 +253,14 @@ def tests(rows: DataFrame, more: DataFrame, by: list[str], keep: Callable[[DataF
     x = x.withColumn("score", F.expr(stats.shapiro_texts()["score"]))
     # stored, so that the closed forms of the tails are not written out inside those of the statistics
     x = keep(x.drop("d_head", "d_tail", "s_head", "s_tail", "sd_lags", "su_lags", "ss_lags"), "statistics")
-    shrink = 1 + 4.0 / n - 25.0 / (n * n)
-    surface = [reduce(lambda a, c: a + F.lit(c[1]) / F.pow(F.col("adf_n").cast("double"), F.lit(float(c[0]))), list(enumerate(row))[1:], F.lit(row[0])) for row in stats.ADF_CRITICAL]
     exp2 = lambda c: F.exp(-F.col(c) / 2)
     table: dict[str, tuple] = {
-        "adf": (F.col("adf"), F.col("adf_p"), F.col("adf_lags"), F.col("adf_n"), surface),
+        "adf": (F.col("adf"), F.col("adf_p"), F.col("adf_lags"), F.col("adf_n"), adf_critical()),
         "kpss": (F.col("kpss"), text(stats.kpss_p("kpss")), F.col("kpss_lags"), n, [F.lit(c) for c in KPSS_CRITICAL]),
         "pp": (F.col("pp"), F.col("pp_p"), F.col("pp_lags"), n - 1, None),
         "jarque_bera": (F.col("_jb"), exp2("_jb"), None, n, None),
         "shapiro": (F.col("statistic"), text(stats.shapiro_texts()["p"]), None, n, None),
-        "anderson": (F.when(F.col("sd") > 0, -n - F.col("ad") / n), none, None, n, [F.round(F.lit(c) / shrink, 3) for c in ANDERSON_CRITICAL]),
+        "anderson": (F.when(F.col("sd") > 0, -n - F.col("ad") / n), none, None, n, anderson_critical()),
         "dagostino": (F.col("_da"), exp2("_da"), None, n, None),
         "ljung_box": (F.col("_lb"), text(stats.tail_by_df("_lb", "_m", LB_LAGS)), F.col("_m"), n, None),
         "durbin_watson": (F.try_divide("step2", "value2"), none, None, n, None),

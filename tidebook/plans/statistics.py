@@ -88,12 +88,17 @@ kl AS (SELECT a.symbol, a.feature, a.win, sum((1 - (b.i - a.i) / (q + 1.0)) * a.
 kz AS (SELECT kq.*, coalesce(long, 0) AS long FROM kq LEFT JOIN kl USING ({K})) {_sql("kz", "ss / (n * n) / ((c0 + 2 * long) / n)", stats.kpss_p("statistic"), digits=4)}""",
     4,
 )
-_test(
-    "anderson",
+@query(
+    "st_anderson",
     f"""{MOM}, zz AS (SELECT {K}, n, (value - mean) / std AS z, row_number() OVER ({PART} ORDER BY value) AS r FROM windows JOIN mo USING ({K}) WHERE std > 0),
-ad AS (SELECT {K}, n, sum((2 * r - 1) * ln(greatest({scalar.norm_cdf("z")}, 1e-300)) + (2 * (n + 1 - r) - 1) * ln(greatest({scalar.norm_cdf("(-z)")}, 1e-300))) AS s FROM zz GROUP BY ALL) {_sql("ad", "-n - s / n", digits=4)}""",
-    4,
+ad AS (SELECT {K}, n, sum((2 * r - 1) * ln(greatest({scalar.norm_cdf("z")}, 1e-300)) + (2 * (n + 1 - r) - 1) * ln(greatest({scalar.norm_cdf("(-z)")}, 1e-300))) AS s FROM zz GROUP BY ALL) SELECT {K}, n, round(-n - s / n, 4) AS statistic, {", ".join(f"round({c} / (1 + 4.0 / n - 25.0 / (n * n)), 3)::DOUBLE AS critical_{p}" for p, c in zip((1, 5, 10), battery.ANDERSON_CRITICAL))} FROM ad""",
 )
+def st_anderson(spark, sf):
+    """The statistic and its critical values at 1, 5 and 10 %; it has no p-value."""
+    critical = [c.alias(f"critical_{p}") for p, c in zip((1, 5, 10), battery.anderson_critical(), strict=True)]
+    return stats.anderson(fx.windows(spark, sf), BY).select(*BY, "n", F.round("statistic", 4).alias("statistic"), *critical)
+
+
 _t = stats.shapiro_texts()
 _test(
     "shapiro",
@@ -102,8 +107,35 @@ r2 AS (SELECT *, sum(m * m) OVER ({PART}) AS mm, max(m) OVER ({PART}) AS mn, max
 sw AS (SELECT {K}, n, sum({_t["a"]} * value) AS s, var_pop(value) * count(*) AS v FROM r2 GROUP BY ALL), sx AS (SELECT {K}, n, s * s / v AS statistic FROM sw WHERE v > 0), sy AS (SELECT *, {_t["score"]} AS score FROM sx)
 SELECT {K}, n, round(statistic, 5) AS statistic, round({_t["p"]}, 5) AS p_value FROM sy""",
 )
-for _name in ("adf", "pp", "arch_lm", "bds"):
-    _test(_name, None)
+_test("bds", None)
+
+
+def _solved(spark, sf):
+    """What is solved from the lag products of every window: one exchange of the windows, one row each."""
+    x = tables.stored(fx.windows(spark, sf), "windows")
+    lags = battery.most_lags(stats.longest(x, BY))
+    return battery.solved(battery.lag_sums(x, BY, lags), BY, lags)
+
+
+def _figures(name: str, n, *more):
+    return (*BY, n.cast("long").alias("n"), F.round(name, 5).alias("statistic"), F.round(f"{name}_p", 5).alias("p_value"), F.col(f"{name}_lags").alias("n_lags"), *more)
+
+
+@query("st_adf")
+def st_adf(spark, sf):
+    """Augmented Dickey-Fuller with the lags that AIC chose, the rows used and their critical values."""
+    critical = [F.round(c, 5).alias(f"critical_{p}") for p, c in zip((1, 5, 10), battery.adf_critical(), strict=True)]
+    return _solved(spark, sf).where("adf IS NOT NULL").select(*_figures("adf", F.col("adf_n"), *critical))
+
+
+@query("st_pp")
+def st_pp(spark, sf):
+    return _solved(spark, sf).where("pp IS NOT NULL").select(*_figures("pp", F.col("n") - 1))
+
+
+@query("st_arch_lm")
+def st_arch_lm(spark, sf):
+    return _solved(spark, sf).where("arch IS NOT NULL").select(*_figures("arch", F.col("n")))
 
 
 @query("acf", f"{W}, {acf_ctes(20)} SELECT {K}, n, k::INT AS k, round(r[k], 6) AS acf FROM (SELECT {K}, n, [{', '.join(f'r{k}' for k in range(1, 21))}] AS r FROM ac), range(1, 21) t(k)")
