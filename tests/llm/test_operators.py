@@ -671,6 +671,44 @@ def test_pairs_are_those_of_full_alignment(spark):
     assert got.items() <= want.items() and len(got) >= 0.98 * len(want) and len(want) > 60 and got[900, 12] == 0.75
 
 
+def test_a_shared_stem_joins_no_document_to_all_items(spark):
+    stem = "which of the following is true about".split()
+    own = lambda k: [f"i{k}x{j}" for j in range(12)]
+    items = [(k, " ".join([*stem, *own(k)])) for k in range(150)] + [(500, " ".join(stem)), (501, " ".join([*stem, "the"]))]
+    docs = [(k, " ".join([*stem, *(f"d{k}x{j}" for j in range(30))])) for k in range(300)]
+    docs += [(1000 + k, " ".join(["so", *stem, *own(k)[:10], "end"])) for k in range(5)]
+    x = spark.createDataFrame(docs, "_doc string, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    _, distinct_items = op10_decontaminate.items_of(bench)
+    met = Counter(r._doc for r in op10_decontaminate.met_by(x, distinct_items).collect())
+    assert max(met.values()) < 10
+    got = {(r.doc_id, r.item_id) for r in op10_decontaminate.report(x.withColumnRenamed("_doc", "doc_id"), bench).collect()}
+    # the stem is an item itself, which whoever holds it matches; the item of one word more needs that word
+    assert got == {(k, 500) for k, _ in docs} | {(1000 + k, k) for k in range(5)}
+
+
+def test_every_item_gets_seeds(spark):
+    """Items that are each a part of the next, more of them than may share a seed; items of one word over and over; repeated items."""
+    nested = [" ".join(f"n{j}" for j in range(3 + k)) for k in range(40)]
+    items = [*nested, "ha ha ha ha ha ha", "ha ha ha ha", "a b", "b", nested[5].upper()]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    _, distinct_items = op10_decontaminate.items_of(bench)
+    assert op10_decontaminate.seeds_of(distinct_items).select("item").distinct().count() == distinct_items.count() == len(items) - 1
+    got = {(r.doc_id, r.item_id): r.score for r in op10_decontaminate.report(bench.selectExpr("item_id AS doc_id", "text"), bench).collect()}
+    assert all(got.get((k, k)) == 1 for k in range(len(items))) and got[5, len(items) - 1] == got[len(items) - 1, 5] == 1
+    assert not [p for p in got if (42 in p or 43 in p) and p[0] != p[1]]
+
+
+def test_long_benchmarks_are_joined_instead_of_broadcast(spark, monkeypatch):
+    item = " ".join(f"q{j}" for j in range(20))
+    df = spark.createDataFrame([(k, f"so {item} end {k}" if k % 3 else f"nothing {k} of that here") for k in range(30)] * 2, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item), (1, "some other words that nobody holds")], "item_id long, text string")
+    want = sorted(op10_decontaminate.report(df, bench).collect())
+    monkeypatch.setattr(op10_decontaminate, "BROADCAST_CHARS", -1)
+    monkeypatch.setattr(op10_decontaminate, "BROADCAST_PLACES", -1)
+    assert sorted(op10_decontaminate.report(df, bench).collect()) == want and len(want) == 40
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three four five six seven"), (1, "w0 w1 w2 w3 w4 w5"), (2, None), (3, ""), (None, "a row without an id")], "item_id long, text string")
     got = Counter((r.doc_id, r.item_id) for r in op10_decontaminate.report(wide(odd), bench).collect())
