@@ -311,6 +311,27 @@ def test_every_notice_is_found_in_prose(k):
     assert not scanner.blocks(prose())
 
 
+def everywhere(scanner, text):
+    """Plain search: every template confirmed around every word, without blocks or ranking."""
+    places = [m.span() for m in re.finditer(r"[a-z]+|[0-9]+", text.lower())]
+    numbers = {m.start(1) for m in op5_licenses._LIST.finditer(text)}
+    own, lists = [text[a:b].lower() for a, b in places], {n for n, (a, _) in enumerate(places) if a in numbers}
+    ends = {n for n in range(len(places) - 1) if re.search(r"[.!?;]\s|\n\s*\n", text[places[n][1] : places[n + 1][0]])}
+    return {name for k, (name, _) in enumerate(op5_licenses.TEMPLATES) if any(scanner.confirmed(own, lists, ends, k, lo) for lo in range(0, len(own), 3))}
+
+
+def test_no_notice_is_lost_by_its_neighbours():
+    """All pairs, many triples and all notices in one block: those put in, and those of a search by all templates."""
+    rng, scanner = random.Random(55), op5_licenses.Scanner()
+    every = range(len(op5_licenses.TEMPLATES))
+    draws = [*itertools.permutations(every, 2), *(rng.sample(every, 3) for _ in range(150)), list(every), list(every)[::-1]]
+    for ks in draws:
+        text = "\n".join(op5_licenses.TEMPLATES[k][1] for k in ks)
+        found = {h[1] for a, b in scanner.blocks(text) for h in scanner.find(text, a, b)}
+        assert found == {op5_licenses.TEMPLATES[k][0] for k in ks}, ks
+        assert len(ks) < 22 or found >= everywhere(scanner, text), ks
+
+
 def test_licences_by_their_wording(spark, odd, none):
     rows = [
         (1, "prose\nReleased under the MIT License.\nprose"),

@@ -1,12 +1,13 @@
 """Operator 5, licence scans by conditional compression.
 
 All of a text is compressed in lines, long ones in short overlapping windows, with all templates together as raw zstandard
-dictionary: what becomes much smaller is a candidate, and those near each other make a block. A block is compressed alone and with
-each template as dictionary; the relative saving ranks the templates. All that save enough are confirmed in that order by
-the exact wording: words of block and template are aligned, the block must have most of the template, and no word that
-tells licences apart (names, versions) may differ; numbers of lists don't count. What stands before and after a find is
-searched again, so a block may hold several licences. Long blocks are searched in overlapping stretches of the
-template's length, so that the work grows with the text only.
+dictionary: what becomes much smaller is a candidate, and those near each other make a block. For each template, a block is
+cut into overlapping stretches of one and a half times the template's words, which are compressed alone and with the template as
+dictionary; the bytes saved, as a share of what the template itself takes, rank templates and stretches, so that neither a
+block's length nor other notices in it count. All that save enough are confirmed in that order by the exact wording: words
+of stretch and template are aligned, the stretch must have most of the template, and no word that tells licences apart
+(names, versions) may differ; numbers of lists don't count. Words of a confirmed notice are used up. The work grows with
+the text only.
 
 Defined results: null and empty texts have no findings; very long texts are searched whole; a document has one row per
 licence found in it, at its first place; of equal savings the template first in the list counts; repeated rows are each
@@ -54,8 +55,10 @@ TEMPLATES = (
 TELLING = frozenset("apache bsd mit isc gnu gpl lgpl agpl lesser affero mozilla mpl cc by nc sa nd cc0 zero noncommercial sharealike noderivatives unlicense 1 2 3 4 0".split())
 #: Windows and their step in bytes, the share that the joint dictionary must save of one, and the bytes over which candidates are joined.
 WINDOW, STEP, GATE, JOIN = 48, 16, 0.25, 160
-LEAST_SAVING, LEAST_COVER = 0.08, 0.8
+#: The least share of a template that a stretch must save, and that its words must have.
+LEAST_SAVING, LEAST_COVER = 0.1, 0.8
 _WORD = re.compile(r"[a-z]+|[0-9]+")
+_END = re.compile(r"[.!?;](?:\s|$)|\n\s*\n")
 _LIST = re.compile(r"(?:^|\n)[^\S\n]*(?:[*#/;-]+[^\S\n]*)*\(?([0-9]+)[.)](?=\s)")
 
 
@@ -75,6 +78,8 @@ class Scanner:
         self.alone, self.given = compressor(None, 3), [compressor(t, 3) for t in plain]
         self.words = [_WORD.findall(t) for t in plain]
         self.empty = len(self.joint.compress(b""))
+        none = len(self.alone.compress(b""))
+        self.size = [len(self.alone.compress(t.encode())) - none for t in plain]
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         """Candidate blocks as places in the text: windows that the joint dictionary makes much smaller, near ones together."""
@@ -114,16 +119,23 @@ class Scanner:
             b += 1
         return a, b
 
-    def savings(self, block: str) -> list[tuple[float, int]]:
-        """(relative saving, template), best first; case and blanks don't count."""
-        data = " ".join(block.lower().split()).encode("utf-8", "surrogatepass")
-        size = len(self.alone.compress(data))
-        return sorted(((1 - len(z.compress(data)) / size, k) for k, z in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-
-    def differences(self, own: list[str], lists: set[int], k: int) -> tuple[float, int, list[str], int, int]:
+    def savings(self, part: str, places: list[tuple[int, int]]) -> list[tuple[float, int, int]]:
+        """(share of the template's own size that its dictionary saves, template, first word) of stretches, best first; case and blanks don't count."""
+        out = []
+        for k, (z, size) in enumerate(zip(self.given, self.size, strict=True)):
+            n = len(self.words[k])
+            step = max(1, n // 2)
+            for lo in range(0, max(1, len(places) - n + step), step):
+                data = " ".join(part[places[lo][0] : places[min(len(places), lo + n + step) - 1][1]].lower().split()).encode("utf-8", "surrogatepass")
+                saving = (len(self.alone.compress(data)) - len(z.compress(data))) / size
+                if saving >= LEAST_SAVING:
+                    out.append((saving, k, lo))
+        return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
+
+    def differences(self, own: list[str], lists: set[int], ends: set[int], k: int) -> tuple[float, int, list[str], int, int]:
         """Share of the template that the words have, how many differ from the first to the last common one, those of them that tell licences apart, and the common part.
 
-        lists: places of words that number a list.
+        lists: places of words that number a list; ends: of those that end a sentence.
         """
         goal = self.words[k]
         match = [m for m in SequenceMatcher(None, own, goal, autojunk=False).get_matching_blocks() if m.size]
@@ -142,44 +154,37 @@ class Scanner:
             extra += [w for n, w in enumerate(own[i : m.a], i) if n not in lists]
             i, j = m.a + m.size, m.b + m.size
         lost += goal[j:]
-        # a telling word right beside the common part counts too: "version 2" for "version 3"
-        edge = [own[n] for n in (first - 1, last) if 0 <= n < len(own) and n not in lists]
+        # a telling word right beside the common part counts too, in the same sentence: "version 2" for "version 3"
+        edge = [own[n] for n, end in ((first - 1, first - 1), (last, last - 1)) if 0 <= n < len(own) and n not in lists and end not in ends]
         inside = last - first - sum(first <= n < last for n in lists)
         return common / max(len(goal), inside), len(lost) + len(extra), [w for w in lost + extra + edge if w in TELLING], first, last
 
     def find(self, text: str, a: int, b: int) -> list[tuple[int, str, float, float, int]]:
-        """(start, licence, saving, cover, differences) of what a block holds, in order; templates are ranked on the block, wording is read beyond its ends."""
-        found, low, high, todo = [], a, b, [self.whole(text, a, b)]
-        while todo:
-            a, b = todo.pop()
-            part, core = text[a:b], text[max(a, low) : min(b, high)]
-            places = [m.span() for m in _WORD.finditer(part.lower())] if len(part.lower()) == len(part) else [m.span() for m in re.finditer(r"[A-Za-z]+|[0-9]+", part)]
-            if not places or not core:
-                continue
-            own = [part[x:y].lower() for x, y in places]
-            numbers = {m.start(1) for m in _LIST.finditer(part)}
-            lists = {n for n, (x, _) in enumerate(places) if x in numbers}
-            hit = None
-            for saving, k in self.savings(core):
-                if saving < LEAST_SAVING:
-                    break
-                hit = self.confirmed(own, lists, k)
-                if hit:
-                    cover, differ, first, last = hit
-                    found.append((a + places[first][0], TEMPLATES[k][0], saving, cover, differ))
-                    todo += [(a, a + places[first][0]), (a + places[last - 1][1], b)]
-                    break
+        """(start, licence, saving, cover, differences) of what a block holds, in order; wording is read beyond its ends."""
+        a, b = self.whole(text, a, b)
+        part, found = text[a:b], []
+        places = [m.span() for m in _WORD.finditer(part.lower())] if len(part.lower()) == len(part) else [m.span() for m in re.finditer(r"[A-Za-z]+|[0-9]+", part)]
+        if not places:
+            return []
+        own = [part[x:y].lower() for x, y in places]
+        numbers = {m.start(1) for m in _LIST.finditer(part)}
+        lists = {n for n, (x, _) in enumerate(places) if x in numbers}
+        ends = {n for n, (x, y) in enumerate(zip(places, places[1:], strict=False)) if _END.search(part[x[1] : y[0]])}
+        for saving, k, lo in self.savings(part, places):
+            hit = self.confirmed(own, lists, ends, k, lo)
+            if hit:
+                cover, differ, first, last = hit
+                found.append((a + places[first][0], TEMPLATES[k][0], saving, cover, differ))
+                own[first:last] = [""] * (last - first)
         return sorted(found)
 
-    def confirmed(self, own: list[str], lists: set[int], k: int) -> tuple[float, int, int, int] | None:
-        """Cover, differences and place of the template in the words; looked for in stretches of three times its length."""
+    def confirmed(self, own: list[str], lists: set[int], ends: set[int], k: int, lo: int) -> tuple[float, int, int, int] | None:
+        """Cover, differences and place of the template in the words of a stretch, half a template more at either side."""
         n = len(self.words[k])
-        for lo in range(0, max(1, len(own) - n), 2 * n):
-            part = own[lo : lo + 3 * n + 2]
-            cover, differ, telling, first, last = self.differences(part, {x - lo for x in lists if lo <= x < lo + len(part)}, k)
-            if cover >= LEAST_COVER and not telling:
-                return cover, differ, lo + first, lo + last
-        return None
+        lo, hi = max(0, lo - n // 2), min(len(own), lo + 2 * n + 1)
+        near = lambda x: {m - lo for m in range(lo, hi) if m in x}
+        cover, differ, telling, first, last = self.differences(own[lo:hi], near(lists), near(ends), k)
+        return (cover, differ, lo + first, lo + last) if cover >= LEAST_COVER and not telling else None
 
 
 def _place(starts: list[int], k: int) -> int:
