@@ -269,6 +269,14 @@ def test_archives_round_trip(spark):
     assert op4_warc.score(df.where("false")).count() == 0
 
 
+def test_archives_go_where_spark_resolves_their_folder(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"http://h/{k}", f"page {k} " * 40) for k in range(20)], "page_id long, url string, html string")
+    index = op4_warc.write(df, str(tmp_path / "out"))
+    assert {r.file.rpartition("/")[0] for r in index.collect()} == {f"file://{tmp_path}/out"}
+    plain = index.withColumn("file", F.substring("file", 8, 1000))
+    assert sorted(op4_warc.read(plain).collect()) == sorted(op4_warc.read(index).collect()) and op4_warc.read(plain).count() == 20
+
+
 def test_reads_are_dealt_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(op4_warc, "STRETCH", 2000)
     df = spark.createDataFrame([(i, "u", f"{i} " * 100 if i % 3 else "same " * 100) for i in range(300)], "page_id long, url string, html string")

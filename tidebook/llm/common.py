@@ -49,6 +49,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and store that Spark would resolve it by, for readers and writers outside Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

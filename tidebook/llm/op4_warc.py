@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import scratch, stored
+from tidebook.llm.common import qualified, scratch, stored
 
 LEAST = 100
 ROLL, STRETCH, GAP = 256 << 20, 8 << 20, 64 << 10
@@ -93,12 +93,13 @@ def parsed(member: bytes) -> tuple:
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write archives and their index; returns the index as a stored table."""
-    folder = folder or scratch(pages.sparkSession, "warc")
+    # as Spark itself resolves it: a plain path on a cluster is one of its shared store, not of a machine's own disk
+    folder = qualified(pages.sparkSession, folder or scratch(pages.sparkSession, "warc"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, store, path = TaskContext.get(), *fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+        task, store, path = TaskContext.get(), *fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
         name, out, at, files = "", None, 0, 0
         try:
@@ -125,9 +126,12 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
 def read(index: DataFrame, select: Column | None = None) -> DataFrame:
     """The records that an index names, or the selected ones: sorted byte ranges, neighbours read at once.
 
-    The index is dealt by what its ranges hold, one task a stretch of bytes, not by its own size.
+    The index is dealt by what its ranges hold, one task a stretch of bytes, not by its own size; plain paths in it are
+    resolved as Spark resolves them. Rows leave a task once they hold a stretch of decoded bytes.
     """
     chosen = index if select is None else index.where(select)
+    root = qualified(index.sparkSession, "/")[:-1]
+    chosen = chosen.withColumn("file", F.when(F.col("file").contains(":/"), F.col("file")).otherwise(F.concat(F.lit(root), "file")))
     stretch = F.floor(F.col("offset") / STRETCH)
     tasks = chosen.select("file", stretch.alias("_s")).distinct().count()
     dealt = chosen.select("file", "offset", "length", stretch.alias("_s")).repartition(max(1, tasks), "file", "_s").sortWithinPartitions("file", "offset")
@@ -135,16 +139,24 @@ def read(index: DataFrame, select: Column | None = None) -> DataFrame:
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         handle, opened = None, ""
 
-        def fetch(run: list[tuple[str, int, int]]) -> list[tuple]:
+        def fetch(run: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
             nonlocal handle, opened
             file, first = run[0][:2]
             if file != opened:
                 if handle:
                     handle.close()
-                store, path = fs.FileSystem.from_uri(file if ":/" in file else f"file://{file}")
+                store, path = fs.FileSystem.from_uri(file)
                 handle, opened = store.open_input_file(path), file
             data = handle.read_at(run[-1][1] + run[-1][2] - first, first)
-            return [parsed(data[o - first : o - first + n]) for _, o, n in run]
+            rows, size = [], 0
+            for _, o, n in run:
+                rows.append(parsed(data[o - first : o - first + n]))
+                size += len(rows[-1][-1] or "")
+                if size >= STRETCH:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
@@ -154,11 +166,11 @@ def read(index: DataFrame, select: Column | None = None) -> DataFrame:
             run: list[tuple[str, int, int]] = []
             for x in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if run and (x[0] != run[0][0] or x[1] > run[-1][1] + run[-1][2] + GAP or x[1] + x[2] - run[0][1] > STRETCH):
-                    yield batch_of(fetch(run))
+                    yield from fetch(run)
                     run = []
                 run.append(x)
             if run:
-                yield batch_of(fetch(run))
+                yield from fetch(run)
         if handle:
             handle.close()
 
