@@ -1,6 +1,11 @@
 """Rows that the given tables hold seldom or never."""
 
+import pytest
+
+from oracle import connect, differ
 from tidebook.operators import book as b
+from tidebook.operators import frames, quality
+from tidebook.plans.catalog import QUERIES, SQL
 
 
 def test_all_finite(spark):
@@ -14,3 +19,44 @@ def test_project_features(spark):
     rows = [(1, ["a", "b"], [1.0, 2.0]), (2, ["b"], [5.0]), (3, ["a", "b"], [None, 2.0])]
     got = spark.createDataFrame(rows, "k int, n array<string>, v array<double>").select("k", b.project_features("v", "n", ["b", "c", "a"]).alias("p"))
     assert {r.k: r.p for r in got.collect()} == {1: [2.0, 0.0, 1.0], 2: [5.0, 0.0, 0.0], 3: [2.0, 0.0, 0.0]}
+
+
+@pytest.fixture(scope="module")
+def odd(sf, tmp_path_factory):
+    """The smallest tables with some prices of zero, two of them in a row."""
+    path = tmp_path_factory.mktemp("odd")
+    c = connect(sf)
+    c.execute(f"COPY (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id IN (31, 250, 251, 640, 977) THEN 0.0 ELSE value END AS value, props FROM events) TO '{path}/events.parquet'")
+    return str(path)
+
+
+ZERO_PRICES = (
+    "ewma_vol_reward", "filter_min_samples", "filter_standardizable", "filter_transformable", "fit_sample_counts", "flagship_hourly", "fwd_logret_h", "halflife_fit_score", "liquidity_concentration_k",
+    "listwise_null_drop", "log_return", "acf", "classify_features", "config_select", "proj_array_by_index", "pearson_p_df", "transform_score", "ewma_standardize", "st_breusch_pagan", "st_white", "depth_k",
+)
+
+
+@pytest.mark.parametrize("name", ZERO_PRICES)
+def test_prices_of_zero_against_sql(spark, odd, name):
+    assert differ(QUERIES[name](spark, odd), SQL[name], odd) == ([], [])
+
+
+def test_log_price(spark):
+    x = spark.createDataFrame([(1.0,), (0.0,), (-2.0,), (None,)], "p double").select(frames.log_price("p").alias("l"))
+    a, b, c, d = (r.l for r in x.collect())
+    assert (a, b, d) == (0.0, float("-inf"), None) and c != c
+
+
+def test_levels_of_one_price_keep_their_order(spark):
+    rows = [([[0.0, 5.0], [1.0, 2.0], [0.0, 7.0], [0.0, 1.0]], [[0.0, 5.0], [0.0, 7.0], [-1.0, 3.0], [0.0, 1.0]])]
+    x = spark.createDataFrame(rows, "bids array<array<double>>, asks array<array<double>>")
+    r = b.sorted_book(x).first()
+    assert [v for _, v in r.bids] == [2.0, 5.0, 7.0, 1.0] and [v for _, v in r.asks] == [3.0, 5.0, 7.0, 1.0]
+    r = b.sorted_book(x, by_volume=True).first()
+    assert [v for _, v in r.bids] == [2.0, 7.0, 5.0, 1.0] and [v for _, v in r.asks] == [3.0, 1.0, 5.0, 7.0]
+
+
+def test_all_grams_are_compared(spark):
+    rows = [(s, f"g{i}", n) for s, ns in ((0, range(40, 10, -1)), (1, range(11, 41))) for i, n in enumerate(ns)] + [(0, "x", 99), (1, "y", 99)]
+    r = quality.compare_all(spark.createDataFrame(rows, "sample int, gram string, n long")).first()
+    assert r.common == 30 and abs(r["corr"] + 1) < 1e-12

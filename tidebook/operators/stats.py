@@ -104,8 +104,13 @@ def detrended(df: DataFrame, by: list[str]) -> DataFrame:
     return x.select(*by, F.col("i").cast("double").alias("t"), (F.col("_e") * F.col("_e")).alias("e2"))
 
 
+def _defined(c: Column) -> Column:
+    """Null in place of NaN: a correlation with values that aren't finite."""
+    return F.when(~F.isnan(c), c)
+
+
 def breusch_pagan(df: DataFrame, by: list[str]) -> DataFrame:
-    x = detrended(df, by).groupBy(*by).agg(F.count("*").alias("n"), (F.count("*") * F.regr_r2("e2", "t")).alias("statistic"))
+    x = detrended(df, by).groupBy(*by).agg(F.count("*").alias("n"), (F.count("*") * _defined(F.regr_r2("e2", "t"))).alias("statistic"))
     return x.withColumn("p_value", F.expr(scalar.chi2_tail("statistic", 1)))
 
 
@@ -114,7 +119,7 @@ def white(df: DataFrame, by: list[str]) -> DataFrame:
     x = detrended(df, by).withColumn("s", F.col("t") * F.col("t"))
     x = x.groupBy(*by).agg(F.count("*").alias("n"), F.corr("e2", "t").alias("a"), F.corr("e2", "s").alias("b"), F.corr("t", "s").alias("c"))
     r2 = (F.col("a") * F.col("a") + F.col("b") * F.col("b") - 2 * F.col("a") * F.col("b") * F.col("c")) / (1 - F.col("c") * F.col("c"))
-    return x.select(*by, "n", (F.col("n") * r2).alias("statistic")).withColumn("p_value", F.expr(scalar.chi2_tail("statistic", 2)))
+    return x.select(*by, "n", (F.col("n") * _defined(r2)).alias("statistic")).withColumn("p_value", F.expr(scalar.chi2_tail("statistic", 2)))
 
 
 def runs(df: DataFrame, by: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ LEN = 40
 def positions(spark, sf):
     """event_id, symbol, day, run, chunk, episode, t, position, position_std, target; folds change every 90 hours."""
     x = frames.lagged(frames.ranked(fx.series(spark, sf), ["symbol"], ["us", "event_id"], F.col("hour"), "idx"), ["symbol"], "idx", {"later": ("mid", -1)})
-    x = x.withColumn("target", F.coalesce(F.ln("later") - F.ln("mid"), F.lit(0.0))).drop("idx", "later")
+    x = x.withColumn("target", F.coalesce(frames.log_price("later") - frames.log_price("mid"), F.lit(0.0))).drop("idx", "later")
     x = x.withColumn("position", F.sin("event_id")).withColumn("position_std", 0.1 + (F.col("event_id") % 10) / 10.0)
     x = t.episodes(x, ["symbol"], ["us", "event_id"], F.expr("hour div 24"), F.expr("hour div 90"), LEN)
     return x.withColumn("episode", F.concat_ws("-", "day", "run", "chunk"))
