@@ -95,6 +95,13 @@ def compare_top(counts: DataFrame, k: int = 20, sample: str = "sample") -> DataF
     return a.join(b, "gram").agg(F.count("*").alias("common"), (F.count("*") / k).alias("overlap"), F.coalesce(F.when(~F.isnan(corr), corr), F.lit(0.0)).alias("corr"))
 
 
+def compare_all(counts: DataFrame, sample: str = "sample") -> DataFrame:
+    """common, corr: the grams that samples 0 and 1 share, of all, and the correlation of their shares (that of their counts, as a sample's total is one factor)."""
+    a, b = (counts.where(F.col(sample) == v).select("gram", F.col("n").cast("double").alias(n)) for v, n in ((0, "a"), (1, "b")))
+    corr = F.corr("a", "b")
+    return a.join(b, "gram").agg(F.count("*").alias("common"), F.when(~F.isnan(corr), corr).alias("corr"))
+
+
 def mmd_linear(df: DataFrame, vector: str = "v", sample: str = "sample") -> DataFrame:
     """Unbiased squared MMD with the linear kernel, from sums of x and of |x|^2 only."""
     x = df.select(sample, F.posexplode(vector).alias("i", "x"))

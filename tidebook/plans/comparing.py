@@ -171,10 +171,17 @@ def set_overlap(spark, sf):
     return t.where("sample = 0").select("gram").intersect(t.where("sample = 1").select("gram")).agg(F.count("*").alias("common"))
 
 
-@query("ngram_compare", f"{NG} SELECT count(*) AS common, count(*) / 20 AS overlap, coalesce(round(CASE WHEN isfinite(corr(a.n, b.n)) THEN corr(a.n, b.n) END, 6), 0) AS corr FROM (SELECT gram, n::DOUBLE AS n FROM tk WHERE rank <= 20 AND sample = 0) a JOIN (SELECT gram, n::DOUBLE AS n FROM tk WHERE rank <= 20 AND sample = 1) b USING (gram)")
+@query(
+    "ngram_compare",
+    f"""{NG}, fq AS (SELECT sample, gram, n / sum(n) OVER (PARTITION BY sample) AS f FROM ng), al AS (SELECT count(*) AS common, round(CASE WHEN isfinite(corr(a.f, b.f)) THEN corr(a.f, b.f) END, 6) AS corr FROM (SELECT * FROM fq WHERE sample = 0) a JOIN (SELECT * FROM fq WHERE sample = 1) b USING (gram)),
+tp AS (SELECT count(*) AS top_common, count(*) / 20 AS overlap, coalesce(round(CASE WHEN isfinite(corr(a.n, b.n)) THEN corr(a.n, b.n) END, 6), 0) AS top_corr FROM (SELECT gram, n::DOUBLE AS n FROM tk WHERE rank <= 20 AND sample = 0) a JOIN (SELECT gram, n::DOUBLE AS n FROM tk WHERE rank <= 20 AND sample = 1) b USING (gram))
+SELECT common, corr, top_common, overlap, top_corr FROM al, tp""",
+)
 def ngram_compare(spark, sf):
-    """The twenty most frequent grams of either sample: how many are common, and how their counts go together."""
-    return q.compare_top(_ngrams(spark, sf), 20).withColumn("corr", F.round("corr", 6))
+    """All grams: how many both samples have and how their shares go together. The same of the twenty most frequent of either, beside it."""
+    n = tables.stored(_ngrams(spark, sf), "ngrams")
+    top = q.compare_top(n, 20).select(F.col("common").alias("top_common"), "overlap", F.round("corr", 6).alias("top_corr"))
+    return q.compare_all(n).withColumn("corr", F.round("corr", 6)).crossJoin(F.broadcast(top))  # one row each
 
 
 HIST = f"""{C}, bd AS (SELECT min(value) AS lo, max(value) AS hi FROM codes), hb AS (SELECT sample, least(floor((value - lo) / ((hi - lo) / 50)), 49)::INT AS bin, count(*) AS n FROM codes, bd GROUP BY ALL),
