@@ -1,10 +1,12 @@
 """Rows that the given tables hold seldom or never."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import connect, differ
 from tidebook.operators import book as b
-from tidebook.operators import frames, quality
+from tidebook.operators import fit, frames, quality
 from tidebook.plans.catalog import QUERIES, SQL
 
 
@@ -60,3 +62,21 @@ def test_all_grams_are_compared(spark):
     rows = [(s, f"g{i}", n) for s, ns in ((0, range(40, 10, -1)), (1, range(11, 41))) for i, n in enumerate(ns)] + [(0, "x", 99), (1, "y", 99)]
     r = quality.compare_all(spark.createDataFrame(rows, "sample int, gram string, n long")).first()
     assert r.common == 30 and abs(r["corr"] + 1) < 1e-12
+
+
+def test_grid_variances_are_the_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    data = {1: (rng.normal(1, 1, 9000), 0.0, 0.5), 2: (rng.gamma(2.0, 3.0, 500) + 1e4, -0.25, 2.0), 3: (np.array([-1.0, -2.0]), 1.0, 0.0)}
+    rows = [(k, float(x), b, y) for k, (xs, b, y) in data.items() for x in xs]
+    df = spark.createDataFrame(rows, "_id long, value double, box_cox double, yeo_johnson double").repartition(7, F.rand(1))
+    steps = [-0.25, 0.0, 0.25]
+    got = {(r._id, r._i): r for r in fit._grid_variances(df, steps).collect()}
+    assert len(got) == 9
+    for k, (x, b, y) in data.items():
+        for i, s in enumerate(steps):
+            p, lb, ly = x[x > 0], b + s, y + s
+            box = np.log(p) if lb == 0 else (p**lb - 1) / lb
+            up, low = np.abs(x) + 1, 2 - ly
+            pos, neg = (np.log(up) if e == 0 else (up**e - 1) / e for e in (ly, low))
+            assert got[k, i]._vy == pytest.approx(np.where(x >= 0, pos, -neg).var(), rel=1e-7)
+            assert got[k, i]._vb == (pytest.approx(box.var(), rel=1e-5) if len(p) else None)
