@@ -80,3 +80,9 @@ def test_grid_variances_are_the_plain_ones(spark):
             pos, neg = (np.log(up) if e == 0 else (up**e - 1) / e for e in (ly, low))
             assert got[k, i]._vy == pytest.approx(np.where(x >= 0, pos, -neg).var(), rel=1e-7)
             assert got[k, i]._vb == (pytest.approx(box.var(), rel=1e-5) if len(p) else None)
+
+
+@pytest.mark.parametrize("name", ("price_standardize", "price_clip", "bin_normalize"))
+def test_levels_are_worked_out_once(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "lambda" in x]
