@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from oracle import connect, differ
 from tidebook.operators import book as b
 from tidebook.operators import fit, frames, quality
+from tidebook.plans import streams
 from tidebook.plans.catalog import QUERIES, SQL
+from tidebook.sources import tables
 
 
 def test_all_finite(spark):
@@ -94,3 +96,18 @@ def test_values_of_the_table_that_are_not_finite(spark, sf, tmp_path, name):
     rows = f"SELECT nullif(event_id, 77) AS event_id, CASE WHEN event_id <> 55 THEN ts END AS ts, user_id, event_type, {odd} AS value, props FROM events"
     connect(sf).execute(f"COPY ({rows}) TO '{tmp_path}/events.parquet'")
     assert differ(QUERIES[name](spark, str(tmp_path)), SQL[name], str(tmp_path)) == ([], [])
+
+
+@pytest.mark.parametrize("name", ("book_state", "stream_dedup", "stream_window_counts"))
+def test_batches_of_a_stream_are_bounded(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(streams, "SLOT_ROWS", 50)  # 20 batches of 1000 events, were there no bound
+    monkeypatch.setattr(streams, "MOST_SLOTS", 2)
+    began, cut, partitions = [], tables.time_slots, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def slots(*args, **how):
+        began.extend(cut(*args, **how))
+        return began
+
+    monkeypatch.setattr(tables, "time_slots", slots)
+    assert differ(QUERIES[name](spark, sf), SQL[name], sf) == ([], [])
+    assert len(began) == 2 and spark.conf.get("spark.sql.shuffle.partitions") == partitions

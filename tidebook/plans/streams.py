@@ -51,14 +51,14 @@ def book_snapshot(spark, sf):
     return _asof(spark, sf).groupBy("symbol", "grid_us").agg(F.count_if(buy).alias("n_bids"), F.count_if(sell).alias("n_asks"), F.max(F.when(buy, F.col("price"))).alias("best_bid"), F.min(F.when(sell, F.col("price"))).alias("best_ask"))
 
 
-#: Rows of a batch.
-SLOT_ROWS = 250_000
+#: Rows of a batch, and batches at most: each has fixed costs (a query, its state's versions, a task a partition), which must not grow with the table.
+SLOT_ROWS, MOST_SLOTS = 250_000, 8
 
 
 def replayed(spark, df, build, shuffle: Callable[[str], None] | None = None):
     """What ``build`` makes of a table replayed as a stream, batch by batch of event time; all that it has written."""
     base = _folder(spark)
-    slots = tables.time_slots(df, f"{base}/in", rows=SLOT_ROWS)
+    slots = tables.time_slots(df, f"{base}/in", rows=SLOT_ROWS, most=MOST_SLOTS)
     if shuffle:
         shuffle(f"{base}/in")
     schema = []
@@ -100,7 +100,7 @@ def stream_ewma(spark, sf):
     """The scaling of ``ewma_standardize`` online: long rows arrive in time order, take their roles, and only train and warm-up rows move a key's state."""
     base = _folder(spark)
     df = fx.long(spark, sf)
-    slots = tables.time_slots(df, f"{base}/in", rows=SLOT_ROWS)
+    slots = tables.time_slots(df, f"{base}/in", rows=SLOT_ROWS, most=MOST_SLOTS)
     step = s.OnlineScaler(base, ["split_id", "feature", "symbol"], "role IN ('train', 'train_warmup')", ["us", "event_id"])
     s.replay(spark, f"{base}/in", slots, df.schema, lambda x: fx.with_roles(x).writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start())
     return spark.read.parquet(f"{base}/out/*").select("split_id", "feature", "event_id", F.round("z", 5).alias("z"))
