@@ -241,6 +241,24 @@ def test_gradient_lowers_the_loss():
     assert m.score(docs).sum() > before + 1000
 
 
+def test_every_symbol_is_trained_on_once():
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 30, n) for n in (1, 700, 3, 1, 250, 999)]
+    for lanes in (1, 7, 256):
+        training = op3_lm.Training(op3_lm.Model([(f"t{i}", 10) for i in range(30)], 300, 30, np.full(op3_lm.KINDS, 1e-4)))
+        training.fit(docs, None, lanes, lambda _: 0.001)
+        assert training.tokens == sum(map(len, docs))
+
+
+def test_network_learns_from_texts_outside_its_start(spark, monkeypatch):
+    monkeypatch.setattr(op3_lm, "START_TOKENS", 1)
+    for name, value in (("TASK_TOKENS", 20_000), ("WIDE", 8), ("RATE", 0.1)):  # more steps, and larger, for a small table
+        monkeypatch.setattr(op3_lm, name, value)
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 7} " * 20) for i in range(400)], "doc_id long, text string")
+    r = op3_lm.score(docs).where("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b").first()
+    assert r.s > 0.9 * r.b  # log10: the untrained network gives the base's probabilities
+
+
 def test_language_model_of_odd_rows(odd, none):
     assert op3_lm.score(none).count() == 0
     rows = op3_lm.score(wide(odd)).collect()

@@ -4,10 +4,11 @@ Tokens are the text's words, A-Z in lower case, and one end. Counts of all token
 id modulo 5 not 1) are exact; they give the base score and carry the network's open vocabulary. The network predicts
 one of the ``SHORTLIST`` most frequent tokens, or a kind of rare word (by its last two letters); a rare word then has
 its kind's probability times its share of the kind's smoothed counts. Output is factored: first a class of symbols of
-about equal count, then the symbol in its class. Training is truncated backpropagation over about ``TRAIN_TOKENS`` tokens
-(a documented bound; the counts, and with them the base, the shortlist and all rare words' shares, have none). They are
-windows of ``TRAIN_WINDOW`` tokens, drawn by digest from all windows of all learning texts, so that any part of any text
-is as likely, and put in the digests' order, so that neither file layout nor order of rows matters. Scoring carries the
+about equal count, then the symbol in its class. Training is truncated backpropagation over all tokens of the learning
+part, in two steps. A start is made on the driver from about ``START_TOKENS`` tokens: windows of ``START_WINDOW`` tokens,
+drawn by digest from all windows of all learning texts. From there tasks of about ``TASK_TOKENS`` tokens each train a copy
+of their own over all learning texts, dealt and ordered by digest, and the weights' mean, weighted by tokens and taken in
+Spark, is the network. So neither file layout nor order of rows matters, as long as the count of tasks stays. Scoring carries the
 state through a whole document, window by window.
 
 Scoring packs documents into lanes that step together. The most frequent ``KNOWN`` tokens travel with the model; the
@@ -22,10 +23,14 @@ rows; columns other than doc_id and text are ignored, whatever their names.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
+from copy import copy
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +39,9 @@ from tidebook.llm.common import in_fold, md5_int, most_frequent, stored, words
 END = ""  # no word is empty
 SHORTLIST, KINDS, CLASSES, HIDDEN = 2000, 96, 48, 32
 KNOWN, COUNT_WORDS = 200_000, 200_000
-TRAIN_TOKENS, TRAIN_WINDOW = 600_000, 256
+START_TOKENS, START_WINDOW = 600_000, 256
+#: Of the training over all texts: tokens of a task and of a block in memory, lanes of a block, numbers of a row of weights.
+TASK_TOKENS, BLOCK, WIDE, ROW = 2_000_000, 1 << 17, 256, 4096
 LANES, WINDOW, BPTT, RATE = 256, 64, 16, 0.01
 LN10 = np.log(10)
 
@@ -143,58 +150,11 @@ class Model:
         return out, dh
 
     def train(self, docs: list[np.ndarray], starts: list[bool] | None = None) -> None:
-        """Adam over windows of BPTT steps; the state goes on from window to window, its slope doesn't.
+        """Adam over windows of BPTT steps, with a rate that falls to a tenth; the state goes on from window to window, its slope doesn't.
 
         starts: whether each is a document from its start; the first symbol of another is read, not predicted.
         """
-        marks = [-1 if x else -2 for x in starts] if starts is not None else [-1] * len(docs)
-        stream = np.concatenate([np.concatenate([[m], d]) for m, d in zip(marks, docs, strict=True)]) if docs else np.zeros(0, int)
-        lanes = min(64, max(1, len(stream) // (4 * BPTT)))
-        t = len(stream) // lanes
-        if t <= BPTT:
-            return
-        s = stream[: lanes * t].reshape(lanes, t)
-        start, k = len(self.cls), HIDDEN
-        m, v = ({n: np.zeros_like(a) for n, a in self.p.items()} for _ in range(2))
-        h, turn, last = np.zeros((lanes, k), np.float32), 0, (t - 1) // BPTT
-        for lo in range(0, t - 1, BPTT):
-            part = s[:, lo : lo + BPTT + 1]
-            steps = part.shape[1] - 1
-            grads, kept, states = {n: np.zeros_like(a) for n, a in self.p.items()}, [], []
-            for j in range(steps):
-                x = part[:, j]
-                h = np.where((x < 0)[:, None], 0, h)
-                before = h
-                x = np.where(x < 0, start, x)
-                h, *gates = self.step(x, h)
-                kept.append((x, before, *gates))
-                states.append(h)
-            goal = part[:, 1:].T
-            real = (goal >= 0) & (part[:, :-1].T != -2)
-            dh_out = np.zeros((steps, lanes, k), np.float32)
-            _, slope = self.log_probs(np.stack(states)[real], goal[real], grads)
-            dh_out[real] = slope / real.sum()
-            for n in grads:
-                grads[n] /= real.sum()
-            dh = np.zeros_like(h)
-            for j in range(steps - 1, -1, -1):
-                x, before, r, z, n, gn = kept[j]
-                dh = dh + dh_out[j]
-                dn = dh * (1 - z) * (1 - n * n)
-                da = np.concatenate([dn * gn * r * (1 - r), dh * (before - n) * z * (1 - z), dn], 1)
-                dg = np.concatenate([da[:, : 2 * k], dn * r], 1)
-                np.add.at(grads["x"], x, da)
-                grads["b"] += da.sum(0)
-                grads["u"] += before.T @ dg
-                dh = np.where((x == start)[:, None], 0, dh * z + dg @ self.p["u"].T)
-            turn += 1
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            shrink, rate = min(1.0, 1 / max(norm, 1e-9)), RATE * (1 - 0.9 * turn / (last + 1))
-            for n, g in grads.items():
-                g = g * shrink
-                m[n] += 0.1 * (g - m[n])
-                v[n] += 0.01 * (g * g - v[n])
-                self.p[n] -= rate * (m[n] / (1 - 0.9**turn)) / (np.sqrt(v[n] / (1 - 0.99**turn)) + 1e-7)
+        Training(self).fit(docs, starts, 64, lambda done: RATE * (1 - 0.9 * done))
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each document's symbols. Lanes hold documents in a row; a lane's state starts anew with each."""
@@ -235,8 +195,76 @@ class Model:
         return out / LN10
 
 
+class Training:
+    """Adam's moments, which go on from one call of fit to the next."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.turn, self.tokens = model, 0, 0
+        self.m, self.v = ({n: np.zeros_like(a) for n, a in model.p.items()} for _ in range(2))
+
+    def fit(self, docs: list[np.ndarray], starts: list[bool] | None, lanes: int, rate: Callable[[float], float]) -> None:
+        """Every symbol once; lanes (at most so many) are stretches of all documents in a row, each with a state of its own. rate: by the part that is done."""
+        model, k, start = self.model, HIDDEN, len(self.model.cls)
+        marks = [-1 if x else -2 for x in starts] if starts is not None else [-1] * len(docs)
+        stream = np.concatenate([np.concatenate([[m], d]) for m, d in zip(marks, docs, strict=True)]) if docs else np.zeros(0, int)
+        if not len(stream):
+            return
+        lanes = min(lanes, max(1, len(stream) // (4 * BPTT)))
+        t = -(-len(stream) // lanes)
+        # a lane reads the symbol that the next one begins with, so that each is predicted once; what fills the last is not
+        stream = np.concatenate([stream, np.full(lanes * t + 1 - len(stream), -1)])
+        s = np.concatenate([stream[:-1].reshape(lanes, t), stream[t::t, None]], 1)
+        h = np.zeros((lanes, k), np.float32)
+        for lo in range(0, t, BPTT):
+            part = s[:, lo : lo + BPTT + 1]
+            steps = part.shape[1] - 1
+            grads, kept, states = {n: np.zeros_like(a) for n, a in model.p.items()}, [], []
+            for j in range(steps):
+                x = part[:, j]
+                h = np.where((x < 0)[:, None], np.float32(0), h)
+                before = h
+                x = np.where(x < 0, start, x)
+                h, *gates = model.step(x, h)
+                kept.append((x, before, *gates))
+                states.append(h)
+            goal = part[:, 1:].T
+            real = (goal >= 0) & (part[:, :-1].T != -2)
+            size = int(real.sum())
+            if not size:
+                continue
+            dh_out = np.zeros((steps, lanes, k), np.float32)
+            dh_out[real] = model.log_probs(np.stack(states)[real], goal[real], grads)[1]
+            dh, slopes = np.zeros_like(h), []
+            u = model.p["u"].T
+            for j in range(steps - 1, -1, -1):
+                x, before, r, z, n, gn = kept[j]
+                dh = dh + dh_out[j]
+                dn = dh * (1 - z) * (1 - n * n)
+                da = np.concatenate([dn * gn * r * (1 - r), dh * (before - n) * z * (1 - z), dn], 1)
+                dg = np.concatenate([da[:, : 2 * k], dn * r], 1)
+                slopes.append((da, dg))
+                dh = np.where((x == start)[:, None], np.float32(0), dh * z + dg @ u)
+            da, dg = (np.concatenate(y[::-1]) for y in zip(*slopes, strict=True))
+            x = np.concatenate([y[0] for y in kept])
+            order = np.argsort(x, kind="stable")
+            first = np.flatnonzero(np.diff(x[order], prepend=-1))
+            grads["x"][x[order[first]]] = np.add.reduceat(da[order], first, axis=0)
+            grads["b"] += da.sum(0)
+            grads["u"] += np.concatenate([y[1] for y in kept]).T @ dg
+            self.turn += 1
+            self.tokens += size
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / size
+            shrink, pace = min(1.0, 1 / max(norm, 1e-9)) / size, rate(lo / t)
+            for n, g in grads.items():
+                g *= np.float32(shrink)
+                m, v = self.m[n], self.v[n]
+                m += np.float32(0.1) * (g - m)
+                v += np.float32(0.01) * (g * g - v)
+                model.p[n] -= np.float32(pace / (1 - 0.9**self.turn)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.turn))) + np.float32(1e-7))
+
+
 def learned(docs: DataFrame, counts: DataFrame) -> Model:
-    """The model, from stored counts and a bounded sample of learning documents."""
+    """The model, from stored counts and all learning documents."""
     r = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = r[0] or 0, r[1]
     top = most_frequent(counts, KNOWN)
@@ -256,7 +284,7 @@ def learned(docs: DataFrame, counts: DataFrame) -> Model:
     model = Model(top, total, distinct, mass / (total + 0.5 * (distinct + 1)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     # a window is drawn if its text is, which needs no reading, and then itself
-    share = min(1.0, TRAIN_TOKENS / max(1, total))
+    share = min(1.0, START_TOKENS / max(1, total))
     texts, own = min(1.0, 8 * share), share / min(1.0, 8 * share)
     some = docs.where(~in_fold(F.col("doc_id"), 5)).select("text", md5_int(12, F.lit("lm"), F.md5("text")).alias("_drawn"))
     some = some.where(F.col("_drawn") < int(texts * 16**12)).dropDuplicates(["_drawn"])
@@ -266,18 +294,52 @@ def learned(docs: DataFrame, counts: DataFrame) -> Model:
             drawn, at, syms = [], [], []
             for t, d in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 toks = tokens(t.as_py())
-                for lo in range(0, len(toks), TRAIN_WINDOW):
+                for lo in range(0, len(toks), START_WINDOW):
                     if (crc32(f"{d}|{lo}".encode()) + 0.5) / 2**32 < own:
                         drawn.append(d)
                         at.append(lo)
-                        syms.append(symbols(shared.value, toks[max(0, lo - 1) : lo + TRAIN_WINDOW])[0])
+                        syms.append(symbols(shared.value, toks[max(0, lo - 1) : lo + START_WINDOW])[0])
             yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.int64()), pa.array(at, pa.int64()), pa.array(syms, pa.list_(pa.int32()))], names=["d", "at", "s"])
 
     got = sorted(some.mapInArrow(read, "d long, at long, s array<int>").collect(), key=lambda r: (crc32(f"{r.d}|{r['at']}".encode()), r.d, r["at"]))
     model.train([np.array(r.s) for r in got], [r["at"] == 0 for r in got])
+    if total:
+        model.p = trained_on_all(docs, model)
     return model
 
 
+def trained_on_all(docs: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """Weights after every learning text: the mean of those of tasks that each train a copy of the model on their share of the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = sorted(model.p)
+
+    def run(batches):
+        own = copy(shared.value)
+        own.p = {n: a.copy() for n, a in own.p.items()}
+        training, block, size = Training(own), [], 0
+        for batch in batches:
+            for t in batch.column(0):
+                block.append(symbols(own, tokens(t.as_py()))[0])
+                size += len(block[-1])
+                if size > BLOCK:
+                    training.fit(block, None, WIDE, lambda _: RATE / 10)
+                    block, size = [], 0
+        training.fit(block, None, WIDE, lambda _: RATE / 10)
+        if training.tokens:
+            flat = np.concatenate([own.p[n].ravel() for n in names]).astype(float)
+            rows = [flat[lo : lo + ROW] for lo in range(0, len(flat), ROW)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([float(training.tokens)] * len(rows)), pa.array(rows, pa.list_(pa.float64()))], names=["k", "n", "w"])
+
+    part = docs.where(~in_fold(F.col("doc_id"), 5)).select("text", md5_int(12, F.lit("all"), F.col("doc_id"), F.md5("text")).alias("_dealt"))
+    part = part.repartition(max(1, -(-model.total // TASK_TOKENS)), "_dealt").sortWithinPartitions("_dealt")
+    rows = part.select("text").mapInArrow(run, "k int, n double, w array<double>")
+    mean = rows.groupBy("k").agg(vector_to_array(Summarizer.mean(array_to_vector("w"), F.col("n"))).alias("w")).collect()  # as many numbers as the model has weights
+    flat, out = np.concatenate([r.w for r in sorted(mean, key=lambda r: r.k)]).astype(np.float32), {}
+    for n in names:
+        out[n], flat = flat[: model.p[n].size].reshape(model.p[n].shape), flat[model.p[n].size :]
+    return out
+
+
 def symbols(model: Model, toks: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """A document's symbols, its tokens' places among the known ones (-1: not there), and the others."""
     get = model.index.get
