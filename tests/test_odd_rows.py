@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import connect, differ
+from tidebook.llm import op9_quality
+from tidebook.llm.common import small_batches
 from tidebook.operators import book as b
 from tidebook.operators import fit, frames, quality
 from tidebook.plans import streams
@@ -111,3 +113,14 @@ def test_batches_of_a_stream_are_bounded(spark, sf, monkeypatch, name):
     monkeypatch.setattr(tables, "time_slots", slots)
     assert differ(QUERIES[name](spark, sf), SQL[name], sf) == ([], [])
     assert len(began) == 2 and spark.conf.get("spark.sql.shuffle.partitions") == partitions
+
+
+def test_texts_go_to_python_once(spark):
+    docs = spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string")
+    sent = op9_quality.measure(docs, docs.columns)._jdf.queryExecution().analyzed().children().head().output()
+    assert sent.size() == 3
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    with small_batches(spark):
+        assert int(spark.conf.get(name)) < int(own)
+    assert spark.conf.get(name) == own

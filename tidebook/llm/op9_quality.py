@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import BLANKS, map_rows, numbered, renamed, stored, words
+from tidebook.llm.common import BLANKS, map_rows, numbered, renamed, small_batches, stored, words
 
 VOCABULARY, BYTE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SYMBOLS = "#*$%&|<>"
@@ -31,7 +31,7 @@ MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 MIN_DOCS = 50
 #: Half-widths of the bands: in interquartile ranges, and at least this part of the median.
 SPREAD, CPT_PART, ENTROPY_PART, FALLBACK_LEAST = 5.0, 0.12, 0.2, 0.05
-CACHE_WORDS, CHUNK_DOCS, CHUNK_CHARS = 200_000, 64, 400_000
+CACHE_WORDS, CHUNK_DOCS, CHUNK_CHARS = 100_000, 64, 400_000
 #: Up to so many rows of bands are broadcast; more are joined, where Spark splits large languages.
 BROADCAST_BANDS = 20_000
 METRICS = (
@@ -59,7 +59,7 @@ class Fertility:
     def forget(self) -> None:
         self.ids: dict[str, int] = {}
         self.start, self.size, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int32), 0
-        self.byte_size, self.letters = np.zeros(1, np.int64), np.zeros((1, len(SCRIPTS)), np.int64)
+        self.byte_size, self.letters = np.zeros(1, np.int64), np.zeros((1, len(SCRIPTS)), np.int32)
 
     def learn(self, fresh: list[str]) -> None:
         pieces = self.sp.encode(fresh, num_threads=1)
@@ -67,7 +67,7 @@ class Fertility:
         flat = np.fromiter((p for x in pieces for p in x), np.int32, int(sizes.sum()))
         self.ids.update(zip(fresh, range(n, n + len(fresh)), strict=True))
         more = np.array([len(self.bytes.encode_ordinary(" " + w)) for w in fresh], np.int64)
-        by_script = np.array([letters(w) for w in fresh], np.int64)
+        by_script = np.array([letters(w) for w in fresh], np.int32)
         for name, new, used in (("start", self.used + np.cumsum(sizes) - sizes, n), ("size", sizes, n), ("byte_size", more, n), ("letters", by_script, n), ("flat", flat, self.used)):
             old = getattr(self, name)
             if used + len(new) > len(old):
@@ -153,22 +153,23 @@ def repeat_words(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.bincount(doc, marked, len(n)).astype(np.int64)
 
 
-def measure(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, byte_vocabulary: str = BYTE_VOCABULARY) -> DataFrame:
-    """The columns in ``keep`` with every text's figures. Only the driver reads the vocabulary files (1.3 MB)."""
+def measure(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, byte_vocabulary: str = BYTE_VOCABULARY, text: str = "text") -> DataFrame:
+    """The columns in ``keep`` with every text's figures; the text column goes to Python once, also if it is kept. Only the driver reads the vocabulary files (1.3 MB)."""
     files = []
     for path in (vocabulary, byte_vocabulary):
         with open(path, "rb") as f:
             files.append(f.read())
     shared = docs.sparkSession.sparkContext.broadcast(files)
+    sent = keep if text in keep else [*keep, text]
+    at = sent.index(text)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def start():
         fertility = Fertility(*shared.value)
 
         def step(batch: pa.RecordBatch) -> dict:
-            text = batch.column(batch.schema.get_field_index("_text"))
             parts, chunk, chars = [], [], 0
-            for x in text:
+            for x in batch.column(at):
                 chunk.append(x.as_py() or "")
                 chars += len(chunk[-1])
                 if len(chunk) == CHUNK_DOCS or chars > CHUNK_CHARS:
@@ -180,7 +181,7 @@ def measure(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, byte
 
         return step
 
-    return map_rows(docs.select(*keep, F.col("text").alias("_text")), f"{schema}, {METRICS}", start)
+    return map_rows(docs.select(*sent), f"{schema}, {METRICS}", start)
 
 
 def base_failed() -> Column:
@@ -232,11 +233,17 @@ def judged(measured: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, vocabulary: str = VOCABULARY, byte_vocabulary: str = BYTE_VOCABULARY) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept and the fertility figures."""
-    x = judged(stored(measure(docs, ["doc_id", "lang"], vocabulary, byte_vocabulary), "op9"))
+    with small_batches(docs.sparkSession):
+        measured = stored(measure(docs, ["doc_id", "lang"], vocabulary, byte_vocabulary), "op9")
+    x = judged(measured)
     return x.select("doc_id", *NAMES[:5], "base_failed", "kept", *NAMES[5:])
 
 
 def keep_good(docs: DataFrame, vocabulary: str = VOCABULARY, byte_vocabulary: str = BYTE_VOCABULARY) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    x = docs.select(*numbered(docs), "text", "lang")
-    return renamed(judged(stored(measure(x, [*x.columns[: len(docs.columns)], "lang"], vocabulary, byte_vocabulary), "op9")).where("kept"), docs)
+    own = numbered(docs)
+    x = docs.select(*own, "lang")
+    text = next(f"_own_{i}" for i, c in enumerate(docs.columns) if c.lower() == "text")
+    with small_batches(docs.sparkSession):
+        measured = stored(measure(x, x.columns, vocabulary, byte_vocabulary, text), "op9")
+    return renamed(judged(measured).where("kept"), docs)
