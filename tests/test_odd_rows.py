@@ -1,5 +1,7 @@
 """Rows that the given tables hold seldom or never."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +126,18 @@ def test_texts_go_to_python_once(spark):
     with small_batches(spark):
         assert int(spark.conf.get(name)) < int(own)
     assert spark.conf.get(name) == own
+
+
+def test_bins_are_totalled_in_batches(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [[0.0, 1.0], [-0.0, 2.0], [0.7, 4.0], [-9.0, 8.0], [9.0, 1.0], [0.7, 0.5]]), (2, [[nan, 1.0], [None, 1.0], [inf, 1.0], [0.1, 0.0], [0.1, None], [0.1, -1.0]]), (3, []), (4, None), (5, [[-0.7, 3.0]])]
+    df = spark.createDataFrame(rows, "id int, p array<array<double>>")
+    edges, want = b.log_bin_edges(20, 0.5, 4.0), Counter()
+    for k, levels in rows:
+        for p, v in levels or []:
+            if p is not None and abs(p) < inf and v and v > 0:
+                want[k, min(sum(e <= p for e in edges) - 1, len(edges) - 3)] += v
+    got = b.log_bins(df.coalesce(1), "p", ["id"], 20, 0.5, 4.0)
+    assert {(r.id, r.bin): r.volume for r in got.collect()} == want
+    assert {r.id: r.binned is None for r in b.with_bins(df, "p", 20, 0.5, 4.0).collect()} == {1: False, 2: True, 3: True, 4: True, 5: False}
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
