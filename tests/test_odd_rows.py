@@ -10,7 +10,7 @@ from oracle import connect, differ
 from tidebook.llm import op9_quality
 from tidebook.llm.common import small_batches
 from tidebook.operators import book as b
-from tidebook.operators import fit, frames, quality
+from tidebook.operators import fit, frames, quality, stats
 from tidebook.plans import streams
 from tidebook.plans.catalog import QUERIES, SQL
 from tidebook.sources import tables
@@ -141,3 +141,21 @@ def test_bins_are_totalled_in_batches(spark):
     assert {(r.id, r.bin): r.volume for r in got.collect()} == want
     assert {r.id: r.binned is None for r in b.with_bins(df, "p", 20, 0.5, 4.0).collect()} == {1: False, 2: True, 3: True, 4: True, 5: False}
     assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kpss_meets_a_series_once(spark):
+    rng = np.random.default_rng(5)
+    data = {0: rng.normal(size=300), 1: np.cumsum(rng.normal(size=300)), 2: np.ones(40), 3: rng.normal(size=19)}
+    df = spark.createDataFrame([(k, i + 1, float(v)) for k, x in data.items() for i, v in enumerate(x)], "sid int, i int, value double").repartition(6, F.rand(2))
+    out = stats.kpss(df, ["sid"])
+    got = {r.sid: r for r in out.collect()}
+    assert set(got) == {0, 1}
+    for k in got:
+        n, d = 300, data[k] - data[k].mean()
+        c = [d[j:] @ d[: n - j] for j in range(n)]
+        s0, s1 = c[0] / n + sum(c[j] for j in (1, 2, 3)) / (n / 2), sum(j * c[j] for j in (1, 2, 3)) / (n / 2)
+        q = min(int(1.1447 * np.cbrt((s1 / s0) ** 2) * np.cbrt(n)), n - 1)
+        want = (np.cumsum(d) ** 2).sum() / n**2 / ((c[0] + 2 * sum((1 - j / (q + 1)) * c[j] for j in range(1, q + 1))) / n)
+        assert got[k].n == n and got[k].statistic == pytest.approx(want, rel=1e-9)
+    plan = stats.kpss(df.coalesce(1), ["sid"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan

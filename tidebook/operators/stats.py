@@ -170,31 +170,42 @@ def kpss_p(x: str) -> str:
     return out + f" ELSE {KPSS[-1][1]} END"
 
 
+def kpss_of(v: np.ndarray) -> float | None:
+    """The statistic of one series; None for fewer than 20 values or without spread."""
+    n = len(v)
+    if n < 20:
+        return None
+    d = v - v.mean()
+    c0 = float(d @ d)
+    if not c0 < math.inf:
+        return math.nan
+    if c0 == 0:
+        return None
+    c = [float(d[k:] @ d[:-k]) for k in range(1, math.floor(n ** (2 / 9)) + 1)]
+    s0, s1 = c0 / n + sum(x / (n / 2) for x in c), sum(k * x / (n / 2) for k, x in enumerate(c, 1))
+    q = int(min(math.floor(1.1447 * np.cbrt((s1 / s0) ** 2) * np.cbrt(n)), n - 1)) if s0 else 0
+    long_run = sum((1 - k / (q + 1)) * float(d[k:] @ d[:-k]) for k in range(1, q + 1))
+    s = np.cumsum(d)
+    return float(s @ s) / (n * n) / ((c0 + 2 * long_run) / n)
+
+
 def kpss(df: DataFrame, by: list[str]) -> DataFrame:
     """Level stationarity; bandwidth by the data's own autocovariances; n of 20 or more and some spread.
 
-    Two passes: the first few autocovariances give each series its bandwidth, the largest of them says how far the second looks ahead.
+    One exchange: a series' values meet in one row, in order, and rows are worked out in numpy, batch by batch.
     """
-    part, w = Window.partitionBy(*by), window(by)
-    few = max(1, math.floor(longest(df, by) ** (2 / 9)))
-    x = df.withColumn("_d", F.col("value") - F.avg("value").over(part))
-    near = x.withColumn("_s", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    near = near.select(*by, "_d", "_s", *[F.lead("_d", k).over(w).alias(f"_l{k}") for k in range(1, few + 1)])
-    g = near.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("ss"), F.sum(F.col("_d") * F.col("_d")).alias("c0"), F.array(*[F.coalesce(F.sum(F.col("_d") * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, few + 1)]).alias("c"))
-    g = g.where("n >= 20 AND c0 > 0").withColumn("q", F.floor(F.pow("n", F.lit(2.0 / 9))).cast("int"))
-    over = lambda f: F.aggregate(F.sequence(F.lit(1), F.col("q")), F.lit(0.0), f)
-    half = F.col("n") / 2
-    s0 = F.col("c0") / F.col("n") + over(lambda a, k: a + F.element_at("c", k) / half)
-    s1 = over(lambda a, k: a + k * F.element_at("c", k) / half)
-    r = s1 / s0
-    g = g.withColumn("q", F.least(F.floor(1.1447 * F.cbrt(r * r) * F.cbrt("n")), F.col("n") - 1).cast("int")).select(*by, "n", "ss", "c0", "q")
-    most = g.agg(F.max("q")).first()[0] or 1
-    ahead = F.collect_list("_d").over(w.rowsBetween(1, max(1, most)))
-    y = x.withColumn("_ahead", ahead).join(g.select(*by, "q"), by)
-    weighted = F.aggregate(F.transform(F.slice("_ahead", F.lit(1), F.col("q")), lambda v, k: v * (1 - (k + 1) / (F.col("q") + 1.0))), F.lit(0.0), lambda a, v: a + v)
-    long_run = y.groupBy(*by).agg(F.sum(F.col("_d") * weighted).alias("_long"))
-    g = g.join(long_run, by).select(*by, "n", (F.col("ss") / (F.col("n") * F.col("n")) / ((F.col("c0") + 2 * F.col("_long")) / F.col("n"))).alias("statistic"))
-    return g.withColumn("p_value", F.expr(kpss_p("statistic")))
+    x = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("_s")).select(*by, F.col("_s.value").alias("_v"))
+    schema = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in by) + ", n long, statistic double"
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column(len(by))
+            flat, at = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy() - v.offsets[0].as_py()
+            z = pa.array([kpss_of(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.float64())
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array(np.diff(at), pa.int64()), z], names=[*by, "n", "statistic"])
+            yield out.filter(z.is_valid())
+
+    return x.mapInArrow(run, schema).withColumn("p_value", F.expr(kpss_p("statistic")))
 
 
 def anderson(df: DataFrame, by: list[str]) -> DataFrame:
