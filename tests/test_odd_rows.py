@@ -159,3 +159,12 @@ def test_kpss_meets_a_series_once(spark):
         assert got[k].n == n and got[k].statistic == pytest.approx(want, rel=1e-9)
     plan = stats.kpss(df.coalesce(1), ["sid"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_codeword_sums_leave_tasks_added_up(spark):
+    rows = [(0, 1, [0.0, 1.0]), (0, 2, [0.0, 3.0]), (0, 3, [9.0, None]), (0, 4, [8.0, 8.0]), (1, 5, [1.0, 1.0]), (None, 6, [1.0, 1.0]), (0, 7, None), (2, 8, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "split_id int, vec_id long, v array<double>").coalesce(1)
+    book = spark.createDataFrame([(0, 0, [0.0, 2.0]), (0, 1, [9.0, 9.0]), (1, 0, [5.0, 5.0])], "split_id int, code int, e array<double>")
+    got = {(r.split_id, r.code, r.i): (r.s, r.n) for r in quality.code_sums(df, book, ["split_id"]).collect()}
+    # a vector that lacks a component goes to the lowest code and counts where it has values
+    assert got == {(0, 0, 0): (9.0, 3), (0, 0, 1): (4.0, 2), (0, 1, 0): (8.0, 1), (0, 1, 1): (8.0, 1), (1, 0, 0): (1.0, 1), (1, 0, 1): (1.0, 1)}

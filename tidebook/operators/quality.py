@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 EPS = 1e-10
 
@@ -233,17 +234,20 @@ def _checked(book: DataFrame, most: int) -> DataFrame:
 def fit_codes_by(df: DataFrame, by: list[str], k: int, keep: Callable[[DataFrame, str], DataFrame], rounds: int = 10, key: str = "vec_id", vector: str = "v", most: int = 8_000_000) -> DataFrame:
     """by, code, e: a k-means codebook for every key, all keys in one pass a round.
 
-    Each key starts from the k rows whose key column has the least digests. In a round a row joins its key's codewords,
-    which are broadcast (``most`` numbers at most, 64 MB), takes the nearest (the lowest on ties), and tasks add up the
-    rows of each codeword; a codeword without rows stays. It ends when no codeword moves, or after ``rounds``.
+    Each key starts from the k rows whose key column has the least digests. In a round a task finds the nearest of its
+    rows' codewords (the lowest on ties) in numpy and adds up the rows of each, so that a task sends one row a codeword
+    and component; the codebooks (``most`` numbers at most, 64 MB) go to all tasks. A codeword without rows stays. It
+    ends when no codeword moves, or after ``rounds``.
     """
     digest = F.md5(F.col(key).cast("string"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(digest, key))
-    start = df.select(*by, key, vector).withColumn("code", rank - 1).where(F.col("code") < k)
+    # each round reads them again, in as many tasks as the session has partitions
+    df = keep(df.select(*by, key, vector).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, key), "vectors")
+    start = df.withColumn("code", rank).where(F.col("code") <= k).withColumn("code", F.col("code") - 1)
     book = keep(start.select(*by, "code", F.col(vector).alias("e")), "codes")
     for _ in range(rounds):
-        x = nearest(df.select(*by, vector), book, by, vector, most).select(*by, "code", F.posexplode(vector).alias("i", "x"))
-        sums = x.groupBy(*by, "code", "i").agg(F.avg("x").alias("m")).groupBy(*by, "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("_new"))
+        sums = code_sums(df, book, by, vector, most).groupBy(*by, "code", "i").agg((F.try_divide(F.sum("s"), F.sum("n"))).alias("m"))
+        sums = sums.groupBy(*by, "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("_new"))
         moved = keep(book.join(sums, [*by, "code"], "left").select(*by, "code", F.coalesce("_new", "e").alias("e"), F.coalesce(F.col("_new") != F.col("e"), F.lit(False)).alias("_moved")), "codes")
         book = moved.drop("_moved")
         if not moved.where("_moved").limit(1).count():
@@ -251,6 +255,59 @@ def fit_codes_by(df: DataFrame, by: list[str], k: int, keep: Callable[[DataFrame
     return book
 
 
+def code_sums(df: DataFrame, book: DataFrame, by: list[str], vector: str = "v", most: int = 8_000_000) -> DataFrame:
+    """by, code, i, s, n: of each codeword's rows, the sum and number of the values of component i; one row of each from a task."""
+    _checked(book, most)
+    held: dict[tuple, list] = {}
+    for r in book.select(*by, "code", "e").collect():
+        held.setdefault(tuple(r[c] for c in by), []).append((r.code, r.e))
+    # of each key: its codes, and their words as rows
+    books = {}
+    for k, own in held.items():
+        own.sort(key=lambda r: r[0])
+        words = np.full((len(own), max(len(e) for _, e in own)), np.nan)
+        for row, (_, e) in zip(words, own, strict=True):
+            row[: len(e)] = e
+        if None not in k:
+            books[k] = [c for c, _ in own], words
+    shared = df.sparkSession.sparkContext.broadcast(books)
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", code int, i int, s double, n long"
+    types = [df.schema[c].dataType for c in by]
+
+    def run(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            rows: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(by))), strict=True)):
+                rows.setdefault(key, []).append(at)
+            for key in rows.keys() & shared.value.keys():
+                codes, words = shared.value[key]
+                own = batch.column(len(by)).take(pa.array(rows[key]))
+                flat, size = own.flatten(), own.value_lengths().to_numpy()
+                width = max(words.shape[1], int(size.max()))
+                # a vector that lacks a component is near none: it goes to the lowest code, and counts where it has values
+                v, has = np.full((len(size), width), np.nan), np.zeros((len(size), width), bool)
+                inside = np.arange(width) < size[:, None]
+                v[inside], has[inside] = flat.to_numpy(zero_copy_only=False), flat.is_valid().to_numpy(zero_copy_only=False)
+                words = np.pad(words, ((0, 0), (0, width - words.shape[1])), constant_values=np.nan)
+                step = max(1, (1 << 21) // words.size)
+                for lo in range(0, len(v), step):
+                    some, given = v[lo : lo + step], has[lo : lo + step]
+                    far = ((some[:, None, :] - words[None]) ** 2).sum(2)
+                    code = np.where(np.isnan(far), np.inf, far).argmin(1)
+                    for c in np.unique(code):
+                        hit = code == c
+                        add = np.stack([np.where(given[hit], some[hit], 0.0).sum(0), given[hit].sum(0)])
+                        old = total.get((*key, codes[c]), np.zeros((2, 0)))
+                        total[(*key, codes[c])] = add + np.pad(old, ((0, 0), (0, width - old.shape[1]))) if old.shape[1] <= width else old + np.pad(add, ((0, 0), (0, old.shape[1] - width)))
+        keys = [(*k, i, s, int(n)) for k, both in total.items() for i, (s, n) in enumerate(both.T.tolist())]
+        columns = list(zip(*keys, strict=True)) if keys else [()] * (len(by) + 4)
+        kinds = [*(to_arrow_type(t) for t in types), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*by, "code", "i", "s", "n"])
+
+    return df.where(F.size(vector) > 0).select(*by, F.col(vector).cast("array<double>")).mapInArrow(run, schema)
+
+
 def nearest(df: DataFrame, book: DataFrame, by: list[str], vector: str = "v", most: int = 8_000_000) -> DataFrame:
     """The rows with the code of the nearest codeword of their key, the lowest on ties, and its squared distance."""
     books = book.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("code", "e"))).alias("_book"))
