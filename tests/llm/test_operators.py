@@ -250,6 +250,20 @@ def test_every_symbol_is_trained_on_once():
         assert training.tokens == sum(map(len, docs))
 
 
+def test_tokens_in_bytes_are_those_of_the_text():
+    for t in ("A b\x1c C d\x85 ÉE\r\n\x0b\x0cx  ", "", " ", "\U0001f600Z z\t"):
+        assert [w.decode() for w in op3_lm.byte_tokens(t.encode())] == op3_lm.tokens(t)
+    assert op3_lm.byte_tokens(None) == [b""]
+
+
+def test_extreme_scores_keep_their_probabilities():
+    for e in ([[500.0, 500.0, -500.0]], [[-500.0, -501.0, -502.0]], [[1.0, 2.0, 3.0]]):
+        e = np.array(e, np.float32)
+        want = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        q, total = op3_lm.exp_sums(e)
+        assert np.allclose(q / total, want, atol=1e-6)
+
+
 def test_network_learns_from_texts_outside_its_start(spark, monkeypatch):
     monkeypatch.setattr(op3_lm, "START_TOKENS", 1)
     for name, value in (("TASK_TOKENS", 20_000), ("WIDE", 8), ("RATE", 0.1)):  # more steps, and larger, for a small table

@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 from copy import copy
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -41,8 +42,8 @@ SHORTLIST, KINDS, CLASSES, HIDDEN = 2000, 96, 48, 32
 KNOWN, COUNT_WORDS = 200_000, 200_000
 START_TOKENS, START_WINDOW = 600_000, 256
 #: Of the training over all texts: tokens of a task and of a block in memory, lanes of a block, numbers of a row of weights.
-TASK_TOKENS, BLOCK, WIDE, ROW = 2_000_000, 1 << 17, 256, 4096
-LANES, WINDOW, BPTT, RATE = 256, 64, 16, 0.01
+TASK_TOKENS, BLOCK, WIDE, ROW = 2_000_000, 1 << 17, 1024, 4096
+LANES, WINDOW, BPTT, RATE = 512, 32, 16, 0.01
 LN10 = np.log(10)
 
 
@@ -51,6 +52,11 @@ def tokens(text: str | None) -> list[str]:
     return [*words((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")), END]
 
 
+def byte_tokens(text: bytes | None) -> list[bytes]:
+    """The same tokens in UTF-8: bytes are lowered in A-Z only, and split at the six blanks only."""
+    return [*(text or b"").lower().split(), b""]
+
+
 def rare_kind(word: str) -> int:
     return crc32(word[-2:].encode("utf-8", "surrogatepass")) % KINDS
 
@@ -60,10 +66,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         seen: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
         for batch in batches:
-            for t in batch.column(0):
-                seen.update(tokens(t.as_py()))
+            for t in batch.column(0).cast(pa.binary()):
+                seen.update(byte_tokens(t.as_py()))
                 if len(seen) > COUNT_WORDS:
                     yield flush()
                     seen.clear()
@@ -74,7 +80,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
+
+
+def exp_sums(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row of scores and its sum; scores are shifted by their row's largest, in place, only where exp could leave its range."""
+    if len(e) and not (e.max() < 60 and e.min() > -60):
+        e -= e.max(1, keepdims=True)
+    q = np.exp(e)
+    return q, q @ np.ones((q.shape[1], 1), q.dtype)
 
 
 class Model:
@@ -83,7 +97,7 @@ class Model:
     def __init__(self, top: list[tuple[str, int]], total: int, distinct: int, kind_mass: np.ndarray) -> None:
         self.total, self.distinct = total, distinct
         self.slot = 0.5 / (total + 0.5 * (distinct + 1))
-        self.index = {w: i for i, (w, _) in enumerate(top)}
+        self.index = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(top)}
         self.log_base = np.log10([self.base(n) for _, n in top]) if top else np.zeros(0)
         short = min(SHORTLIST, len(top))
         self.symbol = np.array([*range(short), *(short + rare_kind(w) for w, _ in top[short:])], np.int32)
@@ -121,9 +135,7 @@ class Model:
         """Natural log-probability of each symbol y after state h; with grads, also the slope by h of the negative sum."""
         p, c = self.p, self.cls[y]
         e = h @ p["c"] + p["cb"]
-        e -= e.max(1, keepdims=True)
-        q = np.exp(e)
-        total = q.sum(1, keepdims=True)
+        q, total = exp_sums(e)
         out = e[np.arange(len(y)), c] - np.log(total[:, 0])
         dh = None
         if grads is not None:
@@ -132,21 +144,27 @@ class Model:
             grads["c"] += h.T @ q
             grads["cb"] += q.sum(0)
             dh = q @ p["c"].T
-        order = np.argsort(c, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(c[order])) + 1) if len(y) else []:
-            k = c[rows[0]]
-            e = h[rows] @ p[f"w{k}"] + p[f"d{k}"]
-            e -= e.max(1, keepdims=True)
-            q = np.exp(e)
-            total = q.sum(1, keepdims=True)
-            at = (np.arange(len(rows)), self.place[y[rows]])
-            out[rows] += e[at] - np.log(total[:, 0])
+        # rows in order of class, so that each class is a slice
+        order = np.argsort(c.astype(np.int16), kind="stable")
+        hs, place, inner = h[order], self.place[y[order]], np.empty(len(y), out.dtype)
+        dhs = None if grads is None else np.empty_like(hs)
+        ends = np.cumsum(np.bincount(c, minlength=len(self.members)))
+        for k, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
+            if lo == hi:
+                continue
+            e = hs[lo:hi] @ p[f"w{k}"] + p[f"d{k}"]
+            q, total = exp_sums(e)
+            at = (np.arange(hi - lo), place[lo:hi])
+            inner[lo:hi] = e[at] - np.log(total[:, 0])
             if grads is not None:
                 q /= total
                 q[at] -= 1
-                grads[f"w{k}"] += h[rows].T @ q
+                grads[f"w{k}"] += hs[lo:hi].T @ q
                 grads[f"d{k}"] += q.sum(0)
-                dh[rows] += q @ p[f"w{k}"].T
+                dhs[lo:hi] = q @ p[f"w{k}"].T
+        out[order] += inner
+        if grads is not None:
+            dh[order] += dhs
         return out, dh
 
     def train(self, docs: list[np.ndarray], starts: list[bool] | None = None) -> None:
@@ -292,8 +310,8 @@ def learned(docs: DataFrame, counts: DataFrame) -> Model:
     def read(batches):
         for batch in batches:
             drawn, at, syms = [], [], []
-            for t, d in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                toks = tokens(t.as_py())
+            for t, d in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
+                toks = byte_tokens(t.as_py())
                 for lo in range(0, len(toks), START_WINDOW):
                     if (crc32(f"{d}|{lo}".encode()) + 0.5) / 2**32 < own:
                         drawn.append(d)
@@ -318,13 +336,13 @@ def trained_on_all(docs: DataFrame, model: Model) -> dict[str, np.ndarray]:
         own.p = {n: a.copy() for n, a in own.p.items()}
         training, block, size = Training(own), [], 0
         for batch in batches:
-            for t in batch.column(0):
-                block.append(symbols(own, tokens(t.as_py()))[0])
+            for t in batch.column(0).cast(pa.binary()):
+                block.append(symbols(own, byte_tokens(t.as_py()))[0])
                 size += len(block[-1])
                 if size > BLOCK:
-                    training.fit(block, None, WIDE, lambda _: RATE / 10)
+                    training.fit(block, None, WIDE, lambda _: 0.4 * RATE)
                     block, size = [], 0
-        training.fit(block, None, WIDE, lambda _: RATE / 10)
+        training.fit(block, None, WIDE, lambda _: 0.4 * RATE)
         if training.tokens:
             flat = np.concatenate([own.p[n].ravel() for n in names]).astype(float)
             rows = [flat[lo : lo + ROW] for lo in range(0, len(flat), ROW)]
@@ -340,14 +358,13 @@ def trained_on_all(docs: DataFrame, model: Model) -> dict[str, np.ndarray]:
     return out
 
 
-def symbols(model: Model, toks: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def symbols(model: Model, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """A document's symbols, its tokens' places among the known ones (-1: not there), and the others."""
-    get = model.index.get
-    at = np.array([get(w, -1) for w in toks], np.int64)
+    at = np.fromiter(map(model.index.get, toks, repeat(-1)), np.int64, len(toks))
     sym, other = np.empty(len(at), np.int32), np.flatnonzero(at < 0)
     known = at >= 0
     sym[known] = model.symbol[at[known]]
-    rest = [toks[i] for i in other]
+    rest = [toks[i].decode("utf-8", "surrogatepass") for i in other]
     sym[other] = [model.short + rare_kind(w) for w in rest]
     return sym, at, rest
 
@@ -363,8 +380,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         model, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             syms, base, extra, known, rest = [], [], [], [], []
-            for t in batch.column(2):
-                sym, at, other = symbols(model, tokens(t.as_py()))
+            for t in batch.column(2).cast(pa.binary()):
+                sym, at, other = symbols(model, byte_tokens(t.as_py()))
                 hit = at[at >= 0]
                 rare = sym >= model.short
                 syms.append(sym)
