@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,29 @@ def test_tokens_in_bytes_are_those_of_the_text():
     assert op3_lm.byte_tokens(None) == [b""]
 
 
+def test_tokens_split_by_arrow_are_those_in_bytes(monkeypatch):
+    texts = ["A b\x1c C d\x85 ÉE\r\n\x0b\x0cx  ", "", " ", None, "\U0001f600Z z\t", "b b É\U0001f600 É"]
+    top = [("", 9), ("b", 5), ("z", 2), ("éé", 1)]
+    m = op3_lm.Model(top, 17, 4, np.full(op3_lm.KINDS, 0.001))
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(op3_lm, "PIECE", size)
+        got = []
+        for piece in op3_lm.pieces(pa.array(texts)):
+            words, at, sizes = op3_lm.split_tokens(piece)
+            got += np.split(op3_lm.placed(op3_lm.word_symbols(m, words), at, sizes, m.end), np.cumsum(sizes)[:-1])
+        assert [g.tolist() for g in got] == [op3_lm.symbols(m, op3_lm.byte_tokens(None if t is None else t.encode())).tolist() for t in texts]
+
+
+def test_rows_are_added_up_by_symbol():
+    rng = np.random.default_rng(3)
+    x, rows, want = rng.zipf(1.5, 3000) % 70, rng.normal(size=(3, 3000, 4)).astype(np.float32), np.zeros((3, 70, 4))
+    got = np.zeros((3, 70, 4), np.float32)
+    op3_lm.add_by(got, x, rows)
+    for w, r in zip(want, rows, strict=True):
+        np.add.at(w, x, r)
+    assert np.allclose(got, want, atol=1e-3)
+
+
 def test_extreme_scores_keep_their_probabilities():
     for e in ([[500.0, 500.0, -500.0]], [[-500.0, -501.0, -502.0]], [[1.0, 2.0, 3.0]]):
         e = np.array(e, np.float32)

@@ -22,14 +22,16 @@ rows; columns other than doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from copy import copy
 from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -44,6 +46,10 @@ START_TOKENS, START_WINDOW = 600_000, 256
 #: Of the training over all texts: tokens of a task and of a block in memory, lanes of a block, numbers of a row of weights.
 TASK_TOKENS, BLOCK, WIDE, ROW = 2_000_000, 1 << 17, 1024, 4096
 LANES, WINDOW, BPTT, RATE = 512, 32, 16, 0.01
+#: Of the work in memory: bytes of text that are split at once, and states whose classes are scored at once.
+PIECE, AT_ONCE = 1 << 23, 4096
+#: Rows of a symbol that are added up one by one; more of them as a product.
+OFTEN = 12
 LN10 = np.log(10)
 
 
@@ -57,6 +63,27 @@ def byte_tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), b""]
 
 
+def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Stretches of some texts of about PIECE bytes each; a longer text is one of its own."""
+    upto, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PIECE, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
+def split_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of some texts in a row, where they stand among all tokens (a text's last is its end), and each text's number of tokens: those of byte_tokens."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = split.flatten()
+    word = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # blanks at a text's ends split off empty ones
+    upto = np.concatenate([[0], np.cumsum(word)])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+    size = np.diff(upto) + 1
+    at = np.ones(size.sum(), bool)
+    at[np.cumsum(size) - 1] = False
+    return flat.filter(pa.array(word)), np.flatnonzero(at), size
+
+
 def rare_kind(word: str) -> int:
     return crc32(word[-2:].encode("utf-8", "surrogatepass")) % KINDS
 
@@ -65,22 +92,38 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """w, n: how often each token occurs in the learning part, over all of it."""
 
     def count(batches):
-        seen: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+        parts, held = [], 0
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()):
-                seen.update(byte_tokens(t.as_py()))
-                if len(seen) > COUNT_WORDS:
-                    yield flush()
-                    seen.clear()
-        yield flush()
+            for piece in pieces(batch.column(0)):
+                toks, _, size = split_tokens(piece)
+                toks = toks.dictionary_encode()
+                n = np.bincount(toks.indices.to_numpy(), minlength=len(toks.dictionary))
+                parts.append(pa.table({"w": pa.concat_arrays([toks.dictionary, pa.array([END])]), "n": pa.array([*n, len(size)], pa.int64())}))
+                held += len(n)
+                if held > COUNT_WORDS:
+                    yield from pa.concat_tables(parts).group_by("w").aggregate([("n", "sum")]).rename_columns(["w", "n"]).to_batches()
+                    parts, held = [], 0
+        if parts:
+            yield from pa.concat_tables(parts).group_by("w").aggregate([("n", "sum")]).rename_columns(["w", "n"]).to_batches()
 
     part = docs.where(~in_fold(F.col("doc_id"), 5)).select("text")
     return part.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def gated(a: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One step of the gated unit, a row a lane: the new state. a, the inputs' parts, turns into the gates; g holds the state's parts."""
+    s, n = a[:2], a[2]
+    s += g[:2]
+    s *= np.float32(0.5)
+    np.tanh(s, out=s)
+    s *= np.float32(0.5)
+    s += np.float32(0.5)
+    n += s[0] * g[2]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= s[1]
+    new += n
+    return new
 
 
 def exp_sums(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,58 +157,62 @@ class Model:
             self.cls[m], self.place[m] = c, np.arange(len(m))
         draw, h, f = np.random.default_rng(11), HIDDEN, np.float32
         w = lambda *shape: draw.normal(0, 0.1, shape).astype(f)
-        # input rows by symbol (the last: a document's start), recurrent weights, output weights; biases start at the counts
-        self.p = {"x": w(len(mass) + 1, 3 * h), "u": w(h, 3 * h), "b": np.zeros(3 * h, f), "c": w(h, len(self.members)), "cb": np.log([mass[m].sum() for m in self.members]).astype(f)}
+        # by gate: input rows by symbol (the last: a document's start), recurrent weights and biases; output weights, whose biases start at the counts
+        gates = lambda a: np.ascontiguousarray(a.reshape(-1, 3, h).transpose(1, 0, 2))
+        self.p = {"x": gates(w(len(mass) + 1, 3 * h)), "u": gates(w(h, 3 * h)), "b": np.zeros((3, h), f), "c": w(h, len(self.members)), "cb": np.log([mass[m].sum() for m in self.members]).astype(f)}
         for c, m in enumerate(self.members):
             self.p[f"w{c}"], self.p[f"d{c}"] = w(h, len(m)), np.log(mass[m]).astype(f)
 
+    def frequent(self) -> pa.Array:
+        """The shortlist's words, in order of their symbols."""
+        return pa.array(list(self.index)[: self.short], pa.binary()).cast(pa.string())
+
+    @property
+    def end(self) -> int:
+        """The symbol of a text's end."""
+        at = self.index.get(b"", -1)
+        return int(self.symbol[at]) if at >= 0 else self.short + rare_kind(END)
+
     def base(self, n: int) -> float:
         return (n + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        """One step of the gated unit: the new state, and what its slope needs."""
-        k, p = HIDDEN, self.p
-        a, g = p["x"][x] + p["b"], h @ p["u"]
-        s = sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
-        r, z = s[:, :k], s[:, k:]
-        n = np.tanh(a[:, 2 * k :] + r * g[:, 2 * k :])
-        return n + z * (h - n), r, z, n, g[:, 2 * k :]
+    def inputs(self) -> np.ndarray:
+        """What each symbol adds to the gates."""
+        return self.p["x"] + self.p["b"][:, None]
+
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray]:
+        """One step of the gated unit: the new state."""
+        return (gated(np.take(self.inputs(), x, axis=1), h @ self.p["u"], h),)
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
-        """Natural log-probability of each symbol y after state h; with grads, also the slope by h of the negative sum."""
+        """Natural log-probability of each symbol y after state h; with grads, also the slope by h of the negative sum.
+
+        Rows go in order of class, so that each class is a slice; scores have a column a row, so that numpy's loops are long.
+        """
         p, c = self.p, self.cls[y]
-        e = h @ p["c"] + p["cb"]
-        q, total = exp_sums(e)
-        out = e[np.arange(len(y)), c] - np.log(total[:, 0])
-        dh = None
-        if grads is not None:
-            q /= total
-            q[np.arange(len(y)), c] -= 1
-            grads["c"] += h.T @ q
-            grads["cb"] += q.sum(0)
-            dh = q @ p["c"].T
-        # rows in order of class, so that each class is a slice
         order = np.argsort(c.astype(np.int16), kind="stable")
-        hs, place, inner = h[order], self.place[y[order]], np.empty(len(y), out.dtype)
-        dhs = None if grads is None else np.empty_like(hs)
-        ends = np.cumsum(np.bincount(c, minlength=len(self.members)))
-        for k, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
-            if lo == hi:
-                continue
-            e = hs[lo:hi] @ p[f"w{k}"] + p[f"d{k}"]
-            q, total = exp_sums(e)
-            at = (np.arange(hi - lo), place[lo:hi])
-            inner[lo:hi] = e[at] - np.log(total[:, 0])
+        c, place = c[order], self.place[y[order]]
+        hs, out = np.take(h, order, axis=0), np.zeros(len(y), np.float32)
+        dh = None if grads is None else np.zeros_like(hs)
+        ends = np.cumsum(np.bincount(c, minlength=len(self.members))).tolist()
+        # classes by stretches that stay in the cache, then symbols by class
+        parts = [("c", "cb", c, lo, min(lo + AT_ONCE, len(y))) for lo in range(0, len(y), AT_ONCE)]
+        parts += [(f"w{k}", f"d{k}", place, lo, hi) for k, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if lo < hi]
+        for weights, bias, goal, lo, hi in parts:
+            own, at = hs[lo:hi], (goal[lo:hi], np.arange(hi - lo))
+            e = p[weights].T @ own.T
+            e += p[bias][:, None]
+            q, total = exp_sums(e.T)
+            out[lo:hi] += e[at] - np.log(total[:, 0])
             if grads is not None:
                 q /= total
-                q[at] -= 1
-                grads[f"w{k}"] += hs[lo:hi].T @ q
-                grads[f"d{k}"] += q.sum(0)
-                dhs[lo:hi] = q @ p[f"w{k}"].T
-        out[order] += inner
-        if grads is not None:
-            dh[order] += dhs
-        return out, dh
+                q.T[at] -= 1
+                grads[weights] += own.T @ q
+                grads[bias] += q.sum(0)
+                dh[lo:hi] += q @ p[weights].T
+        back = np.empty_like(order)
+        back[order] = np.arange(len(y))
+        return out[back], None if grads is None else np.take(dh, back, axis=0)
 
     def train(self, docs: list[np.ndarray], starts: list[bool] | None = None) -> None:
         """Adam over windows of BPTT steps, with a rate that falls to a tenth; the state goes on from window to window, its slope doesn't.
@@ -190,6 +237,7 @@ class Model:
         syms = [np.concatenate([docs[i] for i in own]) for own in lanes]
         docs_of = [np.repeat(np.array(own, np.int32), [len(docs[i]) for i in own]) for own in lanes]
         h, before, of_before = np.zeros((n, HIDDEN), np.float32), np.zeros(n, np.int32), np.full(n, -1, np.int32)
+        table, u = self.inputs(), self.p["u"]
         for lo in range(0, int(size.max(initial=0)), WINDOW):
             live = int(np.searchsorted(-size, -lo))  # lanes that are longer than lo
             width = int(min(WINDOW, size[0] - lo))
@@ -198,27 +246,52 @@ class Model:
                 part = slice(lo, lo + width)
                 m = len(syms[k][part])
                 sym[k, :m], doc[k, :m] = syms[k][part], docs_of[k][part]
-            states, goals, of = [], [], []
+            # a row a step; what lies beyond a lane's end is read and left out
+            sym, doc = np.ascontiguousarray(sym.T), np.ascontiguousarray(doc.T)
+            first = doc != np.concatenate([of_before[None, :live], doc[:-1]])
+            x = np.where(first, start, np.concatenate([before[None, :live], sym[:-1]]))
+            h, states = h[:live], np.empty((width, live, HIDDEN), np.float32)
             for j in range(width):
-                live = int(np.searchsorted(-size, -(lo + j)))
-                first = doc[:live, j] != of_before[:live]
-                h = h[:live] * ~first[:, None]
-                h = self.step(np.where(first, start, before[:live]), h)[0]
-                before, of_before = sym[:live, j], doc[:live, j]
-                states.append(h)
-                goals.append(before)
-                of.append(of_before)
-            lp, _ = self.log_probs(np.concatenate(states), np.concatenate(goals))
-            out += np.bincount(np.concatenate(of), lp, len(docs))
+                if first[j].any():
+                    h = np.where(first[j][:, None], np.float32(0), h)
+                states[j] = h = gated(np.take(table, x[j], axis=1), h @ u, h)
+            before, of_before = sym[-1], doc[-1]
+            states, goal, of = states.reshape(-1, HIDDEN), sym.ravel(), doc.ravel()
+            real = of >= 0
+            if not real.all():
+                states, goal, of = states[real], goal[real], of[real]
+            out += np.bincount(of, self.log_probs(states, goal)[0], len(docs))
         return out / LN10
 
 
+def add_by(total: np.ndarray, x: np.ndarray, rows: np.ndarray) -> None:
+    """Adds up the rows of each gate by their symbol x."""
+    order = np.argsort(x.astype(np.int16), kind="stable")
+    x = x[order]
+    begin = np.flatnonzero(np.diff(x, prepend=-1))
+    size = np.diff(begin, append=len(x))
+    often, ones = size > OFTEN, np.ones(len(x), np.float32)
+    for to, of in zip(total, rows, strict=True):
+        of = np.take(of, order, axis=0)
+        for lo, n in zip(begin[often].tolist(), size[often].tolist(), strict=True):
+            to[x[lo]] += ones[:n] @ of[lo : lo + n]
+        # the others' first rows, second rows and so on: no symbol is met twice
+        for i in range(OFTEN):
+            at = begin[~often & (size > i)]
+            to[x[at]] += of[at + i]
+
+
 class Training:
-    """Adam's moments, which go on from one call of fit to the next."""
+    """Adam's moments, which go on from one call of fit to the next. Weights, slopes and moments are stretches of one array each."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.turn, self.tokens = model, 0, 0
-        self.m, self.v = ({n: np.zeros_like(a) for n, a in model.p.items()} for _ in range(2))
+        self.flat = np.concatenate([a.ravel() for a in model.p.values()])
+        self.slope, self.m, self.v, self.work = (np.zeros_like(self.flat) for _ in range(4))
+        ends = np.cumsum([a.size for a in model.p.values()])
+        views = lambda flat: {n: x.reshape(a.shape) for (n, a), x in zip(model.p.items(), np.split(flat, ends[:-1]), strict=True)}
+        self.grads = views(self.slope)
+        model.p = views(self.flat)
 
     def fit(self, docs: list[np.ndarray], starts: list[bool] | None, lanes: int, rate: Callable[[float], float]) -> None:
         """Every symbol once; lanes (at most so many) are stretches of all documents in a row, each with a state of its own. rate: by the part that is done."""
@@ -232,53 +305,78 @@ class Training:
         # a lane reads the symbol that the next one begins with, so that each is predicted once; what fills the last is not
         stream = np.concatenate([stream, np.full(lanes * t + 1 - len(stream), -1)])
         s = np.concatenate([stream[:-1].reshape(lanes, t), stream[t::t, None]], 1)
-        h = np.zeros((lanes, k), np.float32)
+        p, grads, h = model.p, self.grads, np.zeros((lanes, k), np.float32)
+        most = min(BPTT, t)
+        gates, turned = (np.empty((3, most, lanes, k), np.float32) for _ in range(2))
+        before, states = (np.empty((most, lanes, k), np.float32) for _ in range(2))
         for lo in range(0, t, BPTT):
-            part = s[:, lo : lo + BPTT + 1]
-            steps = part.shape[1] - 1
-            grads, kept, states = {n: np.zeros_like(a) for n, a in model.p.items()}, [], []
+            part = np.ascontiguousarray(s[:, lo : lo + BPTT + 1].T)
+            steps = len(part) - 1
+            goal = part[1:].ravel()
+            real = np.flatnonzero((goal >= 0) & (part[:-1].ravel() != -2))
+            x, table = np.where(part[:-1] < 0, start, part[:-1]), model.inputs()
+            new = [np.flatnonzero(row < 0) for row in part[:-1]]
             for j in range(steps):
-                x = part[:, j]
-                h = np.where((x < 0)[:, None], np.float32(0), h)
-                before = h
-                x = np.where(x < 0, start, x)
-                h, *gates = model.step(x, h)
-                kept.append((x, before, *gates))
-                states.append(h)
-            goal = part[:, 1:].T
-            real = (goal >= 0) & (part[:, :-1].T != -2)
-            size = int(real.sum())
-            if not size:
+                before[j] = h
+                before[j, new[j]] = 0
+                for g in range(3):
+                    np.take(table[g], x[j], axis=0, out=gates[g, j], mode="clip")
+                np.matmul(before[j], p["u"], out=turned[:, j])
+                states[j] = h = gated(gates[:, j], turned[:, j], before[j])
+            if not len(real):
                 continue
-            dh_out = np.zeros((steps, lanes, k), np.float32)
-            dh_out[real] = model.log_probs(np.stack(states)[real], goal[real], grads)[1]
-            dh, slopes = np.zeros_like(h), []
-            u = model.p["u"].T
+            self.slope.fill(0)
+            dh_out = np.zeros((steps * lanes, k), np.float32)
+            dh_out[real] = model.log_probs(states[:steps].reshape(-1, k)[real], goal[real], grads)[1]
+            dh_out, dh = dh_out.reshape(steps, lanes, k), np.zeros((lanes, k), np.float32)
             for j in range(steps - 1, -1, -1):
-                x, before, r, z, n, gn = kept[j]
-                dh = dh + dh_out[j]
-                dn = dh * (1 - z) * (1 - n * n)
-                da = np.concatenate([dn * gn * r * (1 - r), dh * (before - n) * z * (1 - z), dn], 1)
-                dg = np.concatenate([da[:, : 2 * k], dn * r], 1)
-                slopes.append((da, dg))
-                dh = np.where((x == start)[:, None], np.float32(0), dh * z + dg @ u)
-            da, dg = (np.concatenate(y[::-1]) for y in zip(*slopes, strict=True))
-            x = np.concatenate([y[0] for y in kept])
-            order = np.argsort(x, kind="stable")
-            first = np.flatnonzero(np.diff(x[order], prepend=-1))
-            grads["x"][x[order[first]]] = np.add.reduceat(da[order], first, axis=0)
-            grads["b"] += da.sum(0)
-            grads["u"] += np.concatenate([y[1] for y in kept]).T @ dg
+                (r, z, n), dg = gates[:, j], turned[:, j]
+                dh += dh_out[j]
+                rest = 1 - z
+                dn = n * n
+                np.subtract(1, dn, out=dn)
+                dn *= rest
+                dn *= dh
+                rest *= z
+                rest *= dh
+                rest *= before[j] - n
+                dh *= z
+                z[:] = dg[1] = rest
+                np.subtract(1, r, out=rest)
+                rest *= r
+                rest *= dg[2]
+                rest *= dn
+                np.multiply(dn, r, out=dg[2])
+                r[:] = dg[0] = rest
+                n[:] = dn
+                grads["u"] += before[j].T @ dg
+                for g in range(3):
+                    dh += dg[g] @ p["u"][g].T
+                dh[new[j]] = 0
+            add_by(grads["x"], x.ravel(), gates[:, :steps].reshape(3, -1, k))
+            grads["b"] += grads["x"].sum(1)
             self.turn += 1
-            self.tokens += size
-            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / size
-            shrink, pace = min(1.0, 1 / max(norm, 1e-9)) / size, rate(lo / t)
-            for n, g in grads.items():
-                g *= np.float32(shrink)
-                m, v = self.m[n], self.v[n]
-                m += np.float32(0.1) * (g - m)
-                v += np.float32(0.01) * (g * g - v)
-                model.p[n] -= np.float32(pace / (1 - 0.9**self.turn)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.turn))) + np.float32(1e-7))
+            self.tokens += len(real)
+            self.move(len(real), rate(lo / t))
+
+    def move(self, size: int, pace: float) -> None:
+        """One step of Adam with the slopes, summed over so many symbols, of a length of at most 1."""
+        g, m, v, work = self.slope, self.m, self.v, self.work
+        norm = math.sqrt(float(np.vdot(g, g))) / size
+        g *= np.float32(min(1.0, 1 / max(norm, 1e-9)) / size)
+        np.subtract(g, m, out=work)
+        work *= np.float32(0.1)
+        m += work
+        np.multiply(g, g, out=work)
+        work -= v
+        work *= np.float32(0.01)
+        v += work
+        np.multiply(v, np.float32(1 / (1 - 0.99**self.turn)), out=work)
+        np.sqrt(work, out=work)
+        work += np.float32(1e-7)
+        np.divide(m, work, out=work)
+        work *= np.float32(pace / (1 - 0.9**self.turn))
+        self.flat -= work
 
 
 def learned(docs: DataFrame, counts: DataFrame) -> Model:
@@ -316,7 +414,7 @@ def learned(docs: DataFrame, counts: DataFrame) -> Model:
                     if (crc32(f"{d}|{lo}".encode()) + 0.5) / 2**32 < own:
                         drawn.append(d)
                         at.append(lo)
-                        syms.append(symbols(shared.value, toks[max(0, lo - 1) : lo + START_WINDOW])[0])
+                        syms.append(symbols(shared.value, toks[max(0, lo - 1) : lo + START_WINDOW]))
             yield pa.RecordBatch.from_arrays([pa.array(drawn, pa.int64()), pa.array(at, pa.int64()), pa.array(syms, pa.list_(pa.int32()))], names=["d", "at", "s"])
 
     got = sorted(some.mapInArrow(read, "d long, at long, s array<int>").collect(), key=lambda r: (crc32(f"{r.d}|{r['at']}".encode()), r.d, r["at"]))
@@ -336,12 +434,14 @@ def trained_on_all(docs: DataFrame, model: Model) -> dict[str, np.ndarray]:
         own.p = {n: a.copy() for n, a in own.p.items()}
         training, block, size = Training(own), [], 0
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()):
-                block.append(symbols(own, byte_tokens(t.as_py()))[0])
-                size += len(block[-1])
-                if size > BLOCK:
-                    training.fit(block, None, WIDE, lambda _: 0.4 * RATE)
-                    block, size = [], 0
+            for piece in pieces(batch.column(0)):
+                words, at, size_of = split_tokens(piece)
+                for doc in np.split(placed(word_symbols(own, words), at, size_of, own.end), np.cumsum(size_of)[:-1]):
+                    block.append(doc)
+                    size += len(doc)
+                    if size > BLOCK:
+                        training.fit(block, None, WIDE, lambda _: 0.4 * RATE)
+                        block, size = [], 0
         training.fit(block, None, WIDE, lambda _: 0.4 * RATE)
         if training.tokens:
             flat = np.concatenate([own.p[n].ravel() for n in names]).astype(float)
@@ -358,15 +458,32 @@ def trained_on_all(docs: DataFrame, model: Model) -> dict[str, np.ndarray]:
     return out
 
 
-def symbols(model: Model, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """A document's symbols, its tokens' places among the known ones (-1: not there), and the others."""
+def symbols(model: Model, toks: list[bytes]) -> np.ndarray:
+    """Tokens' symbols."""
     at = np.fromiter(map(model.index.get, toks, repeat(-1)), np.int64, len(toks))
-    sym, other = np.empty(len(at), np.int32), np.flatnonzero(at < 0)
+    sym = np.empty(len(at), np.int32)
     known = at >= 0
     sym[known] = model.symbol[at[known]]
-    rest = [toks[i].decode("utf-8", "surrogatepass") for i in other]
-    sym[other] = [model.short + rare_kind(w) for w in rest]
-    return sym, at, rest
+    sym[~known] = [model.short + rare_kind(toks[i].decode("utf-8", "surrogatepass")) for i in np.flatnonzero(~known)]
+    return sym
+
+
+def word_symbols(model: Model, words: pa.Array) -> np.ndarray:
+    """Words' symbols, of an array."""
+    sym = pc.fill_null(pc.index_in(words, model.frequent()), -1).to_numpy().astype(np.int32)
+    rare = sym < 0
+    if rare.any():
+        ends = pc.utf8_slice_codeunits(words.filter(pa.array(rare)), -2).dictionary_encode()
+        kinds = np.array([rare_kind(w) for w in ends.dictionary.to_pylist()], np.int32)
+        sym[rare] = model.short + kinds[ends.indices.to_numpy()]
+    return sym
+
+
+def placed(values: np.ndarray, at: np.ndarray, size: np.ndarray, end) -> np.ndarray:
+    """Values of words, with one of the ends, where they stand among the tokens."""
+    out = np.full(size.sum(), end, values.dtype)
+    out[at] = values
+    return out
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -378,33 +495,42 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         from pyspark import TaskContext
 
         model, row = shared.value, TaskContext.get().partitionId() << 40
+        fields = [f.split()[0] for f in schema.split(", ")]
+        vocabulary = pa.array([*model.index], pa.binary()).cast(pa.string())
+        end = model.index.get(b"", -1)
         for batch in batches:
-            syms, base, extra, known, rest = [], [], [], [], []
-            for t in batch.column(2).cast(pa.binary()):
-                sym, at, other = symbols(model, byte_tokens(t.as_py()))
-                hit = at[at >= 0]
-                rare = sym >= model.short
-                syms.append(sym)
-                known.append(len(hit))
-                base.append(model.log_base[hit].sum())
-                # of a rare word: its own smoothed count over its kind's
-                extra.append(model.log_base[hit[hit >= model.short]].sum() - model.log_kind[sym[rare] - model.short].sum())
-                rest.append(Counter(other))
-            net, n = model.score(syms), len(syms)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + n)),
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(s) for s in syms], pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(net + extra, pa.float64()),
-                    pa.array([list(c.keys()) for c in rest], pa.list_(pa.string())),
-                    pa.array([list(c.values()) for c in rest], pa.list_(pa.int32())),
-                ],
-                names=[f.split()[0] for f in schema.split(", ")],
-            )
+            docs, parts = [], []
+            for piece in pieces(batch.column(2)):
+                words, at, sizes = split_tokens(piece)
+                n = len(sizes)
+                of = np.repeat(np.arange(n), sizes)
+                sym = placed(word_symbols(model, words), at, sizes, model.end)
+                found = placed(pc.fill_null(pc.index_in(words, vocabulary), -1).to_numpy(), at, sizes, end)
+                known, rare = found >= 0, sym >= model.short
+                log_base = np.zeros(len(found))
+                log_base[known] = model.log_base[found[known]]
+                # of a rare word: its own smoothed count over its kind's; that of an unknown one comes with its count
+                extra = np.bincount(of[rare], log_base[rare] - model.log_kind[sym[rare] - model.short], n)
+                docs += np.split(sym, np.cumsum(sizes)[:-1])
+                # a document's unknown words, each once; an end without learning texts is one of them
+                left = words.filter(pa.array(~known[at])).dictionary_encode()
+                other = np.full(len(found), len(left.dictionary))
+                other[at[~known[at]]] = left.indices.to_numpy()
+                names = pa.concat_arrays([left.dictionary, pa.array([END])])
+                key, times = np.unique(of[~known] * len(names) + other[~known], return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(n + 1) * len(names)), pa.int32())
+                rest = names.take(pa.array(key % len(names)))
+                count = pa.array(np.bincount(of[known], minlength=n))
+                parts.append(pa.table([pa.array(sizes), count, pa.array(np.bincount(of, log_base, n)), pa.array(extra), pa.ListArray.from_arrays(ends, rest), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))], names=fields[3:]))
+            if not parts:
+                continue
+            # the network takes all of a batch at once, so that long texts have others beside them
+            own, n = pa.concat_tables(parts), len(docs)
+            own = own.set_column(3, "extra", pc.add(own["extra"], pa.array(model.score(docs))))
+            head = pa.table([pa.array(np.arange(row, row + n)), batch.column(0), batch.column(1)], names=fields[:3])
+            for c in fields[3:]:
+                head = head.append_column(c, own[c])
+            yield from head.combine_chunks().to_batches()
             row += n
 
     return docs.select(F.col("doc_id").cast("long"), in_fold(F.col("doc_id"), 5).alias("held_out"), "text").mapInArrow(run, schema)
