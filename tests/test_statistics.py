@@ -252,3 +252,14 @@ def test_autocorrelations_by_blocks(spark, rows):
     want = {r.k: r for r in stats.acf(rows, ["k"], 20).collect()}
     for r in stats.acf_blocked(rows, ["k"], 20, block=32).collect():
         assert r.n == want[r.k].n and r.acf == pytest.approx(want[r.k].acf, abs=1e-12)
+
+
+def test_a_flat_series_does_not_stop_the_battery(spark):
+    """A correlation without spread divided by zero."""
+    from tidebook.operators import battery, stats
+    from tidebook.sources import tables
+
+    rows = [("flat", i, 0.1) for i in range(1, 61)] + [("noise", i, ((i * 7919) % 101) / 101) for i in range(1, 61)]
+    got = {(r.sid, r.test): r for r in battery.battery(spark.createDataFrame(rows, "sid string, i int, value double"), ["sid"], tables.stored).collect()}
+    assert got["flat", "moments"].skewness is None and ("flat", "white") not in got and ("flat", "adf") not in got
+    assert got["noise", "white"].statistic == pytest.approx(stats.white(spark.createDataFrame(rows[60:], "sid string, i int, value double"), ["sid"]).first().statistic, rel=1e-7)

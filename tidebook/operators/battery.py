@@ -4,7 +4,7 @@ A test that is linear in lagged values needs only sums of products of values som
 both ends: the sums over any range of rows are those of the whole less what falls outside. So one set of lag products
 gives the Ljung-Box and KPSS sums, the Phillips-Perron residuals' autocovariances and every augmented Dickey-Fuller
 regression, whatever its number of lags; two more sets, of squares, give McLeod-Li and ARCH. Order statistics are taken
-in the same partitions by two more sorts. Nothing is shuffled but the series themselves, once.
+from the same rows, sorted. Nothing is shuffled but the series themselves, once.
 
 series: keys, i (order), value without nulls; a series is a window of bounded length. Results: keys, test, category,
 n_obs, statistic, p_value, n_lags, critical_1, critical_5, critical_10, skewness, kurtosis (null where a test has none).
@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,41 +46,97 @@ def most_lags(n: int) -> int:
     return max(stats.adf_lags(n) + 1, pp_lags(n) + 1, LB_LAGS)
 
 
+SUMMED = (
+    "n long, mean double, sd double, skewness double, kurtosis double, sd_lags array<double>, su_lags array<double>, ss_lags array<double>, d_head array<double>, d_tail array<double>, "
+    "s_head array<double>, s_tail array<double>, cum2 double, step2 double, value2 double, bp double, wa double, wb double, wc double, n1 long, runs long, ad double, sw double, sv double, big long, tail long, xk double, logs double"
+)
+
+
+@lru_cache(maxsize=256)
+def shapiro_weights(n: int) -> np.ndarray:
+    """The weights of n ordered values, three or more: those of stats.shapiro_texts."""
+    if n == 3:
+        return np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    m = scalar.norm_ppf_values((np.arange(1.0, n + 1) - 0.375) / (n + 0.25))
+    mm, mn, mk, u = float(m @ m), m[-1], m[-2], 1 / math.sqrt(n)
+    an, ak = mn / math.sqrt(mm) + np.polyval(stats.SW_LAST, u), mk / math.sqrt(mm) + np.polyval(stats.SW_NEXT, u)
+    if n <= 5:
+        a = m / math.sqrt((mm - 2 * mn * mn) / (1 - 2 * an * an))
+    else:
+        a = m / math.sqrt((mm - 2 * mn * mn - 2 * mk * mk) / (1 - 2 * an * an - 2 * ak * ak))
+        a[-2], a[1] = ak, -ak
+    a[-1], a[0] = an, -an
+    return a
+
+
+def summed(v: np.ndarray, lags: int) -> tuple:
+    """The figures of SUMMED of one series in order; NaN counts as the largest value, as in SQL."""
+    n = len(v)
+    k = np.arange(1.0, n + 1)
+    mean = v[0] if v[0] == v.min() == v.max() else v.mean()
+    d = v - mean
+    d2 = d * d
+    m2, q = float(d2.mean()), v * v
+    flat = m2 == 0
+    sd = None if n < 2 else math.sqrt(m2 * n / (n - 1)) if m2 >= 0 else math.nan
+    u, s = q - q.mean(), d2 - m2
+    products = lambda x, most: [float(x[i:] @ x[: n - i]) if i < n else 0.0 for i in range(most + 1)]
+    # residuals of a line, and their squares with time and its square
+    kc = k - k.mean()
+    slope = float(kc @ d) / float(kc @ kc) if n > 1 else math.nan
+    e2 = (d - slope * kc) ** 2
+    t2 = k * k
+
+    def corr(x: np.ndarray, y: np.ndarray) -> float | None:
+        x, y = x - x.mean(), y - y.mean()
+        of = math.sqrt(float(x @ x) * float(y @ y)) if n > 1 else 0.0
+        return float(x @ y) / of if of else None
+
+    wa = corr(e2, k)
+    bp = None if n < 2 else 1.0 if wa is None else wa * wa
+    by_value = np.sort(v)
+    med = by_value[n // 2] if n % 2 else 0.5 * by_value[n // 2 - 1] + 0.5 * by_value[n // 2]
+    up = (v > med) | (np.isnan(v) & ~np.isnan(med))
+    ad = None
+    if sd is not None and sd != 0:
+        z = (by_value - mean) / sd
+        low, high = np.log(np.maximum(scalar.norm_cdf_values(z), 1e-300)), np.log(np.maximum(scalar.norm_cdf_values(-z), 1e-300))
+        ad = float((2 * k - 1) @ low + (2 * (n + 1 - k) - 1) @ high)
+    size = np.sort(np.abs(v[v != 0]))[::-1]
+    tail = max(10, math.floor(len(size) * 0.1))
+    cum = np.cumsum(d)
+    end = lags + 1
+    return (
+        n, float(mean), sd, None if flat else float((d2 * d).mean()) / m2**1.5, None if flat else float((d2 * d2).mean()) / (m2 * m2) - 3,
+        products(d, lags), products(u, LB_LAGS), products(s, ARCH_LAGS), d[:end], d[max(0, n - end) :], s[:ARCH_LAGS], s[max(0, n - ARCH_LAGS) :],
+        float(cum @ cum), float(np.diff(v) @ np.diff(v)) if n > 1 else None, float(v @ v), bp, wa, corr(e2, t2), corr(k, t2),
+        int(up.sum()), int((up[1:] != up[:-1]).sum()) + 1, ad, float(shapiro_weights(n) @ by_value) if n >= 3 else None, m2 * n,
+        len(size), tail, float(size[:tail][-1]) if len(size) else None, float(np.log(size[: tail - 1]).sum()) if len(size) else None,
+    )
+
+
 def summaries(series: DataFrame, by: list[str], lags: int) -> DataFrame:
-    """One row a series: moments, lag products of centred values, squares and squared deviations, ends, and sums of the order statistics."""
-    part = Window.partitionBy(*by)
-    w = part.orderBy("i")
-    v, upto = F.col("value"), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # as many partitions as the session has: each series is small, but works hard
+    """One row a series: moments, lag products of centred values, squares and squared deviations, ends, and sums of the order statistics.
+
+    One exchange: a series' values meet in one row, in order, and rows are worked out in numpy.
+    """
     x = series.select(*by, "i", "value").repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
-    # the sorts by value come first, while rows are narrow, and leave their terms only
-    x = x.withColumns({"_ra": F.row_number().over(part.orderBy(F.abs("value").desc())), "_big": F.count_if(v != 0).over(part)})
-    tail = F.greatest(F.lit(10), F.floor(F.col("_big") * 0.1))
-    x = x.select(*by, "i", "value", F.col("_big").alias("big"), tail.alias("tail"), F.when((F.col("_ra") <= tail) & (v != 0), F.abs("value")).alias("_xk"), F.when((F.col("_ra") < tail) & (v != 0), F.ln(F.abs("value"))).alias("_log"))
-    x = x.withColumns({"r": F.row_number().over(part.orderBy("value")).cast("double"), "n": F.count("*").over(part), "mean": F.avg("value").over(part), "sd": F.stddev("value").over(part), "_q": F.avg(v * v).over(part), "_med": F.median("value").over(part)})
-    t, n = stats.shapiro_texts(), F.col("n").cast("double")
-    x = x.withColumns({"z": F.try_divide(v - F.col("mean"), F.col("sd")), "m": F.when(F.col("n") >= 3, F.expr(t["m"]))})
-    x = x.withColumns({"mm": F.sum(F.col("m") * F.col("m")).over(part), "mn": F.max("m").over(part), "mk": F.max(F.when(F.col("r") == F.col("n") - 1, F.col("m"))).over(part)})
-    low, high = (F.greatest(F.expr(scalar.norm_cdf(c)), F.lit(1e-300)) for c in ("z", "(-z)"))
-    x = x.withColumns({"_ad": (2 * F.col("r") - 1) * F.ln(low) + (2 * (n + 1 - F.col("r")) - 1) * F.ln(high), "_sw": F.when(F.col("n") >= 3, F.expr(t["a"])) * v}).drop("r", "m", "mm", "mn", "mk", "z")
-    x = x.withColumn("_k", F.row_number().over(w))
-    x = x.withColumns({"_b": F.regr_slope("value", "_k").over(part), "_a": F.regr_intercept("value", "_k").over(part)})
-    x = x.withColumns({"d": v - F.col("mean"), "u": v * v - F.col("_q"), "_e": v - F.col("_a") - F.col("_b") * F.col("_k"), "_up": (v > F.col("_med")).cast("int"), "t": F.col("_k").cast("double")}).drop("_a", "_b", "_q", "_med")
-    x = x.withColumns({"s": F.col("d") * F.col("d") - F.avg(F.col("d") * F.col("d")).over(part), "e2": F.col("_e") * F.col("_e")}).drop("_e")
-    x = x.withColumns({"_cum": F.sum("d").over(upto), "_step": v - F.lag("value").over(w), "_turn": F.col("_up") != F.lag("_up").over(w)} | {f"_{c}{k}": F.lag(c, k).over(w) for c, most in (("d", lags), ("u", LB_LAGS), ("s", ARCH_LAGS)) for k in range(1, most + 1)})
-    products = lambda c, most: F.array(*[F.coalesce(F.sum(F.col(c) * (F.col(f"_{c}{k}") if k else F.col(c))), F.lit(0.0)) for k in range(most + 1)])
-    ends = lambda c, most: [F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("_k", c)))), lambda e: e[c]) for cond in (F.col("_k") <= most, F.col("_k") > F.col("n") - most)]
-    (dh, dt), (sh, st) = ends("d", lags + 1), ends("s", ARCH_LAGS)
-    return x.groupBy(*by).agg(
-        F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("sd").alias("sd"), F.skewness("value").alias("skewness"), F.kurtosis("value").alias("kurtosis"),
-        products("d", lags).alias("sd_lags"), products("u", LB_LAGS).alias("su_lags"), products("s", ARCH_LAGS).alias("ss_lags"),
-        dh.alias("d_head"), dt.alias("d_tail"), sh.alias("s_head"), st.alias("s_tail"),
-        F.sum(F.col("_cum") * F.col("_cum")).alias("cum2"), F.sum(F.col("_step") * F.col("_step")).alias("step2"), F.sum(v * v).alias("value2"),
-        F.regr_r2("e2", "t").alias("bp"), F.corr("e2", "t").alias("wa"), F.corr("e2", F.col("t") * F.col("t")).alias("wb"), F.corr("t", F.col("t") * F.col("t")).alias("wc"),
-        F.sum("_up").alias("n1"), (F.count_if("_turn") + 1).alias("runs"),
-        F.sum("_ad").alias("ad"), F.sum("_sw").alias("sw"), (F.var_pop("value") * F.count("*")).alias("sv"),
-        F.max("big").alias("big"), F.max("tail").alias("tail"), F.min("_xk").alias("xk"), F.sum("_log").alias("logs"),
-    )
+    x = x.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("_s")).select(*by, F.col("_s.value").alias("_v"))
+    schema = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in by) + ", " + SUMMED
+    names = [c.split()[0] for c in SUMMED.split(", ")]
+    types = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    kinds = [types[c.split()[1]] for c in SUMMED.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column(len(by))
+            flat, at = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy() - v.offsets[0].as_py()
+            with np.errstate(all="ignore"):
+                rows = [summed(flat[a:b], lags) for a, b in zip(at[:-1], at[1:], strict=True)]
+            out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], *out], names=[*by, *names])
+
+    return x.mapInArrow(run, schema)
 
 
 def lag_sums(series: DataFrame, by: list[str], lags: int) -> DataFrame:

@@ -142,21 +142,47 @@ def hill(df: DataFrame, by: list[str]) -> DataFrame:
     return x.select(*by, "n", F.try_divide(F.lit(1.0), F.col("s") / (F.col("k") - 1) - F.ln("xk")).alias("statistic"), F.lit(None).cast("double").alias("p_value"))
 
 
+def hurst_of(v: np.ndarray, points: int) -> tuple[bool, float | None]:
+    """Whether any lag of a series has a spread, and the slope."""
+    n = len(v)
+    if n < 20:
+        return False, None
+    ten, span = math.log(10.0), math.log(n / 2) - math.log(10.0)
+    at, rs = [], []
+    for lag in sorted({math.floor(math.exp(ten + j * span / (points - 1)) + 1e-9) for j in range(points)}):
+        d = v[: n // lag * lag].reshape(-1, lag)
+        d = d - d.mean(1, keepdims=True)
+        sd, cum = np.sqrt((d * d).mean(1)), np.cumsum(d, 1)
+        some = ~(sd <= 0)  # NaN is above 0, as in SQL
+        if some.any():
+            mean = float(((cum.max(1) - cum.min(1))[some] / sd[some]).mean())
+            if not mean <= 0:
+                at.append(math.log(lag))
+                rs.append(math.log(mean))
+    x = np.array(at) - np.mean(at) if at else np.zeros(0)
+    return bool(at), float(x @ np.array(rs)) / float(x @ x) if len(at) > 1 else None
+
+
 def hurst(df: DataFrame, by: list[str], points: int = 20) -> DataFrame:
-    """Slope of log mean R/S on log lag, over log-spaced lags of 10 to n/2."""
-    # as many partitions as the session has, since each row becomes twenty after the last shuffle
-    x = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
-    x = x.withColumn("n", F.count("*").over(Window.partitionBy(*by))).where("n >= 20")
-    # each series' different lags; what follows stays where the series is, so there is no further shuffle
-    lag = lambda j: F.floor(F.exp(F.ln(F.lit(10.0)) + j * (F.ln(F.col("n") / 2) - F.ln(F.lit(10.0))) / (points - 1)) + 1e-9)
-    x = x.withColumn("lag", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lag))))
-    x = x.withColumn("c", F.floor((F.col("i") - 1) / F.col("lag"))).where((F.col("c") + 1) * F.col("lag") <= F.col("n"))
-    part = Window.partitionBy(*by, "lag", "c")
-    x = x.withColumn("d", F.col("value") - F.avg("value").over(part))
-    x = x.withColumn("cum", F.sum("d").over(part.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rs = x.groupBy(*by, "n", "lag", "c").agg((F.max("cum") - F.min("cum")).alias("r"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("s")).where("s > 0")
-    rs = rs.groupBy(*by, "n", "lag").agg(F.avg(F.col("r") / F.col("s")).alias("rs")).where("rs > 0")
-    return rs.groupBy(*by, "n").agg(F.regr_slope(F.ln("rs"), F.ln("lag")).alias("statistic")).withColumn("p_value", F.lit(None).cast("double"))
+    """Slope of log mean R/S on log lag, over log-spaced lags of 10 to n/2; i goes 1, 2, ...
+
+    One exchange: a series' values meet in one row, in order, and rows are worked out in numpy.
+    """
+    # as many partitions as the session has, since each series is gone through twenty times
+    x = df.select(*by, "i", "value").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    x = x.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("_s")).select(*by, F.col("_s.value").alias("_v"))
+    schema = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in by) + ", n long, statistic double"
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column(len(by))
+            flat, at = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy() - v.offsets[0].as_py()
+            with np.errstate(all="ignore"):
+                z = [hurst_of(flat[a:b], points) for a, b in zip(at[:-1], at[1:], strict=True)]
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array(np.diff(at), pa.int64()), pa.array([s for _, s in z], pa.float64())], names=[*by, "n", "statistic"])
+            yield out.filter(pa.array([some for some, _ in z], pa.bool_()))
+
+    return x.mapInArrow(run, schema).withColumn("p_value", F.lit(None).cast("double"))
 
 
 #: KPSS level critical values at 10, 5, 2.5 and 1 %.
