@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidebook.functions import scalar
 from tidebook.operators import frames
 from tidebook.operators import trading as t
 from tidebook.plans import fixtures as fx
@@ -14,9 +15,9 @@ LEN = 40
 
 def positions(spark, sf):
     """event_id, symbol, day, run, chunk, episode, t, position, position_std, target; folds change every 90 hours."""
-    x = frames.lagged(frames.ranked(fx.series(spark, sf), ["symbol"], ["us", "event_id"], F.col("hour"), "idx"), ["symbol"], "idx", {"later": ("mid", -1)})
-    x = x.withColumn("target", F.coalesce(frames.log_price("later") - frames.log_price("mid"), F.lit(0.0))).drop("idx", "later")
-    x = x.withColumn("position", F.sin("event_id")).withColumn("position_std", 0.1 + (F.col("event_id") % 10) / 10.0)
+    x = frames.lagged(frames.ranked(fx.series(spark, sf), ["symbol"], ["us", "event_id"], F.col("hour"), "idx"), ["symbol"], "idx", {"later": ("log_mid", -1)})
+    x = x.withColumn("target", F.coalesce(F.col("later") - F.col("log_mid"), F.lit(0.0))).drop("idx", "later")
+    x = x.withColumn("position", scalar.sin("event_id")).withColumn("position_std", 0.1 + (F.col("event_id") % 10) / 10.0)
     x = t.episodes(x, ["symbol"], ["us", "event_id"], F.expr("hour div 24"), F.expr("hour div 90"), LEN)
     return x.withColumn("episode", F.concat_ws("-", "day", "run", "chunk"))
 
@@ -83,7 +84,7 @@ PNL = f"{P}, ch AS (SELECT *, abs(position - lag(position, 1, 0.0) OVER {W}) AS
 
 @query("pnl_step", f"{PNL} SELECT event_id, round(gross, 9) AS gross, round(cost, 9) AS cost, round(gross - cost, 9) AS reward FROM pl")
 def pnl_step(spark, sf):
-    return t.with_pnl(positions(spark, sf)).select("event_id", *[F.round(c, 9).alias(c) for c in ("gross", "cost", "reward")])
+    return t.with_pnl(positions(spark, sf)).select("event_id", *[scalar.rounded(c, 9).alias(c) for c in ("gross", "cost", "reward")])
 
 
 REG = f"{PNL}, rg AS (" + " UNION ALL ".join(f"SELECT event_id, symbol, day, episode, t, position, position_std, change, '{n}' AS regime, {'target' if hold else f'position * target - {fee!r}::DOUBLE * change'} AS ret FROM ch" for n, fee, hold in t.REGIMES) + ")"
@@ -91,7 +92,7 @@ REG = f"{PNL}, rg AS (" + " UNION ALL ".join(f"SELECT event_id, symbol, day, epi
 
 @query("pnl_fee_scenarios", f"{REG} SELECT event_id, regime, round(ret, 9) AS ret FROM rg")
 def pnl_fee_scenarios(spark, sf):
-    return t.fee_regimes(positions(spark, sf)).select("event_id", "regime", F.round("ret", 9).alias("ret"))
+    return t.fee_regimes(positions(spark, sf)).select("event_id", "regime", scalar.rounded("ret", 9).alias("ret"))
 
 
 _A = 1 - 2 ** (-1 / 10.0)
@@ -114,7 +115,9 @@ def directional_bonus(spark, sf):
 @query("reward_scaled", f"{VOL} SELECT event_id, round((gross - cost + bonus) / vol, 5) AS reward FROM vl")
 def reward_scaled(spark, sf):
     x = t.with_pnl(positions(spark, sf))
-    return x.select("event_id", F.round((F.col("reward") + t.directional_bonus()) / t.realised_vol(), 5).alias("reward"))
+    # a column of its own: inside the rounding, which names it several times, it would be worked out as often
+    x = x.select("event_id", ((F.col("reward") + t.directional_bonus()) / t.realised_vol()).alias("reward"))
+    return x.select("event_id", scalar.rounded("reward", 5).alias("reward"))
 
 
 EPI = f"""{PNL}, rl AS (SELECT *, coalesce(lag(position) OVER {W} * lag(target) OVER {W}, 0) AS realised FROM pl), nt AS (SELECT *, sum(realised - cost) OVER (PARTITION BY symbol, episode ORDER BY t ROWS UNBOUNDED PRECEDING) AS net FROM rl), pk AS (SELECT *, max(net) OVER (PARTITION BY symbol, episode ORDER BY t ROWS UNBOUNDED PRECEDING) AS peak FROM nt),
